@@ -61,7 +61,7 @@ class SpendParams:
     type_inventory: tuple[str, ...] = _b(10, 11, 12, 13, 14, 15, 16)
 
     # PO numbers left out of the small-PO platform report.
-    po_blacklist: tuple[int, ...] = (1603, 8418)
+    po_blacklist: tuple[int, ...] = (69, 92)
 
     # Vendor totals: one unit, some buyers excluded (NULL buyer kept).
     vendor_unit: str = "NATION_15"

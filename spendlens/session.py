@@ -26,6 +26,7 @@ RECOMMENDED_CONF: dict[str, str] = {
     "spark.sql.autoBroadcastJoinThreshold": "10m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
