@@ -33,12 +33,29 @@ LINE_OUT = [
 ]
 
 
+# Analyzed plans of the shared inputs, per (application, folder). A
+# DataFrame is an immutable plan, not data: reusing it only saves the
+# driver from re-analyzing the binding; every query still reads the files.
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, kind)
+    df = _PLANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = build()
+        _PLANS[key] = df
+    return df
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return tb.po_lines(spark, sf)
+    return _memo("lines", spark, sf, lambda: tb.po_lines(spark, sf))
 
 
 def bids(spark: SparkSession, sf: str) -> DataFrame:
-    return plat.all_bids(tb.bid_log_2017(spark, sf), tb.bid_log_2018(spark, sf))
+    return _memo(
+        "bids", spark, sf, lambda: plat.all_bids(tb.bid_log_2017(spark, sf), tb.bid_log_2018(spark, sf))
+    )
 
 
 def po_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from spendlens.functions.classify import spend_bin
 from spendlens.functions.ordering import level_rank
 from spendlens.labels import BIN_LEVELS
 from spendlens.operators.filters import amount_nonneg, exclude_statuses, not_null
+from spendlens.operators.ordering import sort_report
 from spendlens.operators.totals import pct_of_total
 from spendlens.params import DEFAULT_PARAMS, SpendParams
 
@@ -55,6 +56,6 @@ def spend_bins(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
         .transform(pct_of_total, "spend_dec", "pct_spend")
         .withColumn("spend", F.col("spend_dec").cast("double"))
         .withColumn("_rank", level_rank("bin_level", BIN_LEVELS))
-        .orderBy(F.col("_rank").asc_nulls_last())
+        .transform(sort_report, ["_rank"])
     )
     return out.select("bin_level", "cnt", "pct_cnt", "spend", "pct_spend")

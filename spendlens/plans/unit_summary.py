@@ -1,14 +1,16 @@
 """Business-unit summary: year-to-date, period-A and period-B spend and PO
 counts per unit, zero-filled, largest YTD spend first, total row last.
 
-Spend: one scan, one ``groupBy(unit)`` with conditional sums (partial
-aggregation, so the shuffle carries one row per unit per task).
-
 PO counts: a PO is counted once, in the unit of its *first* line, and the
-first line is chosen within each period separately. One ``groupBy(po_no)``
-computes the three first lines at once as ``min(struct(line_id, unit))``
-(filtered per period); partial aggregation keeps a hot PO down to one row
-per task before the shuffle. The per-PO result is then counted per unit.
+first line is chosen within each period separately.
+
+Plan: one scan of the lines into one hash aggregate keyed by (PO, unit)
+holding conditional sums and ``min(line_id)`` per period (combined
+map-side, so a hot PO or unit is reduced before the shuffle). From that one
+aggregate (its exchange is reused): per-unit spend (tiny shuffle), and per
+PO the unit holding its first line per period (shuffle of the (PO, unit)
+rows), counted per unit. The report-sized pieces are joined, zero-filled,
+given a total row and sorted in one task.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from spendlens.functions.text import count_text, money_text
 from spendlens.labels import UNIT_SUMMARY_DISPLAY
 from spendlens.operators.filters import exclude_statuses
 from spendlens.operators.joins import join_nullsafe
+from spendlens.operators.ordering import sort_report
 from spendlens.operators.totals import with_totals_row
 from spendlens.params import DEFAULT_PARAMS, SpendParams
 
@@ -36,36 +39,59 @@ def _periods(p: SpendParams):
     )
 
 
-def unit_spend(clean: DataFrame, p: SpendParams) -> DataFrame:
+def po_unit_rollup(clean: DataFrame, p: SpendParams) -> DataFrame:
+    """One row per (PO, unit): spend overall / in A / in B and the id of the
+    first line overall / in A / in B. All buffers are fixed-width, so this is
+    a hash aggregate combined map-side; the per-unit spend and the per-PO
+    first lines below both read this one aggregate (one scan of the lines,
+    the exchange is reused)."""
     in_a, in_b = _periods(p)
-    amt = F.col("sum_amount")
-    return clean.groupBy("unit").agg(
-        F.sum(amt).alias("ytd_spend"),
-        F.sum(F.when(in_a, amt)).alias("twomonth_spend"),
-        F.sum(F.when(in_b, amt)).alias("onemonth_spend"),
+    amt, lid = F.col("sum_amount"), F.col("line_id")
+    return clean.groupBy("po_no", "unit").agg(
+        F.sum(amt).alias("s_all"),
+        F.sum(F.when(in_a, amt)).alias("s_a"),
+        F.sum(F.when(in_b, amt)).alias("s_b"),
+        F.min(lid).alias("f_all"),
+        F.min(F.when(in_a, lid)).alias("f_a"),
+        F.min(F.when(in_b, lid)).alias("f_b"),
     )
 
 
-def first_line_units(clean: DataFrame, p: SpendParams) -> DataFrame:
-    """Per PO: the unit of its first line overall, in period A, in period B
-    (struct NULL = the PO has no line in that period)."""
-    in_a, in_b = _periods(p)
-    first = F.struct("line_id", "unit")
-    return clean.groupBy("po_no").agg(
-        F.min(first).alias("first_all"),
-        F.min(F.when(in_a, first)).alias("first_a"),
-        F.min(F.when(in_b, first)).alias("first_b"),
+def unit_spend(pu: DataFrame) -> DataFrame:
+    return pu.groupBy("unit").agg(
+        F.sum("s_all").alias("ytd_spend"),
+        F.sum("s_a").alias("twomonth_spend"),
+        F.sum("s_b").alias("onemonth_spend"),
+    )
+
+
+def first_line_units(pu: DataFrame) -> DataFrame:
+    """Per PO: (first line id, unit) overall, in period A, in period B; a
+    NULL struct means the PO has no line in that period. Groups are the
+    few units of one PO."""
+
+    def first(col: str):
+        return F.min(F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("line_id"), "unit")))
+
+    return pu.groupBy("po_no").agg(
+        first("f_all").alias("first_all"),
+        first("f_a").alias("first_a"),
+        first("f_b").alias("first_b"),
     )
 
 
-def unit_po_counts(clean: DataFrame, p: SpendParams) -> DataFrame:
-    firsts = first_line_units(clean, p)
+def unit_po_counts(pu: DataFrame) -> DataFrame:
+    firsts = first_line_units(pu)
     per_unit = firsts.select(
         F.explode(
             F.array(
-                F.struct(F.col("first_all.unit").alias("unit"), F.lit(0).alias("k")),
-                F.when(F.col("first_a").isNotNull(), F.struct(F.col("first_a.unit").alias("unit"), F.lit(1).alias("k"))),
-                F.when(F.col("first_b").isNotNull(), F.struct(F.col("first_b.unit").alias("unit"), F.lit(2).alias("k"))),
+                *[
+                    F.when(
+                        F.col(c).isNotNull(),
+                        F.struct(F.col(f"{c}.unit").alias("unit"), F.lit(k).alias("k")),
+                    )
+                    for k, c in enumerate(("first_all", "first_a", "first_b"))
+                ]
             )
         ).alias("e")
     ).where(F.col("e").isNotNull())
@@ -82,9 +108,8 @@ def _joined(lines: DataFrame, p: SpendParams) -> DataFrame:
     count of 0 becomes NULL: in the row-wise original such a unit is simply
     missing from the count table, so the join leaves NA there."""
     clean = lines.transform(exclude_statuses, p.excluded_statuses)
-    spend = unit_spend(clean, p)
-    counts = unit_po_counts(clean, p)
-    joined = join_nullsafe(spend, counts, ["unit"], "left")
+    pu = po_unit_rollup(clean, p)
+    joined = join_nullsafe(unit_spend(pu), unit_po_counts(pu), ["unit"], "left")
     return joined.select(
         "unit",
         *SPEND_COLS,
@@ -118,7 +143,7 @@ def unit_summary(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame
     ``is_total``), ordered by YTD spend descending, total last."""
     filled = _zero_filled_decimal(lines, p)
     totals = with_totals_row(filled, "unit", SPEND_COLS + COUNT_COLS)
-    return totals.orderBy(F.col("is_total").asc(), F.col("ytd_spend").desc_nulls_last()).select(
+    return sort_report(totals, ["is_total", F.col("ytd_spend").desc_nulls_last()]).select(
         "unit",
         *[F.col(c).cast("double").alias(c) if c in SPEND_COLS else F.col(c) for c in REPORT_COLS[1:]],
         "is_total",
@@ -138,6 +163,6 @@ def unit_summary_display(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> D
         *[count_text(c).alias(UNIT_SUMMARY_DISPLAY[c]) for c in COUNT_COLS],
     )
     ordered = [UNIT_SUMMARY_DISPLAY[c] for c in REPORT_COLS[1:]]
-    return shown.orderBy(F.col("is_total").asc(), F.col("ytd_spend").desc_nulls_last()).select(
+    return sort_report(shown, ["is_total", F.col("ytd_spend").desc_nulls_last()]).select(
         "unit", *[F.col(f"`{c}`") for c in ordered]
     )

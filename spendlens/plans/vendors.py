@@ -53,7 +53,7 @@ def vendor_totals(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFram
         t,
         [F.col("vendor_total").desc_nulls_last(), F.col("vendor").asc_nulls_last()],
         "vendor_rank",
-    ).orderBy("vendor_rank")
+    )
 
 
 def top_vendors(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:

@@ -29,8 +29,42 @@ NULL_REQ_LINENUMBER = 7
 QUOTE_URL_PREFIX = "http://quote/"
 
 
+# Declared schemas of the test tables (only the columns the binding reads).
+# Reading with a schema skips Parquet schema inference, which otherwise runs
+# one small Spark job per table read.
+TABLE_SCHEMAS: dict[str, str] = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_size int",
+}
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` when its scan yields fewer input
+    partitions than the session has task slots (a file with a single row
+    group is read by one task, so all joins after it would run serially).
+
+    Partitioning on the order key is what ``line_id`` and every per-PO
+    aggregate need, so those reuse it instead of shuffling again. On large
+    inputs the scan is already split into many tasks and nothing changes.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key)
 
 
 def po_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +73,7 @@ def po_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_extendedprice", "l_returnflag", "l_shipdate",
     )
+    li = spread_small_scan(li, "l_orderkey")
     orders = _t(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
     )
@@ -60,11 +95,14 @@ def po_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey") * F.lit(1 << LINE_RANK_BITS) + F.row_number().over(in_order),
     )
 
-    sup = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
+    # nation is joined last: joined to supplier first, the planner's size
+    # estimate of (supplier x nation) would be a product and lose the
+    # supplier broadcast.
     j = (
         li.join(orders, li.l_orderkey == orders.o_orderkey)
         .join(customer, F.col("o_custkey") == customer.c_custkey)
-        .join(sup, F.col("l_suppkey") == sup.s_suppkey)
+        .join(supplier, F.col("l_suppkey") == supplier.s_suppkey)
+        .join(nation, F.col("s_nationkey") == nation.n_nationkey)
         .join(part, F.col("l_partkey") == part.p_partkey)
     )
 
