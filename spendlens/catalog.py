@@ -197,8 +197,8 @@ def q_op_exists_nullsafe(spark, sf):
 
 def q_op_explicit_taxonomy(spark, sf):
     ln = lines(spark, sf)
-    dups = clean_lines.taxonomy_duplicates(ln, P).select("level_2")
-    return clean_lines.with_explicit_taxonomy(ln, dups).select(
+    taxonomy = clean_lines.taxonomy_parent_counts(ln)
+    return clean_lines.with_explicit_taxonomy(ln, taxonomy, P).select(
         "po_no", "level_1", "level_2", "explicit_taxonomy_2"
     )
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from spendlens.functions.classify import buyer_class, explicit_taxonomy
 from spendlens.functions.dates import fiscal_year_start, months_before, years_before
 from spendlens.operators.filters import amount_nonneg, exclude_statuses
-from spendlens.operators.joins import flag_exists
 from spendlens.operators.totals import attach_group_total
 from spendlens.params import DEFAULT_PARAMS, SpendParams
 
@@ -33,18 +32,23 @@ def _as_of(lines: DataFrame, p: SpendParams) -> Column:
     return lines.agg(F.to_date(F.max(p.as_of_column))).scalar()
 
 
-def taxonomy_duplicates(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
-    """``level_2`` values with exactly ``taxonomy_parents`` distinct
-    ``level_1`` parents (distinct pairs, then a count per ``level_2``)."""
+def taxonomy_parent_counts(lines: DataFrame) -> DataFrame:
+    """Distinct ``level_1`` parents per ``level_2`` (distinct pairs, then a
+    count; both steps combine map-side)."""
     return (
         lines.select("level_1", "level_2")
         .distinct()
         .groupBy("level_2")
         .agg(F.count(F.lit(1)).alias("n_parents"))
-        .where(F.col("n_parents") == p.taxonomy_parents)
     )
 
 
+def taxonomy_duplicates(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
+    """``level_2`` values with exactly ``taxonomy_parents`` distinct
+    ``level_1`` parents."""
+    return taxonomy_parent_counts(lines).where(F.col("n_parents") == p.taxonomy_parents)
+
+
 def period_flags(lines: DataFrame, as_of: Column) -> DataFrame:
     """``in_last_1_month``: after as-of - 1 month; ``in_last_2_months``:
     after as-of - 2 months (no upper bound, so it includes the last month).
@@ -54,11 +58,17 @@ def period_flags(lines: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def with_explicit_taxonomy(lines: DataFrame, dups: DataFrame) -> DataFrame:
-    flagged = flag_exists(lines, "level_2", dups, "level_2", "_tax_dup")
-    return flagged.withColumn(
-        "explicit_taxonomy_2", explicit_taxonomy("level_1", "level_2", "_tax_dup")
-    ).drop("_tax_dup")
+def with_explicit_taxonomy(lines: DataFrame, taxonomy: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
+    """Add ``explicit_taxonomy_2``. ``taxonomy`` is the per-``level_2``
+    parent count of the whole table (``taxonomy_parent_counts``); every
+    line's ``level_2`` is in it, NULL included, so one NULL-safe left join
+    (broadcast when the size check allows) gives each line its count."""
+    t = taxonomy.select(F.col("level_2").alias("_tx_l2"), F.col("n_parents").alias("_tx_n"))
+    joined = lines.join(t, lines["level_2"].eqNullSafe(t["_tx_l2"]), "left")
+    dup = F.coalesce(F.col("_tx_n") == p.taxonomy_parents, F.lit(False))
+    return joined.withColumn(
+        "explicit_taxonomy_2", explicit_taxonomy("level_1", "level_2", dup)
+    ).drop("_tx_l2", "_tx_n")
 
 
 CLEAN_OUT = [
@@ -70,12 +80,12 @@ CLEAN_OUT = [
 def clean_po_lines(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
     """Lines with an allowed status and amount >= 0, flagged and classified.
     The taxonomy lookup is built from *all* lines (before the filters)."""
-    dups = taxonomy_duplicates(lines, p).select("level_2")
+    taxonomy = taxonomy_parent_counts(lines)
     as_of = _as_of(lines, p)
     clean = lines.transform(exclude_statuses, p.excluded_statuses).transform(amount_nonneg)
     out = (
         clean.transform(period_flags, as_of)
-        .transform(with_explicit_taxonomy, dups)
+        .transform(with_explicit_taxonomy, taxonomy, p)
         .withColumn("buyer_classification", buyer_class("buyer", p))
     )
     return out

@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 from spendlens import labels as L
 from spendlens.functions.classify import buyer_type, platform, size_label
 from spendlens.functions.dates import month_label
-from spendlens.functions.membership import not_member
-from spendlens.operators.dedupe import first_per_key
+from spendlens.functions.membership import is_member, not_member
 from spendlens.operators.filters import month_in
-from spendlens.operators.joins import flag_exists, join_nullsafe
+from spendlens.operators.joins import flag_exists
 from spendlens.operators.sets import union_distinct
 from spendlens.params import DEFAULT_PARAMS, SpendParams
 
@@ -102,13 +101,32 @@ def buyer_type_summary(po: DataFrame) -> DataFrame:
 def vendors_by_platform(po: DataFrame) -> DataFrame:
     """Platform -> number of vendors whose first PO (in line order) is on
     that platform, and the platform's PO count. Platforms with no first
-    vendor PO are absent (the join starts from the vendor side)."""
-    first_po = first_per_key(po, ["vendor"], ["first_line_id"])
-    vendors = first_po.groupBy("platform").agg(F.count(F.lit(1)).alias("qty_of_vendors"))
-    pos = po.groupBy("platform").agg(F.count(F.lit(1)).alias("qty_of_pos"))
-    return join_nullsafe(vendors, pos, ["platform"], "left").select(
-        "platform", "qty_of_vendors", "qty_of_pos"
+    vendor PO are absent (the reference joins from the vendor side).
+
+    One chain over the per-PO table: ``groupBy(vendor, platform)`` (count,
+    first line id; combined map-side, so a dominant vendor is reduced
+    before the shuffle), then ``groupBy(vendor)`` picks the platform of the
+    vendor's first PO and keeps the vendor's per-platform PO counts (a list
+    bounded by the number of platforms), then ``groupBy(platform)``.
+    """
+    vp = po.groupBy("vendor", "platform").agg(
+        F.count(F.lit(1)).alias("n_pos"), F.min("first_line_id").alias("first_id")
     )
+    per_vendor = vp.groupBy("vendor").agg(
+        F.min(F.struct("first_id", "platform")).alias("first"),
+        F.collect_list(F.struct("platform", "n_pos")).alias("pos"),
+    )
+    zero = F.lit(0).cast("long")
+    entries = F.concat(
+        F.array(F.struct(F.col("first.platform").alias("platform"), F.lit(1).cast("long").alias("v"), zero.alias("n"))),
+        F.transform("pos", lambda e: F.struct(e["platform"].alias("platform"), zero.alias("v"), e["n_pos"].alias("n"))),
+    )
+    out = (
+        per_vendor.select(F.inline(entries))
+        .groupBy("platform")
+        .agg(F.sum("v").alias("qty_of_vendors"), F.sum("n").alias("qty_of_pos"))
+    )
+    return out.where(F.col("qty_of_vendors") > 0).select("platform", "qty_of_vendors", "qty_of_pos")
 
 
 def month_summary(po: DataFrame, key: str, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
@@ -138,23 +156,26 @@ def platform_under_limit(po: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> Data
 
 
 def buyer_subsets(po: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
-    """Sourcing-exec subset and its complement, tagged (they partition the
-    POs: NULL buyers are in the complement)."""
-    from spendlens.operators.filters import split_members
-
-    inside, outside = split_members(po, "buyer", p.type_sourcing_execs)
-    cols = ["po_no", "buyer", "platform"]
-    return inside.select(*cols, F.lit("sourcing_exec").alias("subset")).unionByName(
-        outside.select(*cols, F.lit("other").alias("subset"))
+    """The sourcing-exec subset (``buyer %in% list``) and its complement
+    (``!buyer %in% list``, NULL buyers included), as one tagged table: they
+    partition the POs, so one projection tags every row."""
+    return po.select(
+        "po_no",
+        "buyer",
+        "platform",
+        F.when(is_member("buyer", p.type_sourcing_execs), F.lit("sourcing_exec"))
+        .otherwise(F.lit("other"))
+        .alias("subset"),
     )
 
 
 def buyer_list_subsets(po: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
-    """Non-inventory and inventory buyer subsets (a PO can be in both
-    lists' subsets when the lists overlap)."""
-    from spendlens.operators.filters import keep_members
-
-    cols = ["po_no", "buyer", "platform"]
-    non_inv = keep_members(po, "buyer", p.type_non_inventory).select(*cols, F.lit("non_inventory").alias("subset"))
-    inv = keep_members(po, "buyer", p.type_inventory).select(*cols, F.lit("inventory").alias("subset"))
-    return non_inv.unionByName(inv)
+    """Non-inventory and inventory buyer subsets, tagged. A PO whose buyer is
+    on both lists appears in both subsets; one pass emits its tags."""
+    tags = F.array(
+        F.when(is_member("buyer", p.type_non_inventory), F.lit("non_inventory")),
+        F.when(is_member("buyer", p.type_inventory), F.lit("inventory")),
+    )
+    return po.select(
+        "po_no", "buyer", "platform", F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("subset")
+    )

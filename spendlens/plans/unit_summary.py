@@ -7,10 +7,10 @@ first line is chosen within each period separately.
 Plan: one scan of the lines into one hash aggregate keyed by (PO, unit)
 holding conditional sums and ``min(line_id)`` per period (combined
 map-side, so a hot PO or unit is reduced before the shuffle). From that one
-aggregate (its exchange is reused): per-unit spend (tiny shuffle), and per
-PO the unit holding its first line per period (shuffle of the (PO, unit)
-rows), counted per unit. The report-sized pieces are joined, zero-filled,
-given a total row and sorted in one task.
+aggregate, one ``groupBy(po_no)`` finds the unit holding the first line per
+period and carries the PO's per-unit spend along, and one ``groupBy(unit)``
+adds up spend and counts. The lines are read once; the report-sized result
+is zero-filled, given a total row and sorted in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from spendlens.functions.dates import in_period
 from spendlens.functions.text import count_text, money_text
 from spendlens.labels import UNIT_SUMMARY_DISPLAY
 from spendlens.operators.filters import exclude_statuses
-from spendlens.operators.joins import join_nullsafe
 from spendlens.operators.ordering import sort_report
 from spendlens.operators.totals import with_totals_row
 from spendlens.params import DEFAULT_PARAMS, SpendParams
@@ -57,59 +56,68 @@ def po_unit_rollup(clean: DataFrame, p: SpendParams) -> DataFrame:
     )
 
 
-def unit_spend(pu: DataFrame) -> DataFrame:
-    return pu.groupBy("unit").agg(
-        F.sum("s_all").alias("ytd_spend"),
-        F.sum("s_a").alias("twomonth_spend"),
-        F.sum("s_b").alias("onemonth_spend"),
-    )
+def unit_rows(pu: DataFrame) -> DataFrame:
+    """Per-unit spend and first-line PO counts in one chain over the
+    (PO, unit) aggregate, so the lines are read once.
 
-
-def first_line_units(pu: DataFrame) -> DataFrame:
-    """Per PO: (first line id, unit) overall, in period A, in period B; a
-    NULL struct means the PO has no line in that period. Groups are the
-    few units of one PO."""
+    Per PO (a ``groupBy(po_no)``): the (first line id, unit) overall, in A
+    and in B, plus the list of its (unit, spend) entries, which is bounded
+    by the number of units one PO touches. Each PO then contributes its
+    spend entries and one count per period to its first-line unit, and a
+    final ``groupBy(unit)`` adds them up.
+    """
 
     def first(col: str):
         return F.min(F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("line_id"), "unit")))
 
-    return pu.groupBy("po_no").agg(
+    per_po = pu.groupBy("po_no").agg(
         first("f_all").alias("first_all"),
         first("f_a").alias("first_a"),
         first("f_b").alias("first_b"),
+        F.collect_list(F.struct("unit", "s_all", "s_a", "s_b")).alias("spend"),
     )
-
-
-def unit_po_counts(pu: DataFrame) -> DataFrame:
-    firsts = first_line_units(pu)
-    per_unit = firsts.select(
-        F.explode(
-            F.array(
-                *[
-                    F.when(
-                        F.col(c).isNotNull(),
-                        F.struct(F.col(f"{c}.unit").alias("unit"), F.lit(k).alias("k")),
-                    )
-                    for k, c in enumerate(("first_all", "first_a", "first_b"))
-                ]
-            )
-        ).alias("e")
-    ).where(F.col("e").isNotNull())
-    k = F.col("e.k")
-    return per_unit.groupBy(F.col("e.unit").alias("unit")).agg(
-        F.count(F.when(k == 0, 1)).alias("ytd_cnt"),
-        F.count(F.when(k == 1, 1)).alias("twomonth_cnt"),
-        F.count(F.when(k == 2, 1)).alias("onemonth_cnt"),
+    zero = F.lit(0)
+    none = F.lit(None).cast(pu.schema["s_all"].dataType)
+
+    def count_entry(col: str, k: int):
+        cnt = [F.lit(1) if i == k else zero for i in range(3)]
+        return F.when(
+            F.col(col).isNotNull(),
+            F.struct(
+                F.col(f"{col}.unit").alias("unit"),
+                none.alias("s_all"), none.alias("s_a"), none.alias("s_b"),
+                cnt[0].alias("c_all"), cnt[1].alias("c_a"), cnt[2].alias("c_b"),
+            ),
+        )
+
+    spend_entries = F.transform(
+        "spend",
+        lambda e: F.struct(
+            e["unit"].alias("unit"), e["s_all"].alias("s_all"), e["s_a"].alias("s_a"),
+            e["s_b"].alias("s_b"), zero.alias("c_all"), zero.alias("c_a"), zero.alias("c_b"),
+        ),
+    )
+    counts = F.filter(
+        F.array(count_entry("first_all", 0), count_entry("first_a", 1), count_entry("first_b", 2)),
+        lambda e: e.isNotNull(),
+    )
+    contrib = per_po.select(F.inline(F.concat(spend_entries, counts)))
+    return contrib.groupBy("unit").agg(
+        F.sum("s_all").alias("ytd_spend"),
+        F.sum("s_a").alias("twomonth_spend"),
+        F.sum("s_b").alias("onemonth_spend"),
+        F.sum("c_all").alias("ytd_cnt"),
+        F.sum("c_a").alias("twomonth_cnt"),
+        F.sum("c_b").alias("onemonth_cnt"),
     )
 
 
 def _joined(lines: DataFrame, p: SpendParams) -> DataFrame:
-    """Per-unit spend left-joined with per-unit first-line PO counts. A
-    count of 0 becomes NULL: in the row-wise original such a unit is simply
-    missing from the count table, so the join leaves NA there."""
+    """Per-unit spend with per-unit first-line PO counts. A count of 0
+    becomes NULL: in the row-wise original such a unit is missing from the
+    count table, so its left join leaves NA there."""
     clean = lines.transform(exclude_statuses, p.excluded_statuses)
-    pu = po_unit_rollup(clean, p)
-    joined = join_nullsafe(unit_spend(pu), unit_po_counts(pu), ["unit"], "left")
+    joined = unit_rows(po_unit_rollup(clean, p))
     return joined.select(
         "unit",
         *SPEND_COLS,
