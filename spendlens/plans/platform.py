@@ -19,7 +19,7 @@ on per-PO rows, not on lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens import labels as L
@@ -103,28 +103,23 @@ def vendors_by_platform(po: DataFrame) -> DataFrame:
     that platform, and the platform's PO count. Platforms with no first
     vendor PO are absent (the reference joins from the vendor side).
 
-    One chain over the per-PO table: ``groupBy(vendor, platform)`` (count,
-    first line id; combined map-side, so a dominant vendor is reduced
-    before the shuffle), then ``groupBy(vendor)`` picks the platform of the
-    vendor's first PO and keeps the vendor's per-platform PO counts (a list
-    bounded by the number of platforms), then ``groupBy(platform)``.
+    One chain over the per-PO table: ``groupBy(vendor, platform)`` (PO count
+    and first line id, combined map-side, so a dominant vendor is reduced
+    before the shuffle); then a window over ``vendor`` marks the platform
+    holding the vendor's first PO (at most one row per platform per vendor,
+    so every window group is small); then ``groupBy(platform)``.
     """
     vp = po.groupBy("vendor", "platform").agg(
         F.count(F.lit(1)).alias("n_pos"), F.min("first_line_id").alias("first_id")
     )
-    per_vendor = vp.groupBy("vendor").agg(
-        F.min(F.struct("first_id", "platform")).alias("first"),
-        F.collect_list(F.struct("platform", "n_pos")).alias("pos"),
-    )
-    zero = F.lit(0).cast("long")
-    entries = F.concat(
-        F.array(F.struct(F.col("first.platform").alias("platform"), F.lit(1).cast("long").alias("v"), zero.alias("n"))),
-        F.transform("pos", lambda e: F.struct(e["platform"].alias("platform"), zero.alias("v"), e["n_pos"].alias("n"))),
-    )
+    is_first = F.col("first_id") == F.min("first_id").over(Window.partitionBy("vendor"))
     out = (
-        per_vendor.select(F.inline(entries))
+        vp.withColumn("_is_first", is_first)
         .groupBy("platform")
-        .agg(F.sum("v").alias("qty_of_vendors"), F.sum("n").alias("qty_of_pos"))
+        .agg(
+            F.count(F.when(F.col("_is_first"), 1)).alias("qty_of_vendors"),
+            F.sum("n_pos").alias("qty_of_pos"),
+        )
     )
     return out.where(F.col("qty_of_vendors") > 0).select("platform", "qty_of_vendors", "qty_of_pos")
 

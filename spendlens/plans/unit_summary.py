@@ -7,15 +7,15 @@ first line is chosen within each period separately.
 Plan: one scan of the lines into one hash aggregate keyed by (PO, unit)
 holding conditional sums and ``min(line_id)`` per period (combined
 map-side, so a hot PO or unit is reduced before the shuffle). From that one
-aggregate, one ``groupBy(po_no)`` finds the unit holding the first line per
-period and carries the PO's per-unit spend along, and one ``groupBy(unit)``
-adds up spend and counts. The lines are read once; the report-sized result
+aggregate, a window over ``po_no`` marks the unit holding the first line
+per period (at most one row per unit within a PO), and one
+``groupBy(unit)`` adds up spend and counts. The lines are read once; the report-sized result
 is zero-filled, given a total row and sorted in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.dates import in_period
@@ -60,55 +60,29 @@ def unit_rows(pu: DataFrame) -> DataFrame:
     """Per-unit spend and first-line PO counts in one chain over the
     (PO, unit) aggregate, so the lines are read once.
 
-    Per PO (a ``groupBy(po_no)``): the (first line id, unit) overall, in A
-    and in B, plus the list of its (unit, spend) entries, which is bounded
-    by the number of units one PO touches. Each PO then contributes its
-    spend entries and one count per period to its first-line unit, and a
-    final ``groupBy(unit)`` adds them up.
+    A window over ``po_no`` marks, per period, the (PO, unit) row holding
+    the PO's first line (a PO has at most one row per unit, so each window
+    group is small even for a PO with a huge number of lines); one
+    ``groupBy(unit)`` then adds the spend and counts the marked rows.
     """
+    w = Window.partitionBy("po_no")
 
-    def first(col: str):
-        return F.min(F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("line_id"), "unit")))
+    def first_mark(col: str):
+        return F.col(col) == F.min(col).over(w)
 
-    per_po = pu.groupBy("po_no").agg(
-        first("f_all").alias("first_all"),
-        first("f_a").alias("first_a"),
-        first("f_b").alias("first_b"),
-        F.collect_list(F.struct("unit", "s_all", "s_a", "s_b")).alias("spend"),
+    marked = pu.select(
+        "unit", "s_all", "s_a", "s_b",
+        first_mark("f_all").alias("m_all"),
+        first_mark("f_a").alias("m_a"),
+        first_mark("f_b").alias("m_b"),
     )
-    zero = F.lit(0)
-    none = F.lit(None).cast(pu.schema["s_all"].dataType)
-
-    def count_entry(col: str, k: int):
-        cnt = [F.lit(1) if i == k else zero for i in range(3)]
-        return F.when(
-            F.col(col).isNotNull(),
-            F.struct(
-                F.col(f"{col}.unit").alias("unit"),
-                none.alias("s_all"), none.alias("s_a"), none.alias("s_b"),
-                cnt[0].alias("c_all"), cnt[1].alias("c_a"), cnt[2].alias("c_b"),
-            ),
-        )
-
-    spend_entries = F.transform(
-        "spend",
-        lambda e: F.struct(
-            e["unit"].alias("unit"), e["s_all"].alias("s_all"), e["s_a"].alias("s_a"),
-            e["s_b"].alias("s_b"), zero.alias("c_all"), zero.alias("c_a"), zero.alias("c_b"),
-        ),
-    )
-    counts = F.filter(
-        F.array(count_entry("first_all", 0), count_entry("first_a", 1), count_entry("first_b", 2)),
-        lambda e: e.isNotNull(),
-    )
-    contrib = per_po.select(F.inline(F.concat(spend_entries, counts)))
-    return contrib.groupBy("unit").agg(
+    return marked.groupBy("unit").agg(
         F.sum("s_all").alias("ytd_spend"),
         F.sum("s_a").alias("twomonth_spend"),
         F.sum("s_b").alias("onemonth_spend"),
-        F.sum("c_all").alias("ytd_cnt"),
-        F.sum("c_a").alias("twomonth_cnt"),
-        F.sum("c_b").alias("onemonth_cnt"),
+        F.count(F.when(F.col("m_all"), 1)).alias("ytd_cnt"),
+        F.count(F.when(F.col("m_a"), 1)).alias("twomonth_cnt"),
+        F.count(F.when(F.col("m_b"), 1)).alias("onemonth_cnt"),
     )
 
 
