@@ -59,7 +59,7 @@ def bids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def po_table(spark: SparkSession, sf: str) -> DataFrame:
-    return plat.po_platform(lines(spark, sf), bids(spark, sf), P)
+    return _memo("po", spark, sf, lambda: plat.po_platform(lines(spark, sf), bids(spark, sf), P))
 
 
 def line_out(df: DataFrame) -> DataFrame:

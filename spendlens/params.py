@@ -70,8 +70,9 @@ class SpendParams:
     vendor_min_total_mm: float = 2.35
 
     # Taxonomy: level_2 values with exactly this many level_1 parents get
-    # the parent appended.
+    # the parent appended ("at_least": this many or more).
     taxonomy_parents: int = 2
+    taxonomy_match: str = "exact"
 
     # Origin that marks the state-wide-contract platform / buyer.
     swc_origin: str = "SWC"

@@ -46,7 +46,13 @@ def taxonomy_parent_counts(lines: DataFrame) -> DataFrame:
 def taxonomy_duplicates(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
     """``level_2`` values with exactly ``taxonomy_parents`` distinct
     ``level_1`` parents."""
-    return taxonomy_parent_counts(lines).where(F.col("n_parents") == p.taxonomy_parents)
+    return taxonomy_parent_counts(lines).where(_is_duplicate(F.col("n_parents"), p))
+
+
+def _is_duplicate(n_parents, p: SpendParams):
+    if p.taxonomy_match == "at_least":
+        return n_parents >= p.taxonomy_parents
+    return n_parents == p.taxonomy_parents
 
 
 def period_flags(lines: DataFrame, as_of: Column) -> DataFrame:
@@ -65,7 +71,7 @@ def with_explicit_taxonomy(lines: DataFrame, taxonomy: DataFrame, p: SpendParams
     (broadcast when the size check allows) gives each line its count."""
     t = taxonomy.select(F.col("level_2").alias("_tx_l2"), F.col("n_parents").alias("_tx_n"))
     joined = lines.join(t, lines["level_2"].eqNullSafe(t["_tx_l2"]), "left")
-    dup = F.coalesce(F.col("_tx_n") == p.taxonomy_parents, F.lit(False))
+    dup = F.coalesce(_is_duplicate(F.col("_tx_n"), p), F.lit(False))
     return joined.withColumn(
         "explicit_taxonomy_2", explicit_taxonomy("level_1", "level_2", dup)
     ).drop("_tx_l2", "_tx_n")

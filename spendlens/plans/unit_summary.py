@@ -108,22 +108,24 @@ def unit_summary_unfilled(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) ->
     )
 
 
-def _zero_filled_decimal(lines: DataFrame, p: SpendParams) -> DataFrame:
-    """``replace(is.na(.), 0)`` on the numeric columns (the key is left
-    alone; see ``fill_zero_as_written`` for the key-column variant)."""
+def _zero_filled_decimal(lines: DataFrame, p: SpendParams, key_as_written: bool = False) -> DataFrame:
+    """``replace(is.na(.), 0)`` on the numeric columns. The original also
+    fills the key column, printing a NULL unit as "0"; ``key_as_written``
+    does that too (off by default: a NULL unit stays NULL)."""
     j = _joined(lines, p)
     zero = F.lit(0)
+    unit = F.coalesce(F.col("unit"), F.lit("0")).alias("unit") if key_as_written else F.col("unit")
     return j.select(
-        "unit",
+        unit,
         *[F.coalesce(F.col(c), zero.cast(j.schema[c].dataType)).alias(c) for c in SPEND_COLS],
         *[F.coalesce(F.col(c), zero).cast("long").alias(c) for c in COUNT_COLS],
     )
 
 
-def unit_summary(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
+def unit_summary(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS, key_as_written: bool = False) -> DataFrame:
     """Zero-filled per-unit summary with the total row appended (flag
     ``is_total``), ordered by YTD spend descending, total last."""
-    filled = _zero_filled_decimal(lines, p)
+    filled = _zero_filled_decimal(lines, p, key_as_written)
     totals = with_totals_row(filled, "unit", SPEND_COLS + COUNT_COLS)
     return sort_report(totals, ["is_total", F.col("ytd_spend").desc_nulls_last()]).select(
         "unit",

@@ -69,14 +69,15 @@ def test_partition_independence(spark, name):
         prev = spark.conf.get("spark.sql.shuffle.partitions")
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
         try:
-            key = ("lines", SF_SMALL)
             base = catalog.tb.po_lines(spark, SF_SMALL)
             if shuffle:
                 base = base.repartition(5, F.rand(seed=7))
             catalog._PLANS[(spark.sparkContext.applicationId, SF_SMALL, "lines")] = base
+            catalog._PLANS.pop((spark.sparkContext.applicationId, SF_SMALL, "po"), None)
             return sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
         finally:
             catalog._PLANS.pop((spark.sparkContext.applicationId, SF_SMALL, "lines"), None)
+            catalog._PLANS.pop((spark.sparkContext.applicationId, SF_SMALL, "po"), None)
             spark.conf.set("spark.sql.shuffle.partitions", prev)
 
     def key(t):

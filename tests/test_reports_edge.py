@@ -187,3 +187,27 @@ def test_vendors_by_platform_first_po(lines_factory, bids_factory):
     po = plat.po_platform(lines, bids_factory(["x"]), P)
     out = {r.platform: (r.qty_of_vendors, r.qty_of_pos) for r in plat.vendors_by_platform(po).collect()}
     assert out == {L.PLATFORM_SWC: (1, 1), L.PLATFORM_QUOTE: (1, 2)}
+
+
+def test_taxonomy_at_least_option(lines_factory):
+    from dataclasses import replace
+
+    lines = lines_factory(
+        [
+            dict(level_2="two", level_1="X"),
+            dict(level_2="two", level_1="Y"),
+            dict(level_2="three", level_1="X"),
+            dict(level_2="three", level_1="Y"),
+            dict(level_2="three", level_1="Z"),
+        ]
+    )
+    p = replace(P, taxonomy_match="at_least")
+    assert {r.level_2 for r in clean_lines.taxonomy_duplicates(lines, p).collect()} == {"two", "three"}
+
+
+def test_null_unit_zero_fill_variants(lines_factory):
+    lines = lines_factory([dict(unit=None, po_no=1), dict(unit="A", po_no=2)])
+    default = {r.unit for r in unit_summary.unit_summary(lines, P).collect()}
+    assert default == {None, "A", "Total"}
+    as_written = {r.unit for r in unit_summary.unit_summary(lines, P, key_as_written=True).collect()}
+    assert as_written == {"0", "A", "Total"}
