@@ -30,17 +30,37 @@ RECOMMENDED_CONF: dict[str, str] = {
 }
 
 
+ADVISORY_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_partitions_for(input_bytes: int, min_partitions: int = 200) -> int:
+    """Initial shuffle partition count for an input of ``input_bytes``: one
+    advisory-size (128 MB) partition per 128 MB of input. AQE can coalesce
+    small partitions after a stage runs but cannot split a partition that
+    started too large, so the initial count must scale with the data
+    (100 TB -> ~800k; AQE then merges what turns out small)."""
+    return max(min_partitions, -(-int(input_bytes) // ADVISORY_PARTITION_BYTES))
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "spendlens",
     shuffle_partitions: int | None = None,
     extra_conf: dict[str, str] | None = None,
+    input_bytes: int | None = None,
 ) -> SparkSession:
-    """Create (or reuse) a session with the recommended settings."""
+    """Create (or reuse) a session with the recommended settings.
+
+    ``input_bytes`` (size of the PO-line table) sizes the initial shuffle
+    partition count for AQE; ``shuffle_partitions`` sets it directly."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(RECOMMENDED_CONF)
+    if input_bytes is not None and shuffle_partitions is None:
+        conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(
+            shuffle_partitions_for(input_bytes)
+        )
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
