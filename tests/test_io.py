@@ -102,3 +102,16 @@ def test_streaming_landing(spark, sample, scratch):
     landed = spark.read.parquet(os.path.join(scratch, "landed"))
     assert landed.count() == sheet.where("`PO No.` < 100").count()
     assert landed.select("line_id").distinct().count() == landed.count()
+
+
+def test_export_report_set(spark, scratch):
+    from spendlens.plans.export import export_reports
+
+    out = os.path.join(scratch, "exports")
+    names = export_reports(catalog.lines(spark, SF_SMALL), catalog.bids(spark, SF_SMALL), out)
+    assert len(names) == 11
+    for n in names:
+        files = glob.glob(os.path.join(out, n, "part-*.csv"))
+        assert len(files) == 1, n
+    bins = open(glob.glob(os.path.join(out, "spend_bins", "part-*.csv"))[0]).read().splitlines()
+    assert bins[0].startswith("row_name,bin_level") and bins[1].startswith("1,Micro")
