@@ -9,9 +9,9 @@ the input row order, which order-dependent operators need:
 * Parquet: ``line_id = file_rank * 2^40 + _metadata.row_index``; no
   shuffle, only a per-file rank (one row per file, broadcast).
 * CSV: lines are read as text with their file, split start and read
-  position, the title and header lines of each file dropped, the rest parsed
-  with ``from_csv`` (JVM side), and numbered with a distributed global row
-  number in (file, split, position) order.
+  position, numbered densely in that order from per-split counts (no sort),
+  the title and header lines of each file dropped, the rest parsed with
+  ``from_csv`` (JVM side).
 
 Preferred at scale: land a CSV export once as Parquet (``land_parquet``)
 and run the reports on the Parquet copy.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.operators.ordering import global_row_number
+from spendlens.session import ensure_checkpoint_dir
 from spendlens.schema import PO_LINE_SCHEMA, SHEET_LAYOUTS
 
 ROW_INDEX_BITS = 40
@@ -104,9 +104,7 @@ def read_po_lines_csv(
     names = _split_header(header_line)
     ddl = ", ".join(f"`c{i}` string" for i in range(len(names)))
 
-    # Lines numbered in read order and frozen by a checkpoint, so the
-    # title/header positions and the later order agree even if tasks rerun.
-    numbered = global_row_number(text, ["_ord_file", "_ord_block", "_ord_pos"], "_ord_line")
+    numbered = number_in_read_order(text)
     firsts = numbered.groupBy("_ord_file").agg(F.min("_ord_line").alias("_ord_first"))
     body = numbered.join(F.broadcast(firsts), "_ord_file").where(
         F.col("_ord_line") >= F.col("_ord_first") + preamble_lines + 1
@@ -120,6 +118,30 @@ def read_po_lines_csv(
     return typed.select(F.col("_ord_line").alias("line_id"), *[c for c in typed.columns if not c.startswith("_ord_")])
 
 
+def number_in_read_order(text: DataFrame) -> DataFrame:
+    """Dense 1..n ``_ord_line`` in (file, split start, read position) order
+    without sorting the lines.
+
+    Read positions (``monotonically_increasing_id``) are consecutive inside
+    one file split, so a line's number is the number of lines in earlier
+    splits plus its offset inside its own split. Per-split counts and first
+    positions are one row per split (bounded by the split count), so their
+    running offsets and the broadcast back are small. The tagged lines are
+    checkpointed first, so positions stay fixed if a task is re-run.
+    """
+    ensure_checkpoint_dir(text.sparkSession)
+    tagged = text.checkpoint(eager=True)
+    splits = tagged.groupBy("_ord_file", "_ord_block").agg(
+        F.count(F.lit(1)).alias("_sp_n"), F.min("_ord_pos").alias("_sp_first")
+    )
+    before = Window.orderBy("_ord_file", "_ord_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_sp_off", F.coalesce(F.sum("_sp_n").over(before), F.lit(0))).drop("_sp_n")
+    joined = tagged.join(F.broadcast(offsets), ["_ord_file", "_ord_block"])
+    return joined.withColumn(
+        "_ord_line", F.col("_sp_off") + (F.col("_ord_pos") - F.col("_sp_first")) + 1
+    ).drop("_sp_off", "_sp_first")
+
+
 def _split_header(line: str) -> list[str]:
     import csv
 
