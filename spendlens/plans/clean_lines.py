@@ -28,8 +28,12 @@ def as_of_dates(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
 
 
 def _as_of(lines: DataFrame, p: SpendParams) -> Column:
-    """The as-of date as a scalar subquery (computed once, not joined)."""
-    return lines.agg(F.to_date(F.max(p.as_of_column))).scalar()
+    """The trailing-window bounds as one scalar subquery: a struct of
+    (as-of - 1 month, as-of - 2 months), computed once, not joined."""
+    as_of = F.to_date(F.max(p.as_of_column))
+    return lines.agg(
+        F.struct(months_before(as_of, 1).alias("m1"), months_before(as_of, 2).alias("m2"))
+    ).scalar()
 
 
 def taxonomy_parent_counts(lines: DataFrame) -> DataFrame:
@@ -55,13 +59,16 @@ def _is_duplicate(n_parents, p: SpendParams):
     return n_parents == p.taxonomy_parents
 
 
-def period_flags(lines: DataFrame, as_of: Column) -> DataFrame:
+def period_flags(lines: DataFrame, bounds: Column) -> DataFrame:
     """``in_last_1_month``: after as-of - 1 month; ``in_last_2_months``:
     after as-of - 2 months (no upper bound, so it includes the last month).
-    NULL date -> NULL flag."""
-    return lines.withColumn("in_last_1_month", F.col("po_date") > months_before(as_of, 1)).withColumn(
-        "in_last_2_months", F.col("po_date") > months_before(as_of, 2)
-    )
+    NULL date -> NULL flag. ``bounds`` is ``_as_of``'s struct; it is
+    projected once so the subquery runs once."""
+    d = F.col("po_date")
+    with_bounds = lines.withColumn("_bounds", bounds)
+    return with_bounds.withColumn("in_last_1_month", d > F.col("_bounds.m1")).withColumn(
+        "in_last_2_months", d > F.col("_bounds.m2")
+    ).drop("_bounds")
 
 
 def with_explicit_taxonomy(lines: DataFrame, taxonomy: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
