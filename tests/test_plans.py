@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from spendlens import catalog
+from spendlens.explain import final_plan
 from spendlens.operators import first_per_key
 from spendlens.params import DEFAULT_PARAMS as P
 from spendlens.plans import platform as plat, spend_bins
@@ -12,8 +13,7 @@ from tests.conftest import SF_SMALL
 
 
 def _final_plan(df) -> str:
-    df.write.format("noop").mode("overwrite").save()
-    return df._jdf.queryExecution().executedPlan().toString()
+    return final_plan(df)
 
 
 def test_status_filter_pushed_to_scan(spark):
