@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.classify import buyer_class, platform
 from spendlens.functions.conditional import if_else
-from spendlens.functions.dates import fiscal_year_start
+from spendlens.functions.dates import fiscal_year_start, in_period
 from spendlens.functions.ordering import level_rank
 from spendlens.labels import BIN_LEVELS
 from spendlens.functions.text import money_text, starts_with_na
@@ -22,6 +22,7 @@ from spendlens.operators import dedupe, filters, joins, ordering, sets, totals
 from spendlens.params import DEFAULT_PARAMS as P
 from spendlens.plans import clean_lines, platform as plat, spend_bins, unit_summary, vendors
 from spendlens.schema import canonical_to_sheet
+from spendlens.session import ensure_checkpoint_dir
 from spendlens.sinks.csv import as_csv_text, with_row_names
 from spendlens.sources import tpch_binding as tb
 
@@ -146,14 +147,24 @@ def q_op_complement(spark, sf):
 
 # ---------------------------------------------------------------- joins
 def q_op_natural_left_join(spark, sf):
-    clean = _status_clean(spark, sf)
-    ytd = clean.groupBy("unit").agg(F.sum("sum_amount").alias("ytd_spend"))
+    """YTD spend per unit natural-left-joined with period-A spend per unit.
+    Both sides come from one per-unit aggregate, checkpointed once (one
+    pass over the lines; the checkpoint is a row per unit)."""
     a = P.period_a
-    april = (
-        clean.transform(filters.date_range, "po_date", a.start, a.end)
+    in_a = in_period("po_date", a.start, a.end)
+    ensure_checkpoint_dir(spark)
+    per_unit = (
+        _status_clean(spark, sf)
         .groupBy("unit")
-        .agg(F.sum("sum_amount").alias("twomonth_spend"))
+        .agg(
+            F.sum("sum_amount").alias("ytd_spend"),
+            F.sum(F.when(in_a, F.col("sum_amount"))).alias("twomonth_spend"),
+            F.count(F.when(in_a, 1)).alias("_n_a"),
+        )
+        .checkpoint(eager=True)
     )
+    ytd = per_unit.select("unit", "ytd_spend")
+    april = per_unit.where(F.col("_n_a") > 0).select("unit", "twomonth_spend")
     j = joins.natural_left_join(ytd, april)
     return j.select(
         "unit",
@@ -163,12 +174,13 @@ def q_op_natural_left_join(spark, sf):
 
 
 def q_op_left_join_nullsafe(spark, sf):
-    ln = lines(spark, sf)
-    counts = vendors.distinct_count_per_key(ln, "vendor", "po_no", "num_pos")
-    tot = ln.groupBy("vendor").agg(F.sum("sum_amount").cast("double").alias("vendor_total"))
-    return joins.join_nullsafe(counts, tot, ["vendor"], "left").select(
-        "vendor", F.col("num_pos").cast("long").alias("num_pos"), "vendor_total"
-    )
+    """Distinct-PO count per vendor left-joined (NULL-safe) with spend per
+    vendor; both sides from one per-vendor aggregate, checkpointed once."""
+    ensure_checkpoint_dir(spark)
+    per_vendor = vendors.vendor_totals_unranked(lines(spark, sf)).checkpoint(eager=True)
+    counts = per_vendor.select("vendor", "num_pos")
+    tot = per_vendor.select("vendor", "vendor_total")
+    return joins.join_nullsafe(counts, tot, ["vendor"], "left").select("vendor", "num_pos", "vendor_total")
 
 
 def q_op_attach_po_total(spark, sf):

@@ -37,8 +37,10 @@ class SpendParams:
     # Calendar months (any year) of the month x platform / buyer reports.
     report_months: tuple[int, ...] = (4, 5)
 
-    # Column whose maximum is the as-of date of the trailing-month flags.
+    # Column whose maximum is the as-of date of the trailing-month flags,
+    # or a fixed as-of date (no pass over the lines for it).
     as_of_column: str = "po_date"
+    as_of_date: dt.date | None = None
     fiscal_year_start_month: int = 7
 
     # Spend bins on PO totals: Micro <= micro_max < Small < large_min <= Large.

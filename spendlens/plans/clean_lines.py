@@ -15,9 +15,12 @@ from spendlens.params import DEFAULT_PARAMS, SpendParams
 
 
 def as_of_dates(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
-    """One row: as-of date (latest ``as_of_column``), one and two months
-    before it, and the first day of its fiscal year."""
-    d = lines.agg(F.to_date(F.max(p.as_of_column)).alias("as_of_date"))
+    """One row: as-of date (latest ``as_of_column``, or ``p.as_of_date``),
+    one and two months before it, and the first day of its fiscal year."""
+    if p.as_of_date is not None:
+        d = lines.sparkSession.range(1).select(F.lit(p.as_of_date).alias("as_of_date"))
+    else:
+        d = lines.agg(F.to_date(F.max(p.as_of_column)).alias("as_of_date"))
     return d.select(
         "as_of_date",
         months_before("as_of_date", 1).alias("last_month"),
@@ -29,7 +32,11 @@ def as_of_dates(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
 
 def _as_of(lines: DataFrame, p: SpendParams) -> Column:
     """The trailing-window bounds as one scalar subquery: a struct of
-    (as-of - 1 month, as-of - 2 months), computed once, not joined."""
+    (as-of - 1 month, as-of - 2 months), computed once, not joined; a
+    literal when ``p.as_of_date`` is given."""
+    if p.as_of_date is not None:
+        d = F.lit(p.as_of_date)
+        return F.struct(months_before(d, 1).alias("m1"), months_before(d, 2).alias("m2"))
     as_of = F.to_date(F.max(p.as_of_column))
     return lines.agg(
         F.struct(months_before(as_of, 1).alias("m1"), months_before(as_of, 2).alias("m2"))

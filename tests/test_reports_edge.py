@@ -211,3 +211,13 @@ def test_null_unit_zero_fill_variants(lines_factory):
     assert default == {None, "A", "Total"}
     as_written = {r.unit for r in unit_summary.unit_summary(lines, P, key_as_written=True).collect()}
     assert as_written == {"0", "A", "Total"}
+
+
+def test_fixed_as_of_date(lines_factory):
+    from dataclasses import replace
+
+    lines = lines_factory([dict(po_date=dt.date(2018, 3, 20), line_id=1), dict(po_date=dt.date(2018, 5, 20), line_id=2)])
+    p = replace(P, as_of_date=dt.date(2018, 3, 31))
+    out = {r.po_date: (r.in_last_1_month, r.in_last_2_months) for r in clean_lines.clean_po_lines(lines, p).collect()}
+    assert out == {dt.date(2018, 3, 20): (True, True), dt.date(2018, 5, 20): (True, True)}
+    assert clean_lines.as_of_dates(lines, p).first().last_month == dt.date(2018, 2, 28)
