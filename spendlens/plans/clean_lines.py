@@ -12,6 +12,7 @@ from spendlens.functions.dates import fiscal_year_start, months_before, years_be
 from spendlens.operators.filters import amount_nonneg, exclude_statuses
 from spendlens.operators.totals import attach_group_total
 from spendlens.params import DEFAULT_PARAMS, SpendParams
+from spendlens.session import ensure_checkpoint_dir
 
 
 def as_of_dates(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
@@ -97,18 +98,40 @@ CLEAN_OUT = [
 ]
 
 
+def line_lookups(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
+    """Both whole-table lookups of the cleaned-lines report in one pass: per
+    ``level_2`` the number of distinct ``level_1`` parents (``n_parents``)
+    and the latest ``as_of_column`` value (``latest``). Distinct pairs, then
+    per ``level_2``; both steps combine map-side. One row per ``level_2``."""
+    pairs = lines.groupBy("level_2", "level_1").agg(F.max(p.as_of_column).alias("_latest"))
+    return pairs.groupBy("level_2").agg(
+        F.count(F.lit(1)).alias("n_parents"), F.max("_latest").alias("latest")
+    )
+
+
 def clean_po_lines(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
     """Lines with an allowed status and amount >= 0, flagged and classified.
-    The taxonomy lookup is built from *all* lines (before the filters)."""
-    taxonomy = taxonomy_parent_counts(lines)
-    as_of = _as_of(lines, p)
+
+    The taxonomy counts and the as-of date come from *all* lines (before
+    the filters). Both come from one lookup aggregate, checkpointed once
+    (one row per ``level_2``) in the session's checkpoint folder, so the
+    lines are read twice in all: once for the lookup, once for the output.
+    """
+    ensure_checkpoint_dir(lines.sparkSession)
+    lookups = line_lookups(lines, p).checkpoint(eager=True)
+    if p.as_of_date is not None:
+        bounds = _as_of(lines, p)
+    else:
+        as_of = F.to_date(F.max("latest"))
+        bounds = lookups.agg(
+            F.struct(months_before(as_of, 1).alias("m1"), months_before(as_of, 2).alias("m2"))
+        ).scalar()
     clean = lines.transform(exclude_statuses, p.excluded_statuses).transform(amount_nonneg)
-    out = (
-        clean.transform(period_flags, as_of)
-        .transform(with_explicit_taxonomy, taxonomy, p)
+    return (
+        clean.transform(period_flags, bounds)
+        .transform(with_explicit_taxonomy, lookups, p)
         .withColumn("buyer_classification", buyer_class("buyer", p))
     )
-    return out
 
 
 def clean_po_lines_report(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
