@@ -47,6 +47,13 @@ def exclude_statuses_positional(
     return numbered.where(_c(col) != cycle).drop("_pos_rn")
 
 
+def status_filter(df: DataFrame, p) -> DataFrame:
+    """The status exclusion of ``SpendParams`` ``p`` (``p.status_rule``)."""
+    if p.status_rule == "positional":
+        return exclude_statuses_positional(df, p.excluded_statuses, ["line_id"])
+    return exclude_statuses(df, p.excluded_statuses)
+
+
 def amount_nonneg(df: DataFrame, col: str = "sum_amount") -> DataFrame:
     """Keep amounts >= 0; NULL and negative lines are dropped."""
     return df.where(_c(col) >= 0)

@@ -28,8 +28,12 @@ def _b(*keys: int) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class SpendParams:
-    # Status codes removed before spend reporting (set exclusion).
+    # Status codes removed before spend reporting. "set": a line is dropped
+    # when its status is any of them (the evident intent); "positional": the
+    # as-written recycled comparison, line i against code (i - 1) mod n in
+    # line_id order.
     excluded_statuses: tuple[str, ...] = ("O", "P", "PX")
+    status_rule: str = "set"
 
     # Two reporting periods of the business-unit summary (April, May).
     period_a: Period = Period("april", dt.date(1998, 4, 1), dt.date(1998, 5, 1))

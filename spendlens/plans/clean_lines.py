@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.classify import buyer_class, explicit_taxonomy
 from spendlens.functions.dates import fiscal_year_start, months_before, years_before
-from spendlens.operators.filters import amount_nonneg, exclude_statuses
+from spendlens.operators.filters import amount_nonneg, status_filter
 from spendlens.operators.totals import attach_group_total
 from spendlens.params import DEFAULT_PARAMS, SpendParams
 from spendlens.session import ensure_checkpoint_dir
@@ -126,7 +126,7 @@ def clean_po_lines(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFra
         bounds = lookups.agg(
             F.struct(months_before(as_of, 1).alias("m1"), months_before(as_of, 2).alias("m2"))
         ).scalar()
-    clean = lines.transform(exclude_statuses, p.excluded_statuses).transform(amount_nonneg)
+    clean = lines.transform(status_filter, p).transform(amount_nonneg)
     return (
         clean.transform(period_flags, bounds)
         .transform(with_explicit_taxonomy, lookups, p)
@@ -144,13 +144,13 @@ def clean_po_lines_report(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) ->
 
 def unit_po_total_lines(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
     """Cleaned lines with the (unit, PO) total attached."""
-    clean = lines.transform(exclude_statuses, p.excluded_statuses).transform(amount_nonneg)
+    clean = lines.transform(status_filter, p).transform(amount_nonneg)
     return attach_group_total(clean, ["unit", "po_no"], "sum_amount", "po_total_amount")
 
 
 def po_lines_by_class(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
     """(unit, PO, buyer class) -> line count."""
-    clean = lines.transform(exclude_statuses, p.excluded_statuses).transform(amount_nonneg)
+    clean = lines.transform(status_filter, p).transform(amount_nonneg)
     return (
         clean.withColumn("buyer_classification", buyer_class("buyer", p))
         .groupBy("unit", "po_no", "buyer_classification")

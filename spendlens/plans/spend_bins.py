@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.classify import spend_bin
 from spendlens.functions.ordering import level_rank
 from spendlens.labels import BIN_LEVELS
-from spendlens.operators.filters import amount_nonneg, exclude_statuses, not_null
+from spendlens.operators.filters import amount_nonneg, status_filter, not_null
 from spendlens.operators.ordering import sort_report
 from spendlens.operators.totals import pct_of_total
 from spendlens.params import DEFAULT_PARAMS, SpendParams
@@ -22,10 +22,12 @@ from spendlens.params import DEFAULT_PARAMS, SpendParams
 def po_totals_for_bins(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
     """Per-PO totals over lines with amount >= 0, a PO number and an allowed
     status (the bin reports' own filter set)."""
+    # The status test goes first: with the positional rule, positions are
+    # those of the rows the filter receives (all lines).
     clean = (
-        lines.transform(amount_nonneg)
+        lines.transform(status_filter, p)
+        .transform(amount_nonneg)
         .transform(not_null, "po_no")
-        .transform(exclude_statuses, p.excluded_statuses)
     )
     return clean.groupBy("po_no").agg(F.sum("sum_amount").alias("po_total_amt"))
 

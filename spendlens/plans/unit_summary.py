@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.dates import in_period
 from spendlens.functions.text import count_text, money_text
 from spendlens.labels import UNIT_SUMMARY_DISPLAY
-from spendlens.operators.filters import exclude_statuses
+from spendlens.operators.filters import status_filter
 from spendlens.operators.ordering import sort_report
 from spendlens.operators.totals import with_totals_row
 from spendlens.params import DEFAULT_PARAMS, SpendParams
@@ -90,7 +90,7 @@ def _joined(lines: DataFrame, p: SpendParams) -> DataFrame:
     """Per-unit spend with per-unit first-line PO counts. A count of 0
     becomes NULL: in the row-wise original such a unit is missing from the
     count table, so its left join leaves NA there."""
-    clean = lines.transform(exclude_statuses, p.excluded_statuses)
+    clean = lines.transform(status_filter, p)
     joined = unit_rows(po_unit_rollup(clean, p))
     return joined.select(
         "unit",

@@ -221,3 +221,18 @@ def test_fixed_as_of_date(lines_factory):
     out = {r.po_date: (r.in_last_1_month, r.in_last_2_months) for r in clean_lines.clean_po_lines(lines, p).collect()}
     assert out == {dt.date(2018, 3, 20): (True, True), dt.date(2018, 5, 20): (True, True)}
     assert clean_lines.as_of_dates(lines, p).first().last_month == dt.date(2018, 2, 28)
+
+
+def test_positional_status_rule_in_reports(lines_factory):
+    from dataclasses import replace
+
+    # line i is tested against ("O", "P", "PX")[(i - 1) % 3] only
+    statuses = ["O", "O", "PX", "P", "F", "PX"]
+    lines = lines_factory(
+        [dict(po_no=i, status=s, sum_amount="-1" if i == 1 else "5", line_id=i + 1) for i, s in enumerate(statuses)]
+    )
+    p = replace(P, status_rule="positional")
+    got = {r.bin_level: r.cnt for r in spend_bins.spend_bins(lines, p).collect()}
+    # kept by position: lines 2, 4, 5 (po 1, 3, 4); po 1 has a negative amount
+    assert got == {"Micro": 2}
+    assert {r.bin_level: r.cnt for r in spend_bins.spend_bins(lines, P).collect()} == {"Micro": 1}
