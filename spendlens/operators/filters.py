@@ -63,9 +63,21 @@ def not_null(df: DataFrame, col: str = "po_no") -> DataFrame:
     return df.where(_c(col).isNotNull())
 
 
-def date_range(df: DataFrame, col: str, start: dt.date, end: dt.date) -> DataFrame:
-    """Half-open ``[start, end)`` on a date column."""
-    return df.where(in_period(col, start, end))
+def date_range(
+    df: DataFrame, col: str, start: dt.date, end: dt.date, fiscal_start_month: int = 7
+) -> DataFrame:
+    """Half-open ``[start, end)`` on a date column. On a table landed with a
+    ``fiscal_year`` partition column the implied fiscal-year bounds are added
+    as a partition filter, so only the matching folders are listed and read."""
+    cond = in_period(col, start, end)
+    if col == "po_date" and "fiscal_year" in df.columns:
+        last = end - dt.timedelta(days=1)
+
+        def fy(d: dt.date) -> int:
+            return d.year - (1 if d.month < fiscal_start_month else 0)
+
+        cond = cond & F.col("fiscal_year").between(fy(start), fy(last))
+    return df.where(cond)
 
 
 def month_in(df: DataFrame, col: str, months: Iterable[int]) -> DataFrame:

@@ -156,9 +156,19 @@ def read_bid_log(spark: SparkSession, path: str, null_token: str = "N/A") -> Dat
 
 
 def land_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write canonical PO lines once as Parquet (optionally partitioned, e.g.
-    by fiscal year, so period filters prune whole folders)."""
+    """Write canonical PO lines once as Parquet (optionally partitioned)."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def land_po_lines(df: DataFrame, path: str, start_month: int = 7) -> None:
+    """Land canonical PO lines partitioned by fiscal year (``fiscal_year`` =
+    calendar year in which the fiscal year starts). Period filters built
+    with ``operators.filters.date_range`` then also constrain
+    ``fiscal_year``, so the reader skips whole folders."""
+    from spendlens.functions.dates import fiscal_year_start
+
+    with_fy = df.withColumn("fiscal_year", F.year(fiscal_year_start("po_date", start_month)))
+    land_parquet(with_fy, path, partition_by=["fiscal_year"])

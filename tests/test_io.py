@@ -141,3 +141,23 @@ def test_csv_read_order_across_splits(spark, sample, scratch):
     assert [tuple(r)[:3] for r in ordered] == [tuple(r) for r in want]
     ids = [r.line_id for r in ordered]
     assert ids == list(range(ids[0], ids[0] + len(ids)))
+
+
+def test_fiscal_year_landing_prunes_partitions(spark, scratch):
+    import datetime as dt
+
+    from spendlens.explain import final_plan
+    from spendlens.operators.filters import date_range
+
+    path = os.path.join(scratch, "landed_fy")
+    from spendlens.sources.files import land_po_lines
+
+    land_po_lines(catalog.lines(spark, SF_SMALL), path)
+    landed = spark.read.parquet(path)
+    assert landed.select("fiscal_year").distinct().count() > 3
+    april = date_range(landed, "po_date", dt.date(1998, 4, 1), dt.date(1998, 5, 1))
+    plan = final_plan(april)
+    # April 1998 lies in the fiscal year that starts in July 1997
+    assert "PartitionFilters: [isnotnull(fiscal_year" in plan and ">= 1997)" in plan and "<= 1997)" in plan
+    want = catalog.lines(spark, SF_SMALL).where("po_date >= '1998-04-01' AND po_date < '1998-05-01'").count()
+    assert april.count() == want
