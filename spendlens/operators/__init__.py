@@ -20,7 +20,7 @@ from spendlens.operators.totals import (
     pct_of_total,
     with_totals_row,
 )
-from spendlens.operators.joins import join_nullsafe, natural_left_join, flag_exists
+from spendlens.operators.joins import join_nullsafe, natural_left_join, flag_exists, broadcast_if_small
 from spendlens.operators.sets import union_all, union_distinct
 from spendlens.operators.ordering import global_row_number, sort_report
 
@@ -46,6 +46,7 @@ __all__ = [
     "join_nullsafe",
     "natural_left_join",
     "flag_exists",
+    "broadcast_if_small",
     "union_all",
     "union_distinct",
     "global_row_number",

@@ -6,6 +6,58 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Bytes per value assumed when sizing a table for a broadcast (strings are
+# an average guess; the row count is exact).
+_VALUE_BYTES = {
+    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4,
+    T.LongType: 8, T.DoubleType: 8, T.FloatType: 4, T.TimestampType: 8, T.DecimalType: 16,
+    T.StringType: 48,
+}
+
+
+# Session setting for the size-checked broadcast limit (bytes); falls back
+# to spark.sql.autoBroadcastJoinThreshold.
+BROADCAST_LIMIT_CONF = "spendlens.broadcast.maxBytes"
+
+
+def _row_bytes(df: DataFrame) -> int:
+    return sum(_VALUE_BYTES.get(type(f.dataType), 64) for f in df.schema.fields) + 16
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Size-checked broadcast for a *materialized* table (checkpointed or
+    freshly read): count its rows, estimate bytes from the schema, and mark
+    it for broadcast only if that fits under ``max_bytes`` (default: the
+    session's ``spendlens.broadcast.maxBytes``, else
+    ``spark.sql.autoBroadcastJoinThreshold``). Otherwise the
+    planner chooses (sort-merge with AQE skew handling).
+
+    Needed because a checkpointed table keeps the size estimate of the plan
+    it came from, which for an aggregate over the lines is huge even when
+    the result has a few rows.
+    """
+    if max_bytes is None:
+        conf = df.sparkSession.conf
+        limit = conf.get(BROADCAST_LIMIT_CONF, None) or conf.get(
+            "spark.sql.autoBroadcastJoinThreshold", "10485760"
+        )
+        max_bytes = _parse_bytes(limit)
+    if max_bytes < 0:
+        return df
+    if df.count() * _row_bytes(df) <= max_bytes:
+        return F.broadcast(df)
+    return df
+
+
+def _parse_bytes(text: str) -> int:
+    t = text.strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for suffix in sorted(units, key=len, reverse=True):
+        if t.endswith(suffix):
+            return int(float(t[: -len(suffix)]) * units[suffix])
+    return int(t)
 
 
 def join_nullsafe(

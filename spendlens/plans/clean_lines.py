@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.classify import buyer_class, explicit_taxonomy
 from spendlens.functions.dates import fiscal_year_start, months_before, years_before
 from spendlens.operators.filters import amount_nonneg, status_filter
+from spendlens.operators.joins import broadcast_if_small
 from spendlens.operators.totals import attach_group_total
 from spendlens.params import DEFAULT_PARAMS, SpendParams
 from spendlens.session import ensure_checkpoint_dir
@@ -116,9 +117,12 @@ def clean_po_lines(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFra
     the filters). Both come from one lookup aggregate, checkpointed once
     (one row per ``level_2``) in the session's checkpoint folder, so the
     lines are read twice in all: once for the lookup, once for the output.
+    The lookup is broadcast after an exact size check (the checkpoint keeps
+    the aggregate's huge size estimate, so the planner would not).
     """
     ensure_checkpoint_dir(lines.sparkSession)
-    lookups = line_lookups(lines, p).checkpoint(eager=True)
+    # one row per level_2: broadcast after an exact row count, else a join
+    lookups = broadcast_if_small(line_lookups(lines, p).checkpoint(eager=True))
     if p.as_of_date is not None:
         bounds = _as_of(lines, p)
     else:

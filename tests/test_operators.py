@@ -106,3 +106,22 @@ def test_unions(spark):
     assert union_all(a, b).count() == 4
     assert "extra" in union_all(a, b).columns
     assert sorted((r.req_id or "") for r in union_distinct(a.select("req_id"), b.select("req_id")).collect()) == ["", "1", "2"]
+
+
+def test_broadcast_if_small_checks_size(spark):
+    from spendlens.explain import final_plan
+    from spendlens.operators import broadcast_if_small
+
+    big = spark.range(0, 20000).withColumnRenamed("id", "k")
+    small = spark.range(0, 50).withColumnRenamed("id", "k").checkpoint(eager=True)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spendlens.broadcast.maxBytes", "1m")
+    try:
+        plan = final_plan(big.join(broadcast_if_small(small), "k"))
+        assert "BroadcastHashJoin" in plan
+        plan2 = final_plan(big.join(broadcast_if_small(small, max_bytes=100), "k"))
+        assert "BroadcastHashJoin" not in plan2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.conf.unset("spendlens.broadcast.maxBytes")
