@@ -209,7 +209,9 @@ def q_op_exists_nullsafe(spark, sf):
 
 def q_op_explicit_taxonomy(spark, sf):
     ln = lines(spark, sf)
-    taxonomy = clean_lines.taxonomy_parent_counts(ln)
+    ensure_checkpoint_dir(spark)
+    # one row per level_2, materialized once, broadcast after a size check
+    taxonomy = joins.broadcast_if_small(clean_lines.taxonomy_parent_counts(ln).checkpoint(eager=True))
     return clean_lines.with_explicit_taxonomy(ln, taxonomy, P).select(
         "po_no", "level_1", "level_2", "explicit_taxonomy_2"
     )
