@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.labels import NA_TEXT
-from spendlens.operators.ordering import global_row_number
+from spendlens.operators.ordering import global_row_number, sort_report
 
 ROW_NAME_COL = "row_name"
 
@@ -31,10 +31,12 @@ def as_csv_text(df: DataFrame) -> DataFrame:
 
 def with_row_names(df: DataFrame, order_by: Sequence[str | Column] | None = None) -> DataFrame:
     """Prepend ``row_name`` = 1..n in ``order_by`` order (default: the
-    report's first column, NULLs last)."""
+    report's first column, NULLs last). For finished reports: the numbered
+    rows are sorted in one task."""
     order = list(order_by) if order_by else [F.col(f"`{df.columns[0]}`").asc_nulls_last()]
     numbered = global_row_number(df, order, ROW_NAME_COL)
-    return numbered.select(ROW_NAME_COL, *[F.col(f"`{c}`") for c in df.columns]).orderBy(ROW_NAME_COL)
+    out = numbered.select(ROW_NAME_COL, *[F.col(f"`{c}`") for c in df.columns])
+    return sort_report(out, [ROW_NAME_COL])
 
 
 def write_csv(
@@ -63,4 +65,6 @@ def write_csv_numbered(
     order_by: Sequence[str | Column] | None = None,
     mode: str = "overwrite",
 ) -> None:
-    write_csv(with_row_names(df, order_by), path, single_file=True, order_by=[ROW_NAME_COL], mode=mode)
+    """Report with leading row names, written as one ordered file (the rows
+    are already sorted in one task by ``with_row_names``)."""
+    write_csv(with_row_names(df, order_by), path, single_file=True, mode=mode)
