@@ -47,9 +47,12 @@ def write_csv(
     order_by: Sequence[str | Column] | None = None,
     mode: str = "overwrite",
 ) -> None:
-    out = df.orderBy(*order_by) if order_by else df
     if single_file:
-        out = out.coalesce(1)
+        # a report: one task sorts its rows and writes one file
+        out = sort_report(df, order_by) if order_by else df.coalesce(1)
+    else:
+        # line-level extract: distributed sort, one file per task
+        out = df.orderBy(*order_by) if order_by else df
     (
         out.write.mode(mode)
         .option("header", True)
