@@ -16,8 +16,8 @@ from spendlens.functions.classify import buyer_class, platform
 from spendlens.functions.conditional import if_else
 from spendlens.functions.dates import fiscal_year_start, in_period
 from spendlens.functions.ordering import level_rank
-from spendlens.labels import BIN_LEVELS
 from spendlens.functions.text import money_text, starts_with_na
+from spendlens.labels import BIN_LEVELS
 from spendlens.operators import dedupe, filters, joins, ordering, sets, totals
 from spendlens.params import DEFAULT_PARAMS as P
 from spendlens.plans import clean_lines, platform as plat, spend_bins, unit_summary, vendors
@@ -70,7 +70,7 @@ def line_out(df: DataFrame) -> DataFrame:
 
 
 def _status_clean(spark, sf):
-    return lines(spark, sf).transform(filters.exclude_statuses, P.excluded_statuses)
+    return lines(spark, sf).transform(filters.status_filter, P)
 
 
 def _vendor_totals_all(spark, sf) -> DataFrame:

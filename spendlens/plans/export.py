@@ -7,14 +7,11 @@ once, and a lost executor does not force the PO table to be rebuilt from
 the lines. The line-level reports (unit summary, bins, vendor totals) read
 the lines themselves, each in one pass.
 
-Usage as a job::
-
-    python -m spendlens.plans.export --lines <parquet dir> --bids <csv> [--bids <csv>] --out <dir>
+As a job: ``python -m spendlens.cli export`` (see ``spendlens.cli``).
 """
 
 from __future__ import annotations
 
-import argparse
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -80,24 +77,3 @@ def export_reports(
             write_csv(df, path, order_by=order or None)
         written.append(name)
     return written
-
-
-def main(argv: list[str] | None = None) -> None:
-    from spendlens.session import build_session
-    from spendlens.sources.files import read_bid_log, read_po_lines_parquet
-
-    ap = argparse.ArgumentParser(description="Write the PO spend report set as CSV.")
-    ap.add_argument("--lines", required=True, help="PO-line Parquet folder")
-    ap.add_argument("--layout", default=None, help="sheet header layout of the lines (cube / working)")
-    ap.add_argument("--bids", action="append", default=[], help="bid-log CSV (repeatable)")
-    ap.add_argument("--out", required=True)
-    args = ap.parse_args(argv)
-    spark = build_session()
-    lines = read_po_lines_parquet(spark, args.lines, layout=args.layout)
-    bids = plat.all_bids(*[read_bid_log(spark, b) for b in args.bids])
-    export_reports(lines, bids, args.out)
-    spark.stop()
-
-
-if __name__ == "__main__":
-    main()

@@ -161,3 +161,37 @@ def test_fiscal_year_landing_prunes_partitions(spark, scratch):
     assert "PartitionFilters: [isnotnull(fiscal_year" in plan and ">= 1997)" in plan and "<= 1997)" in plan
     want = catalog.lines(spark, SF_SMALL).where("po_date >= '1998-04-01' AND po_date < '1998-05-01'").count()
     assert april.count() == want
+
+
+def test_cli_land_and_export(spark, sample, scratch):
+    """Land a CSV export, then write the report set from the landed copy."""
+    from spendlens import cli
+
+    rows = _sheet(sample).collect()
+    cols = _sheet(sample).columns
+    src = os.path.join(scratch, "cli_export.csv")
+    with open(src, "w", newline="") as fh:
+        fh.write("title\n")
+        w = csv.writer(fh)
+        w.writerow(cols)
+        for r in rows:
+            w.writerow(["" if v is None else v for v in r])
+    bids = os.path.join(scratch, "cli_bids.csv")
+    with open(bids, "w") as fh:
+        fh.write("1\nN/A\n")
+    landed = os.path.join(scratch, "cli_landed")
+    # the CLI stops its session; run it in the test's session by patching
+    import spendlens.session as sess
+
+    orig = sess.build_session
+    sess.build_session = lambda *a, **k: spark
+    stop = spark.stop
+    spark.stop = lambda: None
+    try:
+        cli.main(["land", "--csv", src, "--out", landed])
+        cli.main(["export", "--lines", landed, "--bids", bids, "--out", os.path.join(scratch, "cli_reports")])
+    finally:
+        sess.build_session = orig
+        spark.stop = stop
+    assert spark.read.parquet(landed).count() == len(rows)
+    assert glob.glob(os.path.join(scratch, "cli_reports", "unit_summary", "part-*.csv"))
