@@ -130,7 +130,7 @@ def flag_exists(
     ).scalar()
     # Join key (value, is_null): a NULL value gets a row-dependent stand-in
     # that can never match (its is_null part is true, the lookup's false).
-    spread = F.xxhash64(*[F.col(c) for c in df.columns]).cast(key_type)
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast(key_type)
     probe = df.withColumn("_ex_val", F.coalesce(F.col(col), spread)).withColumn(
         "_ex_isnull", F.col(col).isNull()
     )
