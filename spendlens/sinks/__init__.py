@@ -1,0 +1,2 @@
+"""CSV writers with R's output conventions (``NA`` for NULL, optional
+leading row names)."""
