@@ -146,3 +146,66 @@ def test_vendors_by_platform_matches_brute_force(spark, seed):
     po = plat.po_platform(make_lines(spark, rows), make_bids(spark, bids), P)
     got = {r.platform: (r.qty_of_vendors, r.qty_of_pos) for r in plat.vendors_by_platform(po).collect()}
     assert got == want
+
+
+def brute_spend_bins(rows, positional: bool):
+    codes = P.excluded_statuses
+    ordered = sorted(rows, key=lambda r: r["line_id"])
+    kept = []
+    for i, r in enumerate(ordered):
+        if r["status"] is None:
+            continue
+        if positional:
+            if r["status"] == codes[i % len(codes)]:
+                continue
+        elif r["status"] in codes:
+            continue
+        amt = _dec(r["sum_amount"])
+        if amt is None or amt < 0 or r["po_no"] is None:
+            continue
+        kept.append((r["po_no"], amt))
+    totals = defaultdict(Decimal)
+    for po, amt in kept:
+        totals[po] += amt
+    bins = defaultdict(lambda: [0, Decimal(0)])
+    for t in totals.values():
+        level = "Micro" if t <= P.micro_max else ("Small" if t < P.large_min else "Large")
+        bins[level][0] += 1
+        bins[level][1] += t
+    return {k: (v[0], float(v[1])) for k, v in bins.items()}
+
+
+@pytest.mark.parametrize("seed,positional", [(9, False), (10, True)])
+def test_spend_bins_match_brute_force(spark, seed, positional):
+    from dataclasses import replace
+
+    from spendlens.plans import spend_bins
+
+    rows, _ = _fixture(seed)
+    p = replace(P, status_rule="positional" if positional else "set")
+    got = {r.bin_level: (r.cnt, r.spend) for r in spend_bins.spend_bins(make_lines(spark, rows), p).collect()}
+    assert got == brute_spend_bins(rows, positional)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_vendor_totals_match_brute_force(spark, seed):
+    from spendlens.plans import vendors
+
+    rows, _ = _fixture(seed, n=400)
+    u = "U1"
+    sel = [r for r in rows if r["unit"] == u and r["buyer"] not in P.vendor_excluded_buyers]
+    pos, tot = defaultdict(set), defaultdict(list)
+    for r in sel:
+        pos[r["vendor"]].add(r["po_no"])
+        tot[r["vendor"]].append(_dec(r["sum_amount"]))
+    table = {v: (len(pos[v]), _sum(tot[v])) for v in pos}
+    order = sorted(
+        table,
+        key=lambda v: (table[v][1] is None, -(table[v][1] or 0), v is None, v or ""),
+    )
+    want = {v: (table[v][0], None if table[v][1] is None else float(table[v][1]), i + 1) for i, v in enumerate(order)}
+    from dataclasses import replace
+
+    p = replace(P, vendor_unit=u)
+    got = {r.vendor: (r.num_pos, r.vendor_total, r.vendor_rank) for r in vendors.vendor_totals(make_lines(spark, rows), p).collect()}
+    assert got == want
