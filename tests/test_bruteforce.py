@@ -209,3 +209,57 @@ def test_vendor_totals_match_brute_force(spark, seed):
     p = replace(P, vendor_unit=u)
     got = {r.vendor: (r.num_pos, r.vendor_total, r.vendor_rank) for r in vendors.vendor_totals(make_lines(spark, rows), p).collect()}
     assert got == want
+
+
+def _months_before(d: dt.date, n: int) -> dt.date:
+    import calendar
+
+    y, m = divmod(d.year * 12 + d.month - 1 - n, 12)
+    m += 1
+    return dt.date(y, m, min(d.day, calendar.monthrange(y, m)[1]))
+
+
+@pytest.mark.parametrize("seed", [13, 14])
+def test_clean_lines_match_brute_force(spark, seed):
+    from spendlens.plans import clean_lines
+
+    rnd = random.Random(seed)
+    rows, _ = _fixture(seed)
+    for r in rows:
+        r["level_2"] = rnd.choice(["bolt", "nut", "gear", None])
+        r["level_1"] = rnd.choice(["X", "Y", "Z", None]) if r["level_2"] != "nut" else "X"
+    parents = defaultdict(set)
+    for r in rows:
+        parents[r["level_2"]].add(r["level_1"])
+    as_of = max(r["po_date"] for r in rows if r["po_date"] is not None)
+    m1, m2 = _months_before(as_of, 1), _months_before(as_of, 2)
+
+    def cls(b):
+        if b in P.class_sourcing_execs:
+            return L.CLASS_SOURCING_EXEC
+        if b in P.class_non_inventory:
+            return L.CLASS_NON_INVENTORY
+        if b in P.class_inventory:
+            return L.CLASS_INVENTORY
+        return L.CLASS_OUTSIDE if b is not None else L.CLASS_ERROR
+
+    want = {}
+    for r in rows:
+        amt = _dec(r["sum_amount"])
+        if r["status"] is None or r["status"] in P.excluded_statuses or amt is None or amt < 0:
+            continue
+        d = r["po_date"]
+        dup = len(parents[r["level_2"]]) == P.taxonomy_parents
+        tax = f"{r['level_2'] or 'NA'}_{r['level_1'] or 'NA'}" if dup else r["level_2"]
+        want[r["line_id"]] = (
+            None if d is None else d > m1,
+            None if d is None else d > m2,
+            tax,
+            cls(r["buyer"]),
+        )
+    out = clean_lines.clean_po_lines(make_lines(spark, rows), P).collect()
+    got = {
+        r.line_id: (r.in_last_1_month, r.in_last_2_months, r.explicit_taxonomy_2, r.buyer_classification)
+        for r in out
+    }
+    assert got == want
