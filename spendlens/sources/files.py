@@ -99,9 +99,22 @@ def read_po_lines_csv(
     # Header names: the first lines of one file, read on the driver (all
     # files of an export share the header).
     first_file = sorted(text.inputFiles())[0]
-    head = spark.read.text(first_file).limit(preamble_lines + 1).collect()
-    header_line = head[preamble_lines]["value"]
-    names = _split_header(header_line)
+    return parse_csv_lines(text, first_file, layout, preamble_lines, null_value)
+
+
+def parse_csv_lines(
+    text: DataFrame,
+    header_file: str,
+    layout: str = "working",
+    preamble_lines: int = 1,
+    null_value: str = "",
+) -> DataFrame:
+    """Canonical PO lines from text lines tagged with ``_ord_file``,
+    ``_ord_block`` and ``_ord_pos`` (read order); ``line_id`` is the dense
+    line number in read order (title and header numbers are skipped)."""
+    spark = text.sparkSession
+    head = spark.read.text(header_file).limit(preamble_lines + 1).collect()
+    names = _split_header(head[preamble_lines]["value"])
     ddl = ", ".join(f"`c{i}` string" for i in range(len(names)))
 
     numbered = number_in_read_order(text)

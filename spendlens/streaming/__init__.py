@@ -5,6 +5,6 @@ stateful operator); the one streaming piece here is the incremental landing
 of new extract files into the Parquet table the reports read.
 """
 
-from spendlens.streaming.landing import land_po_lines
+from spendlens.streaming.landing import land_po_lines, land_po_lines_csv
 
-__all__ = ["land_po_lines"]
+__all__ = ["land_po_lines", "land_po_lines_csv"]
