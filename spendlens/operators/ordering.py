@@ -75,6 +75,7 @@ def global_row_number(
 def sort_report(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     """Order a finished report-sized table (tens of rows) in one task:
     a global ``orderBy`` would first run a sampling job for range bounds.
-    Plain column names sort ascending with NULLs last, like R's arrange.
-    Not for line-level data; use ``orderBy`` there."""
-    return df.repartition(1).sortWithinPartitions(*_sort_cols(order_by))
+    ``coalesce(1)`` merges the report's last (tiny) stage into one task
+    without another shuffle. Plain column names sort ascending with NULLs
+    last, like R's arrange. Not for line-level data; use ``orderBy``."""
+    return df.coalesce(1).sortWithinPartitions(*_sort_cols(order_by))
