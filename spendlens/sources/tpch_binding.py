@@ -100,6 +100,10 @@ def po_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Row order of the extract = (order key, then the rest of the line's
     # sort key): line_id = order key * 2^20 + rank of the line in its order.
+    # The rank is a window over one order's lines, which TPC-H bounds (at
+    # most 13 lines per order in these tables), so no group is hot; real
+    # extracts take line_id from file order instead (sources.files), with
+    # no window at all.
     in_order = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
     )
