@@ -17,6 +17,7 @@ from spendlens.functions.conditional import if_else
 from spendlens.functions.dates import fiscal_year_start, in_period
 from spendlens.functions.ordering import level_rank
 from spendlens.functions.text import money_text, starts_with_na
+from spendlens import labels as L
 from spendlens.labels import BIN_LEVELS
 from spendlens.operators import dedupe, filters, joins, ordering, sets, totals
 from spendlens.params import DEFAULT_PARAMS as P
@@ -313,7 +314,7 @@ def q_op_if_else(spark, sf):
     ln = lines(spark, sf)
     return ln.select(
         "po_no", "origin",
-        if_else(F.col("origin") == P.swc_origin, "Commbuys", "Other").alias("swc_flag"),
+        if_else(F.col("origin") == P.swc_origin, L.PLATFORM_SWC, "Other").alias("swc_flag"),
     )
 
 
@@ -335,11 +336,11 @@ def q_op_fill_label(spark, sf):
     j = joins.flag_exists(lines(spark, sf), "req_id", bids(spark, sf), "req_id", "in_bid_log")
     raw = if_else(
         F.col("origin") == P.swc_origin,
-        "Commbuys",
+        L.PLATFORM_SWC,
         if_else(
             F.col("in_bid_log"),
-            "Business Center",
-            if_else(starts_with_na("quote_link", P.quote_prefix), "FairMarkIt", "Uncategorized"),
+            L.PLATFORM_BID_LOG,
+            if_else(starts_with_na("quote_link", P.quote_prefix), L.PLATFORM_QUOTE, L.PLATFORM_NONE),
         ),
     )
     return j.select(
