@@ -113,7 +113,14 @@ def parse_csv_lines(
     ``_ord_block`` and ``_ord_pos`` (read order); ``line_id`` is the dense
     line number in read order (title and header numbers are skipped)."""
     spark = text.sparkSession
-    head = spark.read.text(header_file).limit(preamble_lines + 1).collect()
+    # only the split starting at byte 0 holds the title and header (splits
+    # of one file are not read in file order)
+    head = (
+        spark.read.text(header_file)
+        .where(F.col("_metadata.file_block_start") == 0)
+        .limit(preamble_lines + 1)
+        .collect()
+    )
     names = _split_header(head[preamble_lines]["value"])
     ddl = ", ".join(f"`c{i}` string" for i in range(len(names)))
 
