@@ -109,7 +109,9 @@ def q_op_status_exclude(spark, sf):
 
 
 def q_op_status_cycle(spark, sf):
-    kept = filters.exclude_statuses_positional(lines(spark, sf), P.excluded_statuses, ["line_id"])
+    kept = filters.exclude_statuses_positional(
+        lines(spark, sf), P.excluded_statuses, ["line_id"], group_bits=tb.LINE_RANK_BITS
+    )
     return line_out(kept)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.dates import in_period
 from spendlens.functions.membership import is_member, not_member
-from spendlens.operators.ordering import global_row_number
+from spendlens.operators.ordering import global_row_number, positions_from_groups
 
 
 def _c(col) -> Column:
@@ -30,16 +30,24 @@ def exclude_statuses_positional(
     excluded: Sequence[str],
     order_by: Sequence[str | Column],
     col: str = "status",
+    group_bits: int | None = None,
 ) -> DataFrame:
     """As-written form of ``filter(Status != c(a, b, c))``: R recycles the
     right-hand vector down the rows, so row *i* (1-based, in input order)
     is compared with ``excluded[(i - 1) mod n]`` only.
 
     Needs a dense row number over the whole input in ``order_by`` order,
-    computed with a distributed sort (no single-partition window).
+    computed with a distributed sort (no single-partition window). When the
+    single ``order_by`` column is a ``line_id`` built as group * 2^bits +
+    dense index (``group_bits``: 40 for Parquet extracts, 20 for the test
+    binding), positions come from per-group counts instead, without sorting
+    the lines.
     """
     vals = list(excluded)
-    numbered = global_row_number(df, order_by, "_pos_rn")
+    if group_bits is not None and len(order_by) == 1 and isinstance(order_by[0], str):
+        numbered = positions_from_groups(df, order_by[0], group_bits, "_pos_rn")
+    else:
+        numbered = global_row_number(df, order_by, "_pos_rn")
     cycle = F.element_at(
         F.array(*[F.lit(v) for v in vals]),
         (F.pmod(F.col("_pos_rn") - 1, F.lit(len(vals))) + 1).cast("int"),

@@ -72,6 +72,63 @@ def global_row_number(
     )
 
 
+def global_cumsum(
+    df: DataFrame, order_by: Sequence[str | Column], weight: str, name: str
+) -> DataFrame:
+    """Add ``name`` = sum of ``weight`` over all rows *before* this one in
+    ``order_by`` order (exclusive running total), distributed like
+    ``global_row_number``: range-partitioned sort, checkpoint, per-partition
+    totals -> offsets (one row per partition, broadcast), plus a running
+    sum inside each partition (a window whose group is one sorted range
+    partition, so it is bounded by the partition size)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cols = _sort_cols(order_by)
+    tagged = df.orderBy(*cols).withColumn("_gc_pid", F.spark_partition_id()).checkpoint(eager=True)
+    before = Window.partitionBy("_gc_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        tagged.groupBy("_gc_pid")
+        .agg(F.sum(weight).alias("_gc_tot"))
+        .withColumn(
+            "_gc_off",
+            F.coalesce(
+                F.sum("_gc_tot").over(Window.orderBy("_gc_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                F.lit(0),
+            ),
+        )
+        .select("_gc_pid", "_gc_off")
+    )
+    return (
+        tagged.withColumn("_gc_in", F.coalesce(F.sum(weight).over(before), F.lit(0)))
+        .join(F.broadcast(offsets), "_gc_pid")
+        .withColumn(name, F.col("_gc_off") + F.col("_gc_in"))
+        .drop("_gc_pid", "_gc_off", "_gc_in")
+    )
+
+
+def positions_from_groups(df: DataFrame, id_col: str, group_bits: int, name: str) -> DataFrame:
+    """Dense 1..n position in ``id_col`` order for ids built as
+    ``group * 2^group_bits + index`` where ``index`` runs densely from
+    ``first`` (0 or 1) inside each group: position = rows of all earlier
+    groups + index offset. Only the per-group counts (one row per group:
+    per file, or per order) are sorted; the rows themselves are not, and
+    they meet their group's offset in a join on the group key."""
+    grp = F.shiftright(F.col(id_col), group_bits)
+    idx = F.col(id_col).bitwiseAND(F.lit((1 << group_bits) - 1))
+    keyed = df.withColumn("_pg_g", grp).withColumn("_pg_i", idx)
+    groups = keyed.groupBy("_pg_g").agg(F.count(F.lit(1)).alias("_pg_n"), F.min("_pg_i").alias("_pg_first"))
+    # (one row per group; combined map-side)
+    offsets = global_cumsum(groups, ["_pg_g"], "_pg_n", "_pg_off").select("_pg_g", "_pg_off", "_pg_first")
+    # few groups (files): broadcast after an exact size check; many groups
+    # (orders): a join on the group key
+    from spendlens.operators.joins import broadcast_if_small
+
+    return (
+        keyed.join(broadcast_if_small(offsets), "_pg_g")
+        .withColumn(name, F.col("_pg_off") + (F.col("_pg_i") - F.col("_pg_first")) + 1)
+        .drop("_pg_g", "_pg_i", "_pg_off", "_pg_first")
+    )
+
+
 def sort_report(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     """Order a finished report-sized table (tens of rows) in one task:
     a global ``orderBy`` would first run a sampling job for range bounds.

@@ -125,3 +125,19 @@ def test_broadcast_if_small_checks_size(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
         spark.conf.unset("spendlens.broadcast.maxBytes")
+
+
+@pytest.mark.parametrize("bits,first", [(40, 0), (20, 1)])
+def test_positions_from_groups_equal_global_row_number(spark, bits, first):
+    from spendlens.operators.ordering import positions_from_groups
+
+    # ids = group * 2^bits + dense index (from 0 like Parquet row indexes,
+    # from 1 like the binding's per-order rank), groups of uneven size
+    rows = []
+    for g in (3, 7, 8, 20, 21):
+        for i in range(g % 5 + 1):
+            rows.append(((g << bits) + i + first,))
+    df = spark.createDataFrame(rows, "line_id long").repartition(4)
+    a = {r.line_id: r.p for r in positions_from_groups(df, "line_id", bits, "p").collect()}
+    b = {r.line_id: r.p for r in global_row_number(df, ["line_id"], "p").collect()}
+    assert a == b and sorted(a.values()) == list(range(1, len(rows) + 1))
