@@ -80,3 +80,10 @@ def test_money_text_half_even_and_padding(spark):
     out = [r.t for r in df.select(money_text("x").alias("t")).collect()]
     # R's round is half to even; format pads every value to the widest.
     assert sorted(out) == sorted(["$        0", "$        2", "$        2", "$1,234,568"])
+
+
+def test_shuffle_partitions_scale_with_input():
+    from spendlens.session import shuffle_partitions_for
+
+    assert shuffle_partitions_for(10 * 2**20) == 200  # small input: the floor
+    assert shuffle_partitions_for(100 * 2**40) == 819200  # 100 TB / 128 MB

@@ -234,3 +234,22 @@ def test_streaming_landing_csv_drops(spark, sample, scratch):
     got = landed.orderBy("line_id").select("po_no", "unit", "vendor").collect()
     want = sample.select("po_no", "unit", "vendor").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_cli_land_parquet(spark, sample, scratch):
+    from spendlens import cli
+    import spendlens.session as sess
+
+    src = os.path.join(scratch, "cli_parquet_src")
+    _sheet(sample).coalesce(1).write.mode("overwrite").parquet(src)
+    out = os.path.join(scratch, "cli_parquet_landed")
+    orig, stop = sess.build_session, spark.stop
+    sess.build_session = lambda *a, **k: spark
+    spark.stop = lambda: None
+    try:
+        cli.main(["land", "--parquet", src, "--out", out])
+    finally:
+        sess.build_session, spark.stop = orig, stop
+    landed = spark.read.parquet(out)
+    assert landed.count() == sample.count()
+    assert "fiscal_year" in landed.columns and landed.select("line_id").distinct().count() == sample.count()
