@@ -43,8 +43,13 @@ def con():
 
 
 def test_entry_runs(spark):
-    rows = entry(spark).collect()
-    assert len(rows) > 0
+    df = entry(spark)
+    assert df.schema.simpleString() == (
+        "struct<bin_level:string,cnt:bigint,pct_cnt:double,spend:double,pct_spend:double>"
+    )
+    rows = df.collect()
+    # FIXTURES: Micro / Small / Large POs at sf0.001
+    assert [(r.bin_level, r.cnt) for r in rows] == [("Micro", 20), ("Small", 454), ("Large", 7)]
 
 
 def test_every_key_has_oracle_or_is_rows_only():
