@@ -92,6 +92,16 @@ def _sums(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarra
     return total[first + count] - total[first]
 
 
+def _bitmaps(h: np.ndarray, own: np.ndarray, count: int) -> list[bytes]:
+    """For each set the parity of its elements that fall on each bit: two
+    sets' maps differ in no more bits than the sets in elements."""
+    width = BITMAP_BYTES * 8
+    bits = np.zeros(count * width, np.uint8)
+    where, times = np.unique(own * width + (h % U(width)).astype(np.int64), return_counts=True)
+    bits[where] = times & 1
+    return [m.tobytes() for m in np.packbits(bits.reshape(count, width), axis=1)]
+
+
 def _prefixes(hot: np.ndarray, level: np.ndarray):
     def run(batches):
         for batch in batches:
@@ -102,6 +112,7 @@ def _prefixes(hot: np.ndarray, level: np.ndarray):
                 first = np.cumsum(n) - n
                 same, at = _found(hot, h)
                 rank = np.where(same, level[at] + 1, 0) if len(hot) else np.zeros(len(h), np.int64)
+                maps = _bitmaps(h, own, hi - lo)
                 class_1, class_2 = _sums(mix(h + U(11)), first, n), _sums(mix(h ^ U(0x5DEECE66D)), first, n)
                 h = h[np.argsort(own * 128 + rank, kind="stable")]
                 need = np.where(n > 0, n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1, 0)
@@ -109,8 +120,8 @@ def _prefixes(hot: np.ndarray, level: np.ndarray):
                 prefix = [h[a : a + k].tobytes() for a, k in zip(first.tolist(), need.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(n), pa.array(group.view(np.int64)),
-                     pa.array(class_1.view(np.int64)), pa.array(class_2.view(np.int64)), pa.array(prefix, pa.binary())],
-                    ["doc_id", "n", "gid", "c1", "c2", "prefix"],
+                     pa.array(class_1.view(np.int64)), pa.array(class_2.view(np.int64)), pa.array(maps, pa.binary()), pa.array(prefix, pa.binary())],
+                    ["doc_id", "n", "gid", "c1", "c2", "bitmap", "prefix"],
                 )
 
     return run
@@ -177,7 +188,7 @@ def _shared_of_bucket(t: pa.Table) -> pa.Table:
 
 
 def _sets(batches):
-    """Class id, size, bitmap (parity of the elements a bit) and set."""
+    """Class id and set."""
     for batch in batches:
         texts = text_bytes(_column(batch, "text"))
         for lo, hi in chunks(texts):
@@ -185,15 +196,8 @@ def _sets(batches):
             n = np.bincount(own, minlength=hi - lo)
             first = np.cumsum(n) - n
             cid = _sums(mix(h + U(11)), first, n)  # as in _prefixes
-            bits = np.zeros((hi - lo) * BITMAP_BYTES * 8, np.uint8)
-            where, times = np.unique(own * (BITMAP_BYTES * 8) + (h % U(BITMAP_BYTES * 8)).astype(np.int64), return_counts=True)
-            bits[where] = times & 1
-            maps = np.packbits(bits.reshape(hi - lo, -1), axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cid.view(np.int64)), pa.array(n), pa.array([m.tobytes() for m in maps], pa.binary()),
-                 pa.array([h[a : a + k].tobytes() for a, k in zip(first.tolist(), n.tolist())], pa.binary())],
-                ["cid", "n", "bitmap", "elements"],
-            )
+            elements = [h[a : a + k].tobytes() for a, k in zip(first.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(cid.view(np.int64)), pa.array(elements, pa.binary())], ["cid", "elements"])
 
 
 def _needed(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -224,16 +228,22 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class ids that link."""
-    maps = sets.select("cid", "n", "bitmap")
-    near = (
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class ids that link. Only the classes of pairs
+    that the bitmaps allow get their sets, from their texts."""
+    maps = classes.select("cid", "n", "bitmap")
+    near = saved(
         pairs.join(maps.toDF("a", "n1", "m1"), "a").join(maps.toDF("b", "n2", "m2"), "b")
         .select("a", "b", "n1", "n2", "m1", "m2").mapInArrow(_maps_allow, "a long, b long")
     )
-    elements = sets.select("cid", "elements")
+    ends = near.select("a").union(near.select("b")).distinct()
+    wanted = saved(classes.join(ends.toDF("cid"), "cid", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    # A repeated id can bring more classes than were asked for.
+    sets = saved(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "cid long, elements binary").dropDuplicates(["cid"]))
     return (
-        near.join(elements.toDF("a", "s1"), "a").join(elements.toDF("b", "s2"), "b")
+        near.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b")
         .select("a", "b", "s1", "s2").mapInArrow(_linked, "a long, b long")
     )
 
@@ -307,10 +317,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hot, level = frequent_shingles(docs)
-    each = saved(docs.mapInArrow(_prefixes(hot, level), "doc_id long, n long, gid long, c1 long, c2 long, prefix binary"))
+    each = saved(docs.mapInArrow(_prefixes(hot, level), "doc_id long, n long, gid long, c1 long, c2 long, bitmap binary, prefix binary"))
     full = each.where("n > 0 and doc_id is not null")
     classes = saved(
-        full.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("first_id"), F.min("gid").alias("gid"))
+        full.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("first_id"), F.min("gid").alias("gid"), F.first("bitmap").alias("bitmap"))
         .withColumn("cid", F.col("c1"))
     )
     postings = full.agg(F.sum(F.floor(F.length("prefix") / 8))).first()[0] or 0
@@ -323,17 +333,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     groups = classes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("token"), "gid")
     posted = saved(rare.union(shared).union(groups).join(classes.select("gid", "cid", "n"), "gid").select("token", "cid", "n"))
     label = saved(posted.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
-    size = label.count()
-    wanted = label.join(classes, "cid").select(F.col("first_id").alias("doc_id")).distinct()
-    known = docs.join(F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted, "doc_id", "left_semi")
-    sets = saved(known.mapInArrow(_sets, "cid long, n long, bitmap binary, elements binary").dropDuplicates(["cid"]))
-    for _ in range(ROUNDS if size else 0):
-        links = saved(verified(_best_partners(posted, label), sets))
-        if links.isEmpty():
-            break
-        label = _relabelled(label, links)
-    if size:
-        links = saved(verified(_pairs_left(posted, label), sets))
+    known = saved(classes.join(label, "cid", "left_semi"))
+    for make in [_best_partners] * ROUNDS + [_pairs_left]:
+        links = saved(verified(make(posted, label), known, docs))
         if not links.isEmpty():
             label = _relabelled(label, links)
     comps = label.join(classes, "cid").groupBy("comp").agg(F.min("first_id").alias("component_id"))
