@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,35 +30,29 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-class Memo(OrderedDict):
-    """A bounded map from a word to what was computed for it. Two halves:
-    when the young one is full it becomes the old one, so frequent words
-    stay without a per-hit update."""
+class Memo:
+    """A bounded map from a word to what ``compute`` (list of words to list
+    of values) gives for it. Two halves: when the young one is full it
+    becomes the old one, from which words that come again are taken back.
+    Words longer than ``longest`` are computed each time."""
 
-    def __init__(self, compute, limit: int = 400_000):
-        super().__init__()
+    def __init__(self, compute, limit: int = 600_000, longest: int = 64):
         self.young: dict = {}
         self.old: dict = {}
-        self.compute, self.half = compute, limit // 2
-
-    def many(self, words: list[str]) -> list:
-        """The values of ``words``; ``compute`` gets the list of unknown
-        distinct words and returns their values."""
-        young = self.young
-        try:
-            return [young[w] for w in words]
-        except KeyError:
-            pass
-        unknown, old = [], self.old
-        for w in set(words):
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    unknown.append(w)
-        if unknown:
-            young.update(zip(unknown, self.compute(unknown)))
-        out = [young[w] for w in words]
+        self.compute, self.half, self.longest = compute, limit // 2, longest
+
+    def values(self, texts: list[list[str]]) -> list[list]:
+        """The values of the words of each text."""
+        young, old = self.young, self.old
+        unknown = set().union(*texts).difference(young)
+        again = unknown.intersection(old)
+        young.update((w, old[w]) for w in again)
+        unknown = list(unknown.difference(again))
+        young.update(zip(unknown, self.compute(unknown)))
+        out = [[young[w] for w in words] for words in texts]
+        for w in unknown:
+            if len(w) > self.longest:
+                del young[w]
         if len(young) > self.half:
             self.old, self.young = young, {}
         return out
