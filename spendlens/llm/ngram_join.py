@@ -7,10 +7,12 @@ their sets' Jaccard similarity reaches 0.75 (exactly, in integers).
    documents. They only set the order of a set's elements: rare (by hash)
    first, then shared ones, the most frequent last. Any order gives the same
    result.
-2. Similar sets share an element among the first floor(n / 4) + 1 of each.
+2. Two linked sets share an element among the first floor(n / 4) + 1 of
+   each, and at least l among the first floor(n / 4) + l. l grows with n.
    Documents with the same prefix and size are one group; only groups are
    posted under their prefix elements.
-3. Elements of one group only drop out. What is left is expanded to classes
+3. Elements of one group only drop out, then groups with too few shared
+   elements left for any partner. The rest is expanded to classes
    (documents with equal sets) and verified.
 
 Only components are asked for, so a pair whose ends are already connected is
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import BROADCAST_ROWS, U, chunks, mix, saved, shingle_sets, shingles, text_bytes
@@ -38,6 +40,8 @@ ORDERED = 1 << 17
 #: Lossy counting: shingles a window, and what each window takes off a count.
 WINDOW, LOSS = 1 << 21, 3
 BITMAP_BYTES = 256
+#: Linked sets of n elements or more share 1 + n / EXTRA elements of their prefixes.
+EXTRA = 16
 ROUNDS = 2
 
 
@@ -115,7 +119,7 @@ def _prefixes(hot: np.ndarray, level: np.ndarray):
                 maps = _bitmaps(h, own, hi - lo)
                 class_1, class_2 = _sums(mix(h + U(11)), first, n), _sums(mix(h ^ U(0x5DEECE66D)), first, n)
                 h = h[np.argsort(own * 128 + rank, kind="stable")]
-                need = np.where(n > 0, n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1, 0)
+                need = np.where(n > 0, np.minimum(n, n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1 + n // EXTRA), 0)
                 group = mix(_sums(mix(h + U(7)), first, need) + n.astype(U) * U(0x9E3779B97F4A7C15))
                 prefix = [h[a : a + k].tobytes() for a, k in zip(first.tolist(), need.tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -188,8 +192,10 @@ def _shared_of_bucket(t: pa.Table) -> pa.Table:
 
 
 def _sets(batches):
-    """Class id and set."""
+    """For rows (id, to, text): id, to and the set of the text, if it is the
+    set of class ``id`` (a repeated document id brings other texts too)."""
     for batch in batches:
+        ids, to = _column(batch, "id"), _column(batch, "to")
         texts = text_bytes(_column(batch, "text"))
         for lo, hi in chunks(texts):
             h, own = shingle_sets(texts[lo:hi], WIDTH)
@@ -197,7 +203,8 @@ def _sets(batches):
             first = np.cumsum(n) - n
             cid = _sums(mix(h + U(11)), first, n)  # as in _prefixes
             elements = [h[a : a + k].tobytes() for a, k in zip(first.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(cid.view(np.int64)), pa.array(elements, pa.binary())], ["cid", "elements"])
+            mine = pa.array(cid.view(np.int64) == ids.slice(lo, hi - lo).to_numpy())
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), to.slice(lo, hi - lo), pa.array(elements, pa.binary())], ["id", "to", "elements"]).filter(mine)
 
 
 def _needed(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -230,22 +237,23 @@ def _linked(batches):
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of class ids that link. Only the classes of pairs
-    that the bitmaps allow get their sets, from their texts."""
+    that the bitmaps allow get their sets, from their texts: the set of
+    each a goes to where the set of its b is."""
     maps = classes.select("cid", "n", "bitmap")
     near = saved(
         pairs.join(maps.toDF("a", "n1", "m1"), "a").join(maps.toDF("b", "n2", "m2"), "b")
         .select("a", "b", "n1", "n2", "m1", "m2").mapInArrow(_maps_allow, "a long, b long")
     )
-    ends = near.select("a").union(near.select("b")).distinct()
-    wanted = saved(classes.join(ends.toDF("cid"), "cid", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    # A repeated id can bring more classes than were asked for.
-    sets = saved(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "cid long, elements binary").dropDuplicates(["cid"]))
-    return (
-        near.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b")
-        .select("a", "b", "s1", "s2").mapInArrow(_linked, "a long, b long")
-    )
+    first = classes.select("cid", F.col("first_id").alias("doc_id"))
+    send = saved(near.join(first.withColumnRenamed("cid", "a"), "a").select("doc_id", F.col("a").alias("id"), F.col("b").alias("to")))
+    hold = saved(near.select("b").distinct().join(first.withColumnRenamed("cid", "b"), "b").select("doc_id", F.col("b").alias("id"), F.col("b").alias("to")))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        small = wanted.count() <= BROADCAST_ROWS
+        return docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("id", "to", "text").mapInArrow(_sets, "id long, to long, elements binary")
+
+    one, two = sets(send).toDF("a", "b", "s1"), sets(hold).select(F.col("id").alias("b"), F.col("elements").alias("s2"))
+    return one.join(two, "b").select("a", "b", "s1", "s2").mapInArrow(_linked, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,8 +292,8 @@ def _best_partners(posted: DataFrame, label: DataFrame) -> DataFrame:
         rows.groupBy("token", "band").agg(F.min(F.struct("comp", "cid")).alias("p"), F.max("comp").alias("top"))
         .where("p.comp < top").select("token", "band", F.col("p.cid").alias("b"), F.col("p.comp").alias("comp_b"))
     )
-    shared = rows.join(first, ["token", "band"]).where("comp <> comp_b").groupBy("cid", "b").agg(F.count("*").alias("k"))
-    return shared.groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("k", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
+    shared = rows.join(first, ["token", "band"]).where("comp <> comp_b").groupBy("cid", "b").agg(F.sum("w").alias("k"), F.first("n").alias("n"))
+    return shared.where(f"k > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}").groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("k", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
 
 
 def _pairs_left(posted: DataFrame, label: DataFrame) -> DataFrame:
@@ -299,7 +307,8 @@ def _pairs_left(posted: DataFrame, label: DataFrame) -> DataFrame:
     return (
         rows.join(other, "token").where("comp < comp_b")
         .join(members, ["token", "comp_b"]).where(f"{NUMERATOR} * n_b <= {DENOMINATOR} * n and {NUMERATOR} * n <= {DENOMINATOR} * n_b")
-        .select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct()
+        .groupBy(F.col("cid").alias("a"), F.col("cid_b").alias("b"))
+        .agg(F.sum("w").alias("k"), F.first(F.least("n", "n_b")).alias("n")).where(f"k > n div {EXTRA}").select("a", "b")
     )
 
 
@@ -330,8 +339,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("bucket").applyInArrow(_shared_of_bucket, "token long, gid long")
     )
     shared = full.select("gid", "prefix").mapInArrow(_shared_rows(hot), "token long, gid long").distinct()
-    groups = classes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("token"), "gid")
-    posted = saved(rare.union(shared).union(groups).join(classes.select("gid", "cid", "n"), "gid").select("token", "cid", "n"))
+    groups = classes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("token"), "gid", F.lit(True).alias("whole"))
+    # A group can only link if enough of its elements are left; all its members have one size.
+    size = classes.groupBy("gid").agg(F.first("n").alias("n"))
+    left = F.count("*").over(Window.partitionBy("gid"))
+    enough = rare.union(shared).join(size, "gid").withColumn("left", left).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
+    members = classes.select("gid", "cid", "n")
+    weight = F.when(F.col("whole"), F.col("n")).otherwise(1).alias("w")  # classes of one group share the whole prefix
+    posted = saved(enough.select("token", "gid", F.lit(False).alias("whole")).union(groups).join(members, "gid").select("token", "cid", "n", weight))
     label = saved(posted.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
     known = saved(classes.join(label, "cid", "left_semi"))
     for make in [_best_partners] * ROUNDS + [_pairs_left]:

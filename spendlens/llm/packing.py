@@ -12,10 +12,12 @@ the pieces find their place by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import base64
 import functools
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,14 @@ END_ID = 0
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: No token crosses the borders of these parts, and none depends on its neighbours.
 PART = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+PLAIN = re.compile("[ -\u02ff]+")
+INNER = re.compile(r" ?\S+")
 
 
 class Tokens:
     """Ids of texts, little-endian unsigned 32-bit."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,12 +48,45 @@ class Tokens:
         self.tokenizer.encode_special_tokens = True
         self.memo = Memo(self._ids)
 
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.ranked = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+
     def _ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 4096):
-            some = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            out += [np.array(e.ids, np.uint32).tobytes() for e in some]
-        return out
+        """Parts of Latin letters and the like take the faster encoder of the
+        same vocabulary, if its ranks are given; both agree on the classes of
+        those characters."""
+        if not self.ranked:
+            return self._tokenized(texts)
+        encode = self.ranked.encode_ordinary
+        out = [array("I", encode(t)).tobytes() if PLAIN.fullmatch(t) else None for t in texts]
+        other = iter(self._tokenized([t for t, ids in zip(texts, out) if ids is None]))
+        return [next(other) if ids is None else ids for ids in out]
+
+    def _tokenized(self, texts: list[str]) -> list[bytes]:
+        """Parts without inner white space are encoded as lines of one text:
+        a line feed before a letter, mark or space is a token of its own."""
+        plain = [t for t in texts if self.line is not None and INNER.fullmatch(t)]
+        done = {}
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) == len(some) - 1:
+                data, to = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                done.update(zip(some, (data[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], to))))
+        rest = [t for t in texts if t not in done]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            done.update(zip(some, (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+        return [done[t] for t in texts]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [[t] if ODD_SPACE.search(t) else PART.findall(t) for t in texts]
@@ -57,13 +94,13 @@ class Tokens:
 
 
 @functools.lru_cache(maxsize=2)
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
+def tokens(path: str, ranks: str | None) -> Tokens:
+    return Tokens(path, ranks)
 
 
-def _cut(path: str, limit: int):
+def _cut(path: str, ranks: str | None, limit: int):
     def run(batches):
-        ids_of, end = tokens(path), np.array([END_ID], np.uint32).tobytes()
+        ids_of, end = tokens(path, ranks), np.array([END_ID], np.uint32).tobytes()
         part, seen = TaskContext.get().partitionId(), [0] * (limit + 1)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -148,16 +185,17 @@ def _place(at: dict[str, np.ndarray]):
     return run
 
 
-def packed(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, path: str, ranks: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset), one per piece. A sequence's pieces lie without gaps from offset 0.
 
-    A document's ids end with END_ID. Null and empty text: that id alone.
+    ``path``: the tokenizer's file; ``ranks``: its vocabulary as ranks, only
+    for speed. A document's ids end with END_ID. Null and empty text: that id alone.
     Null ids are kept, repeated rows are packed each, other columns are
     ignored, an empty table gives no rows. A document longer than ``limit``
     is cut every ``limit`` ids; only its last piece shares a sequence."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = saved(rows.mapInArrow(_cut(path, limit), ", ".join(f"{c} long" for c in PIECE)))
+    pieces = saved(rows.mapInArrow(_cut(path, ranks, limit), ", ".join(f"{c} long" for c in PIECE)))
     counts = saved(pieces.groupBy("part", "length").agg(F.count("*").alias("k")))
     histogram = {r.length: r.k for r in counts.groupBy("length").agg(F.sum("k").alias("k")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
