@@ -9,25 +9,73 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.llm.common import BROADCAST_ROWS, saved, table
+from spendlens.llm.langid import UNDETERMINED, with_language
 from spendlens.llm.ngram_join import ngram_jaccard_components
+from spendlens.llm.packing import packed
+from spendlens.llm.quality import judged
 from spendlens.llm.queries import workers_find_package
+from spendlens.llm.secret_scan import without_secrets
 from spendlens.session import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: A language is accepted if the second needs more phrases by this share at least.
+LEAST_SCORE = 0.01
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters, and those that no language explains
+    better than another."""
+    return with_language(docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts by the base limits and by the list learned from ``labels``."""
+    return judged(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked ones,
-    and every document without an id. Of repeated ids one row stays."""
-    found = ngram_jaccard_components(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    and every document without an id. Of rows that repeat an id one stays."""
+    found = ngram_jaccard_components(docs).where("doc_id is not null")
+    ids = saved(
+        found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("k"))
+        .where("first < doc_id or k > 1").select("doc_id", (F.col("first") < F.col("doc_id")).alias("linked"))
+    )
+    small = ids.count() <= BROADCAST_ROWS
+    some = lambda rows: F.broadcast(rows) if small else rows
+    kept = docs.join(some(ids.select("doc_id")), "doc_id", "left_anti")
+    again = ids.where("not linked").select("doc_id")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    one = docs.join(some(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts by their kind."""
+    clean = without_secrets(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    return packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("packing", packing),
+]
 
 #: SQL has no counterpart of these stages; tests hold them against brute force.
 ORACLE_SQL = None

@@ -19,7 +19,7 @@ from spendlens.llm.common import U, chunks, shingle_sets
 
 K, WIDTH, BITS = 128, 5, 48
 #: Ranges of ids that documents are dealt to: of so many characters each, from a histogram of so many bins.
-RANGE_CHARACTERS, BINS = 16_000_000, 1 << 16
+RANGE_CHARACTERS, BINS = 16_000_000, 1 << 14
 
 
 def sketches(texts: list[bytes]) -> list[np.ndarray]:
@@ -140,26 +140,25 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows are dealt out by ranges of ids of about equal size, with one row of
     the next range added to each; no task sorts the whole table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lo, hi, characters = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.length("text"))).first()
+    lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     lo, hi = lo or 0, hi or 0
     place = lambda c: F.floor((c.cast("double") - lo) / (float(hi) - lo + 1) * BINS)
     # At most BINS sums come to the driver. Bins to buckets of about equal size; null ids are in bucket 0.
-    sized = rows.groupBy(F.coalesce(place(F.col("doc_id")), F.lit(0)).cast("int").alias("bin")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16).alias("n")).collect()
-    weight = dict(map(tuple, sized))
-    bucket_of, filled, bucket = [], 0, 0
-    for b in range(BINS):
-        bucket_of.append(bucket)
-        filled += weight.get(b, 0)
+    bin_of = F.coalesce(place(F.col("doc_id")), F.lit(0)).cast("int")
+    sized = rows.groupBy(bin_of.alias("bin")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16).alias("n")).collect()
+    bins, bucket, filled = [], 0, 0
+    for b, n in sorted(map(tuple, sized)):
+        bins.append((b, bucket))
+        filled += n
         if filled >= RANGE_CHARACTERS:
             bucket, filled = bucket + 1, 0
-    buckets = bucket + 1
-    dealt = rows.withColumn("bucket", F.element_at(F.lit(bucket_of), F.coalesce(place(F.col("doc_id")), F.lit(0)).cast("int") + 1))
+    spark, buckets = docs.sparkSession, bucket + 1
+    dealt = rows.withColumn("bin", bin_of).join(F.broadcast(spark.createDataFrame(bins, "bin int, bucket int")), "bin").drop("bin")
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.col("doc_id").isNotNull().alias("has"), F.xxhash64("text").alias("h"))
     dealt = dealt.withColumn("o", order)
     firsts = sorted(dealt.groupBy("bucket").agg(F.min("o").alias("o")).collect(), key=lambda r: r.bucket)
     # The first row of each bucket also closes the bucket before it, the first of all the last.
     pairs = [(f.o.id, f.o.has, f.o.h, firsts[i - 1].bucket) for i, f in enumerate(firsts)]
-    spark = docs.sparkSession
     heads = spark.createDataFrame(pairs, "id long, has boolean, h long, bucket int")
     same = (F.col("o.id") == F.col("id")) & (F.col("o.has") == F.col("has")) & (F.col("o.h") == F.col("h"))
     halo = (

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens.llm.common import chunks
 
@@ -177,7 +178,7 @@ def languages(sampled: Sample) -> Languages:
     return Languages(sampled)
 
 
-def _run(sampled: Sample):
+def _run(sampled: Sample, keep_text: bool = False):
     def run(batches):
         model = languages(sampled)
         for batch in batches:
@@ -188,7 +189,7 @@ def _run(sampled: Sample):
                 a, b = model.predict(texts[lo:hi])
                 names += a
                 scores += b.tolist()
-            cols = [c for c in batch.schema.names if c != "text"]
+            cols = [c for c in batch.schema.names if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in cols] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*cols, "lang_pred", "score"])
 
     return run
@@ -207,9 +208,9 @@ def identified(docs: DataFrame, sampled: Sample | None = None, id_col: str = "do
     return rows.mapInArrow(_run(sampled), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame) -> DataFrame:
-    """``docs`` with lang_pred and score from their own sample."""
-    copy = docs.withColumn("text_", F.col("text"))
-    schema = ", ".join(f"`{n if n != 'text_' else 'text_'}` {t}" for n, t in copy.dtypes if n != "text")
-    out = copy.mapInArrow(_run(sample(docs)), f"{schema}, lang_pred string, score double")
-    return out.withColumnRenamed("text_", "text").select(*docs.columns, "lang_pred", "score")
+def with_language(docs: DataFrame, sampled: Sample | None = None) -> DataFrame:
+    """``docs`` with lang_pred and score; columns of these names are replaced."""
+    own = docs.drop("lang_pred", "score")
+    run = _run(sample(own) if sampled is None else sampled, keep_text=True)
+    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(run, schema)

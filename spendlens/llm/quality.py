@@ -73,14 +73,17 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     some = F.size(F.array_distinct("_windows")) < F.size("_windows")
     done = counted.withColumn("n_repeat_words", F.when(some, _repeated_words("_windows")).otherwise(F.lit(0).cast("long"))).drop("_windows")
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return done.withColumns({
+    shares = {
         "word_length": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / chars,
         "dup_line_share": F.col("n_dup_lines") / F.greatest("_n_lines", F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words,
         "distinct_share": F.col("_distinct") / words,
         "upper_share": F.col("_upper") / words,
-    }).drop("_n_lines", "_distinct", "_upper")
+    }
+    # One row each; a later filter on these columns isn't moved below it, where it would compute them again.
+    found = F.array(F.struct(*STATISTICS, *[c.alias(f) for f, c in shares.items()]))
+    return done.select(*[F.col(c) for c in docs.columns], F.inline(found))
 
 
 def base_failed() -> Column:

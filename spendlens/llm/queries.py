@@ -99,3 +99,33 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spendlens.llm.fingerprints import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from spendlens.llm import warc
+    from spendlens.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to string"
+    found = warc.read(spark, path, columns, verify=True)
+    return found.withColumn("refers_to", F.regexp_extract("refers_to", "-?[0-9]+", 0).try_cast("long"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spendlens.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spendlens.llm.sharding import sharded
+
+    return sharded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
