@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spendlens.session import ensure_checkpoint_dir
 
@@ -25,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def hash_sample(rows: DataFrame, group: str, key: str, wanted: int) -> DataFrame:
+    """Rows of each value of ``group`` with the smallest hashes of ``key``:
+    some more than ``wanted`` rows, or all that there are. Only counts are
+    shuffled, and the groups' values are few."""
+    n = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    share = F.lit(0.0)
+    for value, count in n.items():
+        share = F.when(F.col(group) == value, min(1.0, (2 * wanted + 100) / count)).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) <= share * (1 << 30))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

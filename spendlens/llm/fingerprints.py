@@ -19,7 +19,7 @@ from spendlens.llm.common import U, chunks, shingle_sets
 
 K, WIDTH, BITS = 128, 5, 48
 #: Ranges of ids that documents are dealt to: of so many characters each, from a histogram of so many bins.
-RANGE_CHARACTERS, BINS = 16_000_000, 1 << 14
+RANGE_CHARACTERS, BINS = 4_000_000, 1 << 16
 
 
 def sketches(texts: list[bytes]) -> list[np.ndarray]:

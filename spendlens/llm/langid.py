@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import chunks
+from spendlens.llm.common import chunks, hash_sample
 
 #: The sample to learn from: documents a language, characters of each, and in all.
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, SAMPLE_TOTAL = 48, 2_000, 40_000
@@ -43,7 +43,8 @@ def held_out(id_col: Column) -> Column:
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Sample:
     """(language, text) to learn from: of each language the documents with
     the smallest hash of their id, at most SAMPLE_TOTAL characters."""
-    own = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    own = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull())
+    own = hash_sample(own, lang_col, id_col, 4 * SAMPLE_DOCUMENTS).where(F.col(text_col).isNotNull())
     first = Window.partitionBy("lang").orderBy("h", "text")
     rows = (
         own.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARACTERS).alias("text"), F.xxhash64(id_col).alias("h"))

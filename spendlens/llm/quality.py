@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BROADCAST_ROWS
+from spendlens.llm.common import BROADCAST_ROWS, hash_sample
 
 WINDOW_WORDS = 8
 LEAST_WORDS, MOST_REPEATED = 20, (30, 100)
@@ -95,9 +95,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, dict[
     """(quality, features) of at most SAMPLE_DOCUMENTS labelled documents of
     each class that the base limits let through."""
     first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    each = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = (
-        labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_DOCUMENTS).select("doc_id", "quality")
+        hash_sample(each, "quality", "doc_id", SAMPLE_DOCUMENTS).withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_DOCUMENTS).select("doc_id", "quality")
     )
     assert 2 * SAMPLE_DOCUMENTS <= BROADCAST_ROWS
     wide = with_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).where(~base_failed())
