@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ ORDERED = 1 << 17
 WINDOW, LOSS = 1 << 21, 3
 BITMAP_BYTES = 256
 #: Linked sets of n elements or more share 1 + n / EXTRA elements of their prefixes.
-EXTRA = 16
+EXTRA = 8
 ROUNDS = 2
 
 
@@ -140,23 +141,16 @@ def _posted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(prefix), U), np.repeat(gid[one], count)
 
 
-def _shared_rows(hot: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            token, gid = _posted(batch)
-            same, _ = _found(hot, token)
-            yield pa.RecordBatch.from_arrays([pa.array(token[same].view(np.int64)), pa.array(gid[same])], ["token", "gid"])
-
-    return run
-
+def _blocks(hot: np.ndarray, level: np.ndarray, buckets: int):
+    """Prefix elements in blocks by bucket: rare ones by their hash, frequent
+    ones by their group (buckets below 0), so no bucket gets a hot element."""
+    prefixes = _prefixes(hot, level)
 
-def _rare_blocks(hot: np.ndarray, buckets: int):
     def run(batches):
-        for batch in batches:
-            token, gid = _posted(batch)
+        for batch in prefixes(batches):
+            token, gid = _posted(batch.filter(pc.is_valid(_column(batch, "doc_id"))))
             same, _ = _found(hot, token)
-            token, gid = token[~same], gid[~same]
-            bucket = ((token >> U(32)) % U(buckets)).astype(np.int64)
+            bucket = np.where(same, -1 - (gid.view(U) % U(buckets)).astype(np.int64), ((token >> U(32)) % U(buckets)).astype(np.int64))
             order = np.argsort(bucket, kind="stable")
             token, gid, bucket = token[order], gid[order], bucket[order]
             has, at = np.unique(bucket, return_index=True)
@@ -170,24 +164,35 @@ def _rare_blocks(hot: np.ndarray, buckets: int):
     return run
 
 
+def _meta(hot: np.ndarray, level: np.ndarray):
+    prefixes = _prefixes(hot, level)
+    return lambda batches: (b.select(["doc_id", "n", "gid", "c1", "c2", "bitmap"]) for b in prefixes(batches))
+
+
+def _again(sorted_values: np.ndarray) -> np.ndarray:
+    """Which values stand beside their like."""
+    same = np.zeros(len(sorted_values) + 1, bool)
+    same[1:-1] = sorted_values[1:] == sorted_values[:-1]
+    return same[1:] | same[:-1]
+
+
 def _shared_of_bucket(t: pa.Table) -> pa.Table:
-    """The elements of one bucket that two groups or more have."""
+    """(element, group) once each; of rare elements only those that two
+    groups or more have."""
     token = np.frombuffer(b"".join(t.column("tokens").to_pylist()), U)
     gid = np.frombuffer(b"".join(t.column("gids").to_pylist()), np.int64)
-    order = np.argsort(token, kind="stable")
-    token, gid = token[order], gid[order]
-    again = np.zeros(len(token) + 1, bool)
-    again[1:-1] = token[1:] == token[:-1]
-    keep = again[1:] | again[:-1]
-    token, gid = token[keep], gid[keep]
+    rare = not len(t) or t.column("bucket")[0].as_py() >= 0
+    if rare:  # most elements are in one group: a sort by them alone comes first
+        order = np.argsort(token)
+        token, gid = token[order], gid[order]
+        keep = _again(token)
+        token, gid = token[keep], gid[keep]
     order = np.lexsort((gid, token))
     token, gid = token[order], gid[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
     token, gid = token[new], gid[new]
-    again = np.zeros(len(token) + 1, bool)
-    again[1:-1] = token[1:] == token[:-1]
-    keep = again[1:] | again[:-1]
+    keep = _again(token) if rare else np.ones(len(token), bool)
     return pa.table({"token": token[keep].view(np.int64), "gid": gid[keep]})
 
 
@@ -326,24 +331,24 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hot, level = frequent_shingles(docs)
-    each = saved(docs.mapInArrow(_prefixes(hot, level), "doc_id long, n long, gid long, c1 long, c2 long, bitmap binary, prefix binary"))
+    each = saved(docs.mapInArrow(_meta(hot, level), "doc_id long, n long, gid long, c1 long, c2 long, bitmap binary"))
     full = each.where("n > 0 and doc_id is not null")
     classes = saved(
         full.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("first_id"), F.min("gid").alias("gid"), F.first("bitmap").alias("bitmap"))
         .withColumn("cid", F.col("c1"))
     )
-    postings = full.agg(F.sum(F.floor(F.length("prefix") / 8))).first()[0] or 0
+    postings = (full.agg(F.sum("n")).first()[0] or 0) * (1 - NUMERATOR / DENOMINATOR + 1 / EXTRA)
     buckets = int(postings // 2_000_000) + 12
-    rare = (
-        full.select("gid", "prefix").mapInArrow(_rare_blocks(hot, buckets), "bucket long, tokens binary, gids binary")
+    # The prefixes are made again from the texts: that costs less than to store them.
+    elements = (
+        docs.mapInArrow(_blocks(hot, level, buckets), "bucket long, tokens binary, gids binary")
         .groupBy("bucket").applyInArrow(_shared_of_bucket, "token long, gid long")
     )
-    shared = full.select("gid", "prefix").mapInArrow(_shared_rows(hot), "token long, gid long").distinct()
     groups = classes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("token"), "gid", F.lit(True).alias("whole"))
     # A group can only link if enough of its elements are left; all its members have one size.
     size = classes.groupBy("gid").agg(F.first("n").alias("n"))
     left = F.count("*").over(Window.partitionBy("gid"))
-    enough = rare.union(shared).join(size, "gid").withColumn("left", left).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
+    enough = elements.join(size, "gid").withColumn("left", left).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
     members = classes.select("gid", "cid", "n")
     weight = F.when(F.col("whole"), F.col("n")).otherwise(1).alias("w")  # classes of one group share the whole prefix
     posted = saved(enough.select("token", "gid", F.lit(False).alias("whole")).union(groups).join(members, "gid").select("token", "cid", "n", weight))
