@@ -121,7 +121,7 @@ def _prefixes(hot: np.ndarray, level: np.ndarray):
                 class_1, class_2 = _sums(mix(h + U(11)), first, n), _sums(mix(h ^ U(0x5DEECE66D)), first, n)
                 h = h[np.argsort(own * 128 + rank, kind="stable")]
                 need = np.where(n > 0, np.minimum(n, n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1 + n // EXTRA), 0)
-                group = mix(_sums(mix(h + U(7)), first, need) + n.astype(U) * U(0x9E3779B97F4A7C15))
+                group = mix(_sums(mix(h + U(7)), first, need) + n.astype(U) * U(0x9E3779B97F4A7C15)) & ~U(1)
                 prefix = [h[a : a + k].tobytes() for a, k in zip(first.tolist(), need.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(n), pa.array(group.view(np.int64)),
@@ -133,12 +133,16 @@ def _prefixes(hot: np.ndarray, level: np.ndarray):
 
 
 def _posted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(element, group) of a batch, each group once."""
+    """(element, group) of a batch, each group once. The group's lowest bit,
+    0 by itself, is 1 for elements past the first floor(n / 4) + 1."""
     gid = _column(batch, "gid").to_numpy()
     _, one = np.unique(gid, return_index=True)
     prefix = _column(batch, "prefix").take(pa.array(one)).to_pylist()
     count = np.array([len(p) // 8 for p in prefix], np.int64)
-    return np.frombuffer(b"".join(prefix), U), np.repeat(gid[one], count)
+    n = _column(batch, "n").to_numpy()[one]
+    plain = n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.frombuffer(b"".join(prefix), U), np.repeat(gid[one], count) | (place >= np.repeat(plain, count))
 
 
 def _blocks(hot: np.ndarray, level: np.ndarray, buckets: int):
@@ -150,7 +154,7 @@ def _blocks(hot: np.ndarray, level: np.ndarray, buckets: int):
         for batch in prefixes(batches):
             token, gid = _posted(batch.filter(pc.is_valid(_column(batch, "doc_id"))))
             same, _ = _found(hot, token)
-            bucket = np.where(same, -1 - (gid.view(U) % U(buckets)).astype(np.int64), ((token >> U(32)) % U(buckets)).astype(np.int64))
+            bucket = np.where(same, -1 - ((gid.view(U) >> U(1)) % U(buckets)).astype(np.int64), ((token >> U(32)) % U(buckets)).astype(np.int64))
             order = np.argsort(bucket, kind="stable")
             token, gid, bucket = token[order], gid[order], bucket[order]
             has, at = np.unique(bucket, return_index=True)
@@ -193,7 +197,8 @@ def _shared_of_bucket(t: pa.Table) -> pa.Table:
     new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
     token, gid = token[new], gid[new]
     keep = _again(token) if rare else np.ones(len(token), bool)
-    return pa.table({"token": token[keep].view(np.int64), "gid": gid[keep]})
+    token, gid = token[keep], gid[keep]
+    return pa.table({"token": token.view(np.int64), "gid": gid & ~1, "early": pa.array((gid & 1) == 0)})
 
 
 def _sets(batches):
@@ -302,9 +307,11 @@ def _best_partners(posted: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _pairs_left(posted: DataFrame, label: DataFrame) -> DataFrame:
-    """All pairs across components that share a prefix element and whose
-    sizes allow a link, once each."""
-    rows = posted.join(label, "cid")
+    """All pairs across components that share one of their first
+    floor(n / 4) + 1 elements and whose sizes allow a link, once each. Those
+    are the rarest elements, so pairs that only share a common passage don't
+    meet; an element whose classes are all connected makes no pair."""
+    rows = posted.where("early").select("token", "cid", "n").join(label, "cid")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     rows = saved(rows.join(mixed, "token", "left_semi"))
     other = rows.select("token", F.col("comp").alias("comp_b")).distinct()
@@ -312,8 +319,7 @@ def _pairs_left(posted: DataFrame, label: DataFrame) -> DataFrame:
     return (
         rows.join(other, "token").where("comp < comp_b")
         .join(members, ["token", "comp_b"]).where(f"{NUMERATOR} * n_b <= {DENOMINATOR} * n and {NUMERATOR} * n <= {DENOMINATOR} * n_b")
-        .groupBy(F.col("cid").alias("a"), F.col("cid_b").alias("b"))
-        .agg(F.sum("w").alias("k"), F.first(F.least("n", "n_b")).alias("n")).where(f"k > n div {EXTRA}").select("a", "b")
+        .select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct()
     )
 
 
@@ -342,16 +348,16 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # The prefixes are made again from the texts: that costs less than to store them.
     elements = (
         docs.mapInArrow(_blocks(hot, level, buckets), "bucket long, tokens binary, gids binary")
-        .groupBy("bucket").applyInArrow(_shared_of_bucket, "token long, gid long")
+        .groupBy("bucket").applyInArrow(_shared_of_bucket, "token long, gid long, early boolean")
     )
-    groups = classes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("token"), "gid", F.lit(True).alias("whole"))
+    groups = classes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("token"), "gid", F.lit(True).alias("early"), F.lit(True).alias("whole"))
     # A group can only link if enough of its elements are left; all its members have one size.
     size = classes.groupBy("gid").agg(F.first("n").alias("n"))
     left = F.count("*").over(Window.partitionBy("gid"))
     enough = elements.join(size, "gid").withColumn("left", left).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
     members = classes.select("gid", "cid", "n")
     weight = F.when(F.col("whole"), F.col("n")).otherwise(1).alias("w")  # classes of one group share the whole prefix
-    posted = saved(enough.select("token", "gid", F.lit(False).alias("whole")).union(groups).join(members, "gid").select("token", "cid", "n", weight))
+    posted = saved(enough.select("token", "gid", "early", F.lit(False).alias("whole")).unionByName(groups).join(members, "gid").select("token", "cid", "n", "early", weight))
     label = saved(posted.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
     known = saved(classes.join(label, "cid", "left_semi"))
     for make in [_best_partners] * ROUNDS + [_pairs_left]:
