@@ -65,8 +65,13 @@ def distinct(a: np.ndarray) -> float:
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the shingles of ``a`` that ``b`` has."""
-    return min(1.0, resemblance(a, b) * distinct(merged(a, b)) / distinct(a)) if len(a) else 1.0
+    """Estimated share of the shingles of ``a`` that ``b`` has: among the
+    hashes up to which both sketches are whole. 1 for an empty ``a``."""
+    if not len(a) or not len(b):
+        return float(not len(a))
+    whole = min([int(x[-1]) for x in (a, b) if len(x) == K], default=1 << BITS)
+    some = a[a <= whole]
+    return float(np.isin(some, b).mean()) if len(some) else 0.0
 
 
 def _sketched(batches):

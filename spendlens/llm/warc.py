@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 import zlib
@@ -222,7 +223,7 @@ class _Reader(DataSourceReader):
         size = 0
         for name in partition.names:
             with where.open_input_file(name) as raw:
-                for headers, block in records(raw, name.endswith(".gz"), wanted):
+                for headers, block in records(io.BufferedReader(raw, 1 << 20), name.endswith(".gz"), wanted):
                     rows.append(self._row(headers, block))
                     size += len(block or b"") + 256
                     if size >= 8 << 20:
