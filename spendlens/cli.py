@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import argparse
 
-from spendlens.params import DEFAULT_PARAMS
+from spendlens.params import DEFAULT_PARAMS, params_from_json
+from spendlens.schema import BID_SCHEMA
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -29,6 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     exp = sub.add_parser("export", help="write the report set as CSV")
     exp.add_argument("--lines", required=True, help="landed PO-line Parquet folder")
     exp.add_argument("--bids", action="append", default=[], help="bid-log CSV (repeatable)")
+    exp.add_argument("--params", help="JSON file of report parameters; without it, those of the test tables")
     exp.add_argument("--out", required=True)
     args = ap.parse_args(argv)
 
@@ -50,8 +52,10 @@ def main(argv: list[str] | None = None) -> None:
             from spendlens.sources.files import read_bid_log
 
             lines = spark.read.parquet(args.lines).drop("fiscal_year")
-            bids = plat.all_bids(*[read_bid_log(spark, b) for b in args.bids])
-            export_reports(lines, bids, args.out)
+            logs = [read_bid_log(spark, b) for b in args.bids]
+            bids = plat.all_bids(*logs) if logs else spark.createDataFrame([], BID_SCHEMA)
+            params = params_from_json(args.params) if args.params else DEFAULT_PARAMS
+            export_reports(lines, bids, args.out, params)
     finally:
         spark.stop()
 

@@ -115,8 +115,12 @@ def positions_from_groups(df: DataFrame, id_col: str, group_bits: int, name: str
     grp = F.shiftright(F.col(id_col), group_bits)
     idx = F.col(id_col).bitwiseAND(F.lit((1 << group_bits) - 1))
     keyed = df.withColumn("_pg_g", grp).withColumn("_pg_i", idx)
-    groups = keyed.groupBy("_pg_g").agg(F.count(F.lit(1)).alias("_pg_n"), F.min("_pg_i").alias("_pg_first"))
+    groups = keyed.groupBy("_pg_g").agg(F.count(F.lit(1)).alias("_pg_n"), F.min("_pg_i").alias("_pg_first"), F.max("_pg_i").alias("_pg_last"))
+    # a gap (rows filtered out before) would give wrong positions
+    dense = F.col("_pg_last") - F.col("_pg_first") + 1 == F.col("_pg_n")
+    first = F.when(dense, F.col("_pg_first")).otherwise(F.raise_error(F.lit("ids are not dense within a group: number the rows instead")).cast("long"))
     # (one row per group; combined map-side)
+    groups = groups.withColumn("_pg_first", first)
     offsets = global_cumsum(groups, ["_pg_g"], "_pg_n", "_pg_off").select("_pg_g", "_pg_off", "_pg_first")
     # few groups (files): broadcast after an exact size check; many groups
     # (orders): a join on the group key

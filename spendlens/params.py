@@ -10,7 +10,8 @@ defaults are the values that go with the test-table binding
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields, replace
 
 
 @dataclass(frozen=True)
@@ -89,3 +90,23 @@ class SpendParams:
 
 
 DEFAULT_PARAMS = SpendParams()
+
+
+def params_from_json(path: str) -> SpendParams:
+    """Parameters from a JSON file: an object with any of the fields above.
+    Lists become tuples; a period is {"label", "start", "end"} with ISO
+    dates. Unknown names are an error; those left out keep their default."""
+    with open(path) as f:
+        given = json.load(f)
+    known = {f.name for f in fields(SpendParams)}
+    if given.keys() - known:
+        raise ValueError(f"unknown parameters: {sorted(given.keys() - known)}")
+
+    def value(name, v):
+        if name in ("period_a", "period_b"):
+            return Period(v["label"], dt.date.fromisoformat(v["start"]), dt.date.fromisoformat(v["end"]))
+        if name == "as_of_date" and v is not None:
+            return dt.date.fromisoformat(v)
+        return tuple(v) if isinstance(v, list) else v
+
+    return replace(DEFAULT_PARAMS, **{k: value(k, v) for k, v in given.items()})

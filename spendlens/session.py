@@ -25,6 +25,8 @@ RECOMMENDED_CONF: dict[str, str] = {
     # Static broadcast limit used by the planner's size estimate.
     "spark.sql.autoBroadcastJoinThreshold": "10m",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoint files go once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -76,8 +78,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (DFS) folder and is
-    used as is. Only when nothing is configured (local runs, tests) a fresh
-    scratch folder is created.
+    used as is. Only in local mode, with nothing configured, a fresh scratch
+    folder is created; elsewhere that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -86,6 +88,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
+    elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         base = os.environ.get("TMPDIR", "/tmp")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-ckpt-", dir=base))

@@ -22,9 +22,20 @@ from spendlens.operators.ordering import global_row_number, sort_report
 ROW_NAME_COL = "row_name"
 
 
+def plain_number(c: Column) -> Column:
+    """A double as a plain decimal number, never in scientific notation, with
+    at most ten decimals; others as they are (NaN and infinities as text)."""
+    text = F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    return F.coalesce(F.when(text == "-0", "0").otherwise(text), c.cast("string"))
+
+
+def _plain_numbers(df: DataFrame) -> DataFrame:
+    return df.select(*[plain_number(F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
 def as_csv_text(df: DataFrame) -> DataFrame:
     """Every column as text, NULL as ``NA`` (what the CSV file holds)."""
-    return df.select(
+    return _plain_numbers(df).select(
         *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NA_TEXT)).alias(c) for c in df.columns]
     )
 
@@ -54,7 +65,7 @@ def write_csv(
         # line-level extract: distributed sort, one file per task
         out = df.orderBy(*order_by) if order_by else df
     (
-        out.write.mode(mode)
+        _plain_numbers(out).write.mode(mode)
         .option("header", True)
         .option("nullValue", NA_TEXT)
         .option("emptyValue", "")

