@@ -16,9 +16,8 @@ their sets' Jaccard similarity reaches 0.75 (exactly, in integers).
    (documents with equal sets) and verified.
 
 Only components are asked for, so a pair whose ends are already connected is
-not made. Two rounds verify at most one partner a class (the smallest
-component among those that share an element, so a group of thousands of near
-copies needs as many pairs as it has members). The last step makes every
+not made. Each of a few rounds verifies at most one partner a class, so a group
+of thousands of near copies needs as many pairs as it has members. The last step makes every
 remaining pair across components that shares a prefix element; bitmaps of
 the sets (a lower bound of the symmetric difference) come before the sets.
 """
@@ -43,7 +42,7 @@ WINDOW, LOSS = 1 << 21, 3
 BITMAP_BYTES = 256
 #: Linked sets of n elements or more share 1 + n / EXTRA elements of their prefixes.
 EXTRA = 8
-ROUNDS = 2
+ROUNDS = 4
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -293,14 +292,16 @@ def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     return saved(label.join(merged, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")))
 
 
-def _best_partners(posted: DataFrame, label: DataFrame) -> DataFrame:
-    """For each class the class with which it shares the most prefix
-    elements, among the first classes of the smallest component of each
-    element and size band (sizes in a band are within a factor of 4/3)."""
+def _best_partners(posted: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """For each class the class of another component with which it shares
+    the most prefix elements, among one class of each element and size band
+    (sizes in a band are within a factor of 4/3). Which one that is goes by
+    a hash that differs from turn to turn, so a class that doesn't link to
+    one member of a large group meets another next time."""
     rows = posted.join(label, "cid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(DENOMINATOR / NUMERATOR))))
     first = (
-        rows.groupBy("token", "band").agg(F.min(F.struct("comp", "cid")).alias("p"), F.max("comp").alias("top"))
-        .where("p.comp < top").select("token", "band", F.col("p.cid").alias("b"), F.col("p.comp").alias("comp_b"))
+        rows.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top"))
+        .where("low < top").select("token", "band", F.col("p.cid").alias("b"), F.col("p.comp").alias("comp_b"))
     )
     shared = rows.join(first, ["token", "band"]).where("comp <> comp_b").groupBy("cid", "b").agg(F.sum("w").alias("k"), F.first("n").alias("n"))
     return shared.where(f"k > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}").groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("k", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
@@ -360,8 +361,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     posted = saved(enough.select("token", "gid", "early", F.lit(False).alias("whole")).unionByName(groups).join(members, "gid").select("token", "cid", "n", "early", weight))
     label = saved(posted.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
     known = saved(classes.join(label, "cid", "left_semi"))
-    for make in [_best_partners] * ROUNDS + [_pairs_left]:
-        links = saved(verified(make(posted, label), known, docs))
+    for turn in range(ROUNDS + 1):
+        pairs = _best_partners(posted, label, turn) if turn < ROUNDS else _pairs_left(posted, label)
+        links = saved(verified(pairs, known, docs))
         if not links.isEmpty():
             label = _relabelled(label, links)
     comps = label.join(classes, "cid").groupBy("comp").agg(F.min("first_id").alias("component_id"))
