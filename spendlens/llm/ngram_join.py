@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BROADCAST_ROWS, U, chunks, mix, saved, shingle_sets, shingles, text_bytes
+from spendlens.llm.common import BROADCAST_ROWS, U, chunks, mix, shingle_sets, shingles, stored, text_bytes
 
 WIDTH = 5
 #: Similarity as a fraction.
@@ -249,13 +249,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     that the bitmaps allow get their sets, from their texts: the set of
     each a goes to where the set of its b is."""
     maps = classes.select("cid", "n", "bitmap")
-    near = saved(
+    near = stored(
         pairs.join(maps.toDF("a", "n1", "m1"), "a").join(maps.toDF("b", "n2", "m2"), "b")
         .select("a", "b", "n1", "n2", "m1", "m2").mapInArrow(_maps_allow, "a long, b long")
     )
     first = classes.select("cid", F.col("first_id").alias("doc_id"))
-    send = saved(near.join(first.withColumnRenamed("cid", "a"), "a").select("doc_id", F.col("a").alias("id"), F.col("b").alias("to")))
-    hold = saved(near.select("b").distinct().join(first.withColumnRenamed("cid", "b"), "b").select("doc_id", F.col("b").alias("id"), F.col("b").alias("to")))
+    send = stored(near.join(first.withColumnRenamed("cid", "a"), "a").select("doc_id", F.col("a").alias("id"), F.col("b").alias("to")))
+    hold = stored(near.select("b").distinct().join(first.withColumnRenamed("cid", "b"), "b").select("doc_id", F.col("b").alias("id"), F.col("b").alias("to")))
 
     def sets(wanted: DataFrame) -> DataFrame:
         small = wanted.count() <= BROADCAST_ROWS
@@ -269,8 +269,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable over ``edges`` (a, b), for each
     id that has an edge. Every step takes the smallest label among the
     neighbours, then that label's own label, until nothing changes."""
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "id"))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    label = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "id"))
     while True:
         near = (
             both.join(label.toDF("b", "theirs"), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
@@ -278,7 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.col("a").alias("id"), F.least("theirs", "comp").alias("near"), F.col("comp").alias("was"))
         )
         far = label.toDF("near", "far")
-        new = saved(near.join(far, "near", "left").select("id", F.least("near", "far").alias("comp"), "was"))
+        new = stored(near.join(far, "near", "left").select("id", F.least("near", "far").alias("comp"), "was"))
         label = new.select("id", "comp")
         if new.where("comp <> was").isEmpty():
             return label
@@ -289,7 +289,7 @@ def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     comp = lambda c: label.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"))
     edges = links.join(comp("a"), "a").join(comp("b"), "b").where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
     merged = components(edges).toDF("comp", "to")
-    return saved(label.join(merged, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")))
+    return stored(label.join(merged, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")))
 
 
 def _best_partners(posted: DataFrame, label: DataFrame, turn: int) -> DataFrame:
@@ -314,7 +314,7 @@ def _pairs_left(posted: DataFrame, label: DataFrame) -> DataFrame:
     meet; an element whose classes are all connected makes no pair."""
     rows = posted.where("early").select("token", "cid", "n").join(label, "cid")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rows = saved(rows.join(mixed, "token", "left_semi"))
+    rows = stored(rows.join(mixed, "token", "left_semi"))
     other = rows.select("token", F.col("comp").alias("comp_b")).distinct()
     members = rows.toDF(*[f"{c}_b" if c != "token" else c for c in rows.columns])
     return (
@@ -338,9 +338,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hot, level = frequent_shingles(docs)
-    each = saved(docs.mapInArrow(_meta(hot, level), "doc_id long, n long, gid long, c1 long, c2 long, bitmap binary"))
+    each = stored(docs.mapInArrow(_meta(hot, level), "doc_id long, n long, gid long, c1 long, c2 long, bitmap binary"))
     full = each.where("n > 0 and doc_id is not null")
-    classes = saved(
+    classes = stored(
         full.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("first_id"), F.min("gid").alias("gid"), F.first("bitmap").alias("bitmap"))
         .withColumn("cid", F.col("c1"))
     )
@@ -358,12 +358,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     enough = elements.join(size, "gid").withColumn("left", left).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
     members = classes.select("gid", "cid", "n")
     weight = F.when(F.col("whole"), F.col("n")).otherwise(1).alias("w")  # classes of one group share the whole prefix
-    posted = saved(enough.select("token", "gid", "early", F.lit(False).alias("whole")).unionByName(groups).join(members, "gid").select("token", "cid", "n", "early", weight))
-    label = saved(posted.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
-    known = saved(classes.join(label, "cid", "left_semi"))
+    posted = stored(enough.select("token", "gid", "early", F.lit(False).alias("whole")).unionByName(groups).join(members, "gid").select("token", "cid", "n", "early", weight))
+    label = stored(posted.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
+    known = stored(classes.join(label, "cid", "left_semi"))
     for turn in range(ROUNDS + 1):
         pairs = _best_partners(posted, label, turn) if turn < ROUNDS else _pairs_left(posted, label)
-        links = saved(verified(pairs, known, docs))
+        links = stored(verified(pairs, known, docs))
         if not links.isEmpty():
             label = _relabelled(label, links)
     comps = label.join(classes, "cid").groupBy("comp").agg(F.min("first_id").alias("component_id"))
