@@ -51,8 +51,14 @@ def sharded(rows: DataFrame, key: str = "doc_id", text_col: str = "text", limit:
     larger: that one has a part of its own. Null keys hash as the empty text.
     Columns of ``rows`` with the names of the results are replaced. An empty
     table gives no rows."""
-    own = rows.drop("shard", "shard_depth", "row_bytes")
-    own = own.withColumn("row_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).withColumn("_h", key_hash(F.col(key)))
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "shard_depth", "row_bytes")]
+    # Packed in a struct, the rows' own columns can't clash with those of the work.
+    own = rows.select(
+        F.struct(*kept).alias("row"),
+        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("row_bytes"),
+        key_hash(F.col(key)).alias("_h"),
+        F.spark_partition_id().alias("_p"),
+    )
     total = own.agg(F.sum("row_bytes")).first()[0] or 0
     depth = min(BITS, max(1, math.ceil(math.log2(FINER * total / limit + 2))))
     cell = F.shiftright("_h", BITS - depth)
@@ -71,15 +77,14 @@ def sharded(rows: DataFrame, key: str = "doc_id", text_col: str = "text", limit:
         parts = _parted(placed, over, depth, limit)
     prefix = F.when(F.col("depth") > 0, F.substring(F.lpad(F.conv(F.col("cell").cast("string"), 10, 2), depth, "0"), F.lit(1), F.col("depth"))).otherwise("")
     shard = F.concat(prefix, F.coalesce(F.concat(F.lit("."), F.col("part").cast("string")), F.lit("")))
-    return parts.select(*own.drop("_h", "row_bytes").columns, shard.alias("shard"), F.col("depth").cast("int").alias("shard_depth"), "row_bytes")
+    return parts.select("row.*", shard.alias("shard"), F.col("depth").cast("int").alias("shard_depth"), "row_bytes")
 
 
 def _parted(placed: DataFrame, over: Column, depth: int, limit: int) -> DataFrame:
     """Numbers the parts of cells over the limit. Rows are first summed by
     (cell, size), a few values; equal sizes are then numbered within each
-    source partition, so no task gets a whole hot key."""
-    tagged = placed.withColumn("_p", F.spark_partition_id())
-    big = tagged.where(over)
+    partition of the source, so no task gets a whole hot key."""
+    big = placed.where(over)
     each = Window.partitionBy("cell", "row_bytes", "_p").orderBy("_h")
     ranked = big.withColumn("_k", F.row_number().over(each))
     counts = saved(big.groupBy("cell", "row_bytes", "_p").agg(F.count("*").alias("k")))
@@ -93,4 +98,4 @@ def _parted(placed: DataFrame, over: Column, depth: int, limit: int) -> DataFram
     numbered = ranked.join(offset, ["cell", "row_bytes", "_p"]).join(sizes, ["cell", "row_bytes"])
     part = (F.col("_f") + F.floor((F.col("_o") + F.col("_k") - 1) / room)).cast("long")
     done = numbered.withColumn("part", part).drop("_k", "_o", "_f", "_p")
-    return done.unionByName(tagged.where(~over).drop("_p").withColumn("part", F.lit(None).cast("long")))
+    return done.unionByName(placed.where(~over).drop("_p").withColumn("part", F.lit(None).cast("long")))

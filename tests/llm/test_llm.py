@@ -204,7 +204,8 @@ def test_sharding(spark, docs, empty, texts):
 
     same = spark.range(400).selectExpr("7L as doc_id", "repeat('x', 999) as text")
     rows = docs.select("doc_id", "text").union(same)
-    out = sharded(rows, limit=6_000).collect()
+    out = sharded(rows.selectExpr("*", "1 as cell", "2 as depth", "3 as row", "4 as shard", "5 as _p"), limit=6_000).collect()
+    assert {(r.cell, r.depth, r.row, r._p) for r in out} == {(1, 2, 3, 5)} and "shard" in out[0]
     sizes, alone = {}, {}
     for r in out:
         sizes[r.shard] = sizes.get(r.shard, 0) + r.row_bytes
