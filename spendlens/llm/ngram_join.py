@@ -17,9 +17,13 @@ their sets' Jaccard similarity reaches 0.75 (exactly, in integers).
 
 Only components are asked for, so a pair whose ends are already connected is
 not made. Each of a few rounds verifies at most one partner a class, so a group
-of thousands of near copies needs as many pairs as it has members. The last step makes every
-remaining pair across components that shares a prefix element; bitmaps of
-the sets (a lower bound of the symmetric difference) come before the sets.
+of thousands of near copies needs as many pairs as it has members. The partner
+is first the member with the fewest elements of its own, which is nearest to
+all others. The last step makes every remaining pair across components that
+shares a prefix element at places that allow a link: all elements before a
+pair's first shared one are unshared, so that place bounds the partner's size.
+Bitmaps of the sets (a lower bound of the symmetric difference) come before
+the sets.
 """
 
 from __future__ import annotations
@@ -42,7 +46,9 @@ WINDOW, LOSS = 1 << 21, 3
 BITMAP_BYTES = 256
 #: Linked sets of n elements or more share 1 + n / EXTRA elements of their prefixes.
 EXTRA = 8
-ROUNDS = 4
+#: A round's partners are chosen by the place of their first shared element in
+#: steps of this many 256ths of their size, then by hash.
+STEPS = (1, 8, 24, 256)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -131,9 +137,10 @@ def _prefixes(hot: np.ndarray, level: np.ndarray):
     return run
 
 
-def _posted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(element, group) of a batch, each group once. The group's lowest bit,
-    0 by itself, is 1 for elements past the first floor(n / 4) + 1."""
+def _posted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, group, place) of a batch, each group once. The group's lowest
+    bit, 0 by itself, is 1 for elements past the first floor(n / 4) + 1. The
+    place in the set is in 256ths of n, rounded down (below 96)."""
     gid = _column(batch, "gid").to_numpy()
     _, one = np.unique(gid, return_index=True)
     prefix = _column(batch, "prefix").take(pa.array(one)).to_pylist()
@@ -141,7 +148,8 @@ def _posted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     n = _column(batch, "n").to_numpy()[one]
     plain = n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.frombuffer(b"".join(prefix), U), np.repeat(gid[one], count) | (place >= np.repeat(plain, count))
+    part = (place * 256 // np.repeat(np.maximum(n, 1), count)).astype(np.uint8)
+    return np.frombuffer(b"".join(prefix), U), np.repeat(gid[one], count) | (place >= np.repeat(plain, count)), part
 
 
 def _blocks(hot: np.ndarray, level: np.ndarray, buckets: int):
@@ -151,17 +159,18 @@ def _blocks(hot: np.ndarray, level: np.ndarray, buckets: int):
 
     def run(batches):
         for batch in prefixes(batches):
-            token, gid = _posted(batch.filter(pc.is_valid(_column(batch, "doc_id"))))
+            token, gid, place = _posted(batch.filter(pc.is_valid(_column(batch, "doc_id"))))
             same, _ = _found(hot, token)
             bucket = np.where(same, -1 - ((gid.view(U) >> U(1)) % U(buckets)).astype(np.int64), ((token >> U(32)) % U(buckets)).astype(np.int64))
             order = np.argsort(bucket, kind="stable")
-            token, gid, bucket = token[order], gid[order], bucket[order]
+            token, gid, place, bucket = token[order], gid[order], place[order], bucket[order]
             has, at = np.unique(bucket, return_index=True)
             to = np.append(at[1:], len(bucket))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(has), pa.array([token[a:b].tobytes() for a, b in zip(at, to)], pa.binary()),
-                 pa.array([gid[a:b].tobytes() for a, b in zip(at, to)], pa.binary())],
-                ["bucket", "tokens", "gids"],
+                 pa.array([gid[a:b].tobytes() for a, b in zip(at, to)], pa.binary()),
+                 pa.array([place[a:b].tobytes() for a, b in zip(at, to)], pa.binary())],
+                ["bucket", "tokens", "gids", "places"],
             )
 
     return run
@@ -180,24 +189,25 @@ def _again(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _shared_of_bucket(t: pa.Table) -> pa.Table:
-    """(element, group) once each; of rare elements only those that two
-    groups or more have."""
+    """(element, group, place) once each; of rare elements only those that
+    two groups or more have."""
     token = np.frombuffer(b"".join(t.column("tokens").to_pylist()), U)
     gid = np.frombuffer(b"".join(t.column("gids").to_pylist()), np.int64)
+    place = np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint8)
     rare = not len(t) or t.column("bucket")[0].as_py() >= 0
     if rare:  # most elements are in one group: a sort by them alone comes first
         order = np.argsort(token)
-        token, gid = token[order], gid[order]
+        token, gid, place = token[order], gid[order], place[order]
         keep = _again(token)
-        token, gid = token[keep], gid[keep]
+        token, gid, place = token[keep], gid[keep], place[keep]
     order = np.lexsort((gid, token))
-    token, gid = token[order], gid[order]
+    token, gid, place = token[order], gid[order], place[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-    token, gid = token[new], gid[new]
+    token, gid, place = token[new], gid[new], place[new]
     keep = _again(token) if rare else np.ones(len(token), bool)
-    token, gid = token[keep], gid[keep]
-    return pa.table({"token": token.view(np.int64), "gid": gid & ~1, "early": pa.array((gid & 1) == 0)})
+    token, gid, place = token[keep], gid[keep], place[keep]
+    return pa.table({"token": token.view(np.int64), "gid": gid & ~1, "early": pa.array((gid & 1) == 0), "place": place.astype(np.int64)})
 
 
 def _sets(batches):
@@ -295,12 +305,15 @@ def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
 def _best_partners(posted: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     """For each class the class of another component with which it shares
     the most prefix elements, among one class of each element and size band
-    (sizes in a band are within a factor of 4/3). Which one that is goes by
-    a hash that differs from turn to turn, so a class that doesn't link to
-    one member of a large group meets another next time."""
+    (sizes in a band are within a factor of 4/3). That one has the least
+    ``lead`` (place of its first shared element) in the turn's steps, then
+    the least hash. The steps widen and the hash differs from turn to turn,
+    so a class that doesn't link to one member of a large group meets
+    another next time."""
     rows = posted.join(label, "cid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(DENOMINATOR / NUMERATOR))))
+    rank = F.struct(F.floor(F.col("lead") / STEPS[turn]).alias("lead"), F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "comp")
     first = (
-        rows.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top"))
+        rows.groupBy("token", "band").agg(F.min(rank).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top"))
         .where("low < top").select("token", "band", F.col("p.cid").alias("b"), F.col("p.comp").alias("comp_b"))
     )
     shared = rows.join(first, ["token", "band"]).where("comp <> comp_b").groupBy("cid", "b").agg(F.sum("w").alias("k"), F.first("n").alias("n"))
@@ -309,17 +322,20 @@ def _best_partners(posted: DataFrame, label: DataFrame, turn: int) -> DataFrame:
 
 def _pairs_left(posted: DataFrame, label: DataFrame) -> DataFrame:
     """All pairs across components that share one of their first
-    floor(n / 4) + 1 elements and whose sizes allow a link, once each. Those
-    are the rarest elements, so pairs that only share a common passage don't
-    meet; an element whose classes are all connected makes no pair."""
-    rows = posted.where("early").select("token", "cid", "n").join(label, "cid")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rows = stored(rows.join(mixed, "token", "left_semi"))
-    other = rows.select("token", F.col("comp").alias("comp_b")).distinct()
+    floor(n / 4) + 1 elements and can link by sizes and places, once each.
+    If the first element that two sets share is at place i of n, they share
+    at most n - i, so the partner has at most (4 n - 7 i) / 3 elements (its
+    ``reach``). An element whose classes are all connected makes no pair."""
+    reach = F.floor(((NUMERATOR + DENOMINATOR) * (256 - F.col("place")) - 256 * NUMERATOR) * F.col("n") / (256 * NUMERATOR)).alias("reach")
+    rows = posted.where("early").select("token", "cid", "n", reach).join(label, "cid")
+    for _ in range(2):  # rows that go may leave an element with one component
+        span = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far")).where("lo < hi")
+        rows = stored(rows.join(span.select("token", "least", "far"), "token").where("reach >= least and n <= far").drop("least", "far"))
+    other = rows.groupBy("token", F.col("comp").alias("comp_b")).agg(F.min("n").alias("least"), F.max("reach").alias("far"))
     members = rows.toDF(*[f"{c}_b" if c != "token" else c for c in rows.columns])
     return (
-        rows.join(other, "token").where("comp < comp_b")
-        .join(members, ["token", "comp_b"]).where(f"{NUMERATOR} * n_b <= {DENOMINATOR} * n and {NUMERATOR} * n <= {DENOMINATOR} * n_b")
+        rows.join(other, "token").where("comp < comp_b and reach >= least and n <= far").drop("least", "far")
+        .join(members, ["token", "comp_b"]).where("n_b <= reach and n <= reach_b")
         .select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct()
     )
 
@@ -348,21 +364,25 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     buckets = int(postings // 2_000_000) + 12
     # The prefixes are made again from the texts: that costs less than to store them.
     elements = (
-        docs.mapInArrow(_blocks(hot, level, buckets), "bucket long, tokens binary, gids binary")
-        .groupBy("bucket").applyInArrow(_shared_of_bucket, "token long, gid long, early boolean")
+        docs.mapInArrow(_blocks(hot, level, buckets), "bucket long, tokens binary, gids binary, places binary")
+        .groupBy("bucket").applyInArrow(_shared_of_bucket, "token long, gid long, early boolean, place long")
     )
-    groups = classes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("token"), "gid", F.lit(True).alias("early"), F.lit(True).alias("whole"))
+    groups = classes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("token"), "gid", F.lit(True).alias("early"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("whole"))
     # A group can only link if enough of its elements are left; all its members have one size.
     size = classes.groupBy("gid").agg(F.first("n").alias("n"))
     left = F.count("*").over(Window.partitionBy("gid"))
-    enough = elements.join(size, "gid").withColumn("left", left).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
+    lead = F.min("place").over(Window.partitionBy("gid"))
+    enough = elements.join(size, "gid").withColumns({"left": left, "lead": lead}).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
     members = classes.select("gid", "cid", "n")
     weight = F.when(F.col("whole"), F.col("n")).otherwise(1).alias("w")  # classes of one group share the whole prefix
-    posted = stored(enough.select("token", "gid", "early", F.lit(False).alias("whole")).unionByName(groups).join(members, "gid").select("token", "cid", "n", "early", weight))
+    posted = stored(
+        enough.select("token", "gid", "early", "place", F.lit(False).alias("whole"), "lead").unionByName(groups.withColumn("lead", F.lit(0).cast("long")))
+        .join(members, "gid").select("token", "cid", "n", "early", "place", "lead", weight)
+    )
     label = stored(posted.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
     known = stored(classes.join(label, "cid", "left_semi"))
-    for turn in range(ROUNDS + 1):
-        pairs = _best_partners(posted, label, turn) if turn < ROUNDS else _pairs_left(posted, label)
+    for turn in range(len(STEPS) + 1):
+        pairs = _best_partners(posted, label, turn) if turn < len(STEPS) else _pairs_left(posted, label)
         links = stored(verified(pairs, known, docs))
         if not links.isEmpty():
             label = _relabelled(label, links)
