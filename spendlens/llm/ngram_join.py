@@ -48,7 +48,7 @@ BITMAP_BYTES = 256
 EXTRA = 8
 #: A round's partners are chosen by the place of their first shared element in
 #: steps of this many 256ths of their size, then by hash.
-STEPS = (1, 8, 24, 256)
+STEPS = (1, 8, 24)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
