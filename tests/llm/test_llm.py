@@ -47,37 +47,60 @@ def empty(spark, docs):
     return spark.createDataFrame([], docs.schema)
 
 
-def test_ngram_components(docs, empty, texts):
-    from spendlens.llm.ngram_join import ngram_jaccard_components
-
+def _brute_components(texts):
+    """(size of the set, smallest linked index) of each text, by comparing all pairs."""
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    sets, parent = {}, {}
-    for i, t in enumerate(texts):
+    sets, parent = [], list(range(len(texts)))
+    for t in texts:
         w = WORD.findall((t or "").translate(low))
-        sets[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-        parent[i] = i
+        sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i in sets:
+    for i, one in enumerate(sets):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+            both = len(one & sets[j])
+            if both and 100 * both >= 75 * (len(one) + len(sets[j]) - both):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
+    return [(len(one), root(i)) for i, one in enumerate(sets)]
+
+
+def test_ngram_components(docs, empty, texts):
+    from spendlens.llm.ngram_join import ngram_jaccard_components
+
+    want = _brute_components(texts)
     rows = ngram_jaccard_components(docs).collect()
     assert len(rows) == len(texts) + 2
     for r in rows:
-        if r.doc_id is None:
-            assert (r.n_shingles, r.component_id) == (1, None)
-        else:
-            assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root(r.doc_id))
+        assert (r.n_shingles, r.component_id) == ((1, None) if r.doc_id is None else want[r.doc_id])
     assert ngram_jaccard_components(empty).count() == 0
 
 
+def test_ngram_components_at_the_limit(spark, docs):
+    """Sets of other sizes and with other elements, about as many above the
+    similarity as below it."""
+    from spendlens.llm.ngram_join import ngram_jaccard_components
+
+    rng, texts = random.Random(11), []
+    for size in (9, 14, 20, 33, 47, 80, 160, 300):
+        base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        for _ in range(22):
+            w = list(base)
+            for _ in range(rng.randrange(1 + size // 25)):
+                w[rng.randrange(size)] = f"v{rng.randrange(10**6)}"
+            start, end = rng.choice([0, rng.randrange(1 + size // 7)]), rng.choice([0, rng.randrange(1 + size // 7)])
+            texts.append(" ".join(w[start : size - end]) + rng.choice(["", " more", " " + " ".join(base[: size // 6])]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(rows).collect()}
+    want = _brute_components(texts)
+    assert len({c for _, c in want}) > 20
+    assert [found[i] for i in range(len(texts))] == want
+
+
 def test_warc(spark, tmp_path):
     from spendlens.llm import warc
 
