@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bytes per value assumed when sizing a table for a broadcast (strings are
-# an average guess; the row count is exact).
+# Bytes per value of fixed width when sizing a table for a broadcast; others
+# are measured.
 _VALUE_BYTES = {
     T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4,
     T.LongType: 8, T.DoubleType: 8, T.FloatType: 4, T.TimestampType: 8, T.DecimalType: 16,
-    T.StringType: 48,
 }
 
 
@@ -22,13 +21,28 @@ _VALUE_BYTES = {
 BROADCAST_LIMIT_CONF = "spendlens.broadcast.maxBytes"
 
 
-def _row_bytes(df: DataFrame) -> int:
-    return sum(_VALUE_BYTES.get(type(f.dataType), 64) for f in df.schema.fields) + 16
+def table_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take: exact lengths of texts and binaries,
+    16 bytes more for each row and each such value. Other types of no fixed
+    width are measured as JSON."""
+    fixed, measured = 16, []
+    for f in df.schema.fields:
+        col = F.col(f"`{f.name}`")
+        if type(f.dataType) in _VALUE_BYTES:
+            fixed += _VALUE_BYTES[type(f.dataType)]
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            fixed += 16
+            measured.append(F.octet_length(col))
+        else:
+            fixed += 16
+            measured.append(F.octet_length(F.to_json(F.struct(col))))
+    width = sum((F.coalesce(m, F.lit(0)).cast("long") for m in measured), F.lit(fixed).cast("long"))
+    return df.agg(F.sum(width)).first()[0] or 0
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Size-checked broadcast for a *materialized* table (checkpointed or
-    freshly read): count its rows, estimate bytes from the schema, and mark
+    freshly read): measure its bytes (``table_bytes``), and mark
     it for broadcast only if that fits under ``max_bytes`` (default: the
     session's ``spendlens.broadcast.maxBytes``, else
     ``spark.sql.autoBroadcastJoinThreshold``). Otherwise the
@@ -46,7 +60,7 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
         max_bytes = _parse_bytes(limit)
     if max_bytes < 0:
         return df
-    if df.count() * _row_bytes(df) <= max_bytes:
+    if table_bytes(df) <= max_bytes:
         return F.broadcast(df)
     return df
 

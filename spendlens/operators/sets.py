@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 
 def union_all(*dfs: DataFrame) -> DataFrame:
     """Append rows, columns matched by name, missing columns NULL."""
+    if not dfs:
+        raise ValueError("a union needs at least one table")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 

@@ -52,28 +52,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` on ``key`` when its scan yields fewer input
-    partitions than the session has task slots (a file with a single row
-    group is read by one task, so all joins after it would run serially).
-
-    Partitioning on the order key is what ``line_id`` and every per-PO
-    aggregate need, so those reuse it instead of shuffling again. On large
-    inputs the scan is already split into many tasks and nothing changes.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, key)
-
-
 def po_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical PO lines (see ``schema.PO_LINE_SCHEMA``)."""
     li = _t(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_extendedprice", "l_returnflag", "l_shipdate",
     )
-    li = spread_small_scan(li, "l_orderkey")
     orders = _t(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
     )

@@ -141,3 +141,11 @@ def test_positions_from_groups_equal_global_row_number(spark, bits, first):
     a = {r.line_id: r.p for r in positions_from_groups(df, "line_id", bits, "p").collect()}
     b = {r.line_id: r.p for r in global_row_number(df, ["line_id"], "p").collect()}
     assert a == b and sorted(a.values()) == list(range(1, len(rows) + 1))
+
+
+def test_broadcast_size_counts_long_texts(spark):
+    from spendlens.operators.joins import table_bytes
+
+    rows = spark.createDataFrame([(1, "a" * 5000, ["xy"]), (2, None, None)], "k long, t string, l array<string>")
+    assert 5000 < table_bytes(rows) < 5500
+    assert table_bytes(rows.where("k > 2")) == 0
