@@ -324,3 +324,28 @@ def test_pipeline_stages(spark, docs):
     ids = [r.doc_id for r in left.collect()]
     assert len(ids) == len(set(ids)) and {0, 1, 2, 22, None} - set(ids) <= {22} and left.columns == base.columns
     assert pipeline.run(spark, "/root/testdata/sf0.001").columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
+
+
+def test_sharding_cuts_only_runs_of_equal_keys(spark, docs):
+    """One text over the limit among small ones, and a repeated key with
+    texts of many lengths."""
+    from spendlens.llm.sharding import sharded
+
+    small = spark.range(4000).selectExpr("id as doc_id", "repeat('x', int(id % 17)) as text")
+    huge = spark.range(1).selectExpr("-1L as doc_id", "repeat('x', 7000) as text")
+    hot = spark.range(900).selectExpr("-2L as doc_id", "repeat('x', int(id % 450)) as text")
+    even = spark.range(60).selectExpr("-3L as doc_id", "repeat('x', 999) as text")
+    rows = small.union(huge).union(hot).union(even).repartition(4, "text")
+    out = sharded(rows, limit=6_000).collect()
+    assert len(out) == 4961
+    shards = {}
+    for r in out:
+        shards.setdefault(r.shard, []).append(r)
+    assert {r.doc_id for r in out if "." in r.shard} <= {-1, -2, -3}
+    assert all(len({r.doc_id for r in rs}) == 1 for s, rs in shards.items() if "." in s)
+    assert all(sum(r.row_bytes for r in rs) <= 6_000 or len(rs) == 1 for rs in shards.values())
+    parts = lambda key: len({r.shard for r in out if r.doc_id == key})
+    assert parts(-3) == 10 and parts(-2) <= 900 * 225 / 6_000 * 1.1 + 5
+    assert len([s for s in shards if "." not in s]) < 60
+    names = {s.split(".")[0] for s in shards}
+    assert not any(a != b and b.startswith(a) for a in names for b in names)
