@@ -45,8 +45,14 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.memo = Memo(self._ids)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # At one place the tokenizer takes the longest of its added tokens.
+        self.names = {t.content for t in added if t.content}
+        longest_first = map(re.escape, sorted(self.names, key=len, reverse=True))
+        self.added = re.compile(f"({'|'.join(longest_first)})") if self.names else None
+        # Those that take in white space, need word borders or match changed text are left to the tokenizer, with the whole text.
+        self.apart = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
 
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
@@ -66,14 +72,16 @@ class Tokens:
         if not self.ranked:
             return self._tokenized(texts)
         encode = self.ranked.encode_ordinary
-        out = [array("I", encode(t)).tobytes() if PLAIN.fullmatch(t) else None for t in texts]
+        mixed = self._mixed(texts)
+        out = [array("I", encode(t)).tobytes() if PLAIN.fullmatch(t) and t not in mixed else None for t in texts]
         other = iter(self._tokenized([t for t, ids in zip(texts, out) if ids is None]))
         return [next(other) if ids is None else ids for ids in out]
 
     def _tokenized(self, texts: list[str]) -> list[bytes]:
         """Parts without inner white space are encoded as lines of one text:
         a line feed before a letter, mark or space is a token of its own."""
-        plain = [t for t in texts if self.line is not None and INNER.fullmatch(t)]
+        mixed = self._mixed(texts)
+        plain = [t for t in texts if self.line is not None and INNER.fullmatch(t) and t not in mixed]
         done = {}
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
@@ -88,9 +96,27 @@ class Tokens:
             done.update(zip(some, (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
         return [done[t] for t in texts]
 
+    def _has_added(self, text: str) -> bool:
+        return self.added is not None and self.added.search(text) is not None
+
+    def _mixed(self, parts: list[str]) -> set[str]:
+        """Parts that may hold added tokens besides those with odd white space."""
+        return self.names if self.apart else {t for t in parts if self._has_added(t)}
+
+    def _parts(self, text: str) -> list[str]:
+        """Added tokens are parts of their own; the texts between them are
+        split as if each were alone, as the tokenizer does."""
+        if ODD_SPACE.search(text):
+            return [text]
+        if not self._has_added(text):
+            return PART.findall(text)
+        if not self.apart:
+            return [text]
+        pieces = self.added.split(text)
+        return [p for i, t in enumerate(pieces) for p in ([t] if i % 2 else PART.findall(t))]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [[t] if ODD_SPACE.search(t) else PART.findall(t) for t in texts]
-        return list(map(b"".join, self.memo.values(parts)))
+        return list(map(b"".join, self.memo.values(list(map(self._parts, texts)))))
 
 
 @functools.lru_cache(maxsize=2)
@@ -190,7 +216,8 @@ def packed(docs: DataFrame, path: str, ranks: str | None = None, limit: int = LI
     offset), one per piece. A sequence's pieces lie without gaps from offset 0.
 
     ``path``: the tokenizer's file; ``ranks``: its vocabulary as ranks, only
-    for speed. A document's ids end with END_ID. Null and empty text: that id alone.
+    for speed. Texts of the file's added tokens within a document become those
+    tokens. A document's ids end with END_ID. Null and empty text: that id alone.
     Null ids are kept, repeated rows are packed each, other columns are
     ignored, an empty table gives no rows. A document longer than ``limit``
     is cut every ``limit`` ids; only its last piece shares a sequence."""

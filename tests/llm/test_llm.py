@@ -349,3 +349,21 @@ def test_sharding_cuts_only_runs_of_equal_keys(spark, docs):
     assert len([s for s in shards if "." not in s]) < 60
     names = {s.split(".")[0] for s in shards}
     assert not any(a != b and b.startswith(a) for a in names for b in names)
+
+
+def test_packing_of_added_tokens(spark, docs):
+    """Texts that hold an added token's text, as the file itself encodes them."""
+    from tokenizers import Tokenizer
+
+    from spendlens.llm.packing import Tokens, packed
+
+    path, ranks = PATH("byte_bpe_50k.json"), PATH("byte_bpe_50k.tiktoken")
+    lib, end = Tokenizer.from_file(path), "<|endoftext|>"
+    rng, bits = random.Random(3), [end, end, "a", " the", "  ", "\n", " \n ", "漢字", "\x1c", "<|", "|>", "!", "endoftext"]
+    mixed = [f"say {end}you", end, end * 3, f"a  \n {end}  b", f"漢{end}字", f"x\x1c {end} y"]
+    mixed += ["".join(rng.choices(bits, k=rng.randrange(1, 12))) for _ in range(400)]
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in mixed]
+    assert np.frombuffer(want[0], np.uint32).tolist().count(50256) == 1
+    assert Tokens(path, ranks)(mixed) == want and Tokens(path)(mixed) == want
+    rows = packed(spark.createDataFrame(list(enumerate(mixed[:40])), "doc_id long, text string"), path, ranks).collect()
+    assert {r.doc_id: r.ids_crc32 for r in rows} == {i: zlib.crc32(w + bytes(4)) for i, w in enumerate(want[:40])}
