@@ -24,10 +24,13 @@ ASSIGN_VALUE = 12
 #: 18 characters with the first four, and 16: only whole runs can match, so a least count in the pattern is the same as dropping short ones.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+#: A name that ends with a credential word, and its value: up to the matching quote, or without quotes up to a space or separator.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_-])*(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|(?:api|access|private|client|secret)[_-]?(?:key|secret))["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;]{8,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|(?:api|access|private|client|secret)[_-]?(?:key|secret))["']?[ \t]*(?::=|=>|==?|:)[ \t]*"""
+    r"""(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|["']?([^\s"'<>,;]{8,}))""",
     re.I | re.A,
 )
+CONTEXT_VALUE = 8
 #: Binary logarithm of the guesses from which a value is a secret.
 GUESSES = 33.0
 #: Binary logarithms: of one more segment, of dates (150 years of days), a walk's or sequence's start, each further key.
@@ -64,8 +67,9 @@ class GuessCost:
             ends[i] = ends[i + 1] if same(i) else i + 1
         return ends
 
-    def __call__(self, value: str) -> float:
-        """Binary logarithm of the guesses: the least sum over all segmentations."""
+    def __call__(self, value: str, enough: float = math.inf) -> float:
+        """Binary logarithm of the guesses: the least sum over all
+        segmentations, or ``enough`` if that is not more."""
         n, low, each = len(value), value.lower(), self._class_bits(value)
         walk = self._runs(low, lambda i: (low[i], low[i + 1]) in self.near)
         up = self._runs(low, lambda i: ord(low[i + 1]) - ord(low[i]) == 1)
@@ -77,6 +81,8 @@ class GuessCost:
         for i in range(n):
             here = min(best[i], free[i])
             best[i] = here
+            if here >= enough:  # no way on from here costs less
+                continue
             step = min(here + SEGMENT, free[i]) + each
             free[i + 1] = min(free[i + 1], step)
             for ends, turn in ((walk, TURN), (up, 0.0), (down, 0.0), (same, 0.0)):
@@ -101,7 +107,7 @@ class GuessCost:
                     while value[to : to + k] == value[i : i + k]:
                         to += k
                     best[to] = min(best[to], here + SEGMENT + k * each + math.log2((to - i) // k))
-        return min(best[n], free[n])
+        return min(best[n], free[n], enough)
 
 
 @functools.lru_cache(maxsize=2)
@@ -118,9 +124,12 @@ def find(text: str, cost: GuessCost) -> list[tuple[str, int, int]]:
     out = []
     if ":" in text or "=" in text:
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_VALUE]
-        for m in CONTEXT.finditer(text):
-            lo, hi = m.span(1)
-            if not any(a <= lo and hi <= b for k, a, b in out if k == "assign") and cost(m[1]) >= GUESSES:
+        at = 0
+        while m := CONTEXT.search(text, at):
+            lo, hi = m.span(m.lastindex)
+            # The quote may be the closing one of an earlier text: names within the value count too.
+            at = hi if m.lastindex == 3 else lo
+            if hi - lo >= CONTEXT_VALUE and not any(a <= lo and hi <= b for _, a, b in out) and cost(text[lo:hi], GUESSES) >= GUESSES:
                 out.append(("guess", lo, hi))
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]

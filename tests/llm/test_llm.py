@@ -367,3 +367,32 @@ def test_packing_of_added_tokens(spark, docs):
     assert Tokens(path, ranks)(mixed) == want and Tokens(path)(mixed) == want
     rows = packed(spark.createDataFrame(list(enumerate(mixed[:40])), "doc_id long, text string"), path, ranks).collect()
     assert {r.doc_id: r.ids_crc32 for r in rows} == {i: zlib.crc32(w + bytes(4)) for i, w in enumerate(want[:40])}
+
+
+def test_secrets_by_more_names_and_quotes(spark, docs):
+    from spendlens.llm.secret_scan import GUESSES, find, guess_cost, without_secrets
+
+    cost = guess_cost(PATH("word_bpe_49k.json"))
+    lines = {
+        "dbPassword=hT7#qLz9Vw2@!": "hT7#qLz9Vw2@!",
+        'accessToken: "x9$Qm!vT2#rLp8"': "x9$Qm!vT2#rLp8",
+        "MYSECRET=hT7#qLz9Vw2@!": "hT7#qLz9Vw2@!",
+        'password = "hT7#,qLz;9Vw2@!"': "hT7#,qLz;9Vw2@!",
+        "password: 'hT7 <q\"Lz> 9Vw2@!'": 'hT7 <q"Lz> 9Vw2@!',
+        r'{"password": "hT7#\"q,Lz9Vw2@!", "n": 1}': r'hT7#\"q,Lz9Vw2@!',
+        "password := hT7#qLz9Vw2@!": "hT7#qLz9Vw2@!",
+        ":password => 'hT7#qLz9Vw2@!'": "hT7#qLz9Vw2@!",
+        'pwd: "hT7#qLz9Vw2@!': "hT7#qLz9Vw2@!",
+    }
+    for line, value in lines.items():
+        assert [(k, line[a:b]) for k, a, b in find(line, cost)] == [("guess", value)], line
+    text = 'say "the password:" and secret="hT7#qLz9Vw2@!"'
+    assert "hT7#qLz9Vw2@!" in [text[a:b] for _, a, b in find(text, cost)]
+    for line in ('pwd = "sunshine1990"', 'dbPassphrase := "zzzzzzzzzzzzzzzz"', 'token = "short"', "passwords are long, authors: unknown"):
+        assert find(line, cost) == []
+    for value in ("password1990", "hT7#qLz9Vw2@", "a" * 40, "abcabcabcabc", "the cat sat on a mat", "ab12" * 9 + "x"):
+        assert cost(value, GUESSES) == min(cost(value), GUESSES)
+    assert find('token = "' + "".join(random.Random(4).choices("hT7#, qLz;", k=200_000)) + '"', cost)[0] == ("guess", 9, 200_009)
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in without_secrets(rows, PATH("word_bpe_49k.json")).collect()}
+    assert all(left[i] == line.replace(value, "[guess]") for i, (line, value) in enumerate(lines.items()))
