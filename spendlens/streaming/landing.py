@@ -11,32 +11,38 @@ lives in a shared folder; each micro-batch is written to its own
 ``batch=<id>`` folder with overwrite, so a batch that is replayed after a
 failure replaces its own output instead of adding it twice.
 
-``line_id`` = batch id * 2^44 + rank of the file inside the batch * 2^32 +
-row index in the file: later drops sort after earlier ones.
+``line_id`` = batch id * 2^44 + number of the row inside the batch (rows of
+the files before it, by path, + row index in the file): later drops sort after
+earlier ones. A batch may have any number of files and 2^44 rows; a longer
+batch, or a batch id from 2^19 on, is an error instead of a repeated id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spendlens.sources.files import canonicalize, parse_csv_lines
 
 BATCH_BITS = 44
-FILE_BITS = 32
+
+
+def _line_id(batch_id: int, place: Column) -> Column:
+    """Id of the row at ``place`` inside the batch."""
+    if batch_id >= 1 << (63 - BATCH_BITS):
+        raise ValueError(f"batch {batch_id}: line_id has no room for more than {1 << (63 - BATCH_BITS)} batches")
+    too_long = F.raise_error(F.lit(f"batch {batch_id}: line_id has no room for more than 2^{BATCH_BITS} rows in a batch"))
+    return F.when(place < F.lit(1 << BATCH_BITS), F.lit(batch_id << BATCH_BITS) + place).otherwise(too_long.cast("long"))
 
 
 def _land_batch(target: str, layout: str | None):
     def run(batch: DataFrame, batch_id: int) -> None:
-        files = batch.select("_ord_file").distinct()
-        ranks = files.withColumn("_rk", F.row_number().over(Window.orderBy("_ord_file")) - 1)
-        tagged = batch.join(F.broadcast(ranks), "_ord_file")
-        line_id = (
-            F.lit(batch_id).cast("long") * F.lit(1 << BATCH_BITS)
-            + F.col("_rk").cast("long") * F.lit(1 << FILE_BITS)
-            + F.col("_ord_row")
-        )
+        files = batch.groupBy("_ord_file").agg((F.max("_ord_row") + 1).alias("_n"))
+        before = Window.orderBy("_ord_file").rowsBetween(Window.unboundedPreceding, -1)
+        firsts = files.select("_ord_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+        tagged = batch.join(F.broadcast(firsts), "_ord_file")
+        line_id = _line_id(batch_id, F.col("_first") + F.col("_ord_row"))
         out = canonicalize(tagged.withColumn("_ord_line", line_id), layout)
         out = out.select(
             F.col("_ord_line").alias("line_id"), *[c for c in out.columns if not c.startswith("_ord_")]
@@ -82,9 +88,7 @@ def _land_csv_batch(target: str, layout: str, preamble_lines: int):
         # stream itself); parse_csv_lines checkpoints them before numbering
         text = batch.withColumn("_ord_pos", F.monotonically_increasing_id())
         lines = parse_csv_lines(text, first, layout, preamble_lines)
-        out = lines.withColumn(
-            "line_id", F.lit(batch_id).cast("long") * F.lit(1 << BATCH_BITS) + F.col("line_id")
-        )
+        out = lines.withColumn("line_id", _line_id(batch_id, F.col("line_id")))
         out.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return run

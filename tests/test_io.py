@@ -283,3 +283,42 @@ def test_positions_need_dense_ids(spark):
     assert [r.pos for r in rows] == list(range(1, 41))
     with pytest.raises(Exception, match="not dense"):
         positions_from_groups(ids.where("id % 3 <> 1"), "id", 4, "pos").collect()
+
+
+def test_streaming_landing_of_many_files(spark, scratch):
+    """5,000 files in one batch, then one more batch: ids neither meet nor
+    leave the order of the drops."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from spendlens.streaming import land_po_lines
+
+    src, out, done = (os.path.join(scratch, n) for n in ("many_drops", "many_landed", "many_ckpt"))
+    os.makedirs(src)
+
+    def drop(i):
+        pq.write_table(pa.table({"vendor": [f"{i:05d}a", f"{i:05d}b"]}), os.path.join(src, f"f{i:05d}.parquet"))
+
+    def land():
+        q = land_po_lines(spark, src, out, done, "vendor string")
+        assert q.awaitTermination(180) and q.exception() is None
+
+    for i in range(1, 5_001):
+        drop(i)
+    land()
+    drop(0)  # a later drop, though its name is the first
+    land()
+    rows = spark.read.parquet(out).orderBy("line_id").select("line_id", "vendor", "batch").collect()
+    assert {r.batch for r in rows} == {0, 1} and len({r.line_id for r in rows}) == 10_002
+    assert [r.vendor for r in rows] == [f"{i:05d}{c}" for i in (*range(1, 5_001), 0) for c in "ab"]
+
+
+def test_landing_ids_out_of_room_are_errors(spark):
+    from spendlens.streaming.landing import BATCH_BITS, _line_id
+
+    last = spark.range(1).select(_line_id(2**19 - 1, F.lit(2**BATCH_BITS - 1)).alias("x")).first().x
+    assert last == 2**63 - 1
+    with pytest.raises(ValueError):
+        _line_id(2**19, F.lit(0))
+    with pytest.raises(Exception, match="no room"):
+        spark.range(1).select(_line_id(0, F.lit(2**BATCH_BITS))).collect()
