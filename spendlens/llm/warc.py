@@ -8,6 +8,9 @@ Reading: the files are planned into partitions by size. Predicates on the
 record type and on header columns are pushed down: a record's headers are
 inflated and parsed first, and the payload of an unwanted record is never
 inflated; nor is any payload if the read schema has no column made from it.
+Records of all types but revisits have a payload: for HTTP messages what
+follows their head, else the whole block. Where a record lacks the length
+header of this writer, its payload is counted, and Spark tests the count.
 Files without the length field, and plain ones, are read too.
 """
 
@@ -51,6 +54,21 @@ def digest_text(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
+def digest_matches(text: str, payload: bytes) -> bool:
+    """``text``: a digest in base 32 or hexadecimal, after its algorithm and a colon, or SHA-1."""
+    label, _, value = text.rpartition(":")
+    found = hashlib.new(label or "sha1", payload).digest()
+    return value.upper() in (base64.b32encode(found).decode(), base64.b32encode(found).decode().rstrip("="), found.hex().upper())
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    kind, http = headers.get("warc-type"), headers.get("content-type", "").lower().startswith("application/http")
+    if not (block.startswith(b"HTTP/") if kind == "response" else http and kind == "request"):
+        return block
+    end = _head_end(block)
+    return block[end:] if end >= 0 else b""
+
+
 def record(row: dict, payload: bytes) -> tuple[bytes, bytes]:
     """Head and block of a record; control characters of header values are escaped."""
     response = row["record_type"] == "response"
@@ -194,6 +212,8 @@ class _Reader(DataSourceReader):
             if values is not None and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
                 old = self.allowed.get(f.attribute[0])
                 self.allowed[f.attribute[0]] = [v for v in map(str, values) if old is None or v in old]
+                if f.attribute[0] == "payload_bytes":  # not all records tell it
+                    yield f
             else:
                 yield f
 
@@ -212,12 +232,13 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         where, _ = fs.FileSystem.from_uri(self.path)
         test = {HEADERS[c].lower(): set(v) for c, v in self.allowed.items()}
-        body = self.verify or "payload" in self.columns
+        body, length = self.verify or "payload" in self.columns, HEADERS["payload_bytes"].lower()
+        counted = "payload_bytes" in self.columns
 
         def wanted(headers):
-            if any(headers.get(h) not in v for h, v in test.items()):
+            if any(headers.get(h) not in v for h, v in test.items() if h != length or h in headers):
                 return None
-            return body and headers.get("warc-type") == "response"
+            return headers.get("warc-type") != "revisit" and (body or counted and length not in headers)
 
         rows: list[dict] = []
         size = 0
@@ -235,8 +256,8 @@ class _Reader(DataSourceReader):
     def _row(self, headers: dict[str, str], block: bytes | None) -> dict:
         row = {c: headers.get(HEADERS[c].lower()) for c in self.columns if c in HEADERS}
         if block is not None:
-            payload = block[_head_end(block) :] if block.startswith(b"HTTP/") else block
-            if self.verify and headers.get("warc-payload-digest") not in (None, digest_text(hashlib.sha1(payload).digest())):
+            payload, digest = payload_of(headers, block), headers.get("warc-payload-digest")
+            if self.verify and digest is not None and not digest_matches(digest, payload):
                 raise ValueError(f"the payload of {headers.get('warc-record-id')} doesn't match its digest")
             row["payload"] = payload
             if "payload_bytes" in row:

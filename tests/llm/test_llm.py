@@ -396,3 +396,30 @@ def test_secrets_by_more_names_and_quotes(spark, docs):
     rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     left = {r.doc_id: r.text for r in without_secrets(rows, PATH("word_bpe_49k.json")).collect()}
     assert all(left[i] == line.replace(value, "[guess]") for i, (line, value) in enumerate(lines.items()))
+
+
+def test_warc_of_other_writers(spark, docs, tmp_path):
+    """Records of all types, without this writer's own headers."""
+    import gzip
+
+    from spendlens.llm import warc
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    blocks = {
+        "response": (http + b"page", b"page"), "conversion": (b"HTTP/1.1 is a text", b"HTTP/1.1 is a text"), "resource": (b"raw", b"raw"),
+        "metadata": (b"k: v\r\n", b"k: v\r\n"), "request": (b"POST / HTTP/1.1\r\nA: b\r\n\r\nq=1", b"q=1"), "revisit": (http, None),
+    }
+    out = []
+    for kind, (block, payload) in blocks.items():
+        type_ = "application/http" if kind in ("response", "request", "revisit") else "text/plain"
+        digest = f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(payload).digest()).decode()}\r\n" if payload else ""
+        out.append(f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Type: {type_}\r\n{digest}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    (tmp_path / "a.warc").write_bytes(b"".join(out))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, out)))
+    want = {k: p for k, (_, p) in blocks.items()}
+    for verify in (False, True):
+        rows = warc.read(spark, str(tmp_path), verify=verify).collect()
+        assert sorted((r.record_type, r.payload and bytes(r.payload), r.payload_bytes) for r in rows if r.payload) == sorted((k, p, len(p)) for k, p in want.items() if p for _ in "ab")
+        assert len(rows) == 12 and all(r.payload is None for r in rows if r.record_type == "revisit")
+    some = warc.read(spark, str(tmp_path), "record_type string, payload_bytes long").where("payload_bytes = 3")
+    assert sorted(r.record_type for r in some.collect()) == ["request"] * 2 + ["resource"] * 2
