@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import table
+from spendlens.llm.url_filters import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Hosts and paths that are always blocked or let through.
+URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -129,3 +132,40 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spendlens.llm.sharding import sharded
 
     return sharded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's url by URL_RULES, else by its host's trust and distrust."""
+    from spendlens.llm.url_filters import judged_urls
+
+    found = judged_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the texts of ``benchmark``."""
+    from spendlens.llm.resampling import resampled
+
+    found = resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of the documents by language; where 3 divides the CRC-32 of
+    the id (of no null id) the row checked is one whose text was lower-cased."""
+    from spendlens.llm import merkle
+
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    leaf = merkle.record_digest(*[F.col(c) for c in fields], F.col("text"))
+    altered = merkle.record_digest(*[F.col(c) for c in fields], F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    seen = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, altered).otherwise(leaf)
+    found = merkle.manifest(docs, leaf, "lang", "doc_id", {"seen": seen})
+    found = found.withColumn("folded_root", merkle.folded(F.col("seen"), "witness"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof("witness"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
