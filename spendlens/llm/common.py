@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,13 +84,14 @@ class Memo:
 
 # ------------------------------------------------------------ word hashes
 U = np.uint64
-_STEP = 0x9E3779B97F4A7C15
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z counts as a-z
-_power: list[np.ndarray] = [np.ones(0, U), np.ones(0, U)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z counts as a-z
+#: The first 0 to 8 bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 SEGMENT = 1 << 20
 
 
@@ -102,28 +104,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_power[0]) < n:
-        for i, base in enumerate((_STEP, pow(_STEP, -1, 2**64))):
-            p = np.full(max(n, SEGMENT + 4096), base, U)
-            p[0] = 1
-            _power[i] = np.cumprod(p)
-    return _power
-
-
 def _segment_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of every word of ``buf``, which ends in white space.
-    The hash is a polynomial over the word's bytes modulo 2**64, taken from
-    running sums, so no step is per word."""
+    Words take in eight bytes a step, mixed each time, all words of a step
+    at once; words over LONG_WORD bytes go through XXH3."""
     white = _WHITE[buf]
     edge = np.diff(white.view(np.int8), prepend=np.int8(1))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _powers(len(buf))
-    total = np.zeros(len(buf) + 1, U)
-    value = _BYTE[buf] * up[: len(buf)]
-    value[white] = 0
-    np.cumsum(value, out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U)), start
+    size = end - start
+    low = np.concatenate((_LOWER[buf], np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(buf) + 1, "<u8", low.data, strides=(1,))
+    out = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    at = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(at):
+        left = size[at] - done
+        out[at] = mix(out[at] * U(0xD1342543DE82EF95) + (eight[start[at] + done] & _FIRST[np.minimum(left, 8)]))
+        done += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(low[start[i] : end[i]].tobytes())
+    return out, start
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

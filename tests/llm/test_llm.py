@@ -423,3 +423,233 @@ def test_warc_of_other_writers(spark, docs, tmp_path):
         assert len(rows) == 12 and all(r.payload is None for r in rows if r.record_type == "revisit")
     some = warc.read(spark, str(tmp_path), "record_type string, payload_bytes long").where("payload_bytes = 3")
     assert sorted(r.record_type for r in some.collect()) == ["request"] * 2 + ["resource"] * 2
+
+
+def _brute_cost(value, cost):
+    """Least sum over all ways to cut ``value``, each part by its cheapest kind."""
+    import math
+
+    from spendlens.llm import secret_scan as ss
+
+    n, low, each = len(value), value.lower(), cost._class_bits(value)
+
+    def part(a, b):
+        t, v = low[a:b], value[a:b]
+        out = [ss.SEGMENT + (b - a) * each]
+        if b - a >= 3:
+            steps = [ord(y) - ord(x) for x, y in zip(t, t[1:])]
+            out += [ss.run_bits(b - a, 0.0)] * any(all(s == k for s in steps) for k in (-1, 0, 1))
+            out += [ss.run_bits(b - a, ss.TURN)] * all(p in cost.near for p in zip(v, v[1:]))
+            rank = cost.rank.get(t) if b - a <= ss.LONGEST_WORD else None
+            if rank:
+                out.append(ss.SEGMENT + math.log2(rank + 1) + (0.0 if v.islower() else 1.0 if v.istitle() or v.isupper() else float(b - a)))
+        out += [ss.SEGMENT + ss.DATE] * bool(ss.DATE_FORM.fullmatch(v)) + [ss.SEGMENT + ss.YEAR] * bool(ss.YEAR_FORM.fullmatch(v))
+        for k in range(2, min(ss.LONGEST_WORD, (b - a) // 2) + 1):
+            if (b - a) % k == 0 and v == v[:k] * ((b - a) // k):
+                out.append(ss.SEGMENT + k * each + math.log2((b - a) // k))
+        return min(out)
+
+    best = [0.0] + [math.inf] * n
+    for b in range(1, n + 1):
+        best[b] = min(best[a] + part(a, b) for a in range(b))
+    return best[n]
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    from spendlens.llm.secret_scan import GUESSES, find, guess_cost
+
+    cost = guess_cost(PATH("word_bpe_49k.json"))
+    rng = random.Random(8)
+    bits = ["qwerty", "asd", "!QAZ", "ZXC", "123", "321", "aaa", "aaaa", "password", "the", "House", "2019", "1999-12-1", "31.12.2001", "xK", "x9", "ab", "abab", "#", "é"]
+    values = ["".join(rng.choices(bits, k=rng.randrange(1, 6))) for _ in range(1500)]
+    values += ["qwertyuiopassword", "1234567890password", "!QAZ@WSX#EDC", "a" * 400, "abc" * 90 + "d", "qwer" * 40, "x#9Z!qB", "", "z", "20191212" * 3, "aabaabaab"]
+    for v in values:
+        assert cost(v) == pytest.approx(_brute_cost(v, cost)), v
+    assert cost("qwertyuiopassword") < GUESSES and cost("1234567890password") < GUESSES and cost("!QAZ@WSX") < GUESSES
+    assert find('password="x#9Z!qB"', cost) == [("guess", 10, 17)]
+    assert find("password=hunter", cost) == [] and find("token: the", cost) == []
+    assert cost("a" * 300_000) < GUESSES  # without a step for each pair of places
+
+
+def _python_base(text):
+    """Base spans from the rules, one pass a kind over the code points."""
+    out = []
+    hexes, uppers = set("0123456789abcdef"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in hexes:
+            j += 1
+        if j - i >= 16:
+            out.append(("hex", i, j))
+        i = max(j, i + 1)
+    i = 0
+    while i < len(text):
+        j = i + 4
+        if text.startswith("AKIA", i):
+            while j < len(text) and text[j] in uppers:
+                j += 1
+            if j > i + 4:  # a match, though it may be too short
+                if j - i >= 18:
+                    out.append(("access", i, j))
+                i = j
+                continue
+        i += 1
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    i = 0
+    while i < len(text):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if low.startswith(name, i):
+                for skip in (1, 0):  # the quote is optional
+                    j = i + len(name)
+                    if skip:
+                        if text[j : j + 1] not in ('"', "'") or j >= len(text):
+                            continue
+                        j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] not in (":", "=") or j >= len(text):
+                        continue
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if j < len(text) and text[j] in "\"'":
+                        j += 1
+                    k = j
+                    while k < len(text) and text[k] in value:
+                        k += 1
+                    if k > j:
+                        end = (j, k)
+                        break
+            if end:
+                break
+        if end:
+            if end[1] - end[0] >= 12:
+                out.append(("assign", i, end[1]))
+            i = end[1]
+        else:
+            i += 1
+    order = ["assign", "access", "hex"]
+    return sorted(out, key=lambda s: (s[1], order.index(s[0])))
+
+
+def test_base_spans_by_the_rules():
+    from spendlens.llm.secret_scan import find, guess_cost
+
+    cost = guess_cost(PATH("word_bpe_49k.json"))
+    rng = random.Random(6)
+    bits = ["password", "Passwd", "SECRET", "token", "apikey", "api_key", '"', "'", " ", "  ", ":", "=", ":=", "\n", "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef", "deadbeef", "x.y-z/+", "é", "A", "abcdefghijkl", "\t"]
+    for _ in range(6000):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 14)))
+        assert [s for s in find(text, cost) if s[0] != "guess"] == _python_base(text), text
+
+
+def test_words_of_equal_polynomials_differ():
+    """The Thue-Morse word and its complement agree under any polynomial
+    hash modulo a power of two."""
+    from spendlens.llm.common import shingle_sets, word_hashes
+
+    for n in (64, 512, 1024, 2048, 1 << 20):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        h, _ = word_hashes([word.encode(), other.encode(), word.upper().encode()])
+        assert h[0] != h[1] and h[0] == h[2]
+        assert len(set(shingle_sets([word.encode(), other.encode()])[0].tolist())) == 2
+
+
+def test_word_hashes_are_of_words_alone():
+    from spendlens.llm import common
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abÄ漢.x", k=rng.randrange(1, 90))) for _ in range(400)] + ["q" * 64, "q" * 65, "q" * 200_000]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 40))) for _ in range(60)]
+    seen, at = {}, 0
+    h, own = common.word_hashes([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        for w in t.split(" ") if t else []:
+            assert seen.setdefault(w, h[at]) == h[at] and own[at] == i
+            at += 1
+    assert at == len(h) and len(set(map(int, seen.values()))) == len(seen)
+
+
+def test_near_copies_of_long_words_stay_apart(spark):
+    from spendlens.llm.ngram_join import ngram_jaccard_components
+
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert {tuple(r) for r in ngram_jaccard_components(rows).collect()} == {(1, 1, 1), (2, 1, 2)}
+
+
+def test_warc_members_of_many_records(spark, tmp_path):
+    """Records of one member, in mixed files, unwanted large blocks, and broken files."""
+    import gzip
+    import tracemalloc
+
+    from spendlens.llm import warc
+
+    def rec(kind, page, payload):
+        head, block = warc.record({"record_type": "response", "page_id": page}, payload)
+        return (head + block).replace(b"WARC-Type: response", b"WARC-Type: " + kind)
+
+    own = [warc.member(*warc.record({"record_type": "response", "page_id": i}, b"own%d" % i)) for i in range(3)]
+    three = b"".join(rec(b"response", 10 + i, b"x" * i) for i in range(3))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(three))
+    (tmp_path / "b.warc.gz").write_bytes(own[0] + gzip.compress(three) + own[1] + gzip.compress(b"") + own[2])
+    (tmp_path / "c.warc").write_bytes(three)
+    rows = warc.read(spark, str(tmp_path), "page_id long, payload binary").collect()
+    assert sorted((r.page_id, bytes(r.payload)) for r in rows) == sorted([(0, b"own0"), (1, b"own1"), (2, b"own2")] + 3 * [(10, b""), (11, b"x"), (12, b"xx")])
+    big = gzip.compress(rec(b"resource", 1, b"z" * (64 << 20)) + rec(b"response", 2, b"small"))
+    tracemalloc.start()
+    found = list(warc.records(__import__("io").BytesIO(big), True, lambda h: True if h["warc-type"] == "response" else None))
+    assert len(found) == 1 and tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    for name, data in (("cut", three[:-30]), ("head", three + b"WARC/1.1\r\nWARC-Type: response\r\n")):
+        with pytest.raises(ValueError, match="ends inside"):
+            list(warc.records(__import__("io").BytesIO(data), False, lambda h: True)), name
+    with pytest.raises(ValueError, match="content length"):
+        list(warc.records(__import__("io").BytesIO(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nabc"), False, lambda h: None))
+
+
+def test_warc_of_nulls_repeats_and_empty_tables(spark, tmp_path):
+    from spendlens.llm import warc
+
+    schema = "page_id long, url string, html string, payload string, sha1 int"
+    rows = [(1, "u", "same", "p", 1), (1, "u", "same", "p", 1), (2, None, "same", "p", 1), (None, "v\r\nX: y", "same", "p", 1), (None, None, None, "p", 1), (None, None, None, "p", 1), (7, "u", "", "p", 1)]
+    warc.write(spark.createDataFrame(rows, schema).repartition(3), f"{tmp_path}/w")
+    got = warc.read(spark, f"{tmp_path}/w", verify=True).collect()
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == sorted(
+        [("1", "response", "None")] * 2 + [("2", "revisit", "<urn:page:1>"), ("None", "revisit", "<urn:page:1>"), ("7", "response", "None")] + [("None", "revisit", "<urn:page:7>")] * 2
+    )
+    assert not list((tmp_path / "w").glob(".*.tmp"))
+    warc.write(spark.createDataFrame([], schema), f"{tmp_path}/e")
+    assert warc.read(spark, f"{tmp_path}/e").collect() == []
+
+
+def test_warc_job_leaves_no_temporary_files(tmp_path):
+    """An attempt that fails after some records, beside one that is committed."""
+    import pyarrow as pa
+
+    from spendlens.llm.warc import HEADERS, _Writer
+
+    writer = _Writer(f"file://{tmp_path}")
+    row = {c: None for c in HEADERS} | {"record_type": "response", "payload": b"x"}
+    batch = pa.RecordBatch.from_pylist([row])
+
+    def failing():
+        yield batch
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(failing())
+    done = writer.write(iter([batch]))
+    (tmp_path / ".other-part-1.tmp").write_bytes(b"")  # another job's
+    writer.commit([done, None])
+    assert sorted(p.name for p in tmp_path.iterdir()) == [".other-part-1.tmp", done.names[0]]
+    writer.abort([])
+    assert (tmp_path / done.names[0]).exists()
