@@ -1,8 +1,10 @@
 """WARC archives as a PySpark Python data source.
 
 Writing: each task writes its own gzip files (a member a record) under
-temporary names; the commit renames them, so a lost or repeated task leaves
-nothing behind. Each member tells its own length in an extra gzip field.
+temporary names of the job; the commit renames those of the tasks that ended
+and deletes the job's others, as an abort deletes all, so a lost or repeated
+task leaves nothing behind. Each member tells its own length in an extra
+gzip field.
 
 Reading: the files are planned into partitions by size. Predicates on the
 record type and on header columns are pushed down: a record's headers are
@@ -11,12 +13,16 @@ inflated; nor is any payload if the read schema has no column made from it.
 Records of all types but revisits have a payload: for HTTP messages what
 follows their head, else the whole block. Where a record lacks the length
 header of this writer, its payload is counted, and Spark tests the count.
-Files without the length field, and plain ones, are read too.
+From the first member without the length field on, a file is read as one
+inflated stream, so members may hold any number of records; plain files are
+read alike. Unwanted blocks are passed over in pieces there. A record without
+a content length, and a file that ends inside a record, are errors.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import struct
@@ -96,7 +102,10 @@ def member(head: bytes, block: bytes) -> bytes:
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.job = path, uuid.uuid4().hex
+
+    def _temporary(self, base: str, name: str) -> str:
+        return f"{base}/.{self.job}-{name}.tmp"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         where, base = fs.FileSystem.from_uri(self.path)
@@ -110,7 +119,7 @@ class _Writer(DataSourceArrowWriter):
                     if out:
                         out.close()
                     names.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                    out, size = where.open_output_stream(f"{base}/.{names[-1]}.tmp"), 0
+                    out, size = where.open_output_stream(self._temporary(base, names[-1])), 0
                 out.write(data)
                 size += len(data)
         if out:
@@ -121,13 +130,17 @@ class _Writer(DataSourceArrowWriter):
         where, base = fs.FileSystem.from_uri(self.path)
         for m in messages:
             for name in m.names if m else []:
-                where.move(f"{base}/.{name}.tmp", f"{base}/{name}")
+                where.move(self._temporary(base, name), f"{base}/{name}")
+        self._clean(where, base)
 
     def abort(self, messages) -> None:
-        where, base = fs.FileSystem.from_uri(self.path)
-        for m in messages:
-            for name in m.names if m else []:
-                where.delete_file(f"{base}/.{name}.tmp")
+        self._clean(*fs.FileSystem.from_uri(self.path))
+
+    def _clean(self, where: fs.FileSystem, base: str) -> None:
+        """Deletes what the job's other attempts have written."""
+        for info in where.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+            if info.base_name.startswith(f".{self.job}-"):
+                where.delete_file(info.path)
 
 
 class _Written(WriterCommitMessage):
@@ -154,51 +167,64 @@ def parse_head(head: bytes) -> dict[str, str]:
     return out
 
 
+def _plain_records(stream, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Records of a stream of plain bytes, which needn't be able to seek."""
+    while True:
+        head = b""
+        while not head.endswith(b"\r\n\r\n"):
+            line = stream.readline()
+            if not line:
+                if head:
+                    raise ValueError("the file ends inside a record's head")
+                return
+            head += line if head or line.strip() else b""
+        headers = parse_head(head)
+        size, need = _length(headers), wanted(headers)
+        pieces = []
+        while size:
+            piece = stream.read(size if need else min(size, 1 << 16))
+            if not piece:
+                raise ValueError(f"the file ends inside the record {headers.get('warc-record-id')}")
+            size -= len(piece)
+            if need:
+                pieces.append(piece)
+        if need is not None:
+            yield headers, b"".join(pieces) if need else None
+
+
+def _length(headers: dict[str, str]) -> int:
+    text = headers.get("content-length", "")
+    if not text.isdigit():
+        raise ValueError(f"the record {headers.get('warc-record-id')} has no content length")
+    return int(text)
+
+
 def records(stream, compressed: bool, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, block) of the records for which ``wanted(headers)`` isn't
     None; the block is None unless it is True."""
-    while True:
-        if not compressed:
-            head = b""
-            while _head_end(head) < 0:
-                line = stream.readline()
-                if not line:
-                    return
-                head += line if head or line.strip() else b""
-            headers = parse_head(head)
-            size, need = int(headers["content-length"]), wanted(headers)
-            block = stream.read(size) if need else None
-            if not need:
-                stream.seek(size, 1)
-            if need is not None:
-                yield headers, block
-            continue
+    while compressed:
         start = stream.read(20)
         if not start:
             return
-        known = start[:4] == b"\x1f\x8b\x08\x04" and start[10:16] == struct.pack("<H2sH", 8, b"SL", 4)
-        if known:
-            data = start + stream.read(struct.unpack("<I", start[16:20])[0] - 20)
-            z = zlib.decompressobj(31)
-            head = z.decompress(data, 4096)
-        else:  # no length: inflate to the member's end
-            z, whole, piece = zlib.decompressobj(31), [], start
-            while not z.eof and piece:
-                whole.append(z.decompress(piece))
-                piece = stream.read(1 << 16) if not z.eof else b""
-            stream.seek(-len(z.unused_data), 1)
-            head = b"".join(whole)
-        while known and _head_end(head) < 0 and not z.eof:
-            head += z.decompress(z.unconsumed_tail, 4096)
+        if not (start[:4] == b"\x1f\x8b\x08\x04" and start[10:16] == struct.pack("<H2sH", 8, b"SL", 4)):
+            stream.seek(-len(start), 1)
+            break
+        data = start + stream.read(struct.unpack("<I", start[16:20])[0] - 20)
+        z = zlib.decompressobj(31)
+        head = z.decompress(data, 4096)
+        while _head_end(head) < 0 and not z.eof:
+            more = z.decompress(z.unconsumed_tail, 4096)
+            if not more and not z.unconsumed_tail:
+                raise ValueError("the file ends inside a record's head")
+            head += more
         end = _head_end(head)
         headers = parse_head(head[:end])
         need = wanted(headers)
-        block = None
         if need:
-            rest = z.decompress(z.unconsumed_tail) if known else b""
-            block = (head[end:] + rest)[: int(headers["content-length"])]
-        if need is not None:
-            yield headers, block
+            yield headers, (head[end:] + z.decompress(z.unconsumed_tail))[: _length(headers)]
+        elif need is not None:
+            yield headers, None
+    yield from _plain_records(io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16) if compressed else stream, wanted)
 
 
 class _Reader(DataSourceReader):
