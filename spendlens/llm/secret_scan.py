@@ -4,7 +4,11 @@ Patterns give the base spans. Beyond those, the value that follows a
 credential word is segmented at minimum cost into dictionary words, dates,
 repeats, sequences, keyboard walks and single characters; what is left is the
 logarithm of the guesses that an informed attacker needs. Values that cost
-GUESSES or more are spans of the kind ``guess``.
+GUESSES or more are spans of the kind ``guess``, whatever their length.
+
+The cost is the least over all segmentations: walks, sequences and repeats
+may begin and end anywhere inside a longer run. A start inside a run is left
+out only where an earlier start of that run is better for every end.
 """
 
 from __future__ import annotations
@@ -27,23 +31,30 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: A name that ends with a credential word, and its value: up to the matching quote, or without quotes up to a space or separator.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|(?:api|access|private|client|secret)[_-]?(?:key|secret))["']?[ \t]*(?::=|=>|==?|:)[ \t]*"""
-    r"""(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|["']?([^\s"'<>,;]{8,}))""",
+    r"""(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|["']?([^\s"'<>,;]+))""",
     re.I | re.A,
 )
-CONTEXT_VALUE = 8
 #: Binary logarithm of the guesses from which a value is a secret.
 GUESSES = 33.0
 #: Binary logarithms: of one more segment, of dates (150 years of days), a walk's or sequence's start, each further key.
 SEGMENT, DATE, YEAR, START, TURN = 1.0, 15.8, 7.2, 6.0, 0.8
+#: Rows of a keyboard, without and with shift.
 KEYS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-LONGEST_WORD = 24
+SHIFTED = ("~!@#$%^&*()_+", 'QWERTYUIOP{}|', 'ASDFGHJKL:"', "ZXCVBNM<>?")
+LONGEST_WORD, LONGEST_DATE, SHORTEST_RUN = 24, 10, 3
 DATE_FORM = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
 YEAR_FORM = re.compile(r"(?:19|20)\d\d")
 
 
 def _neighbours() -> set[tuple[str, str]]:
-    at = {c: (r, i) for r, row in enumerate(KEYS) for i, c in enumerate(row)}
-    return {(a, b) for a, (r, i) in at.items() for b, (s, j) in at.items() if a != b and abs(r - s) <= 1 and -1 <= j - i <= 1}
+    """Characters of keys side by side; shift makes no difference."""
+    at = {c: (r, i) for rows in (KEYS, SHIFTED) for r, row in enumerate(rows) for i, c in enumerate(row)}
+    return {(a, b) for a, (r, i) in at.items() for b, (s, j) in at.items() if (r, i) != (s, j) and abs(r - s) <= 1 and -1 <= j - i <= 1}
+
+
+def run_bits(size: int, turn: float) -> float:
+    """A run of ``size`` characters, ``turn`` for each after the first."""
+    return SEGMENT + START + math.log2(size) + turn * (size - 1)
 
 
 class GuessCost:
@@ -71,13 +82,15 @@ class GuessCost:
         """Binary logarithm of the guesses: the least sum over all
         segmentations, or ``enough`` if that is not more."""
         n, low, each = len(value), value.lower(), self._class_bits(value)
-        walk = self._runs(low, lambda i: (low[i], low[i + 1]) in self.near)
+        walk = self._runs(low, lambda i: (value[i], value[i + 1]) in self.near)
         up = self._runs(low, lambda i: ord(low[i + 1]) - ord(low[i]) == 1)
         down = self._runs(low, lambda i: ord(low[i]) - ord(low[i + 1]) == 1)
         same = self._runs(low, lambda i: low[i] == low[i + 1])
         best = [math.inf] * n + [math.inf]
         best[0] = 0.0
         free = [math.inf] * (n + 1)  # as best, but ending in single characters
+        units: dict[tuple[int, int], list] = {}
+        kinds = [(ends, turn, []) for ends, turn in ((walk, TURN), (up, 0.0), (down, 0.0), (same, 0.0))]
         for i in range(n):
             here = min(best[i], free[i])
             best[i] = here
@@ -85,15 +98,22 @@ class GuessCost:
                 continue
             step = min(here + SEGMENT, free[i]) + each
             free[i + 1] = min(free[i + 1], step)
-            for ends, turn in ((walk, TURN), (up, 0.0), (down, 0.0), (same, 0.0)):
-                to = ends[i]
-                if to - i >= 3:
-                    bits = here + SEGMENT + START + math.log2(to - i) + turn * (to - i - 1)
-                    best[to] = min(best[to], bits)
+            for ends, turn, starts in kinds:
+                if starts and starts[0][2] <= i:
+                    starts.clear()
+                # For ends at i + 3 and beyond, a start at s is at most
+                # log2((i - s + 3) / 3) + turn * (i - s) worse than one at i.
+                if ends[i] - i < SHORTEST_RUN or any(at + math.log2((i - s + SHORTEST_RUN) / SHORTEST_RUN) + turn * (i - s) <= here for s, at, _ in starts):
+                    continue
+                starts.append((i, here, ends[i]))
+                for to in range(i + SHORTEST_RUN, ends[i] + 1):
+                    best[to] = min(best[to], here + run_bits(to - i, turn))
             if value[i].isdigit():
-                for form, bits in ((DATE_FORM, DATE), (YEAR_FORM, YEAR)):
-                    if m := form.match(value, i):
-                        best[m.end()] = min(best[m.end()], here + SEGMENT + bits)
+                for to in range(i + 4, min(i + LONGEST_DATE, n) + 1):
+                    if DATE_FORM.fullmatch(value, i, to):
+                        best[to] = min(best[to], here + SEGMENT + DATE)
+                if YEAR_FORM.match(value, i):
+                    best[i + 4] = min(best[i + 4], here + SEGMENT + YEAR)
             for k in range(3, min(LONGEST_WORD, n - i) + 1):
                 rank = self.rank.get(low[i : i + k])
                 if rank:
@@ -102,11 +122,17 @@ class GuessCost:
                     best[i + k] = min(best[i + k], here + SEGMENT + math.log2(rank + 1) + case)
             # A unit that comes twice or more: the unit once, and how often.
             for k in range(2, min(LONGEST_WORD, (n - i) // 2) + 1):
-                if value[i : i + k] == value[i + k : i + 2 * k]:
-                    to = i + 2 * k
-                    while value[to : to + k] == value[i : i + k]:
-                        to += k
+                if value[i : i + k] != value[i + k : i + 2 * k]:
+                    continue
+                starts = units.setdefault((k, i % k), [])
+                # As for runs: an earlier start of the same repeats, two units or more from here.
+                if any(to >= i + 2 * k and at + math.log2((i - s + 2 * k) / (2 * k)) <= here for s, at, to in starts[-3:]):
+                    continue
+                to = i + k
+                while value[to : to + k] == value[i : i + k]:
+                    to += k
                     best[to] = min(best[to], here + SEGMENT + k * each + math.log2((to - i) // k))
+                starts.append((i, here, to))
         return min(best[n], free[n], enough)
 
 
@@ -129,7 +155,7 @@ def find(text: str, cost: GuessCost) -> list[tuple[str, int, int]]:
             lo, hi = m.span(m.lastindex)
             # The quote may be the closing one of an earlier text: names within the value count too.
             at = hi if m.lastindex == 3 else lo
-            if hi - lo >= CONTEXT_VALUE and not any(a <= lo and hi <= b for _, a, b in out) and cost(text[lo:hi], GUESSES) >= GUESSES:
+            if not any(a <= lo and hi <= b for _, a, b in out) and cost(text[lo:hi], GUESSES) >= GUESSES:
                 out.append(("guess", lo, hi))
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
