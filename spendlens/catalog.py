@@ -7,7 +7,9 @@ DataFrame. Money leaves as ``double``, counts as ``long``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ from spendlens.params import DEFAULT_PARAMS as P
 from spendlens.plans import clean_lines, platform as plat, spend_bins, unit_summary, vendors
 from spendlens.schema import canonical_to_sheet
 from spendlens.session import ensure_checkpoint_dir
-from spendlens.sinks.csv import as_csv_text, with_row_names
-from spendlens.sources import tpch_binding as tb
+from spendlens.sinks.csv import read_csv_set, write_csv, write_csv_numbered
+from spendlens.sources import files, tpch_binding as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,24 +81,47 @@ def _vendor_totals_all(spark, sf) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sources
+def _scratch(spark, name) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def q_src_po_lines(spark, sf):
-    return line_out(lines(spark, sf))
+    """The lines written as sheet exports (title lines, columns in another
+    order by file, comments that span lines) and read from them. The files
+    are as many as a million lines each need, 4 at least."""
+    path = _scratch(spark, "export")
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    tb.write_po_export(spark, sf, path, files=max(4, n // 1_000_000))
+    return line_out(files.read_po_lines_csv(spark, f"{path}/part=*"))
 
 
 def q_src_bids(spark, sf):
-    a = tb.bid_log_2017(spark, sf).withColumn("sheet", F.lit("2017"))
-    b = tb.bid_log_2018(spark, sf).withColumn("sheet", F.lit("2018"))
-    return a.unionByName(b).select("sheet", "req_id")
+    """Both bid logs written as header-less exports and read from them."""
+    out = []
+    for sheet, bid_log in (("2017", tb.bid_log_2017(spark, sf)), ("2018", tb.bid_log_2018(spark, sf))):
+        path = _scratch(spark, "bids")
+        tb.write_bid_export(bid_log, path)
+        out.append(files.read_bid_log(spark, path).select(F.lit(sheet).alias("sheet"), "req_id"))
+    return sets.union_all(*out)
 
 
 # ---------------------------------------------------------------- sinks
 def q_sink_csv(spark, sf):
-    return as_csv_text(vendors.vendor_totals(lines(spark, sf), P))
+    """The vendor totals written as a CSV set and read from it, as text."""
+    path = _scratch(spark, "csv")
+    write_csv(vendors.vendor_totals(lines(spark, sf), P), path, order_by=["vendor_rank"])
+    return read_csv_set(spark, path).drop("_line")
 
 
 def q_sink_csv_numbered(spark, sf):
+    """The spend bins written as a numbered CSV set and read from it, with
+    their types (doubles to ten decimals; the file has 15 digits)."""
+    path = _scratch(spark, "csv")
     report = spend_bins.spend_bins(lines(spark, sf), P)
-    return with_row_names(report, [level_rank("bin_level", BIN_LEVELS).asc_nulls_last()])
+    write_csv_numbered(report, path, [level_rank("bin_level", BIN_LEVELS).asc_nulls_last()])
+    back = read_csv_set(spark, path)
+    typed = [F.round(F.col(c).cast(t), 10).alias(c) if t == "double" else F.col(c).cast(t).alias(c) for c, t in report.dtypes]
+    return back.select(F.col("row_name").cast("long").alias("row_name"), *typed)
 
 
 # ---------------------------------------------------------------- projections / filters
@@ -119,8 +144,15 @@ def q_op_amount_nonneg(spark, sf):
     return line_out(lines(spark, sf).transform(filters.amount_nonneg))
 
 
+def with_nulls(df: DataFrame) -> DataFrame:
+    """PO numbers divisible by 7, and vendors and units whose names end in 3,
+    set to NULL, for the queries that show what NULL keys do."""
+    ends = lambda c: F.when(~F.col(c).endswith("3"), F.col(c)).alias(c)
+    return df.withColumns({"po_no": F.when(F.col("po_no") % 7 != 0, F.col("po_no")), "vendor": ends("vendor"), "unit": ends("unit")})
+
+
 def q_op_has_po(spark, sf):
-    return line_out(lines(spark, sf).transform(filters.not_null, "po_no"))
+    return line_out(with_nulls(lines(spark, sf)).transform(filters.not_null, "po_no"))
 
 
 def q_op_date_range(spark, sf):
@@ -133,7 +165,10 @@ def q_op_month_filter(spark, sf):
 
 
 def q_op_member_include(spark, sf):
-    return plat.buyer_list_subsets(po_table(spark, sf), P)
+    """POs of the non-inventory and of the inventory buyers, a filter each."""
+    po = po_table(spark, sf).select("po_no", "buyer", "platform")
+    kept = [po.transform(filters.keep_members, "buyer", buyers).withColumn("subset", F.lit(name)) for name, buyers in (("non_inventory", P.type_non_inventory), ("inventory", P.type_inventory))]
+    return sets.union_all(*kept)
 
 
 def q_op_member_exclude(spark, sf):
@@ -145,7 +180,10 @@ def q_op_eq_filter(spark, sf):
 
 
 def q_op_complement(spark, sf):
-    return plat.buyer_subsets(po_table(spark, sf), P)
+    """POs of the sourcing executives and of all others, NULL buyers included."""
+    po = po_table(spark, sf).select("po_no", "buyer", "platform")
+    execs, others = filters.split_members(po, "buyer", P.type_sourcing_execs)
+    return sets.union_all(execs.withColumn("subset", F.lit("sourcing_exec")), others.withColumn("subset", F.lit("other")))
 
 
 # ---------------------------------------------------------------- joins
@@ -157,22 +195,22 @@ def q_op_natural_left_join(spark, sf):
     in_a = in_period("po_date", a.start, a.end)
     ensure_checkpoint_dir(spark)
     per_unit = (
-        _status_clean(spark, sf)
+        with_nulls(_status_clean(spark, sf))
         .groupBy("unit")
         .agg(
-            F.sum("sum_amount").alias("ytd_spend"),
-            F.sum(F.when(in_a, F.col("sum_amount"))).alias("twomonth_spend"),
+            F.sum("sum_amount").alias("year_spend"),
+            F.sum(F.when(in_a, F.col("sum_amount"))).alias("period_a_spend"),
             F.count(F.when(in_a, 1)).alias("_n_a"),
         )
         .checkpoint(eager=True)
     )
-    ytd = per_unit.select("unit", "ytd_spend")
-    april = per_unit.where(F.col("_n_a") > 0).select("unit", "twomonth_spend")
+    ytd = per_unit.select("unit", "year_spend")
+    april = per_unit.where(F.col("_n_a") > 0).select("unit", "period_a_spend")
     j = joins.natural_left_join(ytd, april)
     return j.select(
         "unit",
-        F.col("ytd_spend").cast("double").alias("ytd_spend"),
-        F.col("twomonth_spend").cast("double").alias("twomonth_spend"),
+        F.col("year_spend").cast("double").alias("year_spend"),
+        F.col("period_a_spend").cast("double").alias("period_a_spend"),
     )
 
 
@@ -180,7 +218,7 @@ def q_op_left_join_nullsafe(spark, sf):
     """Distinct-PO count per vendor left-joined (NULL-safe) with spend per
     vendor; both sides from one per-vendor aggregate, checkpointed once."""
     ensure_checkpoint_dir(spark)
-    per_vendor = vendors.vendor_totals_unranked(lines(spark, sf)).checkpoint(eager=True)
+    per_vendor = vendors.vendor_totals_unranked(with_nulls(lines(spark, sf))).checkpoint(eager=True)
     counts = per_vendor.select("vendor", "num_pos")
     tot = per_vendor.select("vendor", "vendor_total")
     return joins.join_nullsafe(counts, tot, ["vendor"], "left").select("vendor", "num_pos", "vendor_total")
@@ -242,7 +280,7 @@ def q_rpt_unit_po_total(spark, sf):
 
 
 def q_op_distinct_count_per_key(spark, sf):
-    t = vendors.distinct_count_per_key(lines(spark, sf), "vendor", "po_no", "num_pos")
+    t = vendors.distinct_count_per_key(with_nulls(lines(spark, sf)), "vendor", "po_no", "num_pos")
     return t.select("vendor", F.col("num_pos").cast("long").alias("num_pos"))
 
 
@@ -284,7 +322,7 @@ def q_op_distinct_cols(spark, sf):
 
 
 def q_op_first_per_key(spark, sf):
-    return line_out(dedupe.first_per_key(lines(spark, sf), ["po_no"], ["line_id"]))
+    return line_out(dedupe.first_per_key(with_nulls(lines(spark, sf)), ["po_no"], ["line_id"]))
 
 
 # ---------------------------------------------------------------- sorts
@@ -406,6 +444,27 @@ def q_rpt_spend_bins(spark, sf):
     return spend_bins.spend_bins(lines(spark, sf), P)
 
 
+def q_rpt_spend_bins_positional(spark, sf):
+    """The bins under the status test as written, over a Parquet extract of
+    the lines: its ids are the rows' places, so nothing is sorted."""
+    path = _scratch(spark, "extract")
+    sheet = lines(spark, sf).orderBy("line_id").drop("line_id")
+    sheet.withColumnsRenamed(canonical_to_sheet("working")).write.parquet(path)
+    extract = files.read_po_lines_parquet(spark, path, layout="working")
+    return spend_bins.spend_bins(extract, replace(P, status_rule="positional", line_ids="dense"))
+
+
+def q_rpt_month_files(spark, sf):
+    """The separate month files: one month and one key each."""
+    po = po_table(spark, sf)
+    parts = [
+        plat.one_month(po, key, m).select(F.lit(m).alias("month"), F.lit(key).alias("grouped_by"), F.col(key).alias("label"), "qty_of_pos", "total_spend")
+        for m in P.report_months
+        for key in ("platform", "buyer_type")
+    ]
+    return sets.union_all(*parts)
+
+
 def q_rpt_po_platform(spark, sf):
     return plat.po_platform_report(lines(spark, sf), bids(spark, sf), P)
 

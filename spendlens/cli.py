@@ -2,7 +2,7 @@
 
     python -m spendlens.cli land --csv <export files> --out <parquet dir> [--layout working] [--preamble 1]
     python -m spendlens.cli land --parquet <extract dir> --out <parquet dir> [--layout working]
-    python -m spendlens.cli export --lines <landed dir> --bids <csv> [--bids <csv>] --out <dir>
+    python -m spendlens.cli export --lines <landed dir> --params <json> --bids <csv> [--bids <csv>] --out <dir>
 
 ``land`` reads an ERP extract once (CSV with title line, or Parquet),
 converts it to the canonical schema with file-order ``line_id`` and writes
@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     exp = sub.add_parser("export", help="write the report set as CSV")
     exp.add_argument("--lines", required=True, help="landed PO-line Parquet folder")
     exp.add_argument("--bids", action="append", default=[], help="bid-log CSV (repeatable)")
-    exp.add_argument("--params", help="JSON file of report parameters; without it, those of the test tables")
+    exp.add_argument("--params", required=True, help="JSON file of report parameters (periods, buyer lists, limits)")
     exp.add_argument("--out", required=True)
     args = ap.parse_args(argv)
 
@@ -51,11 +51,11 @@ def main(argv: list[str] | None = None) -> None:
             from spendlens.plans.export import export_reports
             from spendlens.sources.files import read_bid_log
 
-            lines = spark.read.parquet(args.lines).drop("fiscal_year")
+            # fiscal_year, the landing's folder column, stays: reports of a year read its folders only
+            lines = spark.read.parquet(args.lines)
             logs = [read_bid_log(spark, b) for b in args.bids]
             bids = plat.all_bids(*logs) if logs else spark.createDataFrame([], BID_SCHEMA)
-            params = params_from_json(args.params) if args.params else DEFAULT_PARAMS
-            export_reports(lines, bids, args.out, params)
+            export_reports(lines, bids, args.out, params_from_json(args.params))
     finally:
         spark.stop()
 

@@ -26,7 +26,7 @@ def glue(*parts) -> Column:
 
 
 def starts_with_na(col, prefix: str) -> Column:
-    """``str_detect(x, "^prefix")``: NULL for a NULL input."""
+    """Whether a text begins with ``prefix``: NULL for a NULL input."""
     return F.startswith(_c(col), F.lit(prefix))
 
 
@@ -36,8 +36,8 @@ def _grouped_text(value) -> Column:
 
 
 def count_text(value) -> Column:
-    """``format(round(x, 0), big.mark = ",")`` on one report column: every
-    value left-padded to the widest one. The width is a window over the
+    """Counts of one report column as text: rounded to whole numbers, commas
+    between thousands, every value left-padded to the widest one. The width is a window over the
     whole (report-sized) table; use only on finished reports."""
     txt = _grouped_text(value)
     width = F.max(F.length(txt)).over(Window.partitionBy())
@@ -45,5 +45,5 @@ def count_text(value) -> Column:
 
 
 def money_text(value) -> Column:
-    """``paste("$", format(round(x, 0), big.mark = ","), sep = "")``."""
+    """As ``count_text``, with a dollar sign before the padded number."""
     return F.concat(F.lit("$"), count_text(value))

@@ -34,10 +34,10 @@ NA_TEXT = "NA"
 
 # Display names of the business-unit summary columns.
 UNIT_SUMMARY_DISPLAY = {
-    "ytd_spend": "Total Spend",
-    "ytd_cnt": "Total No. of POs",
-    "twomonth_spend": "Spend in April",
-    "twomonth_cnt": "No. of POs in April",
-    "onemonth_spend": "Spend in May",
-    "onemonth_cnt": "No. of POs in May",
+    "year_spend": "Total Spend",
+    "year_pos": "Total No. of POs",
+    "period_a_spend": "Spend in April",
+    "period_a_pos": "No. of POs in April",
+    "period_b_spend": "Spend in May",
+    "period_b_pos": "No. of POs in May",
 }

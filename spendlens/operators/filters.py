@@ -32,19 +32,24 @@ def exclude_statuses_positional(
     col: str = "status",
     group_bits: int | None = None,
 ) -> DataFrame:
-    """As-written form of ``filter(Status != c(a, b, c))``: R recycles the
-    right-hand vector down the rows, so row *i* (1-based, in input order)
-    is compared with ``excluded[(i - 1) mod n]`` only.
+    """The status test as written: the list of codes is repeated down the
+    rows, so row *i* (1-based, in input order) is compared with code number
+    (i - 1) mod n only.
 
     Needs a dense row number over the whole input in ``order_by`` order,
     computed with a distributed sort (no single-partition window). When the
     single ``order_by`` column is a ``line_id`` built as group * 2^bits +
-    dense index (``group_bits``: 40 for Parquet extracts, 20 for the test
-    binding), positions come from per-group counts instead, without sorting
-    the lines.
+    dense index (``group_bits``: 20 for the test binding), positions come
+    from per-group counts instead, without sorting the lines; and when that
+    column is dense itself (``group_bits=0``: Parquet extracts, numbered from
+    their files' row counts), it is the position and the test a plain row
+    predicate. Dense ids are checked first (``require_dense``).
     """
     vals = list(excluded)
-    if group_bits is not None and len(order_by) == 1 and isinstance(order_by[0], str):
+    if group_bits == 0 and len(order_by) == 1 and isinstance(order_by[0], str):
+        require_dense(df, order_by[0])
+        numbered = df.withColumn("_pos_rn", F.col(order_by[0]))
+    elif group_bits is not None and len(order_by) == 1 and isinstance(order_by[0], str):
         numbered = positions_from_groups(df, order_by[0], group_bits, "_pos_rn")
     else:
         numbered = global_row_number(df, order_by, "_pos_rn")
@@ -55,10 +60,20 @@ def exclude_statuses_positional(
     return numbered.where(_c(col) != cycle).drop("_pos_rn")
 
 
+def require_dense(df: DataFrame, col: str) -> None:
+    """Raise unless ``col`` holds 1..n once each, as far as its count, least
+    and largest value and their sum tell (one narrow aggregate)."""
+    c = F.col(col)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count(c).alias("k"), F.min(c).alias("a"), F.max(c).alias("b"), F.sum(c.cast("decimal(20,0)")).alias("s")).first()
+    if r.n and (r.k, r.a, r.b, r.s) != (r.n, 1, r.n, r.n * (r.n + 1) // 2):
+        raise ValueError(f"{col} is not 1..{r.n}: number the rows, or leave line_ids unset")
+
+
 def status_filter(df: DataFrame, p) -> DataFrame:
     """The status exclusion of ``SpendParams`` ``p`` (``p.status_rule``)."""
     if p.status_rule == "positional":
-        return exclude_statuses_positional(df, p.excluded_statuses, ["line_id"])
+        bits = 0 if p.line_ids == "dense" else p.line_ids
+        return exclude_statuses_positional(df, p.excluded_statuses, ["line_id"], group_bits=bits)
     return exclude_statuses(df, p.excluded_statuses)
 
 
@@ -88,24 +103,29 @@ def date_range(
     return df.where(cond)
 
 
+def covered(df: DataFrame, p) -> DataFrame:
+    """The lines of ``p.year`` (all without one); on landed lines a partition filter too."""
+    return df if p.year is None else date_range(df, "po_date", p.year.start, p.year.end, p.fiscal_year_start_month)
+
+
 def month_in(df: DataFrame, col: str, months: Iterable[int]) -> DataFrame:
     """Calendar month of ``col`` in ``months``, any year."""
     return df.where(F.month(_c(col)).isin(list(months)))
 
 
 def keep_members(df: DataFrame, col: str, values: Iterable) -> DataFrame:
-    """``filter(x %in% values)``: NULL ``x`` is dropped."""
+    """Rows whose value is one of ``values``; NULL is dropped unless listed."""
     return df.where(is_member(col, values))
 
 
 def drop_members(df: DataFrame, col: str, values: Iterable) -> DataFrame:
-    """``filter(!x %in% values)``: NULL ``x`` is kept."""
+    """Rows whose value is none of ``values``; NULL is kept unless listed."""
     return df.where(not_member(col, values))
 
 
 def split_members(df: DataFrame, col: str, values: Iterable) -> tuple[DataFrame, DataFrame]:
-    """The subset ``x %in% values`` and its exact complement (NULL goes to
-    the complement); together they are the input."""
+    """The rows with one of ``values`` and all others (NULL among them);
+    together they are the input."""
     vals = list(values)
     return keep_members(df, col, vals), drop_members(df, col, vals)
 

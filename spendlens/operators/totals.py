@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.aggregates import strict_sum
 from spendlens.labels import TOTAL_LABEL
-from spendlens.operators.joins import join_nullsafe
+from spendlens.operators.joins import broadcast_if_small, join_nullsafe
+from spendlens.session import ensure_checkpoint_dir
 
 
 def group_sum(
@@ -27,26 +28,62 @@ def group_count(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFram
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+#: Rows of one key that a task may hold when group totals are attached.
+HOT_ROWS = 2_000_000
+#: Hash buckets in which rows are counted first to find the keys above that.
+HOT_BUCKETS = 1 << 16
+
+
+def hot_key_totals(df: DataFrame, keys: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Sum (``name``) and rows (``_hot_n``) of every key with more than
+    ``hot_rows`` rows, exactly, or None. Rows are counted by hash bucket (a
+    row per bucket), then by key in the full buckets alone; both combine
+    map-side and read only the keys and the value."""
+    ensure_checkpoint_dir(df.sparkSession)
+    bucketed = df.select(*keys, F.col(value).alias("_hot_v"), F.pmod(F.xxhash64(*keys), F.lit(HOT_BUCKETS)).cast("int").alias("_hot_b"))
+    full = [r[0] for r in bucketed.groupBy("_hot_b").count().where(F.col("count") > hot_rows).select("_hot_b").collect()]
+    if not full:
+        return None
+    per_key = bucketed.where(F.col("_hot_b").isin(full)).groupBy(*keys).agg(F.sum("_hot_v").alias(name), F.count(F.lit(1)).alias("_hot_n"))
+    hot = per_key.where(F.col("_hot_n") > hot_rows).checkpoint(eager=True)
+    return None if hot.isEmpty() else hot
+
+
 def attach_group_total(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     name: str,
-    strategy: str = "join",
+    strategy: str = "measured",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every row gets the sum of ``value`` over its key group (NULL key is
     one group).
 
-    ``strategy="join"`` aggregates first (partial sums before the shuffle)
-    and joins the per-key totals back on the key: a hot key can be split by
-    AQE's skew-join handling because the totals side has one row per key.
-    ``strategy="window"`` is one exchange of all rows with no map-side
-    combine; cheaper when keys are evenly spread.
+    ``strategy="measured"`` counts first (``hot_key_totals``, a narrow pass).
+    Keys of at most ``hot_rows`` rows get their sum from one window over the
+    key, so the rows are read once and meet in one exchange. The totals of
+    hotter keys come from that count by a join, and their rows are spread
+    over parts of that size in the same exchange.
+    ``strategy="join"`` aggregates and joins the totals back on the key: two
+    reads of the rows; AQE's skew join can split a hot key.
+    ``strategy="window"`` is the window alone, for keys known to be even.
     """
     if strategy == "window":
         return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys)))
-    totals = df.groupBy(*keys).agg(F.sum(value).alias(name))
-    return join_nullsafe(df, totals, keys, "left")
+    if strategy == "join":
+        totals = df.groupBy(*keys).agg(F.sum(value).alias(name))
+        return join_nullsafe(df, totals, keys, "left")
+    hot = hot_key_totals(df, keys, value, "_hot_sum", hot_rows)
+    if hot is None:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys)))
+    known = join_nullsafe(df, broadcast_if_small(hot), keys, "left")
+    parts = F.ceil(F.col("_hot_n") / hot_rows)
+    spread = F.when(F.col("_hot_n").isNotNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), parts))
+    own = F.sum(value).over(Window.partitionBy(*keys, "_hot_part"))
+    out = known.withColumn("_hot_part", spread).withColumn("_hot_own", own)
+    total = F.when(F.col("_hot_n").isNotNull(), F.col("_hot_sum")).otherwise(F.col("_hot_own"))
+    return out.withColumn(name, total).drop("_hot_part", "_hot_own", "_hot_sum", "_hot_n")
 
 
 def pct_of_total(df: DataFrame, value: str, name: str) -> DataFrame:

@@ -46,6 +46,7 @@ po_lines AS (
       ELSE CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * 0.1 AS DECIMAL(18,3))
     END AS sum_amount,
     CAST(o.o_orderdate AS DATE) AS po_date,
+    CAST(o.o_orderdate AS DATE) + CAST(l.l_linenumber AS INTEGER) AS last_day,
     CASE WHEN c.c_nationkey = 24 THEN NULL ELSE 'B' || CAST(c.c_nationkey AS VARCHAR) END AS buyer,
     CASE
       WHEN starts_with(p.p_name, 'small') THEN 'L1A'
@@ -78,6 +79,15 @@ bids18 AS (
 bid_set AS (SELECT DISTINCT req_id FROM (SELECT * FROM bids17 UNION ALL SELECT * FROM bids18))
 """
 
+# The lines with NULL keys.
+NULLED = """
+nulled AS (
+  SELECT * REPLACE (CASE WHEN po_no % 7 <> 0 THEN po_no END AS po_no,
+                    CASE WHEN NOT ends_with(vendor, '3') THEN vendor END AS vendor,
+                    CASE WHEN NOT ends_with(unit, '3') THEN unit END AS unit)
+  FROM po_lines
+)"""
+
 LINE_COLS = (
     "po_no, unit, status, CAST(sum_amount AS DOUBLE) AS sum_amount, po_date, buyer, level_1, "
     "level_2, origin, req_id, bid_category, vendor, quote_link"
@@ -150,17 +160,17 @@ b_clean AS (SELECT * FROM clean WHERE po_date >= {B_START} AND po_date < {B_END}
 b_first AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY po_no ORDER BY ord) rn FROM b_clean) WHERE rn = 1
 ),
-ytd_amt AS (SELECT unit, SUM(sum_amount) AS ytd_spend FROM clean GROUP BY unit),
-ytd_cnt AS (SELECT unit, COUNT(*) AS ytd_cnt FROM firsts GROUP BY unit),
-a_amt AS (SELECT unit, SUM(sum_amount) AS twomonth_spend FROM a_clean GROUP BY unit),
-a_cnt AS (SELECT unit, COUNT(*) AS twomonth_cnt FROM a_first GROUP BY unit),
-b_amt AS (SELECT unit, SUM(sum_amount) AS onemonth_spend FROM b_clean GROUP BY unit),
-b_cnt AS (SELECT unit, COUNT(*) AS onemonth_cnt FROM b_first GROUP BY unit),
+ytd_amt AS (SELECT unit, SUM(sum_amount) AS year_spend FROM clean GROUP BY unit),
+year_pos AS (SELECT unit, COUNT(*) AS year_pos FROM firsts GROUP BY unit),
+a_amt AS (SELECT unit, SUM(sum_amount) AS period_a_spend FROM a_clean GROUP BY unit),
+a_cnt AS (SELECT unit, COUNT(*) AS period_a_pos FROM a_first GROUP BY unit),
+b_amt AS (SELECT unit, SUM(sum_amount) AS period_b_spend FROM b_clean GROUP BY unit),
+b_cnt AS (SELECT unit, COUNT(*) AS period_b_pos FROM b_first GROUP BY unit),
 joined AS (
-  SELECT y.unit, y.ytd_spend, yc.ytd_cnt, a.twomonth_spend, ac.twomonth_cnt,
-         b.onemonth_spend, bc.onemonth_cnt
+  SELECT y.unit, y.year_spend, yc.year_pos, a.period_a_spend, ac.period_a_pos,
+         b.period_b_spend, bc.period_b_pos
   FROM ytd_amt y
-  LEFT JOIN ytd_cnt yc ON y.unit IS NOT DISTINCT FROM yc.unit
+  LEFT JOIN year_pos yc ON y.unit IS NOT DISTINCT FROM yc.unit
   LEFT JOIN a_amt a ON y.unit IS NOT DISTINCT FROM a.unit
   LEFT JOIN a_cnt ac ON y.unit IS NOT DISTINCT FROM ac.unit
   LEFT JOIN b_amt b ON y.unit IS NOT DISTINCT FROM b.unit
@@ -168,18 +178,18 @@ joined AS (
 ),
 filled AS (
   SELECT unit,
-         COALESCE(ytd_spend, 0) AS ytd_spend, COALESCE(ytd_cnt, 0) AS ytd_cnt,
-         COALESCE(twomonth_spend, 0) AS twomonth_spend, COALESCE(twomonth_cnt, 0) AS twomonth_cnt,
-         COALESCE(onemonth_spend, 0) AS onemonth_spend, COALESCE(onemonth_cnt, 0) AS onemonth_cnt
+         COALESCE(year_spend, 0) AS year_spend, COALESCE(year_pos, 0) AS year_pos,
+         COALESCE(period_a_spend, 0) AS period_a_spend, COALESCE(period_a_pos, 0) AS period_a_pos,
+         COALESCE(period_b_spend, 0) AS period_b_spend, COALESCE(period_b_pos, 0) AS period_b_pos
   FROM joined
 ),
 with_total AS (
-  SELECT unit, ytd_spend, ytd_cnt, twomonth_spend, twomonth_cnt, onemonth_spend, onemonth_cnt,
+  SELECT unit, year_spend, year_pos, period_a_spend, period_a_pos, period_b_spend, period_b_pos,
          false AS is_total
   FROM filled
   UNION ALL
-  SELECT 'Total', SUM(ytd_spend), SUM(ytd_cnt), SUM(twomonth_spend), SUM(twomonth_cnt),
-         SUM(onemonth_spend), SUM(onemonth_cnt), true
+  SELECT 'Total', SUM(year_spend), SUM(year_pos), SUM(period_a_spend), SUM(period_a_pos),
+         SUM(period_b_spend), SUM(period_b_pos), true
   FROM filled
 )
 """
@@ -215,7 +225,7 @@ ALL_VENDOR_TOTALS = """
 avt AS (SELECT vendor, CAST(SUM(sum_amount) AS DOUBLE) AS vendor_total FROM po_lines GROUP BY vendor)
 """
 
-ASOF = "(SELECT MAX(po_date) FROM po_lines)"
+ASOF = "(SELECT MAX(last_day) FROM po_lines)"
 
 
 def _q(ctes: str, final: str) -> str:
@@ -244,6 +254,12 @@ ORACLE: dict[str, str] = {
     "src_po_lines": _q("", f"SELECT {LINE_COLS} FROM po_lines"),
     "src_bids": _q("", "SELECT '2017' AS sheet, req_id FROM bids17 UNION ALL SELECT '2018', req_id FROM bids18"),
     # ---------------------------------------------------------- sinks
+    "sink_csv": _q(
+        VENDOR_CTES,
+        """SELECT vendor, CAST(num_pos AS VARCHAR) AS num_pos, format('{:.15g}', vendor_total) AS vendor_total,
+                  format('{:.15g}', vendor_total_mm) AS vendor_total_mm, CAST(vendor_rank AS VARCHAR) AS vendor_rank
+           FROM vranked""",
+    ),
     "sink_csv_numbered": _q(
         BIN_CTES + """,
         b AS (
@@ -254,9 +270,9 @@ ORACLE: dict[str, str] = {
         g AS (SELECT bin_level, COUNT(*) AS cnt, SUM(t) AS spend FROM b GROUP BY bin_level)""",
         """SELECT row_number() OVER (ORDER BY CASE bin_level WHEN 'Micro' THEN 1 WHEN 'Small' THEN 2
                                                    WHEN 'Large' THEN 3 END NULLS LAST) AS row_name,
-                  bin_level, cnt, cnt / SUM(cnt) OVER () * 100 AS pct_cnt,
-                  CAST(spend AS DOUBLE) AS spend,
-                  CAST(spend AS DOUBLE) / CAST(SUM(spend) OVER () AS DOUBLE) * 100 AS pct_spend
+                  bin_level, cnt, round(cnt / SUM(cnt) OVER () * 100, 10) AS pct_cnt,
+                  round(CAST(spend AS DOUBLE), 10) AS spend,
+                  round(CAST(spend AS DOUBLE) / CAST(SUM(spend) OVER () AS DOUBLE) * 100, 10) AS pct_spend
            FROM g""",
     ),
     # ---------------------------------------------------------- projections / filters
@@ -276,7 +292,7 @@ ORACLE: dict[str, str] = {
                                          CAST(((ord - 1) % {len(P.excluded_statuses)}) + 1 AS INTEGER))""",
     ),
     "op_amount_nonneg": _q("", f"SELECT {LINE_COLS} FROM po_lines WHERE sum_amount >= 0"),
-    "op_has_po": _q("", f"SELECT {LINE_COLS} FROM po_lines WHERE po_no IS NOT NULL"),
+    "op_has_po": _q(NULLED, f"SELECT {LINE_COLS} FROM nulled WHERE po_no IS NOT NULL"),
     "op_date_range": _q("", f"SELECT {LINE_COLS} FROM po_lines WHERE po_date >= {A_START} AND po_date < {A_END}"),
     "op_month_filter": _q("", f"SELECT {LINE_COLS} FROM po_lines WHERE month(po_date) = {P.report_months[0]}"),
     "op_member_include": _q(
@@ -298,16 +314,18 @@ ORACLE: dict[str, str] = {
     ),
     # ---------------------------------------------------------- joins
     "op_natural_left_join": _q(
-        f"""clean AS (SELECT * FROM po_lines WHERE {STATUS_OK}),
-        y AS (SELECT unit, SUM(sum_amount) AS ytd_spend FROM clean GROUP BY unit),
-        a AS (SELECT unit, SUM(sum_amount) AS twomonth_spend FROM clean
+        NULLED + f""",
+        clean AS (SELECT * FROM nulled WHERE {STATUS_OK}),
+        y AS (SELECT unit, SUM(sum_amount) AS year_spend FROM clean GROUP BY unit),
+        a AS (SELECT unit, SUM(sum_amount) AS period_a_spend FROM clean
               WHERE po_date >= {A_START} AND po_date < {A_END} GROUP BY unit)""",
-        """SELECT y.unit, CAST(y.ytd_spend AS DOUBLE) AS ytd_spend, CAST(a.twomonth_spend AS DOUBLE) AS twomonth_spend
+        """SELECT y.unit, CAST(y.year_spend AS DOUBLE) AS year_spend, CAST(a.period_a_spend AS DOUBLE) AS period_a_spend
            FROM y LEFT JOIN a ON y.unit IS NOT DISTINCT FROM a.unit""",
     ),
     "op_left_join_nullsafe": _q(
-        """n AS (SELECT vendor, COUNT(*) AS num_pos FROM (SELECT DISTINCT po_no, vendor FROM po_lines) GROUP BY vendor),
-        t AS (SELECT vendor, CAST(SUM(sum_amount) AS DOUBLE) AS vendor_total FROM po_lines GROUP BY vendor)""",
+        NULLED + """,
+        n AS (SELECT vendor, COUNT(*) AS num_pos FROM (SELECT DISTINCT po_no, vendor FROM nulled) GROUP BY vendor),
+        t AS (SELECT vendor, CAST(SUM(sum_amount) AS DOUBLE) AS vendor_total FROM nulled GROUP BY vendor)""",
         """SELECT n.vendor, n.num_pos, t.vendor_total
            FROM n LEFT JOIN t ON n.vendor IS NOT DISTINCT FROM t.vendor""",
     ),
@@ -352,14 +370,14 @@ ORACLE: dict[str, str] = {
             FROM po_lines WHERE {STATUS_OK} AND sum_amount >= 0 GROUP BY unit, po_no""",
     ),
     "op_distinct_count_per_key": _q(
-        "", "SELECT vendor, COUNT(*) AS num_pos FROM (SELECT DISTINCT po_no, vendor FROM po_lines) GROUP BY vendor"
+        NULLED, "SELECT vendor, COUNT(*) AS num_pos FROM (SELECT DISTINCT po_no, vendor FROM nulled) GROUP BY vendor"
     ),
     "op_first_attributed_count": _q(
         f"clean AS (SELECT * FROM po_lines WHERE {STATUS_OK})",
         f"SELECT unit, COUNT(*) AS po_count FROM {_first_lines('clean')} GROUP BY unit",
     ),
     "op_as_of_dates": _q(
-        "as_of AS (SELECT MAX(po_date) AS d FROM po_lines)",
+        "as_of AS (SELECT MAX(last_day) AS d FROM po_lines)",
         f"""SELECT d AS as_of_date,
                    CAST(d - INTERVAL 1 MONTH AS DATE) AS last_month,
                    CAST(d - INTERVAL 2 MONTH AS DATE) AS two_months_ago,
@@ -388,7 +406,7 @@ ORACLE: dict[str, str] = {
            FROM po_lines""",
     ),
     "op_distinct_cols": _q("", "SELECT DISTINCT level_1, level_2 FROM po_lines"),
-    "op_first_per_key": _q("", f"SELECT {LINE_COLS} FROM {_first_lines()}"),
+    "op_first_per_key": _q(NULLED, f"SELECT {LINE_COLS} FROM {_first_lines('nulled')}"),
     # ---------------------------------------------------------- sorts
     "op_sort_asc": _q(
         ALL_VENDOR_TOTALS,
@@ -416,9 +434,9 @@ ORACLE: dict[str, str] = {
     "op_buyer_class": _q("", f"SELECT po_no, buyer, {BUYER_CLASS_CASE} AS buyer_classification FROM po_lines"),
     "op_fill_zero": _q(
         UNIT_CTES,
-        """SELECT unit, CAST(ytd_spend AS DOUBLE) AS ytd_spend, CAST(ytd_cnt AS BIGINT) AS ytd_cnt,
-                  CAST(twomonth_spend AS DOUBLE) AS twomonth_spend, CAST(twomonth_cnt AS BIGINT) AS twomonth_cnt,
-                  CAST(onemonth_spend AS DOUBLE) AS onemonth_spend, CAST(onemonth_cnt AS BIGINT) AS onemonth_cnt
+        """SELECT unit, CAST(year_spend AS DOUBLE) AS year_spend, CAST(year_pos AS BIGINT) AS year_pos,
+                  CAST(period_a_spend AS DOUBLE) AS period_a_spend, CAST(period_a_pos AS BIGINT) AS period_a_pos,
+                  CAST(period_b_spend AS DOUBLE) AS period_b_spend, CAST(period_b_pos AS BIGINT) AS period_b_pos
            FROM filled""",
     ),
     "op_fill_label": _q(
@@ -482,21 +500,21 @@ ORACLE: dict[str, str] = {
     ),
     "rpt_unit_summary": _q(
         UNIT_CTES,
-        """SELECT unit, CAST(ytd_spend AS DOUBLE) AS ytd_spend, CAST(ytd_cnt AS BIGINT) AS ytd_cnt,
-                  CAST(twomonth_spend AS DOUBLE) AS twomonth_spend, CAST(twomonth_cnt AS BIGINT) AS twomonth_cnt,
-                  CAST(onemonth_spend AS DOUBLE) AS onemonth_spend, CAST(onemonth_cnt AS BIGINT) AS onemonth_cnt,
+        """SELECT unit, CAST(year_spend AS DOUBLE) AS year_spend, CAST(year_pos AS BIGINT) AS year_pos,
+                  CAST(period_a_spend AS DOUBLE) AS period_a_spend, CAST(period_a_pos AS BIGINT) AS period_a_pos,
+                  CAST(period_b_spend AS DOUBLE) AS period_b_spend, CAST(period_b_pos AS BIGINT) AS period_b_pos,
                   is_total
            FROM with_total""",
     ),
     "rpt_unit_summary_display": _q(
         UNIT_CTES,
         f"""SELECT unit,
-                   {_money_text('ytd_spend')} AS "Total Spend",
-                   {_count_text('ytd_cnt')} AS "Total No. of POs",
-                   {_money_text('twomonth_spend')} AS "Spend in April",
-                   {_count_text('twomonth_cnt')} AS "No. of POs in April",
-                   {_money_text('onemonth_spend')} AS "Spend in May",
-                   {_count_text('onemonth_cnt')} AS "No. of POs in May"
+                   {_money_text('year_spend')} AS "Total Spend",
+                   {_count_text('year_pos')} AS "Total No. of POs",
+                   {_money_text('period_a_spend')} AS "Spend in April",
+                   {_count_text('period_a_pos')} AS "No. of POs in April",
+                   {_money_text('period_b_spend')} AS "Spend in May",
+                   {_count_text('period_b_pos')} AS "No. of POs in May"
             FROM with_total""",
     ),
     "rpt_spend_bin_flag": _q(
@@ -515,6 +533,29 @@ ORACLE: dict[str, str] = {
                   CAST(spend AS DOUBLE) / CAST(SUM(spend) OVER () AS DOUBLE) * 100 AS pct_spend
            FROM g""",
     ),
+    "rpt_spend_bins_positional": _q(
+        f"""kept AS (
+          SELECT * FROM po_lines
+          WHERE status <> list_extract({_in(P.excluded_statuses).replace('(', '[').replace(')', ']')},
+                                       CAST(((ord - 1) % {len(P.excluded_statuses)}) + 1 AS INTEGER))),
+        t AS (SELECT po_no, SUM(sum_amount) AS t FROM kept WHERE sum_amount >= 0 AND po_no IS NOT NULL GROUP BY po_no),
+        b AS (SELECT CASE WHEN t <= {P.micro_max} THEN 'Micro' WHEN t < {P.large_min} THEN 'Small'
+                          WHEN t >= {P.large_min} THEN 'Large' END AS bin_level, t FROM t),
+        g AS (SELECT bin_level, COUNT(*) AS cnt, SUM(t) AS spend FROM b GROUP BY bin_level)""",
+        """SELECT bin_level, cnt, cnt / SUM(cnt) OVER () * 100 AS pct_cnt, CAST(spend AS DOUBLE) AS spend,
+                  CAST(spend AS DOUBLE) / CAST(SUM(spend) OVER () AS DOUBLE) * 100 AS pct_spend
+           FROM g""",
+    ),
+    "rpt_month_files": _q(
+        PO_CTES,
+        " UNION ALL ".join(
+            f"""SELECT {m} AS month, '{key}' AS grouped_by, {key} AS label, COUNT(*) AS qty_of_pos,
+                       CAST(SUM(amt) AS DOUBLE) AS total_spend
+                FROM po WHERE month(po_date) = {m} GROUP BY {key}"""
+            for m in P.report_months
+            for key in ("platform", "buyer_type")
+        ),
+    ),
     "rpt_po_platform": _q(
         PO_CTES,
         """SELECT po_no, CAST(amt AS DOUBLE) AS amt, buyer, unit, origin, req_id, vendor, quote_link, po_date, platform

@@ -35,6 +35,15 @@ class SpendParams:
     # line_id order.
     excluded_statuses: tuple[str, ...] = ("O", "P", "PX")
     status_rule: str = "set"
+    # How line_id gives a line's position for the positional rule. "dense":
+    # ids are 1..n over the whole input (what the Parquet reader gives), so
+    # the id is the position; a number of bits: ids are group * 2^bits + dense
+    # index (the test binding); None: any ids, the lines are sorted by them.
+    line_ids: str | int | None = None
+
+    # Days that the reports cover (None: all). On lines landed by fiscal year
+    # only the folders of these days are read.
+    year: Period | None = None
 
     # Two reporting periods of the business-unit summary (April, May).
     period_a: Period = Period("april", dt.date(1998, 4, 1), dt.date(1998, 5, 1))
@@ -44,7 +53,7 @@ class SpendParams:
 
     # Column whose maximum is the as-of date of the trailing-month flags,
     # or a fixed as-of date (no pass over the lines for it).
-    as_of_column: str = "po_date"
+    as_of_column: str = "last_dttm"
     as_of_date: dt.date | None = None
     fiscal_year_start_month: int = 7
 
@@ -103,7 +112,7 @@ def params_from_json(path: str) -> SpendParams:
         raise ValueError(f"unknown parameters: {sorted(given.keys() - known)}")
 
     def value(name, v):
-        if name in ("period_a", "period_b"):
+        if name in ("period_a", "period_b", "year") and v is not None:
             return Period(v["label"], dt.date.fromisoformat(v["start"]), dt.date.fromisoformat(v["end"]))
         if name == "as_of_date" and v is not None:
             return dt.date.fromisoformat(v)

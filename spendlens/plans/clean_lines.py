@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.classify import buyer_class, explicit_taxonomy
 from spendlens.functions.dates import fiscal_year_start, months_before, years_before
-from spendlens.operators.filters import amount_nonneg, status_filter
+from spendlens.operators.filters import amount_nonneg, covered, status_filter
 from spendlens.operators.joins import broadcast_if_small
 from spendlens.operators.totals import attach_group_total
 from spendlens.params import DEFAULT_PARAMS, SpendParams
@@ -120,6 +120,7 @@ def clean_po_lines(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFra
     The lookup is broadcast after an exact size check (the checkpoint keeps
     the aggregate's huge size estimate, so the planner would not).
     """
+    lines = covered(lines, p)
     ensure_checkpoint_dir(lines.sparkSession)
     # one row per level_2: broadcast after an exact row count, else a join
     lookups = broadcast_if_small(line_lookups(lines, p).checkpoint(eager=True))

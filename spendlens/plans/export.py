@@ -12,6 +12,8 @@ As a job: ``python -m spendlens.cli export`` (see ``spendlens.cli``).
 
 from __future__ import annotations
 
+import calendar
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -47,8 +49,11 @@ def report_set(
         ),
         "platform_summary": (lambda: plat.platform_summary(po), _asc("platform"), True),
         "buyer_type_summary": (lambda: plat.buyer_type_summary(po), _asc("buyer_type"), True),
-        "month_buyer_type": (lambda: plat.month_summary(po, "buyer_type", p), _asc("month", "buyer_type"), True),
-        "month_platform": (lambda: plat.month_summary(po, "platform", p), _asc("month", "platform"), True),
+        **{
+            f"{calendar.month_abbr[m].lower()}_{key}": (functools.partial(plat.one_month, po, key, m), _asc(key), True)
+            for m in p.report_months
+            for key in ("platform", "buyer_type")
+        },
         "vendors_by_platform": (lambda: plat.vendors_by_platform(po), _asc("platform"), True),
         "uncategorized_size": (lambda: plat.uncategorized_size(po, p), _asc("size"), True),
         "platform_under_limit": (lambda: plat.platform_under_limit(po, p), _asc("platform"), True),

@@ -26,7 +26,7 @@ from spendlens import labels as L
 from spendlens.functions.classify import buyer_type, platform, size_label
 from spendlens.functions.dates import month_label
 from spendlens.functions.membership import is_member, not_member
-from spendlens.operators.filters import month_in
+from spendlens.operators.filters import covered, month_in
 from spendlens.operators.joins import flag_exists
 from spendlens.operators.sets import union_distinct
 from spendlens.params import DEFAULT_PARAMS, SpendParams
@@ -54,7 +54,7 @@ def all_bids(*bid_logs: DataFrame) -> DataFrame:
 
 def po_platform(lines: DataFrame, bids: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
     """Per-PO platform table (``amt`` kept as exact decimal)."""
-    per_po = po_rows(lines)
+    per_po = po_rows(covered(lines, p))
     flagged = flag_exists(per_po, "req_id", bids, "req_id", "in_bid_log")
     return flagged.withColumn(
         "platform", platform("origin", "in_bid_log", "quote_link", p)
@@ -138,6 +138,11 @@ def month_summary(po: DataFrame, key: str, p: SpendParams = DEFAULT_PARAMS) -> D
     )
 
 
+def one_month(po: DataFrame, key: str, month: int) -> DataFrame:
+    """One calendar month (any year): ``key`` -> PO count, spend."""
+    return _count_spend(po.transform(month_in, "po_date", [month]), key)
+
+
 def po_extract(po: DataFrame) -> DataFrame:
     """Slim per-PO extract."""
     return _out(po).select("platform", "po_no", "amt", "buyer", "origin", "unit", "vendor")

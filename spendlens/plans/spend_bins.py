@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.classify import spend_bin
 from spendlens.functions.ordering import level_rank
 from spendlens.labels import BIN_LEVELS
-from spendlens.operators.filters import amount_nonneg, status_filter, not_null
+from spendlens.operators.filters import amount_nonneg, covered, not_null, status_filter
 from spendlens.operators.ordering import sort_report
 from spendlens.operators.totals import pct_of_total
 from spendlens.params import DEFAULT_PARAMS, SpendParams
@@ -25,7 +25,8 @@ def po_totals_for_bins(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> Dat
     # The status test goes first: with the positional rule, positions are
     # those of the rows the filter receives (all lines).
     clean = (
-        lines.transform(status_filter, p)
+        lines.transform(covered, p)
+        .transform(status_filter, p)
         .transform(amount_nonneg)
         .transform(not_null, "po_no")
     )

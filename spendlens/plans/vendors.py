@@ -3,7 +3,8 @@
 One ``groupBy(vendor)`` computes both the spend and the distinct PO count
 (Spark plans a single distinct aggregate as a two-level aggregation keyed
 by (vendor, po_no) first, so a vendor with many lines is combined
-map-side). The rank is a dense row number over a distributed sort.
+map-side). Ranks come from a histogram of the totals and a sort within its
+bins (``rank_by_bins``).
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.operators.filters import drop_members, equals
-from spendlens.operators.ordering import global_row_number
+from spendlens.operators.filters import covered, drop_members, equals
+from spendlens.operators.ordering import rank_by_bins
 from spendlens.params import DEFAULT_PARAMS, SpendParams
 
 
@@ -28,7 +29,7 @@ def distinct_count_per_key(df: DataFrame, key: str, counted: str, name: str) ->
 def vendor_lines(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
     """Lines of the vendor report: one unit, excluded buyers removed (a NULL
     buyer is kept)."""
-    return lines.transform(drop_members, "buyer", p.vendor_excluded_buyers).transform(
+    return lines.transform(covered, p).transform(drop_members, "buyer", p.vendor_excluded_buyers).transform(
         equals, "unit", p.vendor_unit
     )
 
@@ -49,14 +50,12 @@ def vendor_totals(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFram
     """Vendor -> distinct PO count, total, total in millions, rank (1 =
     largest total; ties by vendor name; NULL totals last)."""
     t = vendor_totals_unranked(vendor_lines(lines, p))
-    return global_row_number(
-        t,
-        [F.col("vendor_total").desc_nulls_last(), F.col("vendor").asc_nulls_last()],
-        "vendor_rank",
-    )
+    return rank_by_bins(t, "vendor_total", ["vendor"], "vendor_rank")
 
 
 def top_vendors(lines: DataFrame, p: SpendParams = DEFAULT_PARAMS) -> DataFrame:
-    """Vendors whose total reaches ``vendor_min_total_mm`` million (rank
-    kept from the full table)."""
-    return vendor_totals(lines, p).where(F.col("vendor_total_mm") >= p.vendor_min_total_mm)
+    """Vendors whose total reaches ``vendor_min_total_mm`` million, with
+    their rank in the full table: all vendors with larger totals reach it
+    too, so only those that do are ranked."""
+    t = vendor_totals_unranked(vendor_lines(lines, p)).where(F.col("vendor_total_mm") >= p.vendor_min_total_mm)
+    return rank_by_bins(t, "vendor_total", ["vendor"], "vendor_rank")

@@ -6,11 +6,11 @@ CSV exports or Parquet; Excel decoding is not built. Every reader returns
 the canonical schema (``schema.PO_LINE_SCHEMA``) with ``line_id`` encoding
 the input row order, which order-dependent operators need:
 
-* Parquet: ``line_id = file_rank * 2^40 + _metadata.row_index``; no
-  shuffle, only a per-file rank (one row per file, broadcast).
-* CSV: lines are read as text with their file, split start and read
-  position, numbered densely in that order from per-split counts (no sort),
-  the title and header lines of each file dropped, the rest parsed with
+* Parquet: ``line_id`` = rows of earlier files + row index + 1, from row
+  counts per file; no shuffle of the rows.
+* CSV: lines are read as text and cut into records in parallel
+  (``csv_records``: numbers and quote state from per-split counts, no sort);
+  each file's own header maps its columns; records are parsed with
   ``from_csv`` (JVM side).
 
 Preferred at scale: land a CSV export once as Parquet (``land_parquet``)
@@ -19,15 +19,17 @@ and run the reports on the Parquet copy.
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.session import ensure_checkpoint_dir
+from spendlens.operators.joins import broadcast_if_small
 from spendlens.schema import PO_LINE_SCHEMA, SHEET_LAYOUTS
-
-ROW_INDEX_BITS = 40
-
+from spendlens.session import ensure_checkpoint_dir
+from spendlens.sources.csv_records import csv_records, parse_fields, read_lines
 
 def canonicalize(df: DataFrame, layout: str | None = None) -> DataFrame:
     """Rename sheet headers to canonical names (absent names are skipped,
@@ -52,120 +54,100 @@ def canonicalize(df: DataFrame, layout: str | None = None) -> DataFrame:
     return df.select(*cols, *[c for c in df.columns if c.startswith("_ord_")])
 
 
-def _file_ranks(df: DataFrame, path_col: str) -> DataFrame:
-    """Dense rank of each input file by path: one row per file, so the
-    window and the broadcast are bounded by the file count."""
-    files = df.select(F.col(path_col).alias("_rk_path")).distinct()
-    return files.withColumn("_rk", F.row_number().over(Window.orderBy("_rk_path")) - 1)
-
-
 def read_po_lines_parquet(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
-    """PO lines from Parquet files (sheet headers or canonical names)."""
+    """PO lines from Parquet files (sheet headers or canonical names).
+
+    ``line_id`` is the row's place, 1..n, in all files by path. Rows per file
+    are counted without reading a column (the files' footers have them); the
+    running sum is over one row per file. So ids are dense and positions need
+    no sort (``SpendParams(line_ids="dense")``)."""
     raw = spark.read.parquet(path)
-    tagged = raw.select(
-        "*",
-        F.col("_metadata.file_path").alias("_ord_file"),
-        F.col("_metadata.row_index").alias("_ord_row"),
-    )
-    ranks = _file_ranks(tagged, "_ord_file")
-    with_rank = tagged.join(F.broadcast(ranks), tagged["_ord_file"] == ranks["_rk_path"])
-    line_id = F.shiftleft(F.col("_rk").cast("long"), ROW_INDEX_BITS) + F.col("_ord_row")
-    out = canonicalize(with_rank.withColumn("_ord_line", line_id), layout)
+    ensure_checkpoint_dir(spark)
+    file = F.col("_metadata.file_path").alias("_ord_file")
+    counts = raw.select(file).groupBy("_ord_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_ord_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_ord_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")).checkpoint(eager=True)
+    tagged = raw.select("*", file, F.col("_metadata.row_index").alias("_ord_row"))
+    line_id = F.col("_off") + F.col("_ord_row") + 1
+    out = canonicalize(tagged.join(broadcast_if_small(offsets), "_ord_file").withColumn("_ord_line", line_id), layout)
     return out.select(F.col("_ord_line").alias("line_id"), *[c for c in out.columns if not c.startswith("_ord_")])
 
 
+#: Different header lines that one read may meet (each is parsed on the driver).
+MAX_HEADERS = 1_000
+#: Canonical columns that the reports can't do without.
+REQUIRED_COLUMNS = ("po_no", "unit", "status", "sum_amount", "po_date")
+
+
 def read_po_lines_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     layout: str = "working",
     preamble_lines: int = 1,
     null_value: str = "",
+    required: Sequence[str] = REQUIRED_COLUMNS,
+    bad_rows: str = "error",
 ) -> DataFrame:
     """PO lines from CSV exports whose first ``preamble_lines`` lines are a
     title, followed by the header row (``read_excel(skip = 1)``).
 
-    The CSV reader has no skip option, so lines are read as text: the first
-    ``preamble_lines + 1`` lines of each file (title and header) are
-    dropped using the per-file minimum read position of the file's first
-    split, and each remaining line is parsed with ``from_csv``. Quoted
-    fields must not contain line breaks.
+    Files are split and their records cut in parallel (``csv_records``), so
+    quoted fields may hold line breaks. Each file's own header names its
+    columns: files may order them differently or have more of them. A file
+    without a ``required`` column, or without a header, is an error; other
+    canonical columns that it lacks are NULL. ``bad_rows``: a record whose
+    number of fields differs from its header's is an error, or with "null" a
+    row of NULLs.
     """
-    text = spark.read.text(path).select(
-        F.col("value"),
-        F.col("_metadata.file_path").alias("_ord_file"),
-        F.col("_metadata.file_block_start").alias("_ord_block"),
-        F.monotonically_increasing_id().alias("_ord_pos"),
-    )
-    # Header names: the first lines of one file, read on the driver (all
-    # files of an export share the header).
-    first_file = sorted(text.inputFiles())[0]
-    return parse_csv_lines(text, first_file, layout, preamble_lines, null_value)
+    return parse_csv_lines(read_lines(spark, path), layout, preamble_lines, null_value, required, bad_rows)
+
+
+def column_map(header: str, layout: str | None, required: Sequence[str] = REQUIRED_COLUMNS) -> tuple[int, list[int]]:
+    """Number of columns of a header record, and of each canonical column
+    (without ``line_id``) its place there, -1 if it is absent."""
+    names = next(csv.reader([header.removeprefix("\ufeff")]))
+    known = SHEET_LAYOUTS[layout] if layout else {}
+    canonical = [known.get(n.strip(), n.strip()) for n in names]
+    wanted = [f.name for f in PO_LINE_SCHEMA.fields if f.name != "line_id"]
+    missing = [c for c in required if c not in canonical]
+    twice = [c for c in wanted if canonical.count(c) > 1]
+    if missing or twice:
+        problem = f"lacks {missing}" if missing else f"has more than one {twice}"
+        raise ValueError(f"the header {header!r} {problem}")
+    return len(names), [canonical.index(c) if c in canonical else -1 for c in wanted]
 
 
 def parse_csv_lines(
     text: DataFrame,
-    header_file: str,
-    layout: str = "working",
+    layout: str | None = "working",
     preamble_lines: int = 1,
     null_value: str = "",
+    required: Sequence[str] = REQUIRED_COLUMNS,
+    bad_rows: str = "error",
 ) -> DataFrame:
-    """Canonical PO lines from text lines tagged with ``_ord_file``,
-    ``_ord_block`` and ``_ord_pos`` (read order); ``line_id`` is the dense
-    line number in read order (title and header numbers are skipped)."""
+    """Canonical PO lines from text lines tagged by ``csv_records.tag_lines``;
+    ``line_id`` is the number of a record's first line in read order."""
     spark = text.sparkSession
-    # only the split starting at byte 0 holds the title and header (splits
-    # of one file are not read in file order)
-    head = (
-        spark.read.text(header_file)
-        .where(F.col("_metadata.file_block_start") == 0)
-        .limit(preamble_lines + 1)
-        .collect()
-    )
-    names = _split_header(head[preamble_lines]["value"])
-    ddl = ", ".join(f"`c{i}` string" for i in range(len(names)))
-
-    numbered = number_in_read_order(text)
-    firsts = numbered.groupBy("_ord_file").agg(F.min("_ord_line").alias("_ord_first"))
-    body = numbered.join(F.broadcast(firsts), "_ord_file").where(
-        F.col("_ord_line") >= F.col("_ord_first") + preamble_lines + 1
-    )
-    parsed = body.select(
-        F.col("_ord_line"),
-        F.from_csv("value", ddl, {"nullValue": null_value, "emptyValue": null_value}).alias("r"),
-    )
-    cols = [F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]
-    typed = canonicalize(parsed.select("_ord_line", *cols), layout)
-    return typed.select(F.col("_ord_line").alias("line_id"), *[c for c in typed.columns if not c.startswith("_ord_")])
-
-
-def number_in_read_order(text: DataFrame) -> DataFrame:
-    """Dense 1..n ``_ord_line`` in (file, split start, read position) order
-    without sorting the lines.
-
-    Read positions (``monotonically_increasing_id``) are consecutive inside
-    one file split, so a line's number is the number of lines in earlier
-    splits plus its offset inside its own split. Per-split counts and first
-    positions are one row per split (bounded by the split count), so their
-    running offsets and the broadcast back are small. The tagged lines are
-    checkpointed first, so positions stay fixed if a task is re-run.
-    """
-    ensure_checkpoint_dir(text.sparkSession)
-    tagged = text.checkpoint(eager=True)
-    splits = tagged.groupBy("_ord_file", "_ord_block").agg(
-        F.count(F.lit(1)).alias("_sp_n"), F.min("_ord_pos").alias("_sp_first")
-    )
-    before = Window.orderBy("_ord_file", "_ord_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_sp_off", F.coalesce(F.sum("_sp_n").over(before), F.lit(0))).drop("_sp_n")
-    joined = tagged.join(F.broadcast(offsets), ["_ord_file", "_ord_block"])
-    return joined.withColumn(
-        "_ord_line", F.col("_sp_off") + (F.col("_ord_pos") - F.col("_sp_first")) + 1
-    ).drop("_sp_off", "_sp_first")
-
-
-def _split_header(line: str) -> list[str]:
-    import csv
-
-    return next(csv.reader([line]))
+    ensure_checkpoint_dir(spark)
+    records = csv_records(text, preamble_lines)
+    first = F.min(F.struct("_ord_row", "_ord_line", "record")).alias("h")
+    # one row per file
+    heads = records.groupBy("_ord_file").agg(first).select("_ord_file", F.col("h._ord_line").alias("_head_line"), F.col("h.record").alias("_head")).checkpoint(eager=True)
+    distinct = [r[0] for r in heads.select("_head").distinct().limit(MAX_HEADERS + 1).collect()]
+    if len(distinct) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers: is there a header after {preamble_lines} title line(s)?")
+    maps = {h: column_map(h, layout, required) for h in distinct}
+    table = spark.createDataFrame([(h, n, places) for h, (n, places) in maps.items()], "_head string, _width int, _places array<int>")
+    files = broadcast_if_small(heads.join(F.broadcast(table), "_head").drop("_head").checkpoint(eager=True))
+    body = records.join(files, "_ord_file").where(F.col("_ord_line") > F.col("_head_line"))
+    widths = sorted({n for n, _ in maps.values()})
+    parsed = body.withColumn("_fields", parse_fields(body, "record", F.col("_width"), widths, null_value))
+    if bad_rows == "error":
+        message = F.concat(F.lit("not as many fields as the header has: "), F.col("_ord_file"), F.lit(", line "), F.col("_ord_row") + 1)
+        parsed = parsed.withColumn("_fields", F.coalesce("_fields", F.raise_error(message).cast("array<string>")))
+    names = [f.name for f in PO_LINE_SCHEMA.fields if f.name != "line_id"]
+    typed = canonicalize(parsed.select("_ord_line", *[F.get("_fields", F.get("_places", F.lit(i))).alias(c) for i, c in enumerate(names)]))
+    return typed.select(F.col("_ord_line").alias("line_id"), *names)
 
 
 def read_bid_log(spark: SparkSession, path: str, null_token: str = "N/A") -> DataFrame:

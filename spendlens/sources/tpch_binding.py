@@ -121,7 +121,8 @@ def po_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("status"),
         sum_amount.alias("sum_amount"),
         F.to_date("o_orderdate").alias("po_date"),
-        F.col("l_shipdate").cast("timestamp").alias("last_dttm"),
+        # the line's last event: some days after its order
+        F.date_add(F.to_date("o_orderdate"), ln).cast("timestamp").alias("last_dttm"),
         F.when(F.col("c_nationkey") == EXCLUDED_NATION_BUYER, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("B"), F.col("c_nationkey").cast("string")))
         .alias("buyer"),
@@ -161,3 +162,45 @@ def bid_log_2018(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     null_row = spark.range(1).select(F.lit(None).cast("string").alias("req_id"))
     return rows.unionByName(null_row)
+
+
+# Sheet exports of the binding: the title line above each header, and the
+# column that only the sheet has.
+EXPORT_TITLE = 'PO lines, one "extract" a file'
+COMMENT_COLUMN = "Comments"
+
+
+def write_po_export(spark: SparkSession, sf_dir: str, path: str, files: int = 4) -> None:
+    """The PO lines as sheet exports: ``files`` CSV files (folders
+    ``part=0``, ``part=1``, ...) with a title line, then a header, then lines
+    in ``line_id`` order. Odd files have their columns in reverse. The sheet
+    has a comment column whose quoted text spans lines and holds quotes."""
+    from spendlens.schema import canonical_to_sheet
+
+    lines = po_lines(spark, sf_dir)
+    sheet = {**canonical_to_sheet("working"), "comment": COMMENT_COLUMN}
+    comment = (
+        F.when(F.col("line_id") % 5 == 0, F.concat(F.lit('said "hold",\nthen\n\n"'), F.col("status"), F.lit('"\nagain')))
+        .when(F.col("line_id") % 5 == 1, F.concat(F.lit("one, "), F.col("unit")))
+        .otherwise(F.lit(None).cast("string"))
+    )
+    names = list(sheet)
+    text = lines.withColumn("comment", comment)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    cell = {n: F.coalesce(quoted(F.col(n)) if n in ("comment", "level_2", "vendor") else F.col(n).cast("string"), F.lit("")) for n in names}
+    part = F.pmod(F.xxhash64("po_no"), F.lit(files))
+    rows = text.select(
+        part.alias("part"), F.lit(2).alias("kind"), "line_id",
+        F.when(part % 2 == 0, F.concat_ws(",", *[cell[n] for n in names])).otherwise(F.concat_ws(",", *[cell[n] for n in reversed(names)])).alias("value"),
+    )
+    header = lambda order: ",".join(sheet[n] for n in order)
+    top = spark.range(files).withColumnRenamed("id", "part")
+    titles = top.select("part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("line_id"), F.lit(EXPORT_TITLE).alias("value"))
+    heads = top.select("part", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("line_id"), F.when(F.col("part") % 2 == 0, header(names)).otherwise(header(names[::-1])).alias("value"))
+    whole = rows.unionByName(titles).unionByName(heads)
+    whole.repartition("part").sortWithinPartitions("part", "kind", "line_id").select("part", "value").write.partitionBy("part").text(path)
+
+
+def write_bid_export(bids: DataFrame, path: str, null_token: str = "N/A") -> None:
+    """A bid log as a header-less sheet export: the id, then a remark."""
+    bids.select(F.coalesce("req_id", F.lit(null_token)).alias("id"), F.lit("seen, checked").alias("remark")).write.csv(path)

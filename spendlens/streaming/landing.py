@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spendlens.sources.csv_records import tag_lines
 from spendlens.sources.files import canonicalize, parse_csv_lines
 
 BATCH_BITS = 44
@@ -81,13 +82,9 @@ def land_po_lines(
 
 def _land_csv_batch(target: str, layout: str, preamble_lines: int):
     def run(batch: DataFrame, batch_id: int) -> None:
-        first = batch.select(F.min("_ord_file")).first()[0]
-        if first is None:  # empty micro-batch
+        if batch.isEmpty():  # empty micro-batch
             return
-        # read positions are tagged on the static batch (not allowed on the
-        # stream itself); parse_csv_lines checkpoints them before numbering
-        text = batch.withColumn("_ord_pos", F.monotonically_increasing_id())
-        lines = parse_csv_lines(text, first, layout, preamble_lines)
+        lines = parse_csv_lines(batch, layout, preamble_lines)
         out = lines.withColumn("line_id", _line_id(batch_id, F.col("line_id")))
         out.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
@@ -105,17 +102,14 @@ def land_po_lines_csv(
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Landing stream for CSV export drops (title line(s), then a header):
-    each micro-batch's files are read as text, title and header lines
-    dropped per file, rows parsed JVM-side and numbered in read order;
-    ``line_id`` = batch id * 2^44 + line number inside the batch."""
+    each micro-batch's files are read as text, cut into records in parallel
+    (quoted line breaks included), mapped by each file's own header and
+    parsed JVM-side; ``line_id`` = batch id * 2^44 + number of the record's
+    first line inside the batch."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.text(source_dir).select(
-        "value",
-        F.col("_metadata.file_path").alias("_ord_file"),
-        F.col("_metadata.file_block_start").alias("_ord_block"),
-    )
+    stream = tag_lines(reader.option("lineSep", "\n").text(source_dir))
     writer = stream.writeStream.foreachBatch(_land_csv_batch(target_dir, layout, preamble_lines)).option(
         "checkpointLocation", checkpoint_dir
     )

@@ -121,7 +121,7 @@ def test_platform_table_matches_brute_force(spark, seed):
 def test_unit_summary_matches_brute_force(spark, seed):
     rows, _ = _fixture(seed)
     got = {
-        r.unit: (r.ytd_spend, r.ytd_cnt, r.twomonth_spend, r.twomonth_cnt, r.onemonth_spend, r.onemonth_cnt)
+        r.unit: (r.year_spend, r.year_pos, r.period_a_spend, r.period_a_pos, r.period_b_spend, r.period_b_pos)
         for r in unit_summary.unit_summary(make_lines(spark, rows), P).collect()
         if not r.is_total
     }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spendlens import catalog
 from spendlens.schema import canonical_to_sheet
-from spendlens.sinks.csv import write_csv, write_csv_numbered
+from spendlens.sinks.csv import read_csv_set, write_csv, write_csv_numbered
 from spendlens.sources.files import read_bid_log, read_po_lines_csv, read_po_lines_parquet
 from tests.conftest import SF_SMALL
 
@@ -29,6 +29,11 @@ def sample(spark):
     return lines.where(F.col("po_no") < 200).drop("last_dttm").orderBy("line_id")
 
 
+def _set_text(path):
+    """The CSV file that the parts of a set make up."""
+    return "".join(open(f, newline="").read() for f in sorted(glob.glob(os.path.join(path, "part-*"))))
+
+
 def _sheet(df):
     return df.drop("line_id").withColumnsRenamed(canonical_to_sheet("working"))
 
@@ -74,14 +79,12 @@ def test_csv_sinks(spark, scratch):
     df = spark.createDataFrame([("a", 1.5), (None, None)], "unit string, v double")
     out = os.path.join(scratch, "report")
     write_csv(df, out, order_by=["unit"])
-    files = glob.glob(os.path.join(out, "part-*.csv"))
-    assert len(files) == 1
-    text = open(files[0]).read().splitlines()
+    text = _set_text(out).splitlines()
     assert text[0] == "unit,v" and "NA,NA" in text
     out2 = os.path.join(scratch, "report_numbered")
     write_csv_numbered(df, out2, order_by=[F.col("unit").asc_nulls_last()])
-    text2 = open(glob.glob(os.path.join(out2, "part-*.csv"))[0]).read().splitlines()
-    assert text2[0] == "row_name,unit,v" and text2[1].startswith("1,a")
+    text2 = _set_text(out2).splitlines()
+    assert text2[0] == '"","unit","v"' and text2[1].startswith('"1","a"')
 
 
 def test_streaming_landing(spark, sample, scratch):
@@ -109,12 +112,17 @@ def test_export_report_set(spark, scratch):
 
     out = os.path.join(scratch, "exports")
     names = export_reports(catalog.lines(spark, SF_SMALL), catalog.bids(spark, SF_SMALL), out)
-    assert len(names) == 11
+    assert {"apr_platform", "apr_buyer_type", "may_platform", "may_buyer_type"} <= set(names) and len(names) == 13
     for n in names:
-        files = glob.glob(os.path.join(out, n, "part-*.csv"))
-        assert len(files) == 1, n
-    bins = open(glob.glob(os.path.join(out, "spend_bins", "part-*.csv"))[0]).read().splitlines()
-    assert bins[0].startswith("row_name,bin_level") and bins[1].startswith("1,Micro")
+        assert len(_set_text(os.path.join(out, n)).splitlines()) > (n != "top_vendors"), n  # no vendor passes at this scale
+    bins = _set_text(os.path.join(out, "spend_bins")).splitlines()
+    assert bins[0].startswith('"","bin_level"') and bins[1].startswith('"1","Micro"')
+    back = read_csv_set(spark, os.path.join(out, "apr_platform"))
+    po = catalog.po_table(spark, SF_SMALL)
+    from spendlens.plans.platform import one_month
+
+    want = {(r.platform, r.qty_of_pos) for r in one_month(po, "platform", 4).collect()}
+    assert {(r.platform, int(r.qty_of_pos)) for r in back.collect()} == want
 
 
 def test_csv_read_order_across_splits(spark, sample, scratch):
@@ -189,12 +197,20 @@ def test_cli_land_and_export(spark, sample, scratch):
     spark.stop = lambda: None
     try:
         cli.main(["land", "--csv", src, "--out", landed])
-        cli.main(["export", "--lines", landed, "--bids", bids, "--out", os.path.join(scratch, "cli_reports")])
+        with pytest.raises(SystemExit):  # the parameters are the caller's to give
+            cli.main(["export", "--lines", landed, "--bids", bids, "--out", os.path.join(scratch, "cli_none")])
+        params = os.path.join(scratch, "cli_params.json")
+        with open(params, "w") as fh:
+            fh.write('{"vendor_unit": "NATION_15", "year": {"label": "fy97", "start": "1997-07-01", "end": "1998-07-01"}}')
+        cli.main(["export", "--lines", landed, "--bids", bids, "--params", params, "--out", os.path.join(scratch, "cli_reports")])
     finally:
         sess.build_session = orig
         spark.stop = stop
     assert spark.read.parquet(landed).count() == len(rows)
-    assert glob.glob(os.path.join(scratch, "cli_reports", "unit_summary", "part-*.csv"))
+    assert _set_text(os.path.join(scratch, "cli_reports", "unit_summary")).startswith("unit,Total Spend,")
+    year = sample.where("po_date >= '1997-07-01' and po_date < '1998-07-01'").select("po_no").distinct().count()
+    bins = read_csv_set(spark, os.path.join(scratch, "cli_reports", "platform_summary"))
+    assert sum(int(r.qty_of_pos) for r in bins.collect()) == year
 
 
 def test_cube_layout_headers(spark, sample, scratch):

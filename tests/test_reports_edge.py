@@ -89,10 +89,10 @@ def test_first_row_attribution_per_period(lines_factory):
         ]
     )
     rows = {r.unit: r for r in unit_summary.unit_summary(lines, P).collect()}
-    assert rows["A"].ytd_cnt == 1 and rows["A"].twomonth_cnt == 0
-    assert rows["B"].ytd_cnt == 1 and rows["B"].twomonth_cnt == 1 and rows["B"].onemonth_cnt == 1
+    assert rows["A"].year_pos == 1 and rows["A"].period_a_pos == 0
+    assert rows["B"].year_pos == 1 and rows["B"].period_a_pos == 1 and rows["B"].period_b_pos == 1
     total = rows["Total"]
-    assert total.is_total and total.ytd_cnt == 2 and total.ytd_spend == 40.0
+    assert total.is_total and total.year_pos == 2 and total.year_spend == 40.0
 
 
 def test_small_po_limit_and_blacklist(lines_factory, bids_factory):

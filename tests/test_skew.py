@@ -57,7 +57,7 @@ SKEW_CONF = {
 
 def test_attach_total_hot_key_is_split_by_aqe(spark, hot_lines):
     def run():
-        out = attach_group_total(hot_lines, ["po_no"], "sum_amount", "t")
+        out = attach_group_total(hot_lines, ["po_no"], "sum_amount", "t", strategy="join")
         rows = out.groupBy("po_no").agg(F.count("*").alias("n"), F.max("t").alias("t")).collect()
         return rows, final_plan(out)
 
@@ -81,3 +81,26 @@ def test_flag_exists_many_null_keys(spark, hot_lines):
     # every NULL requisition matches the NULL in the lookup
     assert got[(True, True)] == 15000
     assert (True, False) not in got
+
+
+@pytest.mark.parametrize("hot_rows", [100, 6000, 20000, 2_000_000])
+def test_measured_totals_spread_hot_keys(spark, hot_lines, hot_rows):
+    """The hot PO and the NULL PO get their counted total; no window group
+    holds many more rows than the limit; the rows meet in one exchange."""
+    out = attach_group_total(hot_lines, ["po_no"], "sum_amount", "t", hot_rows=hot_rows)
+    rows = out.groupBy("po_no").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).collect()
+    got = {r.po_no: (r.n, r.a, r.b) for r in rows}
+    assert got[0] == (10000, Decimal("10000.000"), Decimal("10000.000"))
+    assert got[None] == (5000, Decimal("5000.000"), Decimal("5000.000"))
+    assert all(v == (1, Decimal("1.000"), Decimal("1.000")) for k, v in got.items() if k not in (0, None))
+    assert out.columns == [*hot_lines.columns, "t"]
+    plan = final_plan(out)
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_hot_keys_are_counted_exactly(spark, hot_lines):
+    from spendlens.operators.totals import hot_key_totals
+
+    found = {(r.po_no, r.s, r._hot_n) for r in hot_key_totals(hot_lines, ["po_no"], "sum_amount", "s", 4999).collect()}
+    assert found == {(0, Decimal("10000.000"), 10000), (None, Decimal("5000.000"), 5000)}
+    assert hot_key_totals(hot_lines, ["po_no"], "sum_amount", "s", 10000) is None
