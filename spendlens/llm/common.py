@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spendlens.operators.joins import broadcast_if_small
 from spendlens.session import ensure_checkpoint_dir
 
 #: A broadcast of ids or keys happens only below this many rows (8-40 bytes each).
@@ -31,7 +33,34 @@ def stored(df: DataFrame) -> DataFrame:
     tables again and again that number gets too long for the driver."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes ``stored`` tables that nothing reads any more. What was made
+    from them is a table itself, so a lost executor doesn't need them."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_places(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of its own for each row: its file (by path) and
+    its row in the file, so it is the same in every run. ``df`` is read from
+    Parquet, or else written to the checkpoint folder first."""
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index"))
+    except AnalysisException:
+        df = stored(df)
+        files = df.select(F.col("_metadata.file_path").alias("_file"))
+    # a row per file
+    ranks = saved(files.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file"))))
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    placed = df.select("*", path.alias("_file"), row.alias("_at")).join(broadcast_if_small(ranks), "_file")
+    return placed.withColumn(name, F.shiftleft(F.col("_rank").cast("long"), 40) + F.col("_at")).drop("_file", "_rank", "_at")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,14 +16,17 @@ their sets' Jaccard similarity reaches 0.75 (exactly, in integers).
    (documents with equal sets) and verified.
 
 Only components are asked for, so a pair whose ends are already connected is
-not made. Each of a few rounds verifies at most one partner a class, so a group
-of thousands of near copies needs as many pairs as it has members. The partner
-is first the member with the fewest elements of its own, which is nearest to
-all others. The last step makes every remaining pair across components that
-shares a prefix element at places that allow a link: all elements before a
-pair's first shared one are unshared, so that place bounds the partner's size.
-Bitmaps of the sets (a lower bound of the symmetric difference) come before
-the sets.
+not made. First every class meets one partner, the best of one member of each
+of its elements; that member has the element at the earliest place, so the
+fewest elements of its own before it, and is nearest to all others: a group
+of thousands of copies of one text needs as many pairs as it has members. Next come all pairs across components
+of the elements that at most SHORT classes have; groups whose members drift
+apart from one to the next are connected by them. Then the elements with more
+classes, once by partners again and at last by every remaining pair across
+components. Pairs must share a prefix element at places that allow a link:
+all elements before a pair's first shared one are unshared, so that place
+bounds the partner's size. Bitmaps of the sets (a lower bound of the symmetric
+difference) come before the sets.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BROADCAST_ROWS, U, chunks, mix, shingle_sets, shingles, stored, text_bytes
+from spendlens.llm.common import BROADCAST_ROWS, U, chunks, discard, mix, shingle_sets, shingles, stored, text_bytes
 
 WIDTH = 5
 #: Similarity as a fraction.
@@ -46,9 +49,11 @@ WINDOW, LOSS = 1 << 21, 3
 BITMAP_BYTES = 256
 #: Linked sets of n elements or more share 1 + n / EXTRA elements of their prefixes.
 EXTRA = 8
-#: A round's partners are chosen by the place of their first shared element in
-#: steps of this many 256ths of their size, then by hash.
-STEPS = (1, 8, 24)
+#: A round's partners are chosen by the place of the shared element in steps of
+#: this many 256ths of their size, then by hash.
+STEPS = (1, 8)
+#: Elements of at most this many classes make all their pairs first.
+SHORT = 32
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -272,7 +277,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
         return docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("id", "to", "text").mapInArrow(_sets, "id long, to long, elements binary")
 
     one, two = sets(send).toDF("a", "b", "s1"), sets(hold).select(F.col("id").alias("b"), F.col("elements").alias("s2"))
-    return one.join(two, "b").select("a", "b", "s1", "s2").mapInArrow(_linked, "a long, b long")
+    links = stored(one.join(two, "b").select("a", "b", "s1", "s2").mapInArrow(_linked, "a long, b long"))
+    discard(near, send, hold)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,56 +295,130 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.col("a").alias("id"), F.least("theirs", "comp").alias("near"), F.col("comp").alias("was"))
         )
         far = label.toDF("near", "far")
-        new = stored(near.join(far, "near", "left").select("id", F.least("near", "far").alias("comp"), "was"))
-        label = new.select("id", "comp")
-        if new.where("comp <> was").isEmpty():
+        new = stored(near.join(far, "near", "left").select("id", F.least("near", "far").alias("comp"), (F.least("near", "far") != F.col("was")).alias("moved")))
+        discard(label)
+        label = new
+        if new.where("moved").isEmpty():
+            discard(both)
             return label
+        label = label.drop("moved")
+        label.stored_at = new.stored_at
 
 
 def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after links between classes join their components."""
+    """Labels after links between classes join their components; ``label`` and ``links`` go."""
     comp = lambda c: label.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"))
     edges = links.join(comp("a"), "a").join(comp("b"), "b").where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    merged = components(edges).toDF("comp", "to")
-    return stored(label.join(merged, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")))
-
-
-def _best_partners(posted: DataFrame, label: DataFrame, turn: int) -> DataFrame:
-    """For each class the class of another component with which it shares
-    the most prefix elements, among one class of each element and size band
-    (sizes in a band are within a factor of 4/3). That one has the least
-    ``lead`` (place of its first shared element) in the turn's steps, then
-    the least hash. The steps widen and the hash differs from turn to turn,
-    so a class that doesn't link to one member of a large group meets
-    another next time."""
-    rows = posted.join(label, "cid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(DENOMINATOR / NUMERATOR))))
-    rank = F.struct(F.floor(F.col("lead") / STEPS[turn]).alias("lead"), F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "comp")
+    merged = components(edges)
+    new = stored(label.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")))
+    discard(merged, label, links)
+    return new
+
+
+# A posting is (token, cid, p): p packs the class's size, the place of the
+# element, and whether it is an early one and stands for the whole prefix.
+_SIZE, _PLACE = 12, 4
+
+
+def _packed(n: str, place: str, early: Column, whole: Column) -> Column:
+    both = F.shiftleft(F.col(n), _SIZE).bitwiseOR(F.shiftleft(F.col(place), _PLACE))
+    return both.bitwiseOR(early.cast("long") * 2).bitwiseOR(whole.cast("long"))
+
+
+def _unpacked(what: str) -> Column:
+    p = F.col("p")
+    return {
+        "n": F.shiftright(p, _SIZE),
+        "place": F.shiftright(p, _PLACE).bitwiseAND(255),
+        "early": p.bitwiseAND(2) != 0,
+        "whole": p.bitwiseAND(1) != 0,
+    }[what]
+
+
+def _best_partners(rows: DataFrame, turn: int) -> DataFrame:
+    """For each class (``rows``: postings with comp) the class of another
+    component with which it shares the most prefix elements, among one class
+    of each element and size band (sizes in a band are within a factor of
+    4/3). That one has the element at the least place, in the turn's steps,
+    then the least hash."""
+    n = _unpacked("n")
+    rows = rows.withColumn("band", F.floor(F.log(n) / F.log(F.lit(DENOMINATOR / NUMERATOR))))
+    rank = F.struct(F.floor(_unpacked("place") / STEPS[turn]).alias("place"), F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "comp")
     first = (
         rows.groupBy("token", "band").agg(F.min(rank).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top"))
         .where("low < top").select("token", "band", F.col("p.cid").alias("b"), F.col("p.comp").alias("comp_b"))
     )
-    shared = rows.join(first, ["token", "band"]).where("comp <> comp_b").groupBy("cid", "b").agg(F.sum("w").alias("k"), F.first("n").alias("n"))
-    return shared.where(f"k > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}").groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("k", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-
-
-def _pairs_left(posted: DataFrame, label: DataFrame) -> DataFrame:
-    """All pairs across components that share one of their first
-    floor(n / 4) + 1 elements and can link by sizes and places, once each.
-    If the first element that two sets share is at place i of n, they share
-    at most n - i, so the partner has at most (4 n - 7 i) / 3 elements (its
-    ``reach``). An element whose classes are all connected makes no pair."""
-    reach = F.floor(((NUMERATOR + DENOMINATOR) * (256 - F.col("place")) - 256 * NUMERATOR) * F.col("n") / (256 * NUMERATOR)).alias("reach")
-    rows = posted.where("early").select("token", "cid", "n", reach).join(label, "cid")
+    weight = F.when(_unpacked("whole"), n).otherwise(1)  # classes of one group share the whole prefix
+    shared = rows.join(first, ["token", "band"]).where("comp <> comp_b").groupBy("cid", "b").agg(F.sum(weight).alias("k"), F.min(n).alias("n"))
+    if turn == 0:  # over all elements, so the number shared tells
+        shared = shared.where(f"k > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
+    return shared.groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("k", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """Of each element with classes of two components or more: the least and
+    largest size, and number of classes."""
+    each = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far"))
+    return each.where("lo < hi").select("token", "m", "least", "far")
+
+
+def _pairs_left(rows: DataFrame) -> DataFrame:
+    """All pairs across components (``rows``: token, cid, n, reach, comp) that
+    can link by sizes and places, once each. If the first element that two
+    sets share is at place i of n, they share at most n - i, so the partner
+    has at most (4 n - 7 i) / 3 elements (its ``reach``). An element whose
+    classes are all connected makes no pair."""
     for _ in range(2):  # rows that go may leave an element with one component
-        span = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far")).where("lo < hi")
-        rows = stored(rows.join(span.select("token", "least", "far"), "token").where("reach >= least and n <= far").drop("least", "far"))
+        rows = rows.join(_spans(rows), "token").where("reach >= least and n <= far").select("token", "cid", "n", "reach", "comp")
+    rows = stored(rows)
     other = rows.groupBy("token", F.col("comp").alias("comp_b")).agg(F.min("n").alias("least"), F.max("reach").alias("far"))
     members = rows.toDF(*[f"{c}_b" if c != "token" else c for c in rows.columns])
-    return (
+    pairs = stored(
         rows.join(other, "token").where("comp < comp_b and reach >= least and n <= far").drop("least", "far")
         .join(members, ["token", "comp_b"]).where("n_b <= reach and n <= reach_b")
         .select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct()
     )
+    discard(rows)
+    return pairs
+
+
+def _short_pairs(rows: DataFrame) -> DataFrame:
+    """As ``_pairs_left``, for elements that at most SHORT classes have."""
+    pairs = rows.join(rows.toDF(*[f"{c}_b" if c != "token" else c for c in rows.columns]), "token")
+    pairs = pairs.where("cid < cid_b and comp <> comp_b and n_b <= reach and n <= reach_b")
+    return stored(pairs.select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct())
+
+
+def _connected(posted: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, comp) of the classes that have postings."""
+    label = stored(posted.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        links = verified(pairs, known, docs)
+        if links.isEmpty():
+            discard(links)
+            return label
+        return _relabelled(label, links)
+
+    label = linked(_best_partners(posted.withColumn("comp", F.col("cid")), 0))
+    # Of early elements, those that are still in two components or more.
+    n, place = _unpacked("n"), _unpacked("place")
+    reach = F.floor(((NUMERATOR + DENOMINATOR) * (256 - place) - 256 * NUMERATOR) * n / (256 * NUMERATOR))
+    rows = posted.join(label, "cid").withColumns({"n": n, "reach": reach})
+    apart = rows.join(_spans(rows), "token").where("reach >= least and n <= far")
+    apart = stored(apart.select("token", "cid", "n", "reach", "p", (F.col("m") > SHORT).alias("long")))
+    early = apart.where(_unpacked("early"))
+    sides = ["token", "cid", "n", "reach", "comp"]
+    pairs = _short_pairs(early.where("not long").join(label, "cid").select(*sides))
+    label = linked(pairs)
+    discard(pairs)
+    if not apart.where("long").isEmpty():
+        label = linked(_best_partners(apart.where("long").join(label, "cid"), 1))
+        pairs = _pairs_left(early.where("long").join(label, "cid").select(*sides))
+        label = linked(pairs)
+        discard(pairs)
+    discard(apart)
+    return label
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,21 +452,15 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # A group can only link if enough of its elements are left; all its members have one size.
     size = classes.groupBy("gid").agg(F.first("n").alias("n"))
     left = F.count("*").over(Window.partitionBy("gid"))
-    lead = F.min("place").over(Window.partitionBy("gid"))
-    enough = elements.join(size, "gid").withColumns({"left": left, "lead": lead}).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
+    enough = elements.join(size, "gid").withColumn("left", left).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
     members = classes.select("gid", "cid", "n")
-    weight = F.when(F.col("whole"), F.col("n")).otherwise(1).alias("w")  # classes of one group share the whole prefix
     posted = stored(
-        enough.select("token", "gid", "early", "place", F.lit(False).alias("whole"), "lead").unionByName(groups.withColumn("lead", F.lit(0).cast("long")))
-        .join(members, "gid").select("token", "cid", "n", "early", "place", "lead", weight)
+        enough.select("token", "gid", "early", "place", F.lit(False).alias("whole")).unionByName(groups)
+        .join(members, "gid").select("token", "cid", _packed("n", "place", F.col("early"), F.col("whole")).alias("p"))
     )
-    label = stored(posted.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
-    known = stored(classes.join(label, "cid", "left_semi"))
-    for turn in range(len(STEPS) + 1):
-        pairs = _best_partners(posted, label, turn) if turn < len(STEPS) else _pairs_left(posted, label)
-        links = stored(verified(pairs, known, docs))
-        if not links.isEmpty():
-            label = _relabelled(label, links)
+    known = stored(classes.join(posted.select("cid").distinct(), "cid", "left_semi"))
+    label = _connected(posted, known, docs)
+    discard(posted, known)
     comps = label.join(classes, "cid").groupBy("comp").agg(F.min("first_id").alias("component_id"))
     found = classes.join(label.join(comps, "comp").select("cid", "component_id"), "cid", "left").select(
         "n", "c1", "c2", F.coalesce("component_id", "first_id").alias("component_id")
