@@ -3,11 +3,20 @@
 For each language a suffix automaton of labelled text is built. A document is
 parsed from left to right into the longest phrases that occur in that text.
 The language that needs the fewest phrases, normalised by the logarithm of
-its text's length (the cost of naming a phrase), wins.
+its text's length (the cost of naming a phrase), wins. A letter that a
+language's text doesn't hold is a phrase of its own, at a cost that is the
+same in all languages.
 
-Parsing restarts every BLOCK symbols, so all blocks of a batch advance one
-symbol at a time together, as one table lookup a language. Only the text to
-learn from is sent to the tasks; each worker builds the automata once.
+Whole documents are parsed, in blocks of BLOCK symbols that advance one
+symbol at a time together, as one table lookup a language. A block's parse
+starts at its first symbol, as if a phrase began there; where the phrase
+before really ends, further inside, a second parse runs until it meets a
+phrase start of the first. From there on both agree, so counts are those of
+one parse of the whole text.
+
+Only the text to learn from is sent to the tasks; each worker builds the
+automata once, as hash tables of their transitions (some 60 bytes a letter of
+that text, whatever the alphabet).
 """
 
 from __future__ import annotations
@@ -23,14 +32,13 @@ from pyspark.sql import types as T
 
 from spendlens.llm.common import chunks, hash_sample
 
-#: The sample to learn from: documents a language, characters of each, and in all.
-SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, SAMPLE_TOTAL = 48, 2_000, 40_000
-#: Letters that languages can differ in; the most frequent of the sample.
-LETTERS = 250
+#: The sample to learn from: labelled documents a language, taken whole.
+SAMPLE_DOCUMENTS = 40
 BLOCK = 256
+#: Bits for a letter that a language's text doesn't hold.
+LITERAL = 24.0
 UNDETERMINED = "und"
-OUTSIDE, GAP = 0, 1
-_NEW = 1 << 30
+GAP = 1
 
 Sample = tuple[tuple[str, str], ...]
 
@@ -40,25 +48,26 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Sample:
-    """(language, text) to learn from: of each language the documents with
-    the smallest hash of their id, at most SAMPLE_TOTAL characters."""
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = SAMPLE_DOCUMENTS) -> Sample:
+    """(language, text) to learn from: of each language the ``documents``
+    labelled rows with the smallest hash of their id, whole texts."""
     own = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull())
-    own = hash_sample(own, lang_col, id_col, 4 * SAMPLE_DOCUMENTS).where(F.col(text_col).isNotNull())
+    own = hash_sample(own, lang_col, id_col, 4 * documents).where(F.col(text_col).isNotNull())
     first = Window.partitionBy("lang").orderBy("h", "text")
     rows = (
-        own.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARACTERS).alias("text"), F.xxhash64(id_col).alias("h"))
-        .withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_DOCUMENTS)
+        own.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
+        .withColumn("k", F.row_number().over(first)).where(F.col("k") <= documents)
         .orderBy("lang", "k").select("lang", "text").collect()
     )
-    texts: dict[str, str] = {}
+    texts: dict[str, list[str]] = {}
     for r in rows:
-        texts[r.lang] = (texts.get(r.lang, "") + " " + r.text)[:SAMPLE_TOTAL]
-    return tuple(sorted((k, v) for k, v in texts.items() if any(map(str.isalpha, v))))
+        texts.setdefault(r.lang, []).append(r.text)
+    joined = {k: " ".join(v) for k, v in texts.items()}
+    return tuple(sorted((k, v) for k, v in joined.items() if any(map(str.isalpha, v))))
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions (state, symbol) of the suffix automaton, -1 for none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton; state 0 is its start."""
     size = 2 * len(symbols) + 2
     link, length = [-1] * size, [0] * size
     steps: list[dict[int, int]] = [{}]
@@ -86,85 +95,166 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(steps), width), -1, np.int32)
-    for state, to in enumerate(steps):
-        if to:
-            table[state, list(to)] = list(to.values())
-    return table
+    return steps
+
+
+class Transitions:
+    """A hash table (state, symbol) -> state with linear probing."""
+
+    _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, steps: list[dict[int, int]], symbols: int):
+        self.first = np.full(symbols, -1, np.int32)
+        self.first[list(steps[0])] = list(steps[0].values())
+        keys = np.array([(state << 21) | c for state, to in enumerate(steps) for c in to if state], np.int64)
+        values = np.array([v for state, to in enumerate(steps) for v in to.values() if state], np.int32)
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            slot = at[left]
+            free = self.keys[slot] < 0
+            _, one = np.unique(slot, return_index=True)  # the first to come takes a free slot
+            takes = np.zeros(len(left), bool)
+            takes[one] = True
+            takes &= free
+            self.keys[slot[takes]], self.values[slot[takes]] = keys[left[takes]], values[left[takes]]
+            left = left[~takes]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self._FACTOR) >> self.shift).astype(np.int64)
+
+    def __call__(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The next states, -1 for none. From state 0, look into ``first``."""
+        keys = (states.astype(np.int64) << 21) | symbols
+        at = self._home(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], np.int32(-1))
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
 
 
 class Languages:
     def __init__(self, sampled: Sample):
         self.names = [k for k, _ in sampled]
         lower = [self._letters(t) for _, t in sampled]
-        counts: dict[str, int] = {}
-        for t in lower:
-            for c in t:
-                counts[c] = counts.get(c, 0) + 1
-        letters = sorted((c for c in counts if c != " "), key=lambda c: (-counts[c], c))[:LETTERS]
+        letters = sorted(set().union(*lower) - {" "}) if lower else []
         self.code = {c: i + 2 for i, c in enumerate(letters)} | {" ": GAP}
-        self.width = len(letters) + 2
-        self.symbol = np.full(0x110000, GAP, np.uint8)
+        # A letter that no language has is symbol 0: a phrase of its own in each.
+        self.symbol = np.full(0x110000, GAP, np.int32)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
-                self.symbol[cp] = self.code.get(c.lower(), OUTSIDE)
-        self.tables, self.cost = [], []
-        for t in lower:
-            step = suffix_automaton([self.code.get(c, OUTSIDE) for c in t], self.width)
-            step[:, OUTSIDE] = -1  # letters outside the alphabet match nothing
-            again = np.where(step[0] >= 0, step[0], 0) | _NEW
-            self.tables.append(np.where(step >= 0, step, again[None, :]).astype(np.int32).ravel())
-            self.cost.append(math.log2(len(t) + 2))
+                low = c.lower()
+                self.symbol[cp] = self.code.get(low if len(low) == 1 else c, 0)
+        self.tables = [Transitions(suffix_automaton([self.code[c] for c in t]), len(letters) + 2) for t in lower]
+        self.cost = [math.log2(len(t) + 2) for t in lower]
 
     @staticmethod
     def _letters(text: str) -> str:
-        return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+        return " ".join("".join(c if c.isalpha() else " " for c in low).split())
 
     def symbols(self, text: str) -> np.ndarray:
         """Lower-case letters, and one gap for each run of anything else."""
-        s = self.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        s = self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != GAP) | (s[:-1] != GAP)
         return s[keep]
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases by (text, language), and each text's number of letters."""
+    @staticmethod
+    def _parsed(table: Transitions, s: np.ndarray, start: np.ndarray, stop: np.ndarray, limit: np.ndarray, marks: np.ndarray, meet: bool):
+        """Parses ``s`` from each ``start``, where a phrase begins, to the
+        first phrase that begins at ``stop`` or beyond, or to ``limit``. Marks
+        where phrases begin (1, letters not held 2) and returns where that
+        first phrase beyond begins. With ``meet`` nothing is marked: phrases
+        and letters not held are counted up to a mark, if one is met."""
+        at, state, out = start.copy(), np.zeros(len(start), np.int32), limit.copy()
+        counts, met = np.zeros((len(start), 2), np.int64), np.zeros(len(start), bool)
+        lanes = np.flatnonzero(at < limit)
+        while len(lanes):
+            p, now = at[lanes], state[lanes]
+            c = s[p]
+            to = table(now, c)
+            begins = (now == 0) | (to < 0)
+            new = table.first[c]
+            done = begins & (p >= stop[lanes])
+            if meet:
+                done |= begins & (marks[p] > 0)
+            out[lanes[done]] = p[done]
+            live = begins & ~done
+            kind = np.where(new < 0, 2, 1)
+            if meet:
+                met[lanes[done]] = (marks[p[done]] > 0) & (p[done] < stop[lanes[done]])
+                counts[lanes[live], kind[live] - 1] += 1
+            else:
+                marks[p[live]] = kind[live]
+            state[lanes] = np.where(begins, np.maximum(new, 0), to)
+            at[lanes] = p + 1
+            lanes = lanes[~done & (p + 1 < limit[lanes])]
+        return out, counts, met
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases, and letters not held, by (text, language), and each
+        text's number of letters."""
         rows = [self.symbols(t) for t in texts]
+        size = np.array([len(r) for r in rows], np.int64)
         letters = np.array([int((r != GAP).sum()) for r in rows], np.int64)
-        blocks = [-(-len(r) // BLOCK) for r in rows]
+        s = np.concatenate([*rows, np.zeros(0, np.int32)])
+        blocks = -(-size // BLOCK)
         owner = np.repeat(np.arange(len(rows)), blocks)
-        grid = np.zeros((len(owner), BLOCK), np.uint8)
-        size = np.full(len(owner), BLOCK, np.int64)
-        at = 0
-        for r, k in zip(rows, blocks):
-            if k:
-                grid[at : at + k].reshape(-1)[: len(r)] = r
-                size[at + k - 1] = len(r) - (k - 1) * BLOCK
-            at += k
-        order = np.argsort(-size, kind="stable")
-        grid, size, owner = np.ascontiguousarray(grid[order].T), size[order], owner[order]
-        active = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # rows with more than t symbols
-        out = np.zeros((len(texts), len(self.names)), np.int64)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        limit = np.cumsum(size)[owner]
+        start = (np.cumsum(size) - size)[owner] + nth * BLOCK
+        stop = np.minimum(start + BLOCK, limit)
+        head = nth == 0
+        out = np.zeros((2, len(texts), len(self.names)), np.int64)
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int32)
-            for t in range(BLOCK):
-                n = active[t]
-                if not n:
-                    break
-                to = table[state[:n] * self.width + grid[t, :n]]
-                count[:n] += to >> 30
-                state[:n] = to & (_NEW - 1)
-            out[:, k] = np.bincount(owner, weights=count, minlength=len(texts))
-        return out, letters
+            marks = np.zeros(len(s) + 1, np.int8)
+            leave, _, _ = self._parsed(table, s, start, stop, limit, marks, False)
+            upto = [np.concatenate(([0], np.cumsum(marks == kind))) for kind in (1, 2)]
+            own = leave.copy()  # where the block's first parse ends
+            enter, counts = start.copy(), np.zeros((len(owner), 2), np.int64)
+            todo = np.arange(len(owner))
+            while len(todo):
+                # Blocks by where their first phrase really begins: from a mark on as parsed before.
+                e = enter[todo]
+                past = e >= stop[todo]
+                known = ~past & (marks[np.minimum(e, len(s))] > 0)
+                new_leave = np.where(past, e, own[todo])
+                got = np.zeros((len(todo), 2), np.int64)
+                again = np.flatnonzero(~past & ~known)
+                to, part, met = self._parsed(table, s, e[again], stop[todo[again]], limit[todo[again]], marks, True)
+                got[again] = part
+                tail = np.concatenate((np.flatnonzero(known), again[met]))
+                at = np.concatenate((e[known], to[met]))
+                for j in (0, 1):
+                    got[tail, j] += upto[j][stop[todo[tail]]] - upto[j][at]
+                new_leave[again[~met]] = to[~met]
+                counts[todo], leave[todo] = got, new_leave
+                follows = np.flatnonzero(~head[1:]) + 1
+                moved = follows[enter[follows] != leave[follows - 1]]
+                enter[moved] = leave[moved - 1]
+                todo = moved
+            for j in (0, 1):
+                out[j, :, k] = np.bincount(owner, weights=counts[:, j], minlength=len(texts))
+        return out[0], out[1], letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score: by how much, as a share, the second language
         needs more phrases than the first; 0 for equal, 1 with no second."""
         if not self.names:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        count, letters = self.phrases(texts)
-        bits = count * np.array(self.cost)
+        count, literal, letters = self.phrases(texts)
+        bits = count * np.array(self.cost) + literal * LITERAL
         best = bits.argmin(axis=1)
         score = np.ones(len(texts))
         if len(self.names) > 1:
