@@ -9,17 +9,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from spendlens.llm.common import U, chunks, shingle_sets
+from spendlens.llm.common import U, chunks, saved, shingle_sets
+from spendlens.operators.joins import broadcast_if_small
 
 K, WIDTH, BITS = 128, 5, 48
-#: Ranges of ids that documents are dealt to: of so many characters each, from a histogram of so many bins.
-RANGE_CHARACTERS, BINS = 4_000_000, 1 << 16
+#: Characters of a range of ids that documents are dealt to, and the quantiles
+#: of the ids that ranges are cut from, at most.
+RANGE_CHARACTERS, QUANTILES = 4_000_000, 1 << 10
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def sketches(texts: list[bytes]) -> list[np.ndarray]:
@@ -130,6 +135,61 @@ def _with_next(batches):
         yield rows(held)
 
 
+class Ranges(NamedTuple):
+    """Ranges of ids: ``lows`` ascending, and of each the end (exclusive, or
+    the greatest id), the parts it is cut into, the number of its first part,
+    and whether it is one repeated id, whose rows are dealt by their text's
+    hash. ``nulls`` parts for rows without id come first."""
+
+    lows: list[int]
+    ends: list[int]
+    parts: list[int]
+    firsts: list[int]
+    single: list[bool]
+    nulls: int
+    count: int
+
+    @staticmethod
+    def of(rows: DataFrame, size: int = RANGE_CHARACTERS, quantiles: int = QUANTILES) -> Ranges:
+        width = F.coalesce(F.length("text"), F.lit(0)).cast("long") + 16
+        no_id = F.col("doc_id").isNull()
+        total = rows.agg(
+            F.sum(F.when(~no_id, width)).alias("own"), F.sum(F.when(no_id, width)).alias("none"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+            F.percentile_approx("doc_id", [i / quantiles for i in range(1, quantiles)], 20 * quantiles).alias("q"),
+        ).first()
+        nulls = -(-(total.none or 0) // size)
+        if total.lo is None:
+            return Ranges([_LEAST], [_MOST], [1], [nulls], [False], nulls, nulls + 1)
+        step = max(1, quantiles * size // total.own)  # quantiles that make up a range
+        cuts: dict[int, int] = {}
+        for v in total.q[step - 1 :: step]:
+            cuts[v] = cuts.get(v, 0) + 1
+        share = max(1, -(-total.own * step // (quantiles * size)))
+        lows, parts, single = [_LEAST], [share], [False]
+        for v, times in sorted(cuts.items()):
+            if lows[-1] < v:
+                lows, parts, single = [*lows, v], [*parts, share], [*single, False]
+            if times > 1:  # at least times - 1 quantiles hold this id alone
+                parts[-1], single[-1] = share * times, True
+                if v < _MOST:
+                    lows, parts, single = [*lows, v + 1], [*parts, share], [*single, False]
+        ends = [*lows[1:], max(total.hi, lows[-1])]
+        firsts = [nulls + sum(parts[:i]) for i in range(len(parts))]
+        return Ranges([total.lo if x == _LEAST else x for x in lows], ends, parts, firsts, single, nulls, nulls + sum(parts))
+
+    def bucket(self, ids: pa.Array, has: pa.Array, hashes: pa.Array) -> pa.Array:
+        """Ascends with the id, equal ids' with the hash; null ids first."""
+        own, real = ids.to_numpy(zero_copy_only=False), has.to_numpy(zero_copy_only=False)
+        part_of_hash = (hashes.to_numpy(zero_copy_only=False).astype(float) + 2.0**63) / 2.0**64
+        lows, ends, parts = np.array(self.lows), np.array(self.ends), np.array(self.parts)
+        at = np.maximum(np.searchsorted(lows, own, side="right") - 1, 0)
+        along = (own.astype(float) - lows[at]) / np.maximum(ends[at].astype(float) - lows[at], 1.0)
+        where = np.where(np.array(self.single)[at], part_of_hash, along)
+        part = np.clip((where * parts[at]).astype(np.int64), 0, parts[at] - 1)
+        none = np.clip((part_of_hash * self.nulls).astype(np.int64), 0, max(self.nulls - 1, 0))
+        return pa.array(np.where(real, np.array(self.firsts)[at] + part, none))
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next), one per row of ``docs``: each text's
@@ -142,32 +202,24 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are ordered by their text's hash. The only row of a table is its own
     next. Other columns are ignored, an empty table gives no rows.
 
-    Rows are dealt out by ranges of ids of about equal size, with one row of
-    the next range added to each; no task sorts the whole table."""
+    Rows are dealt out by ranges of ids with about equally many rows
+    (``Ranges``), with one row of the next range added to each; no task sorts
+    the whole table, also where ids are clustered, repeated or null."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = lo or 0, hi or 0
-    place = lambda c: F.floor((c.cast("double") - lo) / (float(hi) - lo + 1) * BINS)
-    # At most BINS sums come to the driver. Bins to buckets of about equal size; null ids are in bucket 0.
-    bin_of = F.coalesce(place(F.col("doc_id")), F.lit(0)).cast("int")
-    sized = rows.groupBy(bin_of.alias("bin")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16).alias("n")).collect()
-    bins, bucket, filled = [], 0, 0
-    for b, n in sorted(map(tuple, sized)):
-        bins.append((b, bucket))
-        filled += n
-        if filled >= RANGE_CHARACTERS:
-            bucket, filled = bucket + 1, 0
-    spark, buckets = docs.sparkSession, bucket + 1
-    dealt = rows.withColumn("bin", bin_of).join(F.broadcast(spark.createDataFrame(bins, "bin int, bucket int")), "bin").drop("bin")
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.col("doc_id").isNotNull().alias("has"), F.xxhash64("text").alias("h"))
+    ranges = Ranges.of(rows)
+    buckets = ranges.count
+    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(_LEAST)).alias("id"), F.col("doc_id").isNotNull().alias("has"), F.xxhash64("text").alias("h"))
+    dealt = rows.withColumn("bucket", arrow_udf(ranges.bucket, "long")(F.coalesce("doc_id", F.lit(_LEAST)), F.col("doc_id").isNotNull(), F.xxhash64("text")))
     dealt = dealt.withColumn("o", order)
-    firsts = sorted(dealt.groupBy("bucket").agg(F.min("o").alias("o")).collect(), key=lambda r: r.bucket)
-    # The first row of each bucket also closes the bucket before it, the first of all the last.
-    pairs = [(f.o.id, f.o.has, f.o.h, firsts[i - 1].bucket) for i, f in enumerate(firsts)]
-    heads = spark.createDataFrame(pairs, "id long, has boolean, h long, bucket int")
+    firsts = saved(dealt.groupBy("bucket").agg(F.min("o").alias("o")))
+    # The first row of each bucket also closes the bucket before it, the first
+    # of all the last. One row a bucket.
+    last = firsts.agg(F.max("bucket")).first()[0]
+    before = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.lit(last))
+    heads = saved(firsts.select(F.col("o.id").alias("id"), F.col("o.has").alias("has"), F.col("o.h").alias("h"), before.alias("bucket")))
     same = (F.col("o.id") == F.col("id")) & (F.col("o.has") == F.col("has")) & (F.col("o.h") == F.col("h"))
     halo = (
-        dealt.select("doc_id", "text", "o").join(F.broadcast(heads), same)
+        dealt.select("doc_id", "text", "o").join(broadcast_if_small(heads), same)
         .select("doc_id", "text", "bucket", "o", F.lit(True).alias("halo")).dropDuplicates(["bucket"])
     )
     both = dealt.select("doc_id", "text", "bucket", "o", F.lit(False).alias("halo")).unionByName(halo)
