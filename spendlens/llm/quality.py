@@ -54,10 +54,12 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with STATISTICS and FEATURES of the whole text (null: none).
     A document without words has 0 in all of them. Windows are compared by
     64-bit hashes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    # Packed in a struct, the rows' own columns can't clash with those of the work.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
     symbols = sum((F.length(text) - F.length(F.replace(text, F.lit(s))) for s in SYMBOLS[1:]), F.length(text) - F.length(F.replace(text, F.lit(SYMBOLS[0]))))
-    split = docs.withColumns({"_words": F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), ""), "_lines": lines, "n_symbols": symbols.cast("long")})
+    split = docs.select(row, F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "").alias("_words"), lines.alias("_lines"), symbols.cast("long").alias("n_symbols"))
     counted = split.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)),
@@ -83,7 +85,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }
     # One row each; a later filter on these columns isn't moved below it, where it would compute them again.
     found = F.array(F.struct(*STATISTICS, *[c.alias(f) for f, c in shares.items()]))
-    return done.select(*[F.col(c) for c in docs.columns], F.inline(found))
+    return done.select("row", F.inline(found)).select("row.*", *STATISTICS, *FEATURES)
 
 
 def base_failed() -> Column:
