@@ -159,12 +159,12 @@ def test_token_counts(docs, empty, texts):
 def test_language(spark, docs, empty):
     from spendlens.llm.langid import identified, suffix_automaton, with_language
 
-    table = suffix_automaton([0, 1, 0, 0, 1], 2)
+    table = suffix_automaton([0, 1, 0, 0, 1])
 
     def known(word):
         s = 0
         for c in word:
-            s = table[s, c]
+            s = table[s].get(c, -1)
             if s < 0:
                 return False
         return True
@@ -653,3 +653,139 @@ def test_warc_job_leaves_no_temporary_files(tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == [".other-part-1.tmp", done.names[0]]
     writer.abort([])
     assert (tmp_path / done.names[0]).exists()
+
+
+def _brute_parse(text, reference, known_letters):
+    """(phrases, letters not held) of a greedy parse with ``in``."""
+    phrases = literals = i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in known_letters and text[i : j + 1] in reference:
+            j += 1
+        phrases, literals = (phrases + 1, literals) if j > i else (phrases, literals + 1)
+        i = max(j, i + 1)
+    return phrases, literals
+
+
+def test_phrases_are_those_of_one_parse():
+    """Across blocks, with phrases longer than blocks, letters of no language, empty and odd texts."""
+    from spendlens.llm.langid import BLOCK, Languages
+
+    rng = random.Random(9)
+    refs = {"a": "".join(rng.choices("abc d", k=3000)), "b": "".join(rng.choices("abxyz ", k=900)), "c": "ab" * 700, "d": "漢字 かな" * 3}
+    model = Languages(tuple(sorted(refs.items())))
+    texts = ["", "a", "é", "漢", "?!", refs["a"][37:2500], refs["c"][1:1200] + "é" + refs["c"][3:900], "ab" * 3000, "q" * 1000, "İa" * 9]
+    texts += ["".join(rng.choices("abcdxyz é漢A", k=rng.randrange(0, 4 * BLOCK))) for _ in range(40)]
+    texts += [refs["a"][k : k + rng.randrange(1, 900)] + "".join(rng.choices("abc ", k=rng.randrange(0, 300))) for k in range(0, 2000, 97)]
+    count, literal, letters = model.phrases(texts)
+    at = {v: k for k, v in model.code.items()}
+    for i, t in enumerate(texts):
+        s = "".join(at.get(int(x), "?") for x in model.symbols(t))
+        assert letters[i] == sum(c != " " for c in s)
+        for k, name in enumerate(model.names):
+            ref = model._letters(refs[name])
+            assert (count[i, k], literal[i, k]) == _brute_parse(s, ref, set(ref)), (name, t[:40])
+
+
+def test_languages_of_many_letters(spark):
+    """Three languages of 1,500 letters each, a small Russian and a tiny Greek sample."""
+    from spendlens.llm.langid import identified, sample
+
+    rng = random.Random(12)
+    letters = {"a": range(0x4E00, 0x4E00 + 1500), "b": range(0x5400, 0x5400 + 1500), "c": range(0xAC00, 0xAC00 + 1500), "ru": range(0x430, 0x450), "el": [0x3B1 + i for i in range(17)] + [0x3C3 + i for i in range(7)]}
+    size = {"a": 60, "b": 60, "c": 60, "ru": 12, "el": 3}
+    rows, k = [], 0
+    for lang, points in letters.items():
+        points = [chr(c) for c in points]
+        words = ["".join(rng.choices(points, k=rng.randrange(2, 7))) for _ in range(600 if size[lang] > 20 else 60)]
+        for _ in range(size[lang]):
+            rows.append((k, " ".join(rng.choices(words, k=120)), lang))
+            k += 1
+        for _ in range(30):  # none of them labelled
+            rows.append((k, " ".join(rng.choices(words, k=40)), None))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    new = {r[0]: r[1][0] for r in rows if r[2] is None}
+    truth = {}
+    for r in rows:
+        if r[2] is None:
+            truth[r[0]] = next(lang for lang, points in letters.items() if ord(r[1][0]) in points)
+    got = {r.doc_id: r.lang_pred for r in identified(docs).collect()}
+    assert new and all(got[i] == lang for i, lang in truth.items())
+    # whole texts are learned from, in the number of rows that is asked for
+    few = dict(sample(docs, documents=2))
+    whole = {r[1] for r in rows}
+    assert all(sum(t in text for t in whole) >= 1 and len(text) > 500 for text in few.values())
+
+
+def test_near_duplicates_are_rows(spark):
+    """Ids that are null or repeated: a text goes only where a linked one stays."""
+    import corpus_pipeline as pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (5, a + " x"), (5, b), (None, b), (None, b), (None, None), (7, ""), (7, ""), (8, a.upper()), (None, "only here"), (9, "only here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    left = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(left, key=key) == sorted([(1, a), (5, b), (None, None), (7, ""), (7, ""), (9, "only here")], key=key)
+    assert pipeline.near_duplicates(spark, docs.limit(0), "").collect() == []
+
+
+def test_components_of_thousands_of_near_copies(spark):
+    """One group of near copies of one text, with few and many edits, beside
+    texts that share a very common passage."""
+    from spendlens.llm.ngram_join import ngram_jaccard_components
+
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(60)]
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = []
+    for _ in range(1200):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 6])):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [common + " " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 30))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(docs).collect()}
+    assert [rows[i] for i in range(len(texts))] == _brute_components(texts)
+
+
+def test_fingerprints_of_skewed_ids(spark):
+    """Ids that are clustered with an outlier, repeated or null: edited texts
+    and likenesses against brute force, over many ranges."""
+    from pyspark.sql import functions as F
+
+    from spendlens.llm import fingerprints as fp
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    ids = [*range(80), 2**60, -(2**63), 2**63 - 1] + [7] * 60 + [None] * 40
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 60))) or None) for i in ids] + [(7, "same text"), (7, "same text"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ranges = fp.Ranges.of(docs, size=2_000, quantiles=64)
+    assert ranges.count > 12
+    old = fp.Ranges.of
+    fp.Ranges.of = staticmethod(lambda r: ranges)
+    try:
+        got = fp.edited_fingerprints(docs).collect()
+    finally:
+        fp.Ranges.of = old
+    hashed = docs.withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    texts = [r.text or "" for r in order]
+    sets = [set() if not (w := WORD.findall(t)) else {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for t in texts]
+    want = {}
+    for i, r in enumerate(order):
+        t, n = texts[i], texts[(i + 1) % len(order)]
+        h = len(t) // 2
+        both = len(sets[i] | sets[(i + 1) % len(order)])
+        near = len(sets[i] & sets[(i + 1) % len(order)]) / both if both else 1.0
+        edit = t[: len(t) - h] + n[:h] if h else t
+        want.setdefault((str(r.doc_id), len(t), hashlib.sha256(edit.encode()).hexdigest()), []).append(near)
+    found = {}
+    for r in got:
+        found.setdefault((str(r.doc_id), r.n_chars, r.edited_sha256), []).append(r.near_next)
+    assert found.keys() == want.keys() and all(len(found[k]) == len(want[k]) for k in want)
+    # below 128 shingles a sketch holds the whole set, so likenesses are exact
+    assert all(sorted(found[k]) == pytest.approx(sorted(want[k])) for k in want)
