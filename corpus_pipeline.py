@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BROADCAST_ROWS, saved, table
+from spendlens.llm.common import BROADCAST_ROWS, saved, table, with_places
 from spendlens.llm.langid import UNDETERMINED, with_language
 from spendlens.llm.ngram_join import ngram_jaccard_components
 from spendlens.llm.packing import packed
@@ -41,21 +41,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked ones,
-    and every document without an id. Of rows that repeat an id one stays."""
-    found = ngram_jaccard_components(docs).where("doc_id is not null")
-    ids = saved(
-        found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("k"))
-        .where("first < doc_id or k > 1").select("doc_id", (F.col("first") < F.col("doc_id")).alias("linked"))
-    )
-    small = ids.count() <= BROADCAST_ROWS
-    some = lambda rows: F.broadcast(rows) if small else rows
-    kept = docs.join(some(ids.select("doc_id")), "doc_id", "left_anti")
-    again = ids.where("not linked").select("doc_id")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    one = docs.join(some(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(one.select(*docs.columns))
+    """Keeps one row of each group of linked ones: that with the smallest id
+    (null last), of these the first in the order of the input's files. Rows
+    are told apart by their place in the files, so ids may be null or
+    repeated. Texts without words are linked with nothing and stay."""
+    rows = with_places(docs, "_place")
+    found = ngram_jaccard_components(rows, id_col="_place").where("n_shingles > 0")
+    found = saved(found.select(F.col("doc_id").alias("_place"), "component_id"))
+    many = found.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1").select("component_id")
+    members = found.join(many, "component_id").join(rows.select("_place", "doc_id"), "_place")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place")
+    first = members.groupBy("component_id").agg(F.min(order).alias("o")).select("component_id", F.col("o._place").alias("_first"))
+    drop = saved(members.join(first, "component_id").where("_place <> _first").select("_place"))
+    some = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+    return rows.join(some, "_place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
