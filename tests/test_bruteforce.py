@@ -34,6 +34,7 @@ def _fixture(seed: int, n: int = 300):
                 status=rnd.choice(statuses),
                 sum_amount=rnd.choice([None, "0", "12.5", "-3.25", "4000.125", "60000"]),
                 po_date=rnd.choice(dates),
+                last_dttm=dt.datetime(1998, rnd.randrange(3, 6), rnd.randrange(1, 29), 13),
                 buyer=rnd.choice([None, "B0", "B4", "B10", "B20", "B99"]),
                 origin=rnd.choice([None, "SWC", "PUR"]),
                 req_id=rnd.choice([None, "r1", "r2", "r3"]),
@@ -231,7 +232,7 @@ def test_clean_lines_match_brute_force(spark, seed):
     parents = defaultdict(set)
     for r in rows:
         parents[r["level_2"]].add(r["level_1"])
-    as_of = max(r["po_date"] for r in rows if r["po_date"] is not None)
+    as_of = max(r["last_dttm"] for r in rows).date()
     m1, m2 = _months_before(as_of, 1), _months_before(as_of, 2)
 
     def cls(b):

@@ -129,7 +129,7 @@ def test_taxonomy_parents(lines_factory):
 
 
 def test_as_of_dates_end_of_month(lines_factory):
-    lines = lines_factory([dict(po_date=dt.date(2018, 3, 31)), dict(po_date=dt.date(2017, 1, 1))])
+    lines = lines_factory([dict(last_dttm=dt.datetime(2018, 3, 31, 23)), dict(last_dttm=dt.datetime(2017, 1, 1)), dict(last_dttm=None)])
     r = clean_lines.as_of_dates(lines, P).collect()[0]
     assert r.as_of_date == dt.date(2018, 3, 31)
     assert r.last_month == dt.date(2018, 2, 28)
