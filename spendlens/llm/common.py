@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -47,6 +48,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to
+    any more; it does so when the driver collects garbage, which a job of few
+    large steps may not reach before the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def with_places(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number of its own for each row: its file (by path) and
     its row in the file, so it is the same in every run. ``df`` is read from

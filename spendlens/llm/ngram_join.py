@@ -17,16 +17,16 @@ their sets' Jaccard similarity reaches 0.75 (exactly, in integers).
 
 Only components are asked for, so a pair whose ends are already connected is
 not made. First every class meets one partner, the best of one member of each
-of its elements; that member has the element at the earliest place, so the
+of its elements. That member has the element at the earliest place, so the
 fewest elements of its own before it, and is nearest to all others: a group
-of thousands of copies of one text needs as many pairs as it has members. Next come all pairs across components
-of the elements that at most SHORT classes have; groups whose members drift
-apart from one to the next are connected by them. Then the elements with more
-classes, once by partners again and at last by every remaining pair across
-components. Pairs must share a prefix element at places that allow a link:
-all elements before a pair's first shared one are unshared, so that place
-bounds the partner's size. Bitmaps of the sets (a lower bound of the symmetric
-difference) come before the sets.
+of thousands of copies of one text needs as many pairs as it has members.
+Classes of elements that still lie in two components or more meet a partner
+once again, and at last all remaining pairs across components are made.
+Pairs must share a prefix element at places that allow a link: all elements
+before a pair's first shared one are unshared, so that place bounds the
+partner's size. Bitmaps of the sets (a lower bound of the symmetric
+difference) come before the sets. Step tables are deleted once the next one
+is written.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BROADCAST_ROWS, U, chunks, discard, mix, shingle_sets, shingles, stored, text_bytes
+from spendlens.llm.common import BROADCAST_ROWS, U, chunks, discard, free_shuffles, mix, shingle_sets, shingles, stored, text_bytes
 
 WIDTH = 5
 #: Similarity as a fraction.
@@ -52,8 +52,6 @@ EXTRA = 8
 #: A round's partners are chosen by the place of the shared element in steps of
 #: this many 256ths of their size, then by hash.
 STEPS = (1, 8)
-#: Elements of at most this many classes make all their pairs first.
-SHORT = 32
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -279,6 +277,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     one, two = sets(send).toDF("a", "b", "s1"), sets(hold).select(F.col("id").alias("b"), F.col("elements").alias("s2"))
     links = stored(one.join(two, "b").select("a", "b", "s1", "s2").mapInArrow(_linked, "a long, b long"))
     discard(near, send, hold)
+    free_shuffles(docs.sparkSession)
     return links
 
 
@@ -342,11 +341,13 @@ def _best_partners(rows: DataFrame, turn: int) -> DataFrame:
     4/3). That one has the element at the least place, in the turn's steps,
     then the least hash."""
     n = _unpacked("n")
-    rows = rows.withColumn("band", F.floor(F.log(n) / F.log(F.lit(DENOMINATOR / NUMERATOR))))
-    rank = F.struct(F.floor(_unpacked("place") / STEPS[turn]).alias("place"), F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "comp")
+    rows = rows.withColumn("band", F.floor(F.log(n) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int"))
+    place = F.floor(_unpacked("place") / STEPS[turn]).cast("int").alias("place")
+    # cid is a hash itself; the second turn takes it from the other end
+    rank = F.struct(place, (F.bitwise_not("cid") if turn else F.col("cid")).alias("h"), "comp")
     first = (
-        rows.groupBy("token", "band").agg(F.min(rank).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top"))
-        .where("low < top").select("token", "band", F.col("p.cid").alias("b"), F.col("p.comp").alias("comp_b"))
+        rows.groupBy("token", "band").agg(F.min(rank).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top")).where("low < top")
+        .select("token", "band", (F.bitwise_not("p.h") if turn else F.col("p.h")).alias("b"), F.col("p.comp").alias("comp_b"))
     )
     weight = F.when(_unpacked("whole"), n).otherwise(1)  # classes of one group share the whole prefix
     shared = rows.join(first, ["token", "band"]).where("comp <> comp_b").groupBy("cid", "b").agg(F.sum(weight).alias("k"), F.min(n).alias("n"))
@@ -356,10 +357,10 @@ def _best_partners(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _spans(rows: DataFrame) -> DataFrame:
-    """Of each element with classes of two components or more: the least and
-    largest size, and number of classes."""
-    each = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far"))
-    return each.where("lo < hi").select("token", "m", "least", "far")
+    """Of each element with classes of two components or more: the least size
+    and the largest reach."""
+    each = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far"))
+    return each.where("lo < hi").select("token", "least", "far")
 
 
 def _pairs_left(rows: DataFrame) -> DataFrame:
@@ -382,13 +383,6 @@ def _pairs_left(rows: DataFrame) -> DataFrame:
     return pairs
 
 
-def _short_pairs(rows: DataFrame) -> DataFrame:
-    """As ``_pairs_left``, for elements that at most SHORT classes have."""
-    pairs = rows.join(rows.toDF(*[f"{c}_b" if c != "token" else c for c in rows.columns]), "token")
-    pairs = pairs.where("cid < cid_b and comp <> comp_b and n_b <= reach and n <= reach_b")
-    return stored(pairs.select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct())
-
-
 def _connected(posted: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     """(cid, comp) of the classes that have postings."""
     label = stored(posted.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
@@ -401,20 +395,16 @@ def _connected(posted: DataFrame, known: DataFrame, docs: DataFrame) -> DataFram
         return _relabelled(label, links)
 
     label = linked(_best_partners(posted.withColumn("comp", F.col("cid")), 0))
-    # Of early elements, those that are still in two components or more.
+    # Elements that are still in two components or more.
     n, place = _unpacked("n"), _unpacked("place")
     reach = F.floor(((NUMERATOR + DENOMINATOR) * (256 - place) - 256 * NUMERATOR) * n / (256 * NUMERATOR))
     rows = posted.join(label, "cid").withColumns({"n": n, "reach": reach})
     apart = rows.join(_spans(rows), "token").where("reach >= least and n <= far")
-    apart = stored(apart.select("token", "cid", "n", "reach", "p", (F.col("m") > SHORT).alias("long")))
-    early = apart.where(_unpacked("early"))
-    sides = ["token", "cid", "n", "reach", "comp"]
-    pairs = _short_pairs(early.where("not long").join(label, "cid").select(*sides))
-    label = linked(pairs)
-    discard(pairs)
-    if not apart.where("long").isEmpty():
-        label = linked(_best_partners(apart.where("long").join(label, "cid"), 1))
-        pairs = _pairs_left(early.where("long").join(label, "cid").select(*sides))
+    apart = stored(apart.select("token", "cid", "n", "reach", "p"))
+    discard(posted)
+    if not apart.isEmpty():
+        label = linked(_best_partners(apart.join(label, "cid"), 1))
+        pairs = _pairs_left(apart.where(_unpacked("early")).join(label, "cid").select("token", "cid", "n", "reach", "comp"))
         label = linked(pairs)
         discard(pairs)
     discard(apart)
@@ -459,8 +449,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         .join(members, "gid").select("token", "cid", _packed("n", "place", F.col("early"), F.col("whole")).alias("p"))
     )
     known = stored(classes.join(posted.select("cid").distinct(), "cid", "left_semi"))
+    free_shuffles(docs.sparkSession)
     label = _connected(posted, known, docs)
-    discard(posted, known)
+    discard(known)
     comps = label.join(classes, "cid").groupBy("comp").agg(F.min("first_id").alias("component_id"))
     found = classes.join(label.join(comps, "comp").select("cid", "component_id"), "cid", "left").select(
         "n", "c1", "c2", F.coalesce("component_id", "first_id").alias("component_id")
