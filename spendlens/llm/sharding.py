@@ -15,6 +15,8 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,9 @@ from spendlens.llm.common import BROADCAST_ROWS, saved
 LIMIT = 8 << 20
 #: Cells for each shard that the bytes need at least, and bits of the hash in use.
 FINER, BITS = 64, 52
-#: Further bits on which cells over the limit are split at a time.
-STEP = 8
+#: Bits of the prefixes whose sums come to the driver, and further bits on
+#: which cells over the limit are split at a time.
+TOP_BITS, STEP = 16, 8
 
 
 def key_hash(key: Column) -> Column:
@@ -32,19 +35,51 @@ def key_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
-def directory(cells: DataFrame, depth: int, limit: int) -> DataFrame:
-    """(cell, depth, bytes): for each cell the shortest prefix within the
-    limit, or the whole cell where that alone is over it."""
-    sums = [F.sum("bytes").over(Window.partitionBy(F.shiftright("cell", depth - d))) for d in range(1, depth)]
-    out = cells
-    for d, s in enumerate(sums, 1):
-        out = out.withColumn(f"s{d}", s)
-    fits = F.lit(depth)
-    size = F.col("bytes")
-    for d in range(depth - 1, 0, -1):
-        fits = F.when(F.col(f"s{d}") <= limit, d).otherwise(fits)
-        size = F.when(F.col(f"s{d}") <= limit, F.col(f"s{d}")).otherwise(size)
-    return out.select("cell", fits.alias("depth"), size.alias("shard_bytes"))
+def depths(cells: np.ndarray, sizes: np.ndarray, depth: int, top: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """For cells of ``depth`` bits, in ascending order: the bits of the
+    shortest prefix of ``top`` bits or more that is within the limit, else
+    ``depth``, and that prefix's bytes. Sums go from fine to coarse."""
+    bits, size = np.full(len(cells), depth), sizes.copy()
+    for d in range(depth - 1, top - 1, -1):
+        prefix = cells >> (depth - d)
+        first = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
+        total = np.repeat(np.add.reduceat(sizes, first), np.diff(np.append(first, len(cells))))
+        fits = total <= limit
+        bits[fits], size[fits] = d, total[fits]
+    return bits, size
+
+
+def _inside(depth: int, top: int, limit: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cell")
+        cells = t.column("cell").to_numpy()
+        bits, size = depths(cells, t.column("bytes").to_numpy(), depth, top, limit)
+        return pa.table({"cell": cells, "depth": bits.astype(np.int32), "shard_bytes": size})
+
+    return run
+
+
+def directory(cells: DataFrame, depth: int, limit: int, top_bits: int = TOP_BITS) -> DataFrame:
+    """(cell, depth, shard_bytes): for each cell the shortest prefix within
+    the limit, or the whole cell where that alone is over it.
+
+    Cells are summed by their first ``top_bits`` bits; the driver finds the
+    prefixes that are that short (2**top_bits sums at most). Where such a
+    block is over the limit, a task finds the longer ones among its cells:
+    2**16 of them at 500 TB and the default limit."""
+    top = min(depth, top_bits)
+    block = F.shiftright("cell", depth - top)
+    sums = sorted(tuple(r) for r in cells.groupBy(block.alias("block")).agg(F.sum("bytes").alias("bytes")).collect())
+    blocks, sizes = np.array([r[0] for r in sums], np.int64), np.array([r[1] for r in sums], np.int64)
+    bits, size = depths(blocks, sizes, top, 1, limit) if len(sums) else (blocks, sizes)
+    found = [(int(k), int(d), int(n)) for k, d, n in zip(blocks, bits, size)]
+    known = F.broadcast(cells.sparkSession.createDataFrame(found, "block long, depth int, shard_bytes long"))
+    met = cells.withColumn("block", block).join(known, "block")
+    if top == depth:
+        return met.select("cell", "depth", "shard_bytes")
+    fits = met.where(F.col("shard_bytes") <= limit).select("cell", "depth", "shard_bytes")
+    over = met.where(F.col("shard_bytes") > limit).select("block", "cell", "bytes")
+    return fits.unionByName(over.groupBy("block").applyInArrow(_inside(depth, top + 1, limit), "cell long, depth int, shard_bytes long"))
 
 
 def sharded(rows: DataFrame, key: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:

@@ -789,3 +789,21 @@ def test_fingerprints_of_skewed_ids(spark):
     assert found.keys() == want.keys() and all(len(found[k]) == len(want[k]) for k in want)
     # below 128 shingles a sketch holds the whole set, so likenesses are exact
     assert all(sorted(found[k]) == pytest.approx(sorted(want[k])) for k in want)
+
+
+@pytest.mark.parametrize("top_bits", [1, 3, 16])
+def test_sharding_directory_by_brute_force(spark, top_bits):
+    from spendlens.llm.sharding import directory
+
+    rng = random.Random(top_bits)
+    for depth, limit in ((1, 50), (7, 60), (9, 200)):
+        sizes = {c: rng.choice([0, 1, 5, 30, 120, 900]) for c in rng.sample(range(2**depth), rng.randrange(1, 2**depth + 1))}
+        cells = spark.createDataFrame(list(sizes.items()), "cell long, bytes long")
+        got = {r.cell: (r.depth, r.shard_bytes) for r in directory(cells, depth, limit, top_bits).collect()}
+        want = {}
+        for c in sizes:
+            of = {d: sum(n for k, n in sizes.items() if k >> (depth - d) == c >> (depth - d)) for d in range(1, depth + 1)}
+            d = min((d for d in of if of[d] <= limit), default=depth)
+            want[c] = (d, of[d])
+        assert got == want
+    assert directory(cells.limit(0), 4, 10, top_bits).collect() == []
