@@ -15,8 +15,9 @@ phrase start of the first. From there on both agree, so counts are those of
 one parse of the whole text.
 
 Only the text to learn from is sent to the tasks; each worker builds the
-automata once, as hash tables of their transitions (some 60 bytes a letter of
-that text, whatever the alphabet).
+automata once: as tables by state and letter up to DENSE entries in all, other
+languages' as hash tables (some 60 bytes a letter of their text, whatever the
+alphabet).
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from pyspark.sql import types as T
 from spendlens.llm.common import chunks, hash_sample
 
 #: The sample to learn from: labelled documents a language, taken whole.
-SAMPLE_DOCUMENTS = 40
+SAMPLE_DOCUMENTS = 20
 BLOCK = 256
+#: Entries of dense tables that a worker may hold, four bytes each; other languages have hash tables.
+DENSE = 16 << 20
 #: Bits for a letter that a language's text doesn't hold.
 LITERAL = 24.0
 UNDETERMINED = "und"
@@ -98,19 +101,46 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return steps
 
 
-class Transitions:
-    """A hash table (state, symbol) -> state with linear probing."""
+#: Flags of a step, above the next state: a phrase begins with the symbol; it is one that the text doesn't hold.
+_NEW, _LITERAL, _STATE = 1 << 30, 1 << 29, (1 << 29) - 1
+
+
+class Dense:
+    """Steps as a table (state, symbol), for small alphabets. A step that
+    isn't there is that from state 0, where a phrase begins."""
+
+    def __init__(self, steps: list[dict[int, int]], symbols: int):
+        known = sorted(steps[0])
+        self.local = np.zeros(symbols, np.int32)
+        self.local[known] = np.arange(1, len(known) + 1)
+        self.width = len(known) + 1
+        table = np.full((len(steps), self.width), -1, np.int32)
+        for state, to in enumerate(steps):
+            if to:
+                table[state, self.local[list(to)]] = list(to.values())
+        again = table[0] | _NEW
+        again[0] = _NEW | _LITERAL
+        table[0] = -1
+        self.table = np.where(table >= 0, table, again[None, :]).ravel()
+
+    def __call__(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return self.table[states * self.width + symbols]
+
+
+class Hashed:
+    """The same as a hash table with linear probing, for large alphabets."""
 
     _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, steps: list[dict[int, int]], symbols: int):
-        self.first = np.full(symbols, -1, np.int32)
-        self.first[list(steps[0])] = list(steps[0].values())
+        self.local = np.arange(symbols, dtype=np.int32)
+        self.first = np.full(symbols, _NEW | _LITERAL, np.int32)
+        self.first[list(steps[0])] = np.array(list(steps[0].values()), np.int32) | _NEW
         keys = np.array([(state << 21) | c for state, to in enumerate(steps) for c in to if state], np.int64)
         values = np.array([v for state, to in enumerate(steps) for v in to.values() if state], np.int32)
         bits = max(4, (2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
         at, left = self._home(keys), np.arange(len(keys))
         while len(left):
             slot = at[left]
@@ -127,11 +157,10 @@ class Transitions:
         return ((keys.view(np.uint64) * self._FACTOR) >> self.shift).astype(np.int64)
 
     def __call__(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """The next states, -1 for none. From state 0, look into ``first``."""
         keys = (states.astype(np.int64) << 21) | symbols
         at = self._home(keys)
         found = self.keys[at]
-        out = np.where(found == keys, self.values[at], np.int32(-1))
+        out = np.where(found == keys, self.values[at], self.first[symbols])
         left = np.flatnonzero((found != keys) & (found >= 0))
         while len(left):
             at[left] = (at[left] + 1) & self.mask
@@ -155,7 +184,12 @@ class Languages:
             if c.isalpha():
                 low = c.lower()
                 self.symbol[cp] = self.code.get(low if len(low) == 1 else c, 0)
-        self.tables = [Transitions(suffix_automaton([self.code[c] for c in t]), len(letters) + 2) for t in lower]
+        self.tables, room = [], DENSE
+        for t in lower:
+            steps = suffix_automaton([self.code[c] for c in t])
+            size = len(steps) * (len(steps[0]) + 1)
+            self.tables.append((Dense if size <= room else Hashed)(steps, len(letters) + 2))
+            room -= size if size <= room else 0
         self.cost = [math.log2(len(t) + 2) for t in lower]
 
     @staticmethod
@@ -170,84 +204,97 @@ class Languages:
         keep[1:] = (s[1:] != GAP) | (s[:-1] != GAP)
         return s[keep]
 
-    @staticmethod
-    def _parsed(table: Transitions, s: np.ndarray, start: np.ndarray, stop: np.ndarray, limit: np.ndarray, marks: np.ndarray, meet: bool):
-        """Parses ``s`` from each ``start``, where a phrase begins, to the
-        first phrase that begins at ``stop`` or beyond, or to ``limit``. Marks
-        where phrases begin (1, letters not held 2) and returns where that
-        first phrase beyond begins. With ``meet`` nothing is marked: phrases
-        and letters not held are counted up to a mark, if one is met."""
-        at, state, out = start.copy(), np.zeros(len(start), np.int32), limit.copy()
-        counts, met = np.zeros((len(start), 2), np.int64), np.zeros(len(start), bool)
-        lanes = np.flatnonzero(at < limit)
-        while len(lanes):
-            p, now = at[lanes], state[lanes]
-            c = s[p]
-            to = table(now, c)
-            begins = (now == 0) | (to < 0)
-            new = table.first[c]
-            done = begins & (p >= stop[lanes])
-            if meet:
-                done |= begins & (marks[p] > 0)
-            out[lanes[done]] = p[done]
-            live = begins & ~done
-            kind = np.where(new < 0, 2, 1)
-            if meet:
-                met[lanes[done]] = (marks[p[done]] > 0) & (p[done] < stop[lanes[done]])
-                counts[lanes[live], kind[live] - 1] += 1
-            else:
-                marks[p[live]] = kind[live]
-            state[lanes] = np.where(begins, np.maximum(new, 0), to)
-            at[lanes] = p + 1
-            lanes = lanes[~done & (p + 1 < limit[lanes])]
-        return out, counts, met
-
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases, and letters not held, by (text, language), and each
         text's number of letters."""
         rows = [self.symbols(t) for t in texts]
         size = np.array([len(r) for r in rows], np.int64)
         letters = np.array([int((r != GAP).sum()) for r in rows], np.int64)
-        s = np.concatenate([*rows, np.zeros(0, np.int32)])
+        s = np.concatenate([*rows, np.zeros(1, np.int32)])
         blocks = -(-size // BLOCK)
         owner = np.repeat(np.arange(len(rows)), blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         limit = np.cumsum(size)[owner]
         start = (np.cumsum(size) - size)[owner] + nth * BLOCK
         stop = np.minimum(start + BLOCK, limit)
-        head = nth == 0
+        follows = np.flatnonzero(nth > 0)
+        # Longest blocks first: after t symbols the first active[t] are going on.
+        order = np.argsort(start - stop, kind="stable")
+        place = np.minimum(start[order][None, :] + np.arange(BLOCK)[:, None], len(s) - 1)
+        active = np.searchsorted((start - stop)[order], -np.arange(BLOCK), side="left")
+        real = np.arange(BLOCK)[:, None] < (stop - start)[order][None, :]
         out = np.zeros((2, len(texts), len(self.names)), np.int64)
         for k, table in enumerate(self.tables):
-            marks = np.zeros(len(s) + 1, np.int8)
-            leave, _, _ = self._parsed(table, s, start, stop, limit, marks, False)
-            upto = [np.concatenate(([0], np.cumsum(marks == kind))) for kind in (1, 2)]
-            own = leave.copy()  # where the block's first parse ends
-            enter, counts = start.copy(), np.zeros((len(owner), 2), np.int64)
-            todo = np.arange(len(owner))
-            while len(todo):
-                # Blocks by where their first phrase really begins: from a mark on as parsed before.
-                e = enter[todo]
-                past = e >= stop[todo]
-                known = ~past & (marks[np.minimum(e, len(s))] > 0)
-                new_leave = np.where(past, e, own[todo])
-                got = np.zeros((len(todo), 2), np.int64)
-                again = np.flatnonzero(~past & ~known)
-                to, part, met = self._parsed(table, s, e[again], stop[todo[again]], limit[todo[again]], marks, True)
-                got[again] = part
-                tail = np.concatenate((np.flatnonzero(known), again[met]))
-                at = np.concatenate((e[known], to[met]))
-                for j in (0, 1):
-                    got[tail, j] += upto[j][stop[todo[tail]]] - upto[j][at]
-                new_leave[again[~met]] = to[~met]
-                counts[todo], leave[todo] = got, new_leave
-                follows = np.flatnonzero(~head[1:]) + 1
-                moved = follows[enter[follows] != leave[follows - 1]]
-                enter[moved] = leave[moved - 1]
-                todo = moved
+            own = table.local[s]
+            leave, marks = self._blocks(table, own, place, active, real, order, stop, limit)
+            counts = self._met(table, own, marks, leave, follows, start, stop, limit)
             for j in (0, 1):
                 out[j, :, k] = np.bincount(owner, weights=counts[:, j], minlength=len(texts))
         return out[0], out[1], letters
 
+    @staticmethod
+    def _blocks(table, own, place, active, real, order, stop, limit) -> tuple[np.ndarray, np.ndarray]:
+        """Each block's parse from its first symbol on: where the first
+        phrase beyond the block begins, and a mark for each symbol with which
+        a phrase begins (2; 3 if it isn't held)."""
+        grid = own[place]
+        state, flags = np.zeros(grid.shape[1], np.int32), np.zeros(grid.shape, np.int8)
+        for t in range(BLOCK):
+            n = active[t]
+            if not n:
+                break
+            to = table(state[:n], grid[t, :n])
+            flags[t, :n] = to >> 29
+            state[:n] = to & _STATE
+        marks = np.zeros(len(own), np.int8)
+        marks[place[real]] = flags[real]
+        leave, now = stop.copy(), np.zeros_like(state)
+        now[order] = state
+        lanes = np.flatnonzero(stop < limit)
+        while len(lanes):
+            to = table(now[lanes], own[leave[lanes]])
+            goes = (to & _NEW) == 0
+            lanes, to = lanes[goes], to[goes]
+            now[lanes] = to & _STATE
+            leave[lanes] += 1
+            lanes = lanes[leave[lanes] < limit[lanes]]
+        return leave, marks
+
+    @staticmethod
+    def _met(table, own, marks, first_leave, follows, start, stop, limit) -> np.ndarray:
+        """(phrases, letters not held) that begin in each block, by one parse
+        of the whole text: from where the block before really ends, up to a
+        mark, then as marked."""
+        upto = [np.concatenate((np.zeros(1, np.int32), np.cumsum(marks == kind, dtype=np.int32))) for kind in (2, 3)]
+        enter, leave, counts = start.copy(), first_leave.copy(), np.zeros((len(start), 2), np.int64)
+        todo = np.arange(len(start))
+        while len(todo):
+            at, end, last = enter[todo], stop[todo], limit[todo]
+            got, state, met = np.zeros((len(todo), 2), np.int64), np.zeros(len(todo), np.int32), np.zeros(len(todo), bool)
+            lanes = np.flatnonzero(at < last)
+            while len(lanes):
+                p = at[lanes]
+                to = table(state[lanes], own[p])
+                begins = (to & _NEW) != 0
+                inside = p < end[lanes]
+                meets = begins & inside & (marks[p] > 0)
+                met[lanes[meets]] = True
+                counted = begins & inside & ~meets
+                got[lanes[counted], ((to[counted] & _LITERAL) != 0).astype(np.int64)] += 1
+                goes = ~meets & (inside | ~begins)
+                lanes, to = lanes[goes], to[goes]
+                state[lanes] = to & _STATE
+                at[lanes] += 1
+                lanes = lanes[at[lanes] < last[lanes]]
+            for j in (0, 1):
+                got[met, j] += upto[j][end[met]] - upto[j][at[met]]
+            counts[todo] = got
+            leave[todo] = np.where(met, first_leave[todo], at)
+            moved = follows[enter[follows] != leave[follows - 1]]
+            enter[moved] = leave[moved - 1]
+            todo = moved
+        return counts
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score: by how much, as a share, the second language
         needs more phrases than the first; 0 for equal, 1 with no second."""
