@@ -35,13 +35,16 @@ HOT_BUCKETS = 1 << 16
 
 
 def hot_key_totals(df: DataFrame, keys: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Sum (``name``) and rows (``_hot_n``) of every key with more than
+    """Sum (``name``) and rows (``_hot_n``) of the keys with more than
     ``hot_rows`` rows, exactly, or None. Rows are counted by hash bucket (a
     row per bucket), then by key in the full buckets alone; both combine
-    map-side and read only the keys and the value."""
+    map-side and read only the keys and the value. Above some 30 billion rows
+    the limit grows to four times a bucket's mean, so that few buckets are full."""
     ensure_checkpoint_dir(df.sparkSession)
     bucketed = df.select(*keys, F.col(value).alias("_hot_v"), F.pmod(F.xxhash64(*keys), F.lit(HOT_BUCKETS)).cast("int").alias("_hot_b"))
-    full = [r[0] for r in bucketed.groupBy("_hot_b").count().where(F.col("count") > hot_rows).select("_hot_b").collect()]
+    counts = bucketed.groupBy("_hot_b").count().collect()
+    limit = max(hot_rows, 4 * sum(r[1] for r in counts) // HOT_BUCKETS)
+    full = [r[0] for r in counts if r[1] > limit]
     if not full:
         return None
     per_key = bucketed.where(F.col("_hot_b").isin(full)).groupBy(*keys).agg(F.sum("_hot_v").alias(name), F.count(F.lit(1)).alias("_hot_n"))
