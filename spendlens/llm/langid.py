@@ -14,27 +14,25 @@ before really ends, further inside, a second parse runs until it meets a
 phrase start of the first. From there on both agree, so counts are those of
 one parse of the whole text.
 
-Only the text to learn from is sent to the tasks; each worker builds the
-automata once: as tables by state and letter up to DENSE entries in all, other
-languages' as hash tables (some 60 bytes a letter of their text, whatever the
-alphabet).
+The driver builds the automata from the sample and broadcasts them: as tables
+by state and letter up to DENSE entries in all, other languages' as hash
+tables (some 60 bytes a letter of their text, whatever the alphabet).
 """
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.llm.common import chunks, hash_sample
 
 #: The sample to learn from: labelled documents a language, taken whole.
-SAMPLE_DOCUMENTS = 20
+SAMPLE_DOCUMENTS = 16
 BLOCK = 256
 #: Entries of dense tables that a worker may hold, four bytes each; other languages have hash tables.
 DENSE = 16 << 20
@@ -311,14 +309,12 @@ class Languages:
         return names, np.where(letters > 0, np.clip(score, 0, 1), 0.0)
 
 
-@functools.lru_cache(maxsize=2)
-def languages(sampled: Sample) -> Languages:
-    return Languages(sampled)
+def _run(spark: SparkSession, sampled: Sample, keep_text: bool = False):
+    # Bounded by the sample: at most 4 * DENSE bytes, and the hash tables.
+    shared = spark.sparkContext.broadcast(Languages(sampled))
 
-
-def _run(sampled: Sample, keep_text: bool = False):
     def run(batches):
-        model = languages(sampled)
+        model = shared.value
         for batch in batches:
             t = pa.Table.from_batches([batch])
             texts = [x or "" for x in t.column("text").to_pylist()]
@@ -343,12 +339,12 @@ def identified(docs: DataFrame, sampled: Sample | None = None, id_col: str = "do
     are kept, other columns are ignored, an empty table gives no rows."""
     sampled = sample(docs, id_col, text_col, lang_col) if sampled is None else sampled
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_run(sampled), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_run(docs.sparkSession, sampled), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, sampled: Sample | None = None) -> DataFrame:
     """``docs`` with lang_pred and score; columns of these names are replaced."""
     own = docs.drop("lang_pred", "score")
-    run = _run(sample(own) if sampled is None else sampled, keep_text=True)
+    run = _run(own.sparkSession, sample(own) if sampled is None else sampled, keep_text=True)
     schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return own.mapInArrow(run, schema)
