@@ -34,6 +34,8 @@ from spendlens.llm.common import chunks, hash_sample
 #: The sample to learn from: labelled documents a language, taken whole.
 SAMPLE_DOCUMENTS = 16
 BLOCK = 256
+#: Bytes of text that are parsed together.
+CHUNK = 1 << 19
 #: Entries of dense tables that a worker may hold, four bytes each; other languages have hash tables.
 DENSE = 16 << 20
 #: Bits for a letter that a language's text doesn't hold.
@@ -111,17 +113,29 @@ class Dense:
         known = sorted(steps[0])
         self.local = np.zeros(symbols, np.int32)
         self.local[known] = np.arange(1, len(known) + 1)
-        self.width = len(known) + 1
-        table = np.full((len(steps), self.width), -1, np.int32)
-        for state, to in enumerate(steps):
-            if to:
-                table[state, self.local[list(to)]] = list(to.values())
+        self.width, self.states = len(known) + 1, len(steps)
+        self.at = np.array([state * self.width + self.local[c] for state, to in enumerate(steps) for c in to], np.int32)
+        self.to = np.array([v for to in steps for v in to.values()], np.int32)
+        self.table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}  # only the steps that are there are sent
+
+    def _filled(self) -> np.ndarray:
+        table = np.full(self.states * self.width, -1, np.int32)
+        table[self.at] = self.to
+        table = table.reshape(self.states, self.width)
         again = table[0] | _NEW
         again[0] = _NEW | _LITERAL
         table[0] = -1
-        self.table = np.where(table >= 0, table, again[None, :]).ravel()
+        for state in range(0, self.states, 4096):
+            part = table[state : state + 4096]
+            np.copyto(part, again[None, :], where=part < 0)
+        return table.ravel()
 
     def __call__(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            self.table = self._filled()
         return self.table[states * self.width + symbols]
 
 
@@ -319,7 +333,7 @@ def _run(spark: SparkSession, sampled: Sample, keep_text: bool = False):
             t = pa.Table.from_batches([batch])
             texts = [x or "" for x in t.column("text").to_pylist()]
             names, scores = [], []
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, CHUNK):
                 a, b = model.predict(texts[lo:hi])
                 names += a
                 scores += b.tolist()
