@@ -25,6 +25,14 @@ from spendlens.session import ensure_checkpoint_dir
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers give freed memory back to the system (settings of the C
+    library and Arrow): they live through all stages of one session."""
+    lean = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+    for name, value in lean.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 #: A language is accepted if the second needs more phrases by this share at least.
 LEAST_SCORE = 0.01
 
@@ -32,6 +40,7 @@ LEAST_SCORE = 0.01
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters, and those that no language explains
     better than another."""
+    lean_workers(spark)
     return with_language(docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
