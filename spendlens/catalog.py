@@ -88,11 +88,11 @@ def _scratch(spark, name) -> str:
 def q_src_po_lines(spark, sf):
     """The lines written as sheet exports (title lines, columns in another
     order by file, comments that span lines) and read from them. The files
-    are as many as a million lines each need, 4 at least."""
+    are as many as a million lines each need at least, and 4 at least."""
     path = _scratch(spark, "export")
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     tb.write_po_export(spark, sf, path, files=max(4, n // 1_000_000))
-    return line_out(files.read_po_lines_csv(spark, f"{path}/part=*"))
+    return line_out(files.read_po_lines_csv(spark, path))
 
 
 def q_src_bids(spark, sf):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +10,12 @@ from pyspark.sql import functions as F
 
 from spendlens.llm.common import table
 from spendlens.llm.url_filters import Rule
+from spendlens.session import workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Hosts and paths that are always blocked or let through.
 URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def workers_find_package(spark: SparkSession) -> None:
-    """Adds the folder of this package to the Python workers' path."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
 def query(f: Query) -> Query:

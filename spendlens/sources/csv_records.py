@@ -6,13 +6,12 @@ it in its file. Here that state is composed over splits:
 
 1. every split counts its lines and its *odd* lines (those with an odd number
    of quotes, which open or close a quoted part); one row per split;
-2. running sums over the splits give each line its number and each odd line
-   its rank among the odd lines of its file (rank inside its split + odd
-   lines of earlier splits);
-3. the odd lines of ranks 2k and 2k+1 open and close one record, so a hash
-   aggregate on (file, rank div 2) gives the line ranges that belong together;
-4. only the lines of those ranges are grouped into records. All other lines,
-   nearly all of a file, are records as they are and aren't shuffled.
+2. running sums over the splits give each line its number, and each split
+   whether it begins inside quotes;
+3. each split's lines are cut into records where they are, in Arrow batches;
+4. only records that go over a split's end are grouped: their pieces, one a
+   split, by the number of such records that began in the splits before.
+   No other line is shuffled.
 
 Positions come from ``monotonically_increasing_id`` over the file scan, taken
 relative to the first line of the split. Both scans plan the same splits from
@@ -21,13 +20,16 @@ the same file listing; a position outside its split's lines is an error.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlens.operators.joins import broadcast_if_small
-from spendlens.session import ensure_checkpoint_dir
+from spendlens.session import ensure_checkpoint_dir, workers_find_package
 
 LINE_COLUMNS = ("value", "_ord_file", "_ord_block")
 
@@ -52,49 +54,125 @@ def _frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def split_table(text: DataFrame, quote: str = '"', file_order: Sequence[Column] = ()) -> DataFrame:
-    """One row per split of lines tagged with ``_ord_pos``: lines, first
-    position, odd lines, and the lines before it overall (``_sp_off``) and in
-    its file (``_sp_row``). The window sorts one row per split."""
+def split_table(text: DataFrame, preamble_lines: int = 0, quote: str = '"', file_order: Sequence[Column] = ()) -> DataFrame:
+    """One row per split of lines tagged with ``_ord_pos``: its number
+    (``_sp_id``), lines, first position, odd lines (quotes in the preamble play
+    no part), the lines before it overall (``_sp_off``) and in its file
+    (``_sp_row``), whether it begins and ends inside quotes, and the records
+    going over a split's end that began before it (``_sp_rec``). The windows
+    sort one row per split."""
     odd = _quotes("value", quote) % 2
     splits = text.groupBy("_ord_file", "_ord_block").agg(
         F.count(F.lit(1)).alias("_sp_n"), F.min("_ord_pos").alias("_sp_first"), F.sum(odd).alias("_sp_odd")
     )
-    before = Window.orderBy(*file_order, "_ord_file", "_ord_block").rowsBetween(Window.unboundedPreceding, -1)
+    order = [*file_order, "_ord_file", "_ord_block"]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("_ord_file").orderBy("_ord_block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    return _frozen(splits.withColumns({"_sp_off": F.coalesce(F.sum("_sp_n").over(before), zero), "_sp_row": F.coalesce(F.sum("_sp_n").over(in_file), zero)}))
-
-
-def numbered_lines(text: DataFrame, splits: DataFrame) -> DataFrame:
-    """Lines with ``_ord_line`` (1, 2, ... over all files in path order) and
-    ``_ord_row`` (0, 1, ... in the file). No sort; ``splits`` is broadcast if
-    its measured size allows, else joined on (file, split), whose groups are
-    as large as a split."""
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w), zero)
+    placed = _frozen(
+        splits.withColumns({"_sp_id": F.row_number().over(Window.orderBy(*order)).cast("long"), "_sp_off": earlier("_sp_n", before), "_sp_row": earlier("_sp_n", in_file)})
+    )
+    top = placed.where((F.col("_sp_row") < preamble_lines) & (F.col("_sp_odd") > 0))
+    if not top.isEmpty():
+        lines = numbered_lines(text, top, F.col("_ord_row") < preamble_lines, quote)
+        title = lines.groupBy("_sp_id").agg(F.sum(F.col("_odd").cast("long")).alias("_title"))
+        placed = _frozen(placed.join(title, "_sp_id", "left").withColumn("_sp_odd", F.col("_sp_odd") - F.coalesce("_title", zero)).drop("_title"))
+    opened = placed.withColumn("_sp_open", earlier("_sp_odd", in_file) % 2 == 1)
+    opened = opened.withColumn("_sp_ends_open", F.col("_sp_open") != (F.col("_sp_odd") % 2 == 1))
+    begins = (F.col("_sp_ends_open") & (~F.col("_sp_open") | (F.col("_sp_odd") > 0))).cast("long")
+    return _frozen(opened.withColumn("_sp_rec", earlier(begins, Window.orderBy("_sp_id").rowsBetween(Window.unboundedPreceding, -1))))
+
+
+def numbered_lines(text: DataFrame, splits: DataFrame, keep: Column, quote: str = '"') -> DataFrame:
+    """Lines that ``keep`` holds for, each split's in order, with ``_sp_id``,
+    ``_ord_line`` (1, 2, ... over all files in path order), ``_ord_row`` (0,
+    1, ... in the file) and ``_odd``. No sort if the measured size of
+    ``splits`` allows to broadcast it, else one by split, whose groups are as
+    large as a split."""
     place = F.col("_ord_pos") - F.col("_sp_first")
     at = F.when((place >= 0) & (place < F.col("_sp_n")), place).otherwise(F.raise_error(F.lit("the files changed while they were read")).cast("long"))
-    offsets = broadcast_if_small(splits.select("_ord_file", "_ord_block", "_sp_n", "_sp_first", "_sp_off", "_sp_row"))
-    joined = text.join(offsets, ["_ord_file", "_ord_block"])
-    return joined.select(*LINE_COLUMNS, (F.col("_sp_off") + at + 1).alias("_ord_line"), (F.col("_sp_row") + at).alias("_ord_row"))
-
-
-def spanning_lines(lines: DataFrame, preamble_lines: int, quote: str = '"') -> DataFrame:
-    """(_ord_line, _rec_line) of each line of a record that spans lines;
-    ``_rec_line`` is the record's first one. A quoted field that its file
-    doesn't close is an error. Quotes in the preamble play no part."""
-    odd = lines.where((F.col("_ord_row") >= preamble_lines) & (_quotes("value", quote) % 2 == 1))
-    odd = _frozen(odd.select("_ord_file", "_ord_block", "_ord_line"))
-    per_split = odd.groupBy("_ord_file", "_ord_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_ord_file").orderBy("_ord_block").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = per_split.select("_ord_file", "_ord_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    in_split = Window.partitionBy("_ord_file", "_ord_block").orderBy("_ord_line")
-    ranked = odd.withColumn("_rank", F.row_number().over(in_split) - 1).join(prefix, ["_ord_file", "_ord_block"])
-    pairs = ranked.groupBy("_ord_file", F.expr("(_before + _rank) div 2").alias("_pair")).agg(
-        F.min("_ord_line").alias("_rec_line"), F.max("_ord_line").alias("_last"), F.count(F.lit(1)).alias("_k")
-    )
-    message = F.concat(F.lit("a quoted field is not closed: "), F.col("_ord_file"), F.lit(", line "), F.col("_rec_line"))
-    last = F.when(F.col("_k") == 2, F.col("_last")).otherwise(F.raise_error(message).cast("long"))
-    return _frozen(pairs.select("_rec_line", F.explode(F.sequence("_rec_line", last)).alias("_ord_line")))
+    offsets = splits.select("_ord_file", "_ord_block", "_sp_id", "_sp_n", "_sp_first", "_sp_off", "_sp_row", *[c for c in ("_sp_open",) if c in splits.columns])
+    small = broadcast_if_small(offsets)
+    joined = text.join(small, ["_ord_file", "_ord_block"])
+    lines = joined.select(
+        "_sp_id", *[c for c in ("_sp_open",) if c in splits.columns], (F.col("_sp_off") + at + 1).alias("_ord_line"), (F.col("_sp_row") + at).alias("_ord_row"),
+        (_quotes("value", quote) % 2 == 1).alias("_odd"), "value",
+    ).where(keep)
+    return lines if small is not offsets else lines.repartition("_sp_id").sortWithinPartitions("_sp_id", "_ord_line")
+
+
+_RECORDS = "_sp_id long, _ord_line long, _ord_row long, _begins boolean, _ends boolean, record string"
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each split's lines (``numbered_lines``), and pieces of
+    records that don't begin or don't end in it."""
+    names = ["_sp_id", "_ord_line", "_ord_row", "_begins", "_ends", "record"]
+
+    def made(split, line, row, begins, ends, record):
+        n = len(record)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, split)), pa.array(line), pa.array(row), pa.array(np.full(n, begins)), pa.array(np.full(n, ends)), record.cast(pa.string())], names
+        )
+
+    split, inside, last = None, False, 0
+    held: list[str] = []  # the lines so far of a record that isn't closed
+    head = (0, 0, False)  # its first line and row here, and whether it begins here
+
+    def piece(ends):
+        return made(split, [head[0]], [head[1]], head[2], ends, pa.array(["\n".join(held)]))
+
+    for batch in batches:
+        sp, line, row = (batch.column(i).to_numpy() for i in (0, 2, 3))
+        opens = batch.column(1).to_numpy(zero_copy_only=False)
+        odd, value = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5)
+        cuts = [0, *(np.flatnonzero(np.diff(sp)) + 1).tolist(), len(sp)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if sp[a] != split:
+                if held:
+                    yield piece(False)
+                split, inside, held, last = sp[a], bool(opens[a]), [], line[a] - 1
+                head = (line[a], row[a], False)
+            if line[a] != last + 1 or (np.diff(line[a:b]) != 1).any():
+                raise ValueError("the lines of a split are not in order")
+            last = line[b - 1]
+            after = (np.cumsum(odd[a:b]) + inside) % 2 == 1  # inside quotes at the line's end
+            starts = a + np.flatnonzero(~np.concatenate(([inside], after[:-1])))
+            inside = bool(after[-1])
+            first = starts[0] if len(starts) else b
+            held += value.slice(a, first - a).to_pylist()
+            if held and (len(starts) or not inside):
+                yield piece(True)
+                held = []
+            if len(starts):
+                to = np.append(starts, b).astype(np.int32)
+                if inside:
+                    held = value.slice(to[-2], b - to[-2]).to_pylist()
+                    head = (line[to[-2]], row[to[-2]], True)
+                    to = to[:-1]
+                if len(to) > 1:
+                    parts = pa.ListArray.from_arrays(pa.array(to), value.cast(pa.string()))
+                    yield made(split, line[to[:-1]], row[to[:-1]], True, True, pc.binary_join(parts, "\n"))
+    if held:
+        yield piece(False)
+
+
+def spanning_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """The records that go over a split's end, of the lines of the splits that
+    begin or end inside quotes. A quoted field that its file doesn't close is
+    an error."""
+    of = splits.select("_sp_id", "_ord_file", "_sp_rec")
+    pieces = lines.mapInArrow(_records, _RECORDS).where("not (_begins and _ends)").join(broadcast_if_small(of), "_sp_id")
+    grouped = pieces.groupBy("_ord_file", (F.col("_sp_rec") + F.col("_begins").cast("long")).alias("_rec")).agg(
+        F.array_sort(F.collect_list(F.struct("_ord_line", "record"))).alias("_parts"),
+        F.min("_ord_line").alias("_ord_line"), F.min("_ord_row").alias("_ord_row"), F.bool_or("_ends").alias("_closed"),
+    )
+    message = F.concat(F.lit("a quoted field is not closed: "), F.col("_ord_file"), F.lit(", line "), F.col("_ord_line"))
+    record = F.array_join(F.transform("_parts", lambda p: p["record"]), "\n")
+    return _frozen(grouped.select("_ord_file", "_ord_line", "_ord_row", F.when(F.col("_closed"), record).otherwise(F.raise_error(message)).alias("record")))
 
 
 def csv_records(text: DataFrame, preamble_lines: int = 0, quote: str = '"', file_order: Sequence[Column] = ()) -> DataFrame:
@@ -104,27 +182,16 @@ def csv_records(text: DataFrame, preamble_lines: int = 0, quote: str = '"', file
     ``_ord_file``, then by path); ``_ord_row`` by its first line in the file.
     Line breaks inside a record are ``\\n`` as read; a ``\\r`` at its end goes.
     Lines that are empty outside quotes are no records."""
+    workers_find_package(text.sparkSession)
     text = text.withColumn("_ord_pos", F.monotonically_increasing_id())
-    splits = split_table(text, quote, file_order)
-    lines = numbered_lines(text, splits)
-    single = lines
-    spans = None
-    if splits.where("_sp_odd > 0").limit(1).count():
-        spans = spanning_lines(lines, preamble_lines, quote)
-        if spans.isEmpty():
-            spans = None
-    if spans is not None:
-        known = broadcast_if_small(spans)
-        single = lines.join(known.select("_ord_line"), "_ord_line", "left_anti")
-    columns = ["_ord_file", "_ord_line", "_ord_row", "record"]
-    out = single.withColumnRenamed("value", "record").select(*columns)
-    if spans is not None:
-        parts = F.array_sort(F.collect_list(F.struct("_ord_line", "value")))
-        joined = lines.join(known, "_ord_line").groupBy("_ord_file", "_rec_line").agg(parts.alias("_parts"), F.min("_ord_row").alias("_ord_row"))
-        record = F.array_join(F.transform("_parts", lambda p: p["value"]), "\n")
-        out = out.unionByName(joined.select("_ord_file", F.col("_rec_line").alias("_ord_line"), "_ord_row", record.alias("record")))
-    cut = out.withColumn("record", F.regexp_replace("record", "\r$", ""))
-    return cut.where((F.col("_ord_row") >= preamble_lines) & (F.col("record") != ""))
+    splits = split_table(text, preamble_lines, quote, file_order)
+    body = F.col("_ord_row") >= preamble_lines
+    out = numbered_lines(text, splits, body, quote).mapInArrow(_records, _RECORDS).where("_begins and _ends")
+    out = out.join(broadcast_if_small(splits.select("_sp_id", "_ord_file")), "_sp_id").select("_ord_file", "_ord_line", "_ord_row", "record")
+    cut = splits.where("_sp_open or _sp_ends_open")
+    if not cut.isEmpty():
+        out = out.unionByName(spanning_records(numbered_lines(text, cut, body, quote), splits))
+    return out.withColumn("record", F.regexp_replace("record", "\r$", "")).where(F.col("record") != "")
 
 
 def parse_fields(df: DataFrame, record: str, width: Column, widths: Sequence[int], null_value: str = "") -> Column:

@@ -52,8 +52,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def po_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical PO lines (see ``schema.PO_LINE_SCHEMA``)."""
+def po_lines(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Canonical PO lines (see ``schema.PO_LINE_SCHEMA``), on request dealt out
+    by PO number to so many partitions, or to the session's number of shuffle
+    partitions if that is larger."""
     li = _t(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_extendedprice", "l_returnflag", "l_shipdate",
@@ -80,8 +82,10 @@ def po_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         li.join(part, li.l_partkey == part.p_partkey)
         .join(supplier, F.col("l_suppkey") == supplier.s_suppkey)
         .join(nation, F.col("s_nationkey") == nation.n_nationkey)
-        .join(orders_c, F.col("l_orderkey") == orders_c.o_orderkey)
     )
+    if parts:  # the join with the orders and the ranks keep these partitions
+        j, orders_c = j.repartition(parts, "l_orderkey"), orders_c.repartition(parts, "o_orderkey")
+    j = j.join(orders_c, F.col("l_orderkey") == F.col("o_orderkey"))
     # Row order of the extract = (order key, then the rest of the line's
     # sort key): line_id = order key * 2^20 + rank of the line in its order.
     # The rank is a window over one order's lines, which TPC-H bounds (at
@@ -171,13 +175,15 @@ COMMENT_COLUMN = "Comments"
 
 
 def write_po_export(spark: SparkSession, sf_dir: str, path: str, files: int = 4) -> None:
-    """The PO lines as sheet exports: ``files`` CSV files (folders
-    ``part=0``, ``part=1``, ...) with a title line, then a header, then lines
-    in ``line_id`` order. Odd files have their columns in reverse. The sheet
-    has a comment column whose quoted text spans lines and holds quotes."""
+    """The PO lines as sheet exports: CSV files, one for each
+    partition of PO numbers that has lines (``files`` partitions at least), with
+    a title line, then a header, then lines in ``line_id`` order. Odd files have their columns in reverse. The
+    sheet has a comment column whose quoted text spans lines and holds quotes.
+    The lines are shuffled by PO number once, for the join with the orders, and
+    written from there."""
     from spendlens.schema import canonical_to_sheet
 
-    lines = po_lines(spark, sf_dir)
+    lines = po_lines(spark, sf_dir, files).sortWithinPartitions("line_id")
     sheet = {**canonical_to_sheet("working"), "comment": COMMENT_COLUMN}
     comment = (
         F.when(F.col("line_id") % 5 == 0, F.concat(F.lit('said "hold",\nthen\n\n"'), F.col("status"), F.lit('"\nagain')))
@@ -185,20 +191,13 @@ def write_po_export(spark: SparkSession, sf_dir: str, path: str, files: int = 4)
         .otherwise(F.lit(None).cast("string"))
     )
     names = list(sheet)
-    text = lines.withColumn("comment", comment)
+    # the low bits of this id count a partition's rows
+    text = lines.withColumns({"comment": comment, "top": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0, "even": F.spark_partition_id() % 2 == 0})
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     cell = {n: F.coalesce(quoted(F.col(n)) if n in ("comment", "level_2", "vendor") else F.col(n).cast("string"), F.lit("")) for n in names}
-    part = F.pmod(F.xxhash64("po_no"), F.lit(files))
-    rows = text.select(
-        part.alias("part"), F.lit(2).alias("kind"), "line_id",
-        F.when(part % 2 == 0, F.concat_ws(",", *[cell[n] for n in names])).otherwise(F.concat_ws(",", *[cell[n] for n in reversed(names)])).alias("value"),
-    )
-    header = lambda order: ",".join(sheet[n] for n in order)
-    top = spark.range(files).withColumnRenamed("id", "part")
-    titles = top.select("part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("line_id"), F.lit(EXPORT_TITLE).alias("value"))
-    heads = top.select("part", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("line_id"), F.when(F.col("part") % 2 == 0, header(names)).otherwise(header(names[::-1])).alias("value"))
-    whole = rows.unionByName(titles).unionByName(heads)
-    whole.repartition("part").sortWithinPartitions("part", "kind", "line_id").select("part", "value").write.partitionBy("part").text(path)
+    start = lambda order: F.when(F.col("top"), F.lit(f"{EXPORT_TITLE}\n{','.join(sheet[n] for n in order)}\n")).otherwise("")
+    line = lambda order: F.concat(start(order), F.concat_ws(",", *[cell[n] for n in order]))
+    text.select(F.when(F.col("even"), line(names)).otherwise(line(names[::-1])).alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def write_bid_export(bids: DataFrame, path: str, null_token: str = "N/A") -> None:

@@ -201,3 +201,47 @@ def test_empty_set_and_incomplete_set(spark, scratch):
         fh.write("late,row\n")
     with pytest.raises(ValueError, match="listing"):
         read_csv_set(spark, f"{scratch}/s")
+
+
+def test_lines_of_records_over_lines_are_not_shuffled(spark, scratch):
+    rows = [[str(i), f"two\nlines {i}"] for i in range(500)]
+    _file(f"{scratch}/a.csv", rows, ['a "title'])
+    spark.conf.set("spendlens.broadcast.maxBytes", "2000")
+    try:
+        found = csv_records(read_lines(spark, scratch), 1)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        records = [r.record for r in found.orderBy("_ord_line").collect()]
+    finally:
+        spark.conf.unset("spendlens.broadcast.maxBytes")
+    assert records == [f'{a},"{b}"' for a, b in rows]
+    assert "hashpartitioning" not in plan
+
+
+def test_records_without_broadcast(spark, scratch, small_splits):
+    rows = _random_rows(random.Random(4), 40, 4)
+    _file(f"{scratch}/a.csv", rows, ["title"])
+    spark.conf.set("spendlens.broadcast.maxBytes", "-1")
+    try:
+        found = csv_records(read_lines(spark, scratch), 1)
+        got = found.select("_ord_line", parse_fields(found, "record", F.lit(4), [4]).alias("f")).orderBy("_ord_line").collect()
+    finally:
+        spark.conf.unset("spendlens.broadcast.maxBytes")
+    assert [[(c or "").replace("\r\n", "\n") for c in r.f] for r in got] == [[c.replace("\r\n", "\n") for c in r] for r in rows]
+
+
+def test_export_has_title_and_header_in_each_file(spark, scratch):
+    from spendlens.sources.tpch_binding import EXPORT_TITLE, po_lines, write_po_export
+
+    sf = "/root/testdata/sf0.001"
+    write_po_export(spark, sf, f"{scratch}/x", files=3)
+    heads = []
+    for f in sorted(glob.glob(f"{scratch}/x/part-*")):
+        with open(f, newline="") as fh:
+            assert fh.readline() == EXPORT_TITLE + "\n"
+            table = list(csv.reader(fh))
+        heads.append(table[0])
+        orders = [int(r[table[0].index("PO No.")]) for r in table[1:]]
+        assert orders == sorted(orders) and {len(r) for r in table} == {len(table[0])}
+    assert len(heads) >= 3 and all(h in (heads[0], heads[0][::-1]) for h in heads) and heads[0][::-1] in heads
+    key = lambda d: sorted(map(str, d.select("po_no", "vendor", "level_2", "req_id", F.col("sum_amount").cast("double"), "quote_link").collect()))
+    assert key(read_po_lines_csv(spark, f"{scratch}/x")) == key(po_lines(spark, sf))
