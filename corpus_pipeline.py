@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BROADCAST_ROWS, saved, table, with_places
+from spendlens.llm.common import BROADCAST_ROWS, lean_workers, saved, table, with_places
 from spendlens.llm.langid import UNDETERMINED, with_language
 from spendlens.llm.ngram_join import ngram_jaccard_components
 from spendlens.llm.packing import packed
@@ -25,14 +25,6 @@ from spendlens.session import ensure_checkpoint_dir
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def lean_workers(spark: SparkSession) -> None:
-    """Python workers give freed memory back to the system (settings of the C
-    library and Arrow): they live through all stages of one session."""
-    lean = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-    for name, value in lean.items():
-        spark.sparkContext.environment.setdefault(name, value)
-
-
 #: A language is accepted if the second needs more phrases by this share at least.
 LEAST_SCORE = 0.01
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -92,6 +93,14 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers give freed memory back to the system (settings of the C
+    library and Arrow): they live through all stages of one session."""
+    lean = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+    for name, value in lean.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 class Memo:
     """A bounded map from a word to what ``compute`` (list of words to list
     of values) gives for it. Two halves: when the young one is full it
@@ -107,11 +116,11 @@ class Memo:
         """The values of the words of each text."""
         young, old = self.young, self.old
         unknown = set().union(*texts).difference(young)
-        again = unknown.intersection(old)
+        again = [w for w in unknown if w in old]  # ``intersection`` would go through all of ``old``
         young.update((w, old[w]) for w in again)
         unknown = list(unknown.difference(again))
         young.update(zip(unknown, self.compute(unknown)))
-        out = [[young[w] for w in words] for words in texts]
+        out = [list(map(young.__getitem__, words)) for words in texts]
         for w in unknown:
             if len(w) > self.longest:
                 del young[w]
@@ -233,3 +242,14 @@ def chunks(texts: list[bytes], limit: int = SEGMENT) -> Iterator[tuple[int, int]
             at, size = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def text_chunks(column: pa.Array, limit: int = SEGMENT) -> Iterator[tuple[int, int, pa.Array]]:
+    """Ranges of a string column as ``chunks`` makes them, with that part of
+    the column: only one part at a time need become Python objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(ends):
+        to = min(int(np.searchsorted(ends, limit + (ends[at - 1] if at else 0))) + 1, len(ends))
+        yield at, to, column.slice(at, to - at)
+        at = to

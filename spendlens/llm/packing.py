@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BROADCAST_ROWS, Memo, chunks, saved
+from spendlens.llm.common import BROADCAST_ROWS, Memo, saved, text_chunks
 
 LIMIT = 1024
 END_ID = 0
@@ -129,10 +129,10 @@ def _cut(path: str, ranks: str | None, limit: int):
         ids_of, end = tokens(path, ranks), np.array([END_ID], np.uint32).tobytes()
         part, seen = TaskContext.get().partitionId(), [0] * (limit + 1)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in chunks(texts):
+            doc_ids = batch.column(0).to_pylist()
+            for lo, hi, texts in text_chunks(batch.column(1)):
                 rows = []
-                for doc, ids in zip(doc_ids[lo:hi], ids_of(texts[lo:hi])):
+                for doc, ids in zip(doc_ids[lo:hi], ids_of([t or "" for t in texts.to_pylist()])):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, limit):

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -807,3 +808,27 @@ def test_sharding_directory_by_brute_force(spark, top_bits):
             want[c] = (d, of[d])
         assert got == want
     assert directory(cells.limit(0), 4, 10, top_bits).collect() == []
+
+
+def test_text_chunks_are_those_of_chunks():
+    from spendlens.llm.common import chunks, text_chunks
+
+    texts = ["a" * 7, None, "é" * 5, "", "b" * 40, "c"] * 9
+    for limit in (1, 16, 100, 10_000):
+        found = list(text_chunks(pa.array(texts), limit))
+        assert [(lo, hi) for lo, hi, _ in found] == list(chunks([(t or "").encode() for t in texts], limit))
+        assert [t for _, _, part in found for t in part.to_pylist()] == texts
+    assert list(text_chunks(pa.array([], pa.string()))) == []
+
+
+def test_memo_asks_the_old_half_only_for_words():
+    from spendlens.llm.common import Memo
+
+    class Old(dict):
+        def __iter__(self):
+            raise AssertionError("all of the old half is gone through")
+
+    memo = Memo(lambda words: [w.upper() for w in words])
+    memo.old = Old(a="A", b="B")
+    assert memo.values([["a", "c"], [], ["c", "b"]]) == [["A", "C"], [], ["C", "B"]]
+    assert memo.young == {"a": "A", "b": "B", "c": "C"}
