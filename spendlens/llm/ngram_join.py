@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BROADCAST_ROWS, U, chunks, discard, free_shuffles, mix, shingle_sets, shingles, stored, text_bytes
+from spendlens.llm.common import BROADCAST_ROWS, U, discard, free_shuffles, mix, shingle_sets, shingles, stored, text_bytes, text_chunks
 
 WIDTH = 5
 #: Similarity as a fraction.
@@ -47,6 +47,8 @@ ORDERED = 1 << 17
 #: Lossy counting: shingles a window, and what each window takes off a count.
 WINDOW, LOSS = 1 << 21, 3
 BITMAP_BYTES = 256
+#: Prefix elements that a task groups at once, about.
+BUCKET = 1_000_000
 #: Linked sets of n elements or more share 1 + n / EXTRA elements of their prefixes.
 EXTRA = 8
 #: A round's partners are chosen by the place of the shared element in steps of
@@ -68,9 +70,8 @@ def _frequent(batches):
         return pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(n[many] - LOSS)], ["token", "n"])
 
     for batch in batches:
-        texts = text_bytes(_column(batch, "text"))
-        for lo, hi in chunks(texts):
-            h, _ = shingles(texts[lo:hi], WIDTH)
+        for _, _, texts in text_chunks(_column(batch, "text")):
+            h, _ = shingles(text_bytes(texts), WIDTH)
             held.append(h)
             size += len(h)
             if size >= WINDOW:
@@ -118,9 +119,9 @@ def _bitmaps(h: np.ndarray, own: np.ndarray, count: int) -> list[bytes]:
 def _prefixes(hot: np.ndarray, level: np.ndarray):
     def run(batches):
         for batch in batches:
-            ids, texts = _column(batch, "doc_id"), text_bytes(_column(batch, "text"))
-            for lo, hi in chunks(texts):
-                h, own = shingle_sets(texts[lo:hi], WIDTH)
+            ids = _column(batch, "doc_id")
+            for lo, hi, texts in text_chunks(_column(batch, "text")):
+                h, own = shingle_sets(text_bytes(texts), WIDTH)
                 n = np.bincount(own, minlength=hi - lo)
                 first = np.cumsum(n) - n
                 same, at = _found(hot, h)
@@ -218,9 +219,8 @@ def _sets(batches):
     set of class ``id`` (a repeated document id brings other texts too)."""
     for batch in batches:
         ids, to = _column(batch, "id"), _column(batch, "to")
-        texts = text_bytes(_column(batch, "text"))
-        for lo, hi in chunks(texts):
-            h, own = shingle_sets(texts[lo:hi], WIDTH)
+        for lo, hi, texts in text_chunks(_column(batch, "text")):
+            h, own = shingle_sets(text_bytes(texts), WIDTH)
             n = np.bincount(own, minlength=hi - lo)
             first = np.cumsum(n) - n
             cid = _sums(mix(h + U(11)), first, n)  # as in _prefixes
@@ -432,7 +432,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         .withColumn("cid", F.col("c1"))
     )
     postings = (full.agg(F.sum("n")).first()[0] or 0) * (1 - NUMERATOR / DENOMINATOR + 1 / EXTRA)
-    buckets = int(postings // 2_000_000) + 12
+    buckets = int(postings // BUCKET) + 12
     # The prefixes are made again from the texts: that costs less than to store them.
     elements = (
         docs.mapInArrow(_blocks(hot, level, buckets), "bucket long, tokens binary, gids binary, places binary")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import table
+from spendlens.llm.common import lean_workers, table
 from spendlens.llm.url_filters import Rule
 from spendlens.session import workers_find_package
 
@@ -32,6 +32,7 @@ def query(f: Query) -> Query:
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spendlens.llm.ngram_join import ngram_jaccard_components
 
+    lean_workers(spark)
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 

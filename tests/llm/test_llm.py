@@ -832,3 +832,29 @@ def test_memo_asks_the_old_half_only_for_words():
     memo.old = Old(a="A", b="B")
     assert memo.values([["a", "c"], [], ["c", "b"]]) == [["A", "C"], [], ["C", "B"]]
     assert memo.young == {"a": "A", "b": "B", "c": "C"}
+
+
+def test_a_bucket_of_prefix_elements_takes_little_memory():
+    import tracemalloc
+
+    from spendlens.llm import ngram_join
+
+    n = ngram_join.BUCKET
+    token = np.arange(n, dtype=np.uint64) // np.uint64(2)
+    t = pa.table({"bucket": [0], "tokens": [token.tobytes()], "gids": [(2 * np.arange(n)).tobytes()], "places": [np.zeros(n, np.uint8).tobytes()]})
+    tracemalloc.start()
+    try:
+        found = ngram_join._shared_of_bucket(t)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == n and peak < 150e6
+
+
+def test_workers_of_the_join_give_memory_back(spark):
+    from spendlens.llm.queries import QUERIES
+
+    env = spark.sparkContext.environment
+    env.pop("MALLOC_TRIM_THRESHOLD_", None)
+    QUERIES["op1_ngram_jaccard_join"](spark, "/root/testdata/sf0.001")
+    assert "MALLOC_TRIM_THRESHOLD_" in env
