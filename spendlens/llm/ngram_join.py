@@ -12,8 +12,9 @@ their sets' Jaccard similarity reaches 0.75 (exactly, in integers).
    Documents with the same prefix and size are one group; only groups are
    posted under their prefix elements.
 3. Elements of one group only drop out, then groups with too few shared
-   elements left for any partner. The rest is expanded to classes
-   (documents with equal sets) and verified.
+   elements left for any partner. Elements of the same groups (a passage
+   that the same texts share) become one, that with the first of them. The
+   rest is expanded to classes (documents with equal sets) and verified.
 
 Only components are asked for, so a pair whose ends are already connected is
 not made. First every class meets one partner, the best of one member of each
@@ -24,9 +25,10 @@ Classes of elements that still lie in two components or more meet a partner
 once again, and at last all remaining pairs across components are made.
 Pairs must share a prefix element at places that allow a link: all elements
 before a pair's first shared one are unshared, so that place bounds the
-partner's size. Bitmaps of the sets (a lower bound of the symmetric
-difference) come before the sets. Step tables are deleted once the next one
-is written.
+partner's size. Pairs that share one of the last elements before it are made
+there, not again. Bitmaps of the sets, as wide as the sets are large (a lower
+bound of the symmetric difference), come before the sets. Step tables are
+deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -46,7 +48,10 @@ NUMERATOR, DENOMINATOR = 3, 4
 ORDERED = 1 << 17
 #: Lossy counting: shingles a window, and what each window takes off a count.
 WINDOW, LOSS = 1 << 21, 3
-BITMAP_BYTES = 256
+#: Bits of a set's bitmap: a power of two, so many an element at least, and at least LEAST_BITS.
+BITS, LEAST_BITS = 3, 512
+#: Pairs of sets whose bitmaps are compared at once.
+COMPARED = 512
 #: Prefix elements that a task groups at once, about.
 BUCKET = 1_000_000
 #: Linked sets of n elements or more share 1 + n / EXTRA elements of their prefixes.
@@ -54,6 +59,8 @@ EXTRA = 8
 #: A round's partners are chosen by the place of the shared element in steps of
 #: this many 256ths of their size, then by hash.
 STEPS = (1, 8)
+#: A pair is not made at an element if it shares one of so many before it.
+EARLIER = 4
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -106,14 +113,17 @@ def _sums(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarra
     return total[first + count] - total[first]
 
 
-def _bitmaps(h: np.ndarray, own: np.ndarray, count: int) -> list[bytes]:
-    """For each set the parity of its elements that fall on each bit: two
-    sets' maps differ in no more bits than the sets in elements."""
-    width = BITMAP_BYTES * 8
-    bits = np.zeros(count * width, np.uint8)
-    where, times = np.unique(own * width + (h % U(width)).astype(np.int64), return_counts=True)
+def _bitmaps(h: np.ndarray, own: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each set (of ``n`` elements) the parity of its elements that fall
+    on each bit: two sets' maps, the wider one folded, differ in no more bits
+    than the sets in elements."""
+    width = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(BITS * n, 1))).astype(np.int64))
+    first = np.cumsum(width) - width
+    bits = np.zeros(width.sum(), np.uint8)
+    where, times = np.unique(first[own] + (h & (width[own] - 1).astype(U)).astype(np.int64), return_counts=True)
     bits[where] = times & 1
-    return [m.tobytes() for m in np.packbits(bits.reshape(count, width), axis=1)]
+    maps = np.packbits(bits).tobytes()
+    return [maps[a : a + k] for a, k in zip((first // 8).tolist(), (width // 8).tolist())]
 
 
 def _prefixes(hot: np.ndarray, level: np.ndarray):
@@ -126,7 +136,7 @@ def _prefixes(hot: np.ndarray, level: np.ndarray):
                 first = np.cumsum(n) - n
                 same, at = _found(hot, h)
                 rank = np.where(same, level[at] + 1, 0) if len(hot) else np.zeros(len(h), np.int64)
-                maps = _bitmaps(h, own, hi - lo)
+                maps = _bitmaps(h, own, n)
                 class_1, class_2 = _sums(mix(h + U(11)), first, n), _sums(mix(h ^ U(0x5DEECE66D)), first, n)
                 h = h[np.argsort(own * 128 + rank, kind="stable")]
                 need = np.where(n > 0, np.minimum(n, n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1 + n // EXTRA), 0)
@@ -164,8 +174,10 @@ def _blocks(hot: np.ndarray, level: np.ndarray, buckets: int):
     def run(batches):
         for batch in prefixes(batches):
             token, gid, place = _posted(batch.filter(pc.is_valid(_column(batch, "doc_id"))))
-            same, _ = _found(hot, token)
+            same, at = _found(hot, token)
             bucket = np.where(same, -1 - ((gid.view(U) >> U(1)) % U(buckets)).astype(np.int64), ((token >> U(32)) % U(buckets)).astype(np.int64))
+            rank = np.where(same, level[at] + 1, 0) if len(hot) else np.zeros(len(token), np.int64)
+            token = (rank.astype(U) << U(57)) | (token >> U(7))  # numbers in the order of the sets; two that become equal only make more pairs
             order = np.argsort(bucket, kind="stable")
             token, gid, place, bucket = token[order], gid[order], place[order], bucket[order]
             has, at = np.unique(bucket, return_index=True)
@@ -194,7 +206,8 @@ def _again(sorted_values: np.ndarray) -> np.ndarray:
 
 def _shared_of_bucket(t: pa.Table) -> pa.Table:
     """(element, group, place) once each; of rare elements only those that
-    two groups or more have."""
+    two groups or more have. ``alike`` is the same for rare elements of the
+    same groups."""
     token = np.frombuffer(b"".join(t.column("tokens").to_pylist()), U)
     gid = np.frombuffer(b"".join(t.column("gids").to_pylist()), np.int64)
     place = np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint8)
@@ -211,7 +224,12 @@ def _shared_of_bucket(t: pa.Table) -> pa.Table:
     token, gid, place = token[new], gid[new], place[new]
     keep = _again(token) if rare else np.ones(len(token), bool)
     token, gid, place = token[keep], gid[keep], place[keep]
-    return pa.table({"token": token.view(np.int64), "gid": gid & ~1, "early": pa.array((gid & 1) == 0), "place": place.astype(np.int64)})
+    early, gid, alike = (gid & 1) == 0, gid & ~1, token
+    if rare:
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(token)))
+        alike = np.repeat(mix(_sums(mix(gid.view(U)), first, count)), count)
+    return pa.table({"token": token.view(np.int64), "alike": alike.view(np.int64), "gid": gid, "early": pa.array(early), "place": place.astype(np.int64)})
 
 
 def _sets(batches):
@@ -235,13 +253,30 @@ def _needed(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     return (top + low - 1) // low
 
 
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as they would be with ``words`` words."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
+def _apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """In how many bits the maps of each pair differ."""
+    out = np.zeros(len(one), np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(one, two)], np.int64).reshape(-1, 2)
+    for size in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == size).all(axis=1))
+        for lo in range(0, len(at), COMPARED):
+            some = at[lo : lo + COMPARED]
+            x, y = (np.frombuffer(b"".join(maps[i] for i in some), U).reshape(len(some), -1) for maps in (one, two))
+            words = size.min() // 8
+            out[some] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _maps_allow(batches):
     for batch in batches:
         a, b, n1, n2 = (_column(batch, c) for c in ("a", "b", "n1", "n2"))
         size1, size2 = n1.to_numpy(), n2.to_numpy()
-        one = np.frombuffer(b"".join(_column(batch, "m1").to_pylist()), U).reshape(-1, BITMAP_BYTES // 8)
-        two = np.frombuffer(b"".join(_column(batch, "m2").to_pylist()), U).reshape(-1, BITMAP_BYTES // 8)
-        apart = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+        apart = _apart(_column(batch, "m1").to_pylist(), _column(batch, "m2").to_pylist())
         ok = apart <= size1 + size2 - 2 * _needed(size1, size2)
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok))
 
@@ -314,14 +349,14 @@ def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     return new
 
 
-# A posting is (token, cid, p): p packs the class's size, the place of the
-# element, and whether it is an early one and stands for the whole prefix.
+# A posting is (token, cid, p, k): p packs the class's size, the place of the
+# element and whether it is an early one; k: for how many elements it stands.
 _SIZE, _PLACE = 12, 4
 
 
-def _packed(n: str, place: str, early: Column, whole: Column) -> Column:
+def _packed(n: str, place: str, early: Column) -> Column:
     both = F.shiftleft(F.col(n), _SIZE).bitwiseOR(F.shiftleft(F.col(place), _PLACE))
-    return both.bitwiseOR(early.cast("long") * 2).bitwiseOR(whole.cast("long"))
+    return both.bitwiseOR(early.cast("long"))
 
 
 def _unpacked(what: str) -> Column:
@@ -329,8 +364,7 @@ def _unpacked(what: str) -> Column:
     return {
         "n": F.shiftright(p, _SIZE),
         "place": F.shiftright(p, _PLACE).bitwiseAND(255),
-        "early": p.bitwiseAND(2) != 0,
-        "whole": p.bitwiseAND(1) != 0,
+        "early": p.bitwiseAND(1) != 0,
     }[what]
 
 
@@ -349,8 +383,7 @@ def _best_partners(rows: DataFrame, turn: int) -> DataFrame:
         rows.groupBy("token", "band").agg(F.min(rank).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("top")).where("low < top")
         .select("token", "band", (F.bitwise_not("p.h") if turn else F.col("p.h")).alias("b"), F.col("p.comp").alias("comp_b"))
     )
-    weight = F.when(_unpacked("whole"), n).otherwise(1)  # classes of one group share the whole prefix
-    shared = rows.join(first, ["token", "band"]).where("comp <> comp_b").groupBy("cid", "b").agg(F.sum(weight).alias("k"), F.min(n).alias("n"))
+    shared = rows.join(first, ["token", "band"]).where("comp <> comp_b").groupBy("cid", "b").agg(F.sum("k").alias("k"), F.min(n).alias("n"))
     if turn == 0:  # over all elements, so the number shared tells
         shared = shared.where(f"k > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
     return shared.groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("k", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
@@ -368,15 +401,22 @@ def _pairs_left(rows: DataFrame) -> DataFrame:
     can link by sizes and places, once each. If the first element that two
     sets share is at place i of n, they share at most n - i, so the partner
     has at most (4 n - 7 i) / 3 elements (its ``reach``). An element whose
-    classes are all connected makes no pair."""
+    classes are all connected makes no pair. ``token`` ascends with the
+    places of every set, so the reach gets no larger: a pair that shares
+    ``earlier`` elements, the last ones before, is made at one of those, and
+    every pair at the first that it shares."""
     for _ in range(2):  # rows that go may leave an element with one component
         rows = rows.join(_spans(rows), "token").where("reach >= least and n <= far").select("token", "cid", "n", "reach", "comp")
-    rows = stored(rows)
-    other = rows.groupBy("token", F.col("comp").alias("comp_b")).agg(F.min("n").alias("least"), F.max("reach").alias("far"))
+    before = Window.partitionBy("cid").orderBy("token").rowsBetween(-EARLIER, -1)
+    rows = stored(rows.withColumn("earlier", F.collect_list("token").over(before)))
+    other = rows.groupBy("token", F.col("comp").alias("comp_b")).agg(
+        F.min("n").alias("least"), F.max("reach").alias("far"), F.when(F.count("*") == 1, F.min("earlier")).alias("only")
+    )
     members = rows.toDF(*[f"{c}_b" if c != "token" else c for c in rows.columns])
+    new = "(only is null or not arrays_overlap(earlier, only))"  # a component of one class here
     pairs = stored(
-        rows.join(other, "token").where("comp < comp_b and reach >= least and n <= far").drop("least", "far")
-        .join(members, ["token", "comp_b"]).where("n_b <= reach and n <= reach_b")
+        rows.join(other, "token").where(f"comp < comp_b and reach >= least and n <= far and {new}").drop("least", "far", "only")
+        .join(members, ["token", "comp_b"]).where("n_b <= reach and n <= reach_b and not arrays_overlap(earlier, earlier_b)")
         .select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct()
     )
     discard(rows)
@@ -400,7 +440,7 @@ def _connected(posted: DataFrame, known: DataFrame, docs: DataFrame) -> DataFram
     reach = F.floor(((NUMERATOR + DENOMINATOR) * (256 - place) - 256 * NUMERATOR) * n / (256 * NUMERATOR))
     rows = posted.join(label, "cid").withColumns({"n": n, "reach": reach})
     apart = rows.join(_spans(rows), "token").where("reach >= least and n <= far")
-    apart = stored(apart.select("token", "cid", "n", "reach", "p"))
+    apart = stored(apart.select("token", "cid", "n", "reach", "p", "k"))
     discard(posted)
     if not apart.isEmpty():
         label = linked(_best_partners(apart.join(label, "cid"), 1))
@@ -436,17 +476,23 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # The prefixes are made again from the texts: that costs less than to store them.
     elements = (
         docs.mapInArrow(_blocks(hot, level, buckets), "bucket long, tokens binary, gids binary, places binary")
-        .groupBy("bucket").applyInArrow(_shared_of_bucket, "token long, gid long, early boolean, place long")
+        .groupBy("bucket").applyInArrow(_shared_of_bucket, "token long, alike long, gid long, early boolean, place long")
     )
-    groups = classes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("gid").alias("token"), "gid", F.lit(True).alias("early"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("whole"))
-    # A group can only link if enough of its elements are left; all its members have one size.
-    size = classes.groupBy("gid").agg(F.first("n").alias("n"))
-    left = F.count("*").over(Window.partitionBy("gid"))
-    enough = elements.join(size, "gid").withColumn("left", left).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
+    # All members of a group have one size.
+    sizes = classes.groupBy("gid").agg(F.first("n").alias("n"), F.count("*").alias("many"))
+    # Elements of the same groups are one posting, with the place of the first; that of a whole prefix comes before all elements.
+    merged = elements.join(sizes, "gid").groupBy("gid", "n", "alike").agg(
+        F.min("token").alias("token"), F.max("early").alias("early"), F.min("place").alias("place"), F.count("*").alias("k")
+    )
+    whole = F.shiftrightunsigned("gid", 1).bitwiseOR(F.lit(-1 << 63))
+    groups = sizes.where("many > 1").select("gid", whole.alias("token"), F.lit(True).alias("early"), F.lit(0).cast("long").alias("place"), F.col("n").alias("k"))
+    # A group can only link if enough of its elements are left.
+    left = F.sum("k").over(Window.partitionBy("gid"))
+    enough = merged.withColumn("left", left).where(f"left > floor(n * {NUMERATOR} / {DENOMINATOR}) div {EXTRA}")
     members = classes.select("gid", "cid", "n")
     posted = stored(
-        enough.select("token", "gid", "early", "place", F.lit(False).alias("whole")).unionByName(groups)
-        .join(members, "gid").select("token", "cid", _packed("n", "place", F.col("early"), F.col("whole")).alias("p"))
+        enough.select("gid", "token", "early", "place", "k").unionByName(groups)
+        .join(members, "gid").select("token", "cid", _packed("n", "place", F.col("early")).alias("p"), "k")
     )
     known = stored(classes.join(posted.select("cid").distinct(), "cid", "left_semi"))
     free_shuffles(docs.sparkSession)

@@ -858,3 +858,59 @@ def test_workers_of_the_join_give_memory_back(spark):
     env.pop("MALLOC_TRIM_THRESHOLD_", None)
     QUERIES["op1_ngram_jaccard_join"](spark, "/root/testdata/sf0.001")
     assert "MALLOC_TRIM_THRESHOLD_" in env
+
+
+def test_elements_of_the_same_groups_are_one_posting(spark, monkeypatch):
+    """Near copies of long texts, twenty pairs: many shared elements, few postings."""
+    from spendlens.llm import ngram_join
+
+    rng, texts = random.Random(23), []
+    for _ in range(20):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(600)]
+        texts += [" ".join(words), " ".join(words[:300] + ["other"] + words[301:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made, stored = [], ngram_join.stored
+
+    def counted(df):
+        out = stored(df)
+        if "token" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == _brute_components(texts)
+    assert 40 <= made[0] <= 100
+
+
+def test_pairs_left_are_all_pairs_across_components(spark):
+    """Classes that share runs of elements, alone in their component or with others."""
+    from spendlens.llm.ngram_join import _pairs_left
+
+    rng, rows = random.Random(29), []
+    for cid in range(60):
+        n = rng.choice([40, 44, 50, 53])
+        places = sorted(rng.sample(range(40), rng.choice([8, 20, 30])))
+        rows += [(t, cid, n, (7 * (n - i) - 3 * n) // 3, cid // 4 if cid < 20 else cid) for i, t in enumerate(places)]
+    at = {}
+    for t, cid, n, reach, comp in rows:
+        at.setdefault(t, []).append((cid, n, reach, comp))
+    want = {(a, b) for one in at.values() for a, na, ra, ca in one for b, nb, rb, cb in one if ca < cb and nb <= ra and na <= rb}
+    found = _pairs_left(spark.createDataFrame(rows, "token long, cid long, n long, reach long, comp long"))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 500
+
+
+def test_bitmaps_grow_with_the_sets():
+    """Large sets too are told apart by their bitmaps, of whatever widths."""
+    from spendlens.llm.ngram_join import _apart, _bitmaps
+
+    rng = np.random.default_rng(31)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (20, 300, 6000, 9000)]
+    sets += [np.concatenate((sets[3][:5800], rng.integers(0, 2**63, 1200).astype(np.uint64))), sets[0]]
+    n = np.array([len(x) for x in sets])
+    maps = _bitmaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), n)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(len(sets))]
+    apart = _apart([maps[a] for a, _ in pairs], [maps[b] for _, b in pairs])
+    for (a, b), d in zip(pairs, apart.tolist()):
+        assert d <= len(np.setxor1d(sets[a], sets[b]))
+    assert apart[pairs.index((2, 3))] > 4500 and apart[pairs.index((0, 5))] == 0
