@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import chunks, hash_sample
+from spendlens.llm.common import hash_sample, let_go, text_chunks
 
 #: The sample to learn from: labelled documents a language, taken whole.
 SAMPLE_DOCUMENTS = 16
@@ -328,17 +328,15 @@ def _run(spark: SparkSession, sampled: Sample, keep_text: bool = False):
     shared = spark.sparkContext.broadcast(Languages(sampled))
 
     def run(batches):
+        let_go()
         model = shared.value
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            texts = [x or "" for x in t.column("text").to_pylist()]
-            names, scores = [], []
-            for lo, hi in chunks(texts, CHUNK):
-                a, b = model.predict(texts[lo:hi])
-                names += a
-                scores += b.tolist()
-            cols = [c for c in batch.schema.names if keep_text or c != "text"]
-            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in cols] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*cols, "lang_pred", "score"])
+            at = batch.schema.get_field_index("text")
+            cols = [i for i in range(batch.num_columns) if keep_text or i != at]
+            names = [batch.schema.names[i] for i in cols]
+            for lo, hi, texts in text_chunks(batch.column(at), CHUNK):
+                found, scores = model.predict([x or "" for x in texts.to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in cols), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     return run
 

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BROADCAST_ROWS, U, discard, free_shuffles, mix, shingle_sets, shingles, stored, text_bytes, text_chunks
+from spendlens.llm.common import BROADCAST_ROWS, U, discard, free_shuffles, let_go, mix, shingle_sets, shingles, stored, text_bytes, text_chunks
 
 WIDTH = 5
 #: Similarity as a fraction.
@@ -69,6 +69,7 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def _frequent(batches):
     """(shingle, count) of each window's shingles seen more than LOSS times."""
+    let_go()
     held, size = [], 0
 
     def counted():
@@ -128,6 +129,7 @@ def _bitmaps(h: np.ndarray, own: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 def _prefixes(hot: np.ndarray, level: np.ndarray):
     def run(batches):
+        let_go()
         for batch in batches:
             ids = _column(batch, "doc_id")
             for lo, hi, texts in text_chunks(_column(batch, "text")):

@@ -13,7 +13,6 @@ the pieces find their place by their rank among the pieces of their length.
 from __future__ import annotations
 
 import base64
-import functools
 import os
 import re
 import zlib
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import BROADCAST_ROWS, Memo, saved, text_chunks
+from spendlens.llm.common import BROADCAST_ROWS, Memo, held, saved, text_chunks
 
 LIMIT = 1024
 END_ID = 0
@@ -119,9 +118,8 @@ class Tokens:
         return list(map(b"".join, self.memo.values(list(map(self._parts, texts)))))
 
 
-@functools.lru_cache(maxsize=2)
 def tokens(path: str, ranks: str | None) -> Tokens:
-    return Tokens(path, ranks)
+    return held(Tokens, path, ranks)
 
 
 def _cut(path: str, ranks: str | None, limit: int):

@@ -13,7 +13,6 @@ out only where an earlier start of that run is better for every end.
 
 from __future__ import annotations
 
-import functools
 import json
 import math
 import re
@@ -22,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.llm.common import held, text_chunks
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_VALUE = 12
@@ -136,7 +137,6 @@ class GuessCost:
         return min(best[n], free[n], enough)
 
 
-@functools.lru_cache(maxsize=2)
 def guess_cost(path: str) -> GuessCost:
     """The words of a tokenizer's vocabulary (entries that end a word), in its order."""
     with open(path) as f:
@@ -182,10 +182,11 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 
 def _spans(words_path: str):
     def run(batches):
-        cost = guess_cost(words_path)
+        cost = held(guess_cost, words_path)
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end"), s)) for s in find(t, cost)] if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, SPANS)], ["doc_id", "spans"])
+            for lo, hi, texts in text_chunks(batch.column(1)):
+                found = [[dict(zip(("kind", "start", "end"), s)) for s in find(t, cost)] if t else [] for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found, SPANS)], ["doc_id", "spans"])
 
     return run
 
@@ -202,11 +203,12 @@ def secret_spans(docs: DataFrame, words_path: str, id_col: str = "doc_id", text_
 
 def _hidden(words_path: str):
     def run(batches):
-        cost = guess_cost(words_path)
+        cost = held(guess_cost, words_path)
         for batch in batches:
             i = batch.schema.get_field_index("text")
-            texts = [hidden(t, find(t, cost)) if t else t for t in batch.column(i).to_pylist()]
-            yield batch.set_column(i, "text", pa.array(texts, batch.schema.field(i).type))
+            for lo, hi, texts in text_chunks(batch.column(i)):
+                clean = [hidden(t, find(t, cost)) if t else t for t in texts.to_pylist()]
+                yield batch.slice(lo, hi - lo).set_column(i, "text", pa.array(clean, batch.schema.field(i).type))
 
     return run
 

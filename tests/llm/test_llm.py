@@ -914,3 +914,46 @@ def test_bitmaps_grow_with_the_sets():
     for (a, b), d in zip(pairs, apart.tolist()):
         assert d <= len(np.setxor1d(sets[a], sets[b]))
     assert apart[pairs.index((2, 3))] > 4500 and apart[pairs.index((0, 5))] == 0
+
+
+def test_a_worker_keeps_one_operators_tables():
+    from spendlens.llm import common
+
+    made = []
+
+    def one(x):
+        made.append(("one", x))
+        return [x]
+
+    def two(x):
+        made.append(("two", x))
+        return [x]
+
+    common.let_go()
+    assert common.held(one, 1) is common.held(one, 1) and common.held(two, 1) == [1] and len(common._HELD) == 1
+    common.let_go()
+    assert made == [("one", 1), ("two", 1)] and not common._HELD
+
+
+def test_texts_go_through_workers_by_the_megabyte(spark):
+    """Stages of the pipeline yield long texts in parts, and get them so."""
+    from spendlens.llm import common, secret_scan
+    from spendlens.llm.langid import _run
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["word " * 20_000] * 39 + [None]})
+    sampled = (("en", "word and more"), ("de", "wort und mehr"))
+    for run in (secret_scan._hidden(PATH("word_bpe_49k.json")), secret_scan._spans(PATH("word_bpe_49k.json")), _run(spark, sampled, keep_text=True)):
+        parts = list(run([batch]))
+        assert len(parts) > 2 and [i for p in parts for i in p.column(0).to_pylist()] == list(range(40))
+        if "text" in parts[0].schema.names:
+            assert pa.Table.from_batches(parts).column("text").to_pylist() == batch.column("text").to_pylist()
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", None
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        common.lean_workers(spark)
+        docs = spark.range(0, 2000, 1, 1).selectExpr("id", "repeat('word ', 2000) text")
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in batches), "bytes long")
+        assert max(r.bytes for r in sizes.collect()) < 2 * common.ARROW_BYTES
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
