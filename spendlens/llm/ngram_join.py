@@ -61,6 +61,8 @@ EXTRA = 8
 STEPS = (1, 8)
 #: A pair is not made at an element if it shares one of so many before it.
 EARLIER = 4
+#: An element is left out if its classes share the last one before it of one of so many kinds (a power of two).
+KINDS = 16
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -391,11 +393,23 @@ def _best_partners(rows: DataFrame, turn: int) -> DataFrame:
     return shared.groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("k", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
 
 
-def _spans(rows: DataFrame) -> DataFrame:
+def _spans(rows: DataFrame, *more: Column) -> DataFrame:
     """Of each element with classes of two components or more: the least size
-    and the largest reach."""
-    each = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far"))
-    return each.where("lo < hi").select("token", "least", "far")
+    and the largest reach, and ``more``."""
+    each = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("far"), *more)
+    return each.where("lo < hi").drop("lo", "hi")
+
+
+def _first_shared(rows: DataFrame) -> DataFrame:
+    """``_spans`` without elements that are no pair's first shared one: all
+    their classes have one earlier element in common. Looked at is, of each
+    kind of elements (by their lowest bits), the last that a class has before."""
+    before = Window.partitionBy("cid").orderBy("token").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = [F.max(F.when(F.col("token").bitwiseAND(KINDS - 1) == i, F.col("token"))).over(before) for i in range(KINDS)]
+    last = rows.withColumns({f"last_{i}": F.coalesce(kind, "token") for i, kind in enumerate(kinds)})
+    ends = [f(f"last_{i}").alias(f"{name}_{i}") for i in range(KINDS) for f, name in ((F.min, "from"), (F.max, "to"))]
+    common = " or ".join(f"from_{i} = to_{i} and to_{i} < token" for i in range(KINDS))
+    return _spans(last, *ends).where(f"not ({common})").select("token", "least", "far")
 
 
 def _pairs_left(rows: DataFrame) -> DataFrame:
@@ -403,12 +417,12 @@ def _pairs_left(rows: DataFrame) -> DataFrame:
     can link by sizes and places, once each. If the first element that two
     sets share is at place i of n, they share at most n - i, so the partner
     has at most (4 n - 7 i) / 3 elements (its ``reach``). An element whose
-    classes are all connected makes no pair. ``token`` ascends with the
-    places of every set, so the reach gets no larger: a pair that shares
-    ``earlier`` elements, the last ones before, is made at one of those, and
-    every pair at the first that it shares."""
-    for _ in range(2):  # rows that go may leave an element with one component
-        rows = rows.join(_spans(rows), "token").where("reach >= least and n <= far").select("token", "cid", "n", "reach", "comp")
+    classes are all connected makes no pair, nor one whose classes share
+    another before it. ``token`` ascends with the places of every set, so the
+    reach gets no larger: a pair that shares ``earlier`` elements, the last
+    ones before, is made at one of those, and every pair at the first that it
+    shares."""
+    rows = rows.join(_first_shared(rows), "token").where("reach >= least and n <= far").select("token", "cid", "n", "reach", "comp")
     before = Window.partitionBy("cid").orderBy("token").rowsBetween(-EARLIER, -1)
     rows = stored(rows.withColumn("earlier", F.collect_list("token").over(before)))
     other = rows.groupBy("token", F.col("comp").alias("comp_b")).agg(

@@ -900,6 +900,34 @@ def test_pairs_left_are_all_pairs_across_components(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 500
 
 
+def test_pairs_left_of_many_variants_need_few_elements(spark, monkeypatch):
+    """Variants of one text, each without a twentieth of its elements: most
+    elements are no pair's first shared one, and no pair is lost."""
+    from spendlens.llm import ngram_join
+
+    rng, rows = random.Random(37), []
+    token = sorted(rng.sample(range(10**9), 240))
+    for cid in range(20):
+        rows += [(t, cid, 2000, (7 * (2000 - i) - 6000) // 3, cid) for i, t in enumerate(token) if rng.random() < 0.95]
+    rows += [(token[k], 20 + k % 7, 2000, (7 * (2000 - k) - 6000) // 3, 20 + k % 7) for k in range(200, 240, 3)]  # few and late ones
+    kept, stored = [], ngram_join.stored
+
+    def counted(df):
+        out = stored(df)
+        if "earlier" in out.columns:
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    found = ngram_join._pairs_left(spark.createDataFrame(rows, "token long, cid long, n long, reach long, comp long"))
+    at = {}
+    for t, cid, *_ in rows:
+        at.setdefault(t, []).append(cid)
+    want = {(a, b) for one in at.values() for a in one for b in one if a < b}
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 250
+    assert kept[0] < len(rows) / 2
+
+
 def test_bitmaps_grow_with_the_sets():
     """Large sets too are told apart by their bitmaps, of whatever widths."""
     from spendlens.llm.ngram_join import _apart, _bitmaps
